@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe
+from tremolo.llm import bpe, fingerprint
 from tremolo.llm.common import table
 
 
@@ -31,7 +31,23 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_QUERIES: dict[str, Callable] = {"op1_bpe": op1_bpe}
+def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited_text", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+_QUERIES: dict[str, Callable] = {
+    "op1_bpe": op1_bpe,
+    "op10_fingerprint": op10_fingerprint,
+}
 _ORACLE: dict[str, str] = {}
 
 
