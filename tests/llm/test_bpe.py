@@ -56,3 +56,12 @@ def test_nulls_repeats_and_clashes(spark):
     rows = bpe_decode(bpe_encode(df, tokenizer_path()), tokenizer_path()).collect()
     assert sorted((r.doc_id or 0, r.decoded) for r in rows) == [(0, ""), (1, ""), (2, "hi</w> hi</w>"), (2, "hi</w> hi</w>")]
     assert bpe_encode(df.limit(0), tokenizer_path()).count() == 0
+
+
+def test_memo_runs_full(both, monkeypatch):
+    import tremolo.llm.bpe as bpe
+
+    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 5)
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    for text in ["one two three", "two four five six", "one seven two eight nine ten eleven"]:
+        same(*both, text)

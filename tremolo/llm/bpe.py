@@ -185,8 +185,6 @@ class Codec:
         return [[p] if k % 2 else self._chunks(p) for k, p in enumerate(self.parts.split(text))]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > MEMO_CHUNKS:
-            self.chunks.clear()
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
         split: dict[str, list[str]] = {}
@@ -207,7 +205,11 @@ class Codec:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._pieces(t or "") for t in texts]
         wanted = {c for pieces in split for k, piece in enumerate(pieces) if k % 2 == 0 for c in piece}
-        self._learn({c for c in wanted if c not in self.chunks})
+        new = {c for c in wanted if c not in self.chunks}
+        if len(self.chunks) + len(new) > MEMO_CHUNKS:
+            self.chunks.clear()
+            new = wanted
+        self._learn(new)
         get = self.chunks.__getitem__
         return [b"".join(b"".join(map(get, piece)) if k % 2 == 0 else self.special[piece[0]] for k, piece in enumerate(pieces)) for pieces in split]
 
