@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe, chat, fingerprint, pii
+from tremolo.llm import bpe, chat, fingerprint, mix, pii
 from tremolo.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = mix.mix(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
     return made.select(
@@ -76,6 +81,7 @@ _QUERIES: dict[str, Callable] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op4_chat": op4_chat,
+    "op9_mix": op9_mix,
     "op10_fingerprint": op10_fingerprint,
 }
 _ORACLE: dict[str, str] = {}
