@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tremolo.llm.bpe import Codec, bpe_decode, bpe_encode
+from tremolo.llm.bpe import Codec, Tokens, bpe_decode, bpe_encode
 from tremolo.llm.queries import op1_bpe, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +18,9 @@ SF = "/root/testdata/sf0.001"
 def both():
     with open(tokenizer_path()) as f:
         spec = f.read()
-    return Codec(spec), Tokenizer.from_str(spec)
+    codec = Codec(spec)
+    codec.decode = Tokens(spec).decode
+    return codec, Tokenizer.from_str(spec)
 
 
 def same(codec, library, text):

@@ -10,7 +10,6 @@ that work. A word's ids are read back along these last tokens.
 
 from __future__ import annotations
 
-import gc
 import json
 import re
 from collections.abc import Callable, Iterable, Iterator
@@ -22,10 +21,13 @@ from pyspark.sql import functions as F
 from tremolo.llm.common import Memo, slices
 
 #: Distinct chunks and words that a worker remembers before it starts anew.
-MEMO_CHUNKS, MEMO_WORDS, MEMO_PAIRS = 400_000, 300_000, 400_000
+MEMO_CHUNKS, MEMO_WORDS, MEMO_PAIRS = 200_000, 120_000, 200_000
 
 #: White space as the tokenizer's patterns have it (fixed values).
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The word pattern of the tokenizer file, and what it is over lower-case ASCII without white space (fixed values).
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+"
 _SPLIT = re.compile(f"[{_SPACE}]+")
 #: str.split() also splits at these.
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
@@ -60,7 +62,8 @@ class PrefixTrie:
             own.setdefault(token, symbol(token))
         self.ids = {own[t]: i for t, i in vocab.items()}
         self.text = {i: s for s, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        self.length = {i: len(s) for s, i in self.ids.items()}
+        self.packed = {i: i.to_bytes(4, "little") for i in self.text}
         self.tails = {s[k:]: -1 for s in self.ids for k in range(1, len(s))} | self.ids  # -1: only the end of tokens
         self.pairs = Memo(self._agree, MEMO_PAIRS)
         self.alone = Memo(lambda t: self._whole(t) == [t], MEMO_PAIRS)
@@ -105,51 +108,41 @@ class PrefixTrie:
                 j += 1
 
     def encode(self, words: Iterable[str]) -> dict[str, bytes]:
-        """Each distinct word's ids as little-endian unsigned 32-bit integers."""
-        root: dict = {}
+        """Each distinct word's ids as little-endian unsigned 32-bit integers.
+
+        The trie is kept flat: sorted words, each branching off the one before where their
+        common prefix ends, which is the depth-first order of its nodes. ``state`` holds the last
+        token of each prefix on the path from the root, so a shared prefix is computed once.
+        """
         done: dict[str, bytes] = {}
-        for word in words:
-            if not word:
-                done[word] = b""
-                continue
-            node = root
-            for c in word[:-1]:
-                nxt = node.get(c)
-                if nxt is None:
-                    nxt = node[c] = {}
-                node = nxt
-            last = chr(0xF0000 + ord(word[-1])) if self.end else word[-1] + "\0"
-            node[last] = word
-        tails, longest, pairs, alone, text = self.tails, self.longest, self.pairs, self.alone, self.text
-        state: list[int] = [-1]  # by depth: the last token of the prefix that is being visited
-        todo: list[tuple] = [(root, 0, "")]
-        while todo:
-            node, depth, tail = todo.pop()
-            if depth:
+        tails, pairs, alone, packed, length = self.tails, self.pairs, self.alone, self.packed, self.length
+        state: list[int] = [-1]
+        before = ""
+        for path, word in sorted((w[:-1] + chr(0xF0000 + ord(w[-1])) if self.end else w, w) for w in words if w):
+            depth, most = 0, min(len(path), len(before))
+            while depth < most and path[depth] == before[depth]:
+                depth += 1
+            before = path
+            if len(state) <= len(path):
+                state.extend([-1] * (len(path) - len(state) + 1))
+            while depth < len(path):
+                depth += 1
                 n = 0
-                while n < len(tail):
+                while True:
                     n += 1
-                    token = tails.get(tail[-n:])
+                    token = tails.get(path[depth - n : depth]) if n <= depth else None
                     if token is None:
-                        n = len(tail) + 1
-                    elif token >= 0 and (alone[token] if n == depth else pairs[state[depth - n] << 20 | token]):
+                        raise ValueError(f"no token of the vocabulary ends {path[:depth]!r}")
+                    if token >= 0 and (alone[token] if n == depth else pairs[state[depth - n] << 20 | token]):
                         break
-                else:
-                    raise ValueError(f"no token of the vocabulary ends {tail!r}")
-                if len(state) <= depth:
-                    state.append(token)
-                else:
-                    state[depth] = token
-            if isinstance(node, str):
-                out, at = [], depth
-                while at:
-                    out.append(state[at])
-                    at -= len(text[state[at]])
-                done[node] = b"".join(t.to_bytes(4, "little") for t in reversed(out))
-            else:
-                for c, child in node.items():
-                    s = c[0]
-                    todo.append((child, depth + 1, (tail + s)[-longest:]))
+                state[depth] = token
+            out = []
+            while depth:
+                token = state[depth]
+                out.append(packed[token])
+                depth -= length[token]
+            out.reverse()
+            done[word] = b"".join(out)
         return done
 
 
@@ -162,6 +155,8 @@ class Codec:
         parsed = json.loads(spec)
         whole = Tokenizer.from_str(spec)
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
+        # The file's pattern over lower-case ASCII, if it is the one that we know.
+        self.plain = re.compile(_PLAIN) if _PATTERN in json.dumps(parsed["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") else None
         model = parsed["model"]
         if model["type"] != "BPE" or parsed.get("decoder") or model.get("continuing_subword_prefix"):
             raise ValueError("only BPE files with a plain decoder are supported")
@@ -173,7 +168,6 @@ class Codec:
         self.trie = PrefixTrie(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
-        self.tokens = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in special.items()}
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPLIT.split(text) if c] if _ONLY_PYTHON.search(text) else text.split()
@@ -188,18 +182,28 @@ class Codec:
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
         split: dict[str, list[str]] = {}
+        odd = []
         for c in chunks:
-            if c.isascii() and c.isalpha():
+            if not c.isascii():
+                odd.append(c)
+            elif c.isalpha():
                 split[c] = [c.lower()]
             else:
-                split[c] = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
+                split[c] = self.plain.findall(c.lower()) if self.plain and c.isprintable() else [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(c))]
+        # The others go through the file's own normaliser and pattern, which treat chunks between spaces alike.
+        joined = self.normalizer.normalize_str(" ".join(odd))
+        pieces = self.splitter.pre_tokenize_str(joined)
+        at = k = 0
+        for c, form in zip(odd, joined.split(" ")):
+            at += len(form)
+            words = split[c] = []
+            while k < len(pieces) and pieces[k][1][1] <= at:
+                words.append(pieces[k][0])
+                k += 1
+            at += 1
         new = {w for ws in split.values() for w in ws if w not in self.words}
         known = self.words
-        gc.disable()  # the trie's many nodes hold no cycles
-        try:
-            known.update(self.trie.encode(new))
-        finally:
-            gc.enable()
+        known.update(self.trie.encode(new))
         self.chunks.update((c, b"".join([known[w] for w in ws])) for c, ws in split.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -213,22 +217,30 @@ class Codec:
         get = self.chunks.__getitem__
         return [b"".join(b"".join(map(get, piece)) if k % 2 == 0 else self.special[piece[0]] for k, piece in enumerate(pieces)) for pieces in split]
 
+
+class Tokens:
+    """Decoding needs the tokens alone: they are joined by a space."""
+
+    def __init__(self, spec: str):
+        parsed = json.loads(spec)
+        if parsed.get("decoder"):
+            raise ValueError("only files with a plain decoder are supported")
+        self.tokens = {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+
     def decode(self, ids: bytes) -> str:
-        get = self.tokens.__getitem__
-        return " ".join(map(get, memoryview(ids).cast("I")))
+        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-_codecs: dict[int, Codec] = {}
+_made: dict[tuple, Codec | Tokens] = {}
 
 
-def _codec(shared) -> Codec:
-    """A worker keeps one codec a file."""
-    spec = shared.value
-    key = hash(spec)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(spec)
-    return _codecs[key]
+def _kept(kind: type, shared) -> Codec | Tokens:
+    """A worker keeps one of each kind a file."""
+    key = (kind, hash(shared.value))
+    if key not in _made:
+        _made.clear()
+        _made[key] = kind(shared.value)
+    return _made[key]
 
 
 def _added(df: DataFrame, column: str, out: str, kind: str, each: Callable) -> DataFrame:
@@ -258,7 +270,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
     """
     with open(path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
-    return _added(df, text, ids, "binary", lambda texts: _codec(shared).encode(texts))
+    return _added(df, text, ids, "binary", lambda texts: _kept(Codec, shared).encode(texts))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -270,7 +282,7 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
         shared = df.sparkSession.sparkContext.broadcast(f.read())
 
     def each(rows: list) -> list[str]:
-        codec = _codec(shared)
+        codec = _kept(Tokens, shared)
         return [codec.decode(x or b"") for x in rows]
 
     return _added(df, ids, text, "string", each)

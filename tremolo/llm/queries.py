@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe, chat, fingerprint, mix, pii
+from tremolo.llm import bpe, chat, fingerprint, mix, pii, quality, toxicity
 from tremolo.llm.common import table
 
 
@@ -31,6 +31,18 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", "score", toxicity.predicted(0.3))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "held_out", "score", toxicity.predicted(0.7))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mix.mix(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -81,6 +93,8 @@ _QUERIES: dict[str, Callable] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
     "op4_chat": op4_chat,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality": op7_quality,
     "op9_mix": op9_mix,
     "op10_fingerprint": op10_fingerprint,
 }
