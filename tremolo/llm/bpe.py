@@ -18,11 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import Memo, slices
+from tremolo.llm.common import Memo, slices, whole_texts
 
 #: Distinct chunks and words that a worker remembers before it starts anew.
 MEMO_CHUNKS, MEMO_WORDS, MEMO_PAIRS = 200_000, 120_000, 200_000
 
+#: Bytes of texts (or ids) that are split into words at a time.
+SLICE = 2 << 20
+
 #: White space as the tokenizer's patterns have it (fixed values).
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: The word pattern of the tokenizer file, and what it is over lower-case ASCII without white space (fixed values).
@@ -251,12 +254,12 @@ def _added(df: DataFrame, column: str, out: str, kind: str, each: Callable) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_tremolo_in"):
+            for batch in slices(whole, "_tremolo_in", SLICE):
                 made = each(batch.column(batch.num_columns - 1).to_pylist())
                 arrays = [*batch.columns[:-1], pa.array(made, pa.binary() if kind == "binary" else pa.string())]
                 yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], out])
 
-    return source.mapInArrow(run, schema)
+    return whole_texts(source).mapInArrow(run, schema)
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Python lists that go back to Spark are flushed at about this many bytes.
 FLUSH_BYTES = 8 << 20
+#: Rows to an Arrow batch: rows hold whole texts, and Spark's default of 10,000 of them is too much memory.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = FLUSH_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def whole_texts(df: DataFrame) -> DataFrame:
+    """``df``, with small Arrow batches set for its session; for use before mapInArrow."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def word_count(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

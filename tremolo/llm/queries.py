@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe, chat, fingerprint, mix, pii, quality, toxicity
+from tremolo.llm import bpe, chat, fingerprint, jaccard, mix, pii, quality, toxicity
 from tremolo.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", "held_out", "score", toxicity.predicted(0.7))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(table(spark, sf_dir, "documents"))
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = mix.mix(table(spark, sf_dir, "documents"))
     return made.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -95,6 +99,7 @@ _QUERIES: dict[str, Callable] = {
     "op4_chat": op4_chat,
     "op6_toxicity": op6_toxicity,
     "op7_quality": op7_quality,
+    "op8_jaccard": op8_jaccard,
     "op9_mix": op9_mix,
     "op10_fingerprint": op10_fingerprint,
 }
