@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Python lists that go back to Spark are flushed at about this many bytes.
 FLUSH_BYTES = 8 << 20
 #: Rows to an Arrow batch: rows hold whole texts, and Spark's default of 10,000 of them is too much memory.
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, "16m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = FLUSH_BYTES) -> Itera
 def whole_texts(df: DataFrame) -> DataFrame:
     """``df``, with small Arrow batches set for its session; for use before mapInArrow."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df
 
 
