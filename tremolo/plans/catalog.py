@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-_QUERIES: dict[str, Callable] = {}
-_ORACLE: dict[str, str] = {}
+from tremolo.plans import signal_queries
+
+_MODULES = (signal_queries,)
 
 
 def queries() -> dict[str, Callable]:
-    return dict(_QUERIES)
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLE)
+    return {k: q for m in _MODULES for k, q in m.ORACLE.items()}
