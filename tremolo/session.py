@@ -41,6 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
     return str(named)
 
 
+#: Deletes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """Written intermediate tables: they cut lineage and survive lost executors."""
 
@@ -50,10 +54,18 @@ class Stage:
         self._n = 0
 
     def write(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` as Parquet into the shared folder and read it back."""
+        """Write ``df`` as Parquet into the shared folder and read it back.
+
+        What was shuffled for it is deleted as soon as it is written: nothing reads that again.
+        """
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
