@@ -128,31 +128,30 @@ def boundary(partners: float, percent: int) -> int:
     return best
 
 
-def signatures(s: np.ndarray, e: np.ndarray, n: np.ndarray, light: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A set's signatures, and for each how many elements stand before the shared ones that it tells of."""
+def signatures(s: np.ndarray, e: np.ndarray, n: np.ndarray, light: int, percent: int) -> np.ndarray:
+    """A set's signatures: subsets have the lowest bit set, single elements have not."""
     m = len(s)
     if m < 2:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64)
     if len(e):
         at = np.minimum(np.searchsorted(e, s), len(e) - 1)
         s = s[np.argsort(np.where(e[at] == s, n[at], 0), kind="stable")]
     few = m - least_overlap(m, percent)
-    sig, pos = [], []
+    sig = []
     if m <= light:
         i, j = np.triu_indices(min(m, few + 2), 1)
         with np.errstate(over="ignore"):
-            sig.append(_mixed(s[i] * _M[0] + _mixed(s[j] + _M[1])))
-        pos.append(j - 1)
+            sig.append(_mixed(s[i] * _M[0] + _mixed(s[j] + _M[1])) | np.uint64(1))
     if m > light or 100 * m > percent * light:
-        sig.append(s[: few + 1])
-        pos.append(np.arange(min(m, few + 1)))
-    return np.concatenate(sig), np.concatenate(pos).astype(np.int32)
+        sig.append(s[: few + 1] & ~np.uint64(1))
+    return np.concatenate(sig)
 
 
-def _described(docs: DataFrame, p: Params, stage: Stage) -> DataFrame:
-    """(doc_id, m, digest, sigs, pos), written: of every row its set's size, digest and signatures."""
+def _described(docs: DataFrame, p: Params, stage: Stage) -> tuple[DataFrame, int]:
+    """(doc_id, m, digest, sigs), written: of every row its set's size, digest and signatures; and the boundary."""
     e, n, partners = _frequent(docs, p, stage)
-    shared = docs.sparkSession.sparkContext.broadcast((e, n, boundary(partners, p.percent)))
+    light = boundary(partners, p.percent)
+    shared = docs.sparkSession.sparkContext.broadcast((e, n, light))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shingler(p.words)
@@ -161,13 +160,12 @@ def _described(docs: DataFrame, p: Params, stage: Stage) -> DataFrame:
             for b in slices(whole, "text"):
                 sets = [of(t) for t in b.column(1).to_pylist()]
                 made = [signatures(s, e, n, light, p.percent) for s in sets]
-                starts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x, _ in made])]).astype(np.int32))
-                sigs = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([x for x, _ in made]).view(np.int64)))
-                pos = pa.ListArray.from_arrays(starts, pa.array(np.concatenate([x for _, x in made]), pa.int32()))
+                starts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32))
+                sigs = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(made).view(np.int64)))
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), sigs, pos], ["doc_id", "m", "digest", "sigs", "pos"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), sigs], ["doc_id", "m", "digest", "sigs"])
 
-    return stage.write(whole_texts(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, m long, digest binary, sigs array<long>, pos array<int>"))
+    return stage.write(whole_texts(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, m long, digest binary, sigs array<long>")), light
 
 
 def _sized(df: DataFrame, n: int, p: Params) -> DataFrame:
@@ -176,19 +174,30 @@ def _sized(df: DataFrame, n: int, p: Params) -> DataFrame:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, p: Params, stage: Stage) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar, written. Sets are made anew, of the documents in question only."""
-    ids = stage.write(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
-    texts = docs.select("doc_id", "text").join(_sized(ids, ids.count(), p), "doc_id", "left_semi")
+    """The pairs (a, b) whose whole sets are similar, written.
+
+    Sets are made anew from the texts in question, and meet by one shuffle, on b. A text's pairs
+    follow one another, so its set is made once.
+    """
+    texts = docs.select("doc_id", "text")
+    mine = texts.join(_sized(pairs.select(F.col("a").alias("doc_id"), "b"), pairs.count(), p), "doc_id").select(F.col("doc_id").alias("a"), "b", "text")
+    hubs = stage.write(pairs.select(F.col("b").alias("doc_id")).distinct())
+    others = texts.join(_sized(hubs, hubs.count(), p), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shingler(p.words)
+        of, last, made = shingler(p.words), None, b""
         for whole in batches:
-            for b in slices(whole, "text"):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["doc_id", "els"])
-
-    sets = stage.write(whole_texts(texts).mapInArrow(make, "doc_id long, els binary"))
-    one, two = sets.select(F.col("doc_id").alias("a"), F.col("els").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("els").alias("y"))
-    both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "x", "y")
+            for b in slices(whole, "text", 4 << 20):
+                sets = []
+                for t in b.column(b.num_columns - 1).to_pylist():
+                    if t != last:
+                        last, made = t, of(t).tobytes()
+                    sets.append(made)
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], [*b.schema.names[:-1], "els"])
+
+    one = whole_texts(mine).mapInArrow(make, "a long, b long, els binary").withColumnRenamed("els", "x")
+    two = whole_texts(others).mapInArrow(make, "b long, els binary").withColumnRenamed("els", "y")
+    both = one.join(two, "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,40 +209,58 @@ def _verified(docs: DataFrame, pairs: DataFrame, p: Params, stage: Stage) -> Dat
                 keep.append(common > 0 and 100 * common >= p.percent * (len(x) + len(y) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    links = stage.write(both.mapInArrow(compare, "a long, b long"))
-    stage.drop(sets)
-    return links
+    return stage.write(both.mapInArrow(compare, "a long, b long"))
+
+
+def _fits(m: Column, n: Column, percent: int) -> Column:
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def _enough(n: Column, kind: Column, ma: Column, mb: Column, percent: int) -> Column:
+    """Whether two sets that share so many signatures can be similar.
+
+    Take the set whose first few end earlier in the order: all shared elements up to there are
+    among the first few of both, so they are counted, and the rest of the set is all
+    that can be shared beyond. k elements make k (k - 1) / 2 subsets.
+    """
+    ceil = lambda x: F.ceil(x - 1e-9)
+    most = F.greatest(ceil(percent * ma / 100), ceil(percent * mb / 100))
+    k = ceil(percent * (ma + mb) / (100 + percent)) - most + 1 + kind
+    return n >= F.when(kind == 1, F.greatest(k, F.lit(2)) * (F.greatest(k, F.lit(2)) - 1) / 2).otherwise(k)
 
 
-def _may(m: Column, pos: Column, n: Column, npos: Column, percent: int) -> Column:
-    """Whether two sets can be similar, if the first elements that they share stand where the signature says."""
-    least = F.ceil(percent * (m + n) / (100 + percent) - 1e-9)
-    return (100 * F.least(m, n) >= percent * F.greatest(m, n)) & (F.least(m - pos, n - npos) >= least)
+def _kind(light: int, ma: Column, mb: Column) -> Column:
+    """Two light sets meet in subsets only, others in lists only."""
+    return F.when(F.greatest(ma, mb) <= light, 1).otherwise(0)
 
 
-def _hub_pairs(lists: DataFrame, k: int, p: Params) -> DataFrame:
+def _hub_pairs(lists: DataFrame, k: int, light: int, p: Params) -> DataFrame:
     """For each set at most one pair (a, b): with the hub that stands in most of its lists, if that is in another component.
 
-    A list's hub is its set of the smallest component; lists are parted by size first, in round k at other borders.
+    A list's hub is its set of the smallest component; lists are parted by size first, in round k at
+    other borders. Pairs that share too few signatures are left to the last round.
     """
     level = F.floor(F.log(F.col("m").cast("double")) / F.log(F.lit(100.0 / p.percent)) + k / 2).cast("int")
     rows = lists.withColumn("level", level)
-    hubs = rows.groupBy("sig", "level").agg(F.min(F.struct("comp", "doc_id", "m", "pos")).alias("hub"), F.max("comp").alias("most")).where(F.col("hub.comp") < F.col("most"))
-    hubs = hubs.select("sig", "level", "hub")
-    met = rows.join(hubs, ["sig", "level"]).where((F.col("hub.comp") != F.col("comp")) & _may(F.col("m"), F.col("pos"), F.col("hub.m"), F.col("hub.pos"), p.percent))
-    votes = met.groupBy("doc_id", F.col("hub.doc_id").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("hub")).alias("hub"))).alias("best"))
+    hubs = rows.groupBy("sig", "level").agg(F.min(F.struct("comp", "doc_id", "m")).alias("hub"), F.max("comp").alias("most")).where(F.col("hub.comp") < F.col("most"))
+    met = rows.join(hubs.select("sig", "level", "hub"), ["sig", "level"]).where((F.col("hub.comp") != F.col("comp")) & _fits(F.col("m"), F.col("hub.m"), p.percent))
+    kind = _kind(light, F.col("m"), F.col("hub.m"))
+    votes = met.where(F.col("sig").bitwiseAND(1) == kind).groupBy("doc_id", "m", F.col("hub.doc_id").alias("hub"), F.col("hub.m").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
+    votes = votes.where(_enough(F.col("shared"), _kind(light, F.col("m"), F.col("n")), F.col("m"), F.col("n"), p.percent))
+    best = votes.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("best"))
     return best.select(F.col("doc_id").alias("a"), (-F.col("best.hub")).alias("b"))
 
 
-def _apart_pairs(lists: DataFrame, p: Params) -> DataFrame:
-    """All pairs of a list in different components that may be similar, each once."""
+def _apart_pairs(lists: DataFrame, light: int, p: Params) -> DataFrame:
+    """All pairs of sets in different components that may be similar, each once."""
     mixed = lists.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rows = lists.join(mixed, "sig", "left_semi")
-    x = rows.select("sig", F.col("doc_id").alias("a"), F.col("m").alias("ma"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = rows.select("sig", F.col("doc_id").alias("b"), F.col("m").alias("mb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-    may = _may(F.col("ma"), F.col("pa"), F.col("mb"), F.col("pb"), p.percent)
-    return x.join(y, "sig").where((F.col("ca") < F.col("cb")) & may).select("a", "b").distinct()
+    rows = lists.join(mixed, "sig", "left_semi").select("sig", "doc_id", "m", "comp").distinct()
+    x = rows.select("sig", F.col("doc_id").alias("a"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
+    y = rows.select("sig", F.col("doc_id").alias("b"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
+    kind = _kind(light, F.col("ma"), F.col("mb"))
+    met = x.join(y, "sig").where((F.col("ca") < F.col("cb")) & _fits(F.col("ma"), F.col("mb"), p.percent) & (F.col("sig").bitwiseAND(1) == kind))
+    shared = met.groupBy("a", "b", "ma", "mb").agg(F.count(F.lit(1)).alias("shared"))
+    return shared.where(_enough(F.col("shared"), kind, F.col("ma"), F.col("mb"), p.percent)).select("a", "b")
 
 
 def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -248,14 +275,14 @@ def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """
     p, stage = params, Stage(docs.sparkSession, "jaccard")
     docs = docs.select("doc_id", "text")
-    made = _described(docs, p, stage)
+    made, light = _described(docs, p, stage)
     sets = stage.write(made.select("doc_id", "m", "digest"))
     classes = stage.write(sets.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     copies = sets.where("doc_id IS NOT NULL").join(classes, "digest").where("doc_id <> rep").select("doc_id", "digest").distinct()
     copies = stage.write(copies)
     reps = made.where("doc_id IS NOT NULL AND size(sigs) > 0").join(_sized(copies, copies.count(), p), ["doc_id", "digest"], "left_anti")
-    rows = reps.select("doc_id", F.col("m").cast("int").alias("m"), F.explode(F.arrays_zip("sigs", "pos")).alias("z")).select(F.col("z.sigs").alias("sig"), "doc_id", "m", F.col("z.pos").alias("pos"))
-    shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sig")
+    rows = reps.select(F.explode("sigs").alias("sig"), "doc_id", F.col("m").cast("int").alias("m"))
+    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     lists = stage.write(rows.join(shared, "sig").withColumn("comp", F.col("doc_id")))
     stage.drop(made)
     links = None
@@ -264,7 +291,7 @@ def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
         own = lists
         if known is not None:
             own = lists.drop("comp").join(known, lists.doc_id == known.node, "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
-        pairs = stage.write(_hub_pairs(own, k, p) if k < 2 else _apart_pairs(own, p))
+        pairs = stage.write(_hub_pairs(own, k, light, p) if k < 2 else _apart_pairs(own, light, p))
         if pairs.isEmpty():
             continue
         found = _verified(docs, pairs, p, stage)
