@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,8 +132,6 @@ def split_text(text: str, size: int = config.CHUNK_SIZE, overlap: int = config.C
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = config.CHUNK_SIZE, overlap: int = config.CHUNK_OVERLAP) -> DataFrame:
     """(key, chunk_index, chunk_id, chunk): at least one chunk, maybe empty, of each document."""
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def pieces(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: split_text(t or "", size, overlap) or [""])
