@@ -44,8 +44,9 @@ def short_number(v: Column) -> Column:
     """Four significant digits without trailing zeros; an exponent outside 1e-4 to 1e4."""
     v = v.cast("double")
     size = F.floor(F.log10(F.abs(v)) + 1e-12)
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.round(v * F.pow(F.lit(10.0), 3 - size)) / F.pow(F.lit(10.0), 3 - size)), "0+$", ""), r"\.$", "")
-    sci = F.regexp_replace(F.format_string("%.3e", v), r"\.?0+e", "e")
+    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.bround(v * F.pow(F.lit(10.0), 3 - size)) / F.pow(F.lit(10.0), 3 - size)), "0+$", ""), r"\.$", "")
+    mantissa = F.bround(v / F.pow(F.lit(10.0), size) * 1000) / 1000  # of ties the even one
+    sci = F.regexp_replace(F.format_string("%.3fe%+03d", mantissa, size), r"\.?0+e", "e")
     return F.when(v.isNull(), None).when(v == 0, "0").when((size < -4) | (size >= 4), sci).otherwise(plain)
 
 

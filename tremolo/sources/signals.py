@@ -18,7 +18,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 def header_mode(header: Column) -> Column:
     """'pair', 'single', or the code of what is wrong with the header."""
-    cells = F.transform(F.split(F.lower(header), ","), F.trim)
+    cells = F.transform(F.split(F.lower(header), ","), lambda c: F.trim(c))
     return (
         F.when(cells == F.array(F.lit("timestamp"), F.lit("amplitude")), "pair")
         .when(cells == F.array(F.lit("amplitude")), "single")
@@ -42,7 +42,7 @@ def parse_lines(files: DataFrame) -> DataFrame:
         .otherwise(F.coalesce(F.when(F.size("lines") == 1, F.when(header_mode(F.col("lines")[0]).isin("pair", "single"), "empty_data")), header_mode(F.get("lines", F.lit(0)))))
     )
     rows = rows.select("sample_id", mode.alias("mode"), F.posexplode_outer("lines").alias("pos", "line"))
-    cells = F.transform(F.split("line", ",", -1), F.trim)
+    cells = F.transform(F.split("line", ",", -1), lambda c: F.trim(c))
     return rows.select("sample_id", "mode", (F.col("pos") + 1).cast("long").alias("line_no"), cells.alias("cells"))
 
 
