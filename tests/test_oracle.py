@@ -8,6 +8,8 @@ import pytest
 from tremolo.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Kernels need blocks of 1024 points.
+SF_WHOLE = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -41,4 +43,4 @@ def test_query_equals_oracle(spark, duck, name):
 
 def test_queries_without_oracle_run(spark):
     for name in catalog.queries().keys() - catalog.oracle_sql().keys():
-        assert catalog.queries()[name](spark, SF).count() > 0, name
+        assert catalog.queries()[name](spark, SF_WHOLE).count() > 0, name

@@ -41,7 +41,10 @@ def band_label(lo: Column, hi: Column) -> Column:
 
 
 def short_number(v: Column) -> Column:
-    """Four significant digits without trailing zeros; an exponent outside 1e-4 to 1e4."""
+    """Four significant digits without trailing zeros; an exponent outside 1e-4 to 1e4.
+
+    Where the fifth digit is a lone 5 in decimal, the fourth may differ from exact binary rounding.
+    """
     v = v.cast("double")
     size = F.floor(F.log10(F.abs(v)) + 1e-12)
     plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.bround(v * F.pow(F.lit(10.0), 3 - size)) / F.pow(F.lit(10.0), 3 - size)), "0+$", ""), r"\.$", "")

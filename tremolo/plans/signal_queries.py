@@ -196,7 +196,46 @@ def quality_checks(spark, sf_dir):
     return length_checks(rows.select("sample_id", "missing", "n_normal", F.col("n").alias("n_abnormal")))
 
 
+#: A diagnosis compares two signals of so many points at this rate.
+DIAGNOSIS_POINTS, DIAGNOSIS_FS, DIAGNOSIS_RPM = 1024, 12000.0, 1797.0
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    """Each event type's whole blocks of 1024 points, a sample each."""
+    rows = _signals(spark, sf_dir).withColumn("block", F.floor(F.col("idx") / DIAGNOSIS_POINTS))
+    whole = rows.groupBy("sample_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == DIAGNOSIS_POINTS).drop("n")
+    rows = rows.join(whole, ["sample_id", "block"])
+    return rows.select(F.concat("sample_id", F.lit("-"), F.col("block").cast("string")).alias("sample_id"), (F.col("idx") % DIAGNOSIS_POINTS).alias("idx"), "amplitude")
+
+
+def envelope_features(spark, sf_dir):
+    """Kernel features of each block, envelopes included; no SQL can express the filter."""
+    from tremolo.operators.features import extract_features
+
+    blocks = _blocks(spark, sf_dir)
+    samples = blocks.select("sample_id").distinct().withColumns({"sampling_rate": F.lit(DIAGNOSIS_FS), "rotation_speed": F.lit(DIAGNOSIS_RPM)})
+    f = extract_features(blocks, samples)
+    e = F.col("envelope.characteristic_energy")
+    return f.select("sample_id", "n_samples", "rms", "kurtosis", "crest_factor", "dominant_frequency", *[e[x].alias(x) for x in config.FAMILIES], F.size("spectrum_peaks").alias("peaks"), F.size("envelope.envelope_peaks").alias("envelope_peaks"))
+
+
+def diagnosis_batch(spark, sf_dir):
+    """Every block of another type compared with the baseline's first: features, comparison, clauses, ranks."""
+    from tremolo.operators import rules
+    from tremolo.operators.compare import compare
+    from tremolo.operators.features import extract_features
+
+    blocks = _blocks(spark, sf_dir)
+    ids = blocks.select("sample_id").distinct()
+    features = extract_features(blocks, ids.withColumns({"sampling_rate": F.lit(DIAGNOSIS_FS), "rotation_speed": F.lit(DIAGNOSIS_RPM)}))
+    pairs = ids.where(~F.col("sample_id").startswith(BASELINE)).select(F.col("sample_id").alias("request_id"), F.lit(f"{BASELINE}-0").alias("normal_id"), F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
+    checks = rules.checked(compare(pairs, features), rules.clause_table(spark))
+    return rules.tallied(checks, "request_id", "fault_type")
+
+
 QUERIES = {
+    "envelope_features": envelope_features,
+    "diagnosis_batch": diagnosis_batch,
     "changed_features": changed_features,
     "signal_stats": signal_stats,
     "sampling_rate_inference": sampling_rate_inference,
