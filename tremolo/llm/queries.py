@@ -119,7 +119,22 @@ _QUERIES: dict[str, Callable] = {
     "pipeline": corpus_pipeline.run,
     "op10_fingerprint": op10_fingerprint,
 }
-_ORACLE: dict[str, str] = {}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_SIZE = "length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|im_end|>' || chr(10))"
+#: The others can't be expressed in SQL: their tests hold them against brute force, round trips or held-out labels.
+_ORACLE: dict[str, str] = {
+    "op4_chat": f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}')),
+      s AS (SELECT *, sum({_SIZE}) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM c)
+      SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(coalesce(sum(upto) FILTER (role = 'assistant'), max(upto)) AS BIGINT) AS formatted_chars FROM s GROUP BY conv_id""",
+    "op8_jaccard": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS ws FROM documents),
+      sh AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s FROM w),
+      u AS (SELECT doc_id, len(s) AS m, unnest(s) AS e FROM sh),
+      l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.m) + any_value(b.m) - count(*))),
+      r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+      SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = sh.doc_id) AS component_id FROM sh""",
+}
 
 
 def queries() -> dict[str, Callable]:
