@@ -87,6 +87,6 @@ def test_disclosure_by_plain_counts(spark):
             if len(n_tc[w]) >= p.support and (b <= e.start() or a >= e.end()) and math.log(len(n_tc[w]) * n / (n_t[w] * n_c)) / math.log(n / n_c) >= p.share:
                 want[i].add((a, b))
     assert got[0] == want[0] == {(8, 15)} or got == {**{i: set() for i, _ in rows}, **want}
-    clean = {r.doc_id: r.text for r in pii.sanitise(df.withColumn("n_chars", df.doc_id), p).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitise(df.selectExpr("*", "doc_id AS n_chars", "'d' AS digest", "'e' AS extra", "1 AS spans", "2 AS start"), p).where("digest = 'd' AND extra = 'e' AND spans = 1").collect()}
     assert "quentin" not in clean[0].lower() and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
     assert pii.scan(df.limit(0), p).count() == 0

@@ -161,16 +161,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
 
 def mixed(docs: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    taken = Stage(docs.sparkSession, "mixed").write(mix(docs, **params).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_c")))
-    several = taken.groupBy("_d", "_s", "_n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
-    rows = docs.withColumn("_size", word_count(F.col("text")))
-    match = rows.doc_id.eqNullSafe(F.col("_d")) & rows.source.eqNullSafe(F.col("_s")) & (rows["_size"] == F.col("_n"))
+    taken = Stage(docs.sparkSession, "mixed").write(mix(docs, **params).select(F.col("doc_id").alias("_tremolo_d"), F.col("source").alias("_tremolo_s"), F.col("size").alias("_tremolo_n"), F.col("copies").alias("_tremolo_c")))
+    several = taken.groupBy("_tremolo_d", "_tremolo_s", "_tremolo_n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
+    rows = docs.withColumn("_tremolo_size", word_count(F.col("text")))
+    match = rows.doc_id.eqNullSafe(F.col("_tremolo_d")) & rows.source.eqNullSafe(F.col("_tremolo_s")) & (rows["_tremolo_size"] == F.col("_tremolo_n"))
     if several:
-        rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-        taken = taken.withColumn("_r", F.row_number().over(Window.partitionBy("_d", "_s", "_n").orderBy("_c")))
-        match = rows.doc_id.eqNullSafe(F.col("_d")) & rows.source.eqNullSafe(F.col("_s")) & (rows["_size"] == F.col("_n")) & (rows["_row"] == F.col("_r"))
+        rows = rows.withColumn("_tremolo_row", F.row_number().over(Window.partitionBy("doc_id", "source", "_tremolo_size").orderBy(F.xxhash64("text"))))
+        taken = taken.withColumn("_tremolo_r", F.row_number().over(Window.partitionBy("_tremolo_d", "_tremolo_s", "_tremolo_n").orderBy("_tremolo_c")))
+        match = rows.doc_id.eqNullSafe(F.col("_tremolo_d")) & rows.source.eqNullSafe(F.col("_tremolo_s")) & (rows["_tremolo_size"] == F.col("_tremolo_n")) & (rows["_tremolo_row"] == F.col("_tremolo_r"))
     elif taken.count() <= broadcast_rows:
         taken = F.broadcast(taken)
-    repeated = rows.join(taken.where("_c > 0"), match).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_c"))))
+    repeated = rows.join(taken.where("_tremolo_c > 0"), match).withColumn("_tremolo_copy", F.explode(F.array_repeat(F.lit(1), F.col("_tremolo_c"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 

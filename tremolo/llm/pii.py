@@ -167,11 +167,11 @@ def scan(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     return _with_hits(rows, hits, params).select("doc_id", "base", F.array_sort(F.concat("base", "extra")).alias("spans"))
 
 
-def _with_hits(rows: DataFrame, hits: DataFrame, p: Disclosure) -> DataFrame:
-    """Adds ``extra``, the method's spans, by (doc_id, digest)."""
-    own = hits.groupBy(F.col("doc_id").alias("_d"), F.col("digest").alias("_h")).agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "share")).cast(_ALL).alias("_extra"))
-    joined = rows.join(_sized(own, hits.count(), p), rows.doc_id.eqNullSafe(F.col("_d")) & (rows.digest == F.col("_h")), "left")
-    return joined.withColumn("extra", F.coalesce("_extra", F.array().cast(_ALL))).drop("_d", "_h", "_extra")
+def _with_hits(rows: DataFrame, hits: DataFrame, p: Disclosure, digest: str = "digest", out: str = "extra") -> DataFrame:
+    """Adds ``out``, the method's spans, by (doc_id, digest)."""
+    own = hits.groupBy(F.col("doc_id").alias("_tremolo_d"), F.col("digest").alias("_tremolo_h")).agg(F.collect_list(F.struct("start", F.lit(4).alias("kind"), "end", "share")).cast(_ALL).alias("_tremolo_e"))
+    joined = rows.join(_sized(own, hits.count(), p), rows.doc_id.eqNullSafe(F.col("_tremolo_d")) & (rows[digest] == F.col("_tremolo_h")), "left")
+    return joined.withColumn(out, F.coalesce("_tremolo_e", F.array().cast(_ALL))).drop("_tremolo_d", "_tremolo_h", "_tremolo_e")
 
 
 def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
@@ -187,11 +187,10 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     found = find(docs, params, stage)
     hits = disclosing(docs.select("doc_id", "text"), found, params, stage)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumn("digest", F.md5(text)) if "digest" not in docs.columns else None
-    if rows is None:
-        raise ValueError("a column named digest is in the way; rename it")
+    rows = docs.withColumn("_tremolo_digest", F.md5(text))
     spans = F.transform(base_spans(text), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), F.lit(None).cast("double").alias("share"))).cast(_ALL)
-    rows = _with_hits(rows, hits, params).withColumn("_spans", F.array_sort(F.concat(spans, "extra"), lambda a, b: _order(a, b)))
+    rows = _with_hits(rows, hits, params, "_tremolo_digest", "_tremolo_extra")
+    rows = rows.withColumn("_tremolo_spans", F.array_sort(F.concat(spans, "_tremolo_extra"), lambda a, b: _order(a, b)))
 
     def put(s: Column) -> Column:
         label = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS[:4]]), s["kind"] + 1)
@@ -205,7 +204,7 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     end = lambda acc: F.concat(acc["out"], F.substring("text", acc["at"] + 1, F.char_length("text")))
-    clean = F.when(F.size("_spans") > 0, F.aggregate("_spans", zero, step, end)).otherwise(F.col("text"))
+    clean = F.when(F.size("_tremolo_spans") > 0, F.aggregate("_tremolo_spans", zero, step, end)).otherwise(F.col("text"))
     out = rows.withColumn("text", clean)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
