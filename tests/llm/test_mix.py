@@ -75,3 +75,35 @@ def test_blocks_and_edges(spark):
         words[r.source] += len((r.text or "").split())
     assert all(words[s] == t for s, (t, _) in by.items())
     assert mix.mix(df.limit(0)).count() == 0 and mix.mixed(df.limit(0)).count() == 0
+
+
+def test_changes_match_one_by_one():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        size, p = rng.integers(1, 30, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+        off = float(rng.uniform(-400, 400))
+        rows = Counter(zip(size.tolist(), (p == 1).tolist()))
+        n = mix.changes(off, [int(s) for s, _ in rows], [t for _, t in rows], list(rows.values()))
+        assert all(0 <= k <= rows[x] for k, x in zip(n, rows))
+        after = off + sum(-k * s if t else k * s for k, (s, t) in zip(n, rows))
+        while True:
+            one = np.abs(off + np.where(p == 1, -size, size))
+            k = int(one.argmin())
+            if one[k] >= abs(off) - 1e-3:
+                break
+            off += -size[k] if p[k] else size[k]
+            p[k] = 1 - p[k]
+        assert abs(abs(after) - abs(off)) < 1e-6
+
+
+def test_long_document_beside_and_in_sources_of_several_blocks(spark):
+    rows = [(k, "w " * (1 + k % 17), "big") for k in range(900)] + [(1000 + k, "w " * (5 + k % 9), "small") for k in range(45)] + [(1100, "w " * 300, "small")]
+    rows += [(2000 + k, "w " * (3 + k % 11), "wide") for k in range(400)] + [(2900, "w " * 2500, "wide")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (7, 8, 9):
+        out = mix.mix(df, weights=(5.0, 2.0, 3.0), block=48, seed=seed).collect()
+        assert sorted(r.doc_id for r in out) == sorted(r[0] for r in rows)
+        by = {}
+        for r in out:
+            by[r.source] = by.get(r.source, -r.target) + r.taken
+        assert all(abs(x) <= 2 for x in by.values()), by

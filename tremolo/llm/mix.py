@@ -6,12 +6,14 @@ once more is a balanced sample: the probabilities move, three documents at a tim
 null space of the constraints (documents and words) until one of them is 0 or 1.
 Sums are kept at each step, so blocks of a source can move apart from one another; a
 dozen documents stay undecided in a block, those of all blocks are moved again, and the last
-dozen of a source land on the nearest total.
+dozen of a source land on the nearest total. What one long document among them leaves over
+is made up by single changes among all decided documents of the source.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from itertools import product
 
 import numpy as np
@@ -102,6 +104,36 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
         p[k] = 1 - p[k]
 
 
+def changes(off: float, size: list[int], taken: list[bool], rows: list[int]) -> list[int]:
+    """By (size, taken), how many of its ``rows`` change sides so that ``off`` words too many come near 0.
+
+    One by one the row whose change brings the words nearest, as ``land`` does among the rows it sees.
+    """
+    count, sizes = {True: {}, False: {}}, {}
+    for s, t, n in zip(size, taken, rows):
+        if s > 0:
+            count[t][s] = count[t].get(s, 0) + n
+    before = {t: dict(c) for t, c in count.items()}
+    sizes = {t: sorted(c) for t, c in count.items()}
+    while True:
+        side = off > 0
+        while sizes[side] and not count[side][sizes[side][-1]]:
+            sizes[side].pop()
+        k = bisect_right(sizes[side], abs(off))
+        low = next((s for s in reversed(sizes[side][:k]) if count[side][s]), None)
+        high = next((s for s in sizes[side][k:] if count[side][s]), None)
+        near = [s for s in (low, high) if s is not None]
+        s = min(near, key=lambda s: abs(abs(off) - s), default=None)
+        if s is None or abs(abs(off) - s) >= abs(off) - 1e-3:
+            break
+        n = min(count[side][s], max(1, int(abs(off) // s)))
+        count[side][s] -= n
+        if s in count[not side]:
+            count[not side][s] += n
+        off += -n * s if side else n * s
+    return [max(0, before[t][s] - count[t][s]) if s > 0 else 0 for s, t in zip(size, taken)]
+
+
 def _move(last: bool, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # Large documents first: those that stay undecided are small.
@@ -114,6 +146,40 @@ def _move(last: bool, seed: int):
     return run
 
 
+def _changes_of_source(pdf: pd.DataFrame) -> pd.DataFrame:
+    n = changes(float(pdf.off[0]), pdf["size"].tolist(), (pdf.p == 1).tolist(), pdf["rows"].tolist())
+    return pdf[["source_no", "size", "p"]].assign(change=n).query("change > 0")
+
+
+def made_up(whole: DataFrame, plan: DataFrame, seed: int, stage: Stage) -> DataFrame:
+    """``whole`` with the words that a source's landing missed made up among all its decided rows.
+
+    Only counts by size reach one task for each such source. Which rows of a size change goes by
+    hash, numbered within the hash blocks of the plan.
+    """
+    words = whole.groupBy("source_no").agg(F.sum(F.col("p") * F.col("size")).alias("words"))
+    off = words.join(plan, "source_no").select("source_no", "blocks", (F.col("words") - F.col("pi") * F.col("source_size")).alias("off"))
+    off = off.where(F.abs("off") > 0.5).collect()
+    if not off:
+        return whole
+    short = F.broadcast(whole.sparkSession.createDataFrame(off, "source_no long, blocks long, off double"))
+    near = whole.join(short, "source_no").where((F.col("size") > 0) & (F.col("size") < 2 * F.abs("off")))
+    counts = near.groupBy("source_no", "off", "size", "p").agg(F.count(F.lit(1)).alias("rows"))
+    found = stage.write(counts.groupBy("source_no").applyInPandas(_changes_of_source, "source_no long, size long, p double, change long"))
+    if found.isEmpty():
+        return whole
+    key = ["source_no", "size", "p"]
+    sized = whole.join(short.drop("off"), "source_no").join(found, key)
+    sized = sized.withColumn("_block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "blocks"))
+    blocks = sized.groupBy(*key, "_block", "change").agg(F.count(F.lit(1)).alias("_rows"))
+    past = F.sum("_rows").over(Window.partitionBy(*key).orderBy("_block")) - F.col("_rows")
+    share = blocks.select(*key, "_block", (F.col("change") - past).alias("_share"))
+    turn = F.row_number().over(Window.partitionBy(*key, "_block").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id"))
+    turned = sized.withColumn("_turn", turn).join(share, [*key, "_block"])
+    turned = turned.withColumn("p", F.when(F.col("_turn") <= F.col("_share"), 1 - F.col("p")).otherwise(F.col("p")))
+    return whole.join(found, key, "left_anti").select(*whole.columns).unionByName(turned.select(*whole.columns))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int = 3, seed: int = 7, block: int = BLOCK) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each row of ``docs``.
 
@@ -154,6 +220,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
+    whole = made_up(whole, plan_df, seed, stage)
     copies = (F.col("base") + F.col("p").cast("int")).alias("copies")
     sizes = plan_df.select(F.col("source_no").alias("_k"), "source_size")
     return whole.join(sizes, whole.source_no == sizes["_k"]).select("doc_id", "source", "size", "source_size", F.col("total").alias("target"), copies, (F.col("size") * copies).alias("taken"))
