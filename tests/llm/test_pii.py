@@ -90,3 +90,22 @@ def test_disclosure_by_plain_counts(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df.selectExpr("*", "doc_id AS n_chars", "'d' AS digest", "'e' AS extra", "1 AS spans", "2 AS start"), p).where("digest = 'd' AND extra = 'e' AND spans = 1").collect()}
     assert "quentin" not in clean[0].lower() and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
     assert pii.scan(df.limit(0), p).count() == 0
+
+
+def test_terms_far_from_their_entity(spark):
+    gap = "filler words that go on and on " * 12
+    rows = [(k, f"Quentin opens. {gap}{k} quentin@corp.example and Quentin again" if k < 2 else f"Quentin wrote. {gap}{k} quentin@corp.example") for k in range(6)]
+    rows += [(100 + k, f"nothing of note {k} {gap}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("quentin" not in clean[k].lower() and "[EMAIL]" in clean[k] for k in range(6))
+    assert all(clean[k] == t for k, t in rows if k >= 100)
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.scan(df).collect()}
+    assert spans == {k: [(m.start(), m.end()) for m in re.finditer(r"Quentin", t)] if k < 6 else [] for k, t in rows}
+
+
+def test_matches_in_blocks(spark):
+    texts = ["", "abc", "x1 " * 127 + "é", "x1 " * 128, "𝒳y  z'q, " * 300, "1 " * 500, "ab " * 129 + "."]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for r in df.select("text", pii.matches(df.text, pii.TERM).alias("m")).collect():
+        assert [(m.start, m.end, m.value) for m in r.m] == [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_][\w'’]*", r.text)]

@@ -4,7 +4,8 @@ The patterns give protected entities (one email, address, card or phone number e
 Around each occurrence stand terms; over the whole corpus, pointwise mutual
 information tells how much of an entity a term discloses. A term of an entity's
 neighbourhood that discloses at least a set share of the entity's information is
-generalised, one that discloses all of it is removed. DataFrame functions only.
+generalised, one that discloses all of it is removed, wherever it stands in the
+documents that hold the entity. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ TERM = r"\p{L}[\p{L}\p{M}\p{N}'’]*+"
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 
 SPAN = "array<struct<start:int,end:int,value:string>>"
+#: Matches to a block while their places are summed.
+PIECES = 128
 
 
 @dataclass(frozen=True)
 class Disclosure:
     """Parameters of the sanitisation.
 
-    reach: characters on either side of an entity that count as its neighbourhood.
-    support: documents in which a term must stand near an entity before its estimate counts.
+    reach: characters on either side of an entity that count as its neighbourhood, which proposes terms.
+    support: documents that must hold both a term and an entity before the estimate counts.
     share: a term is generalised if its PMI is at least this share of the entity's information.
     shortest: characters of a term at least.
     """
@@ -53,6 +56,8 @@ def matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, value), in code points, end exclusive."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("value"))
+    empty = F.array().cast(SPAN)
+    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.char_length(x["gap"])
@@ -60,9 +65,18 @@ def matches(text: Column, pattern: str) -> Column:
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
         return F.struct(F.coalesce(end, start).alias("at"), F.when(x["value"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], one)).alias("spans"))
 
-    empty = F.array().cast(SPAN)
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(pieces, zero, step, lambda acc: acc["spans"])).otherwise(empty)
+    def join(acc: Column, b: Column) -> Column:
+        moved = F.transform(b["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["value"].alias("value")))
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["blocks"], F.array(moved)).alias("blocks"))
+
+    def whole(pieces: Column) -> Column:
+        # Spans are gathered in blocks, as each that is appended copies those before it.
+        last = F.floor((F.size(pieces) - 1) / PIECES).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(pieces, k * PIECES + 1, F.lit(PIECES)), zero, step))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("blocks"))
+        return F.aggregate(blocks, none, join, lambda acc: F.flatten(acc["blocks"]))
+
+    return F.when(F.size(found) > 0, F.element_at(F.transform(F.array(pieces), whole), 1)).otherwise(empty)
 
 
 def _digits(value: Column) -> Column:
@@ -102,11 +116,10 @@ def _neighbours(text: Column, spans: Column, p: Disclosure) -> Column:
 
 
 def find(docs: DataFrame, p: Disclosure, stage: Stage) -> DataFrame:
-    """(doc_id, digest, spans, near), written: one row a document, without its text."""
+    """(doc_id, digest, spans, held), written: one row a document; ``held`` is its text if it has spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).withColumn("spans", base_spans(F.col("text")))
-    near = F.when(F.size("spans") > 0, _neighbours(F.col("text"), F.col("spans"), p))
-    return stage.write(rows.select("doc_id", F.md5("text").alias("digest"), "spans", near.alias("near")))
+    return stage.write(rows.select("doc_id", F.md5("text").alias("digest"), "spans", F.when(F.size("spans") > 0, F.col("text")).alias("held")))
 
 
 def _sized(df: DataFrame, n: int, p: Disclosure) -> DataFrame:
@@ -115,39 +128,57 @@ def _sized(df: DataFrame, n: int, p: Disclosure) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, found: DataFrame, p: Disclosure, stage: Stage) -> DataFrame:
-    """(doc_id, digest, start, end, share), written: the neighbours that disclose their entity.
+    """(doc_id, digest, start, end, share), written: the terms that disclose an entity of their document.
 
-    With documents as contexts, n_c those that hold the entity, n_t those that hold the term
-    anywhere, and n_tc those where it stands near the entity: PMI = ln(n_tc N / (n_t n_c)),
-    the entity's information is ln(N / n_c), and ``share`` is their quotient, 1 at most.
+    A term is proposed for an entity if it stands near it in some document. With documents as
+    contexts, n_c those that hold the entity, n_t those that hold the term, and n_tc those that
+    hold both, wherever they stand: PMI = ln(n_tc N / (n_t n_c)), the entity's information is
+    ln(N / n_c), and ``share`` is their quotient, 1 at most. All places of such a term in the
+    entity's documents are listed; documents without the entity keep the term.
     """
-    windows = found.select("doc_id", "digest", "spans", F.explode("near").alias("w"))
-    terms = windows.select("doc_id", "digest", "spans", "w.entity", "w.at", "w.cut", F.char_length("w.near").alias("size"), F.explode(matches(F.col("w.near"), TERM)).alias("t"))
-    start, end = F.col("at") + F.col("t.start"), F.col("at") + F.col("t.end")
+    n = F.lit(float(found.count()))
+    share = lambda n_tc: F.log(n_tc * n / (F.col("n_t") * F.col("n_c"))) / F.nullif(F.log(n / F.col("n_c")), F.lit(0.0))
+    entities = F.array_distinct(F.transform("spans", lambda s: s["entity"]))
+    holders = found.select("doc_id", "digest", F.explode(entities).alias("entity")).distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    holders = stage.write(holders.where(F.col("n_c") >= p.support))
+    holders = _sized(holders, holders.count(), p)
+    windows = found.select("spans", F.explode(_neighbours(F.col("held"), F.col("spans"), p)).alias("w")).select("spans", "w.*").join(holders.select("entity"), "entity", "left_semi")
+    near = windows.select("spans", "entity", "at", "cut", F.char_length("near").alias("size"), F.explode(matches(F.col("near"), TERM)).alias("t"))
     whole = ((F.col("t.start") > 0) | (F.col("at") == 0)) & ((F.col("t.end") < F.col("size")) | ~F.col("cut"))
-    apart = ~F.exists("spans", lambda s: (s["start"] < end) & (start < s["end"]))
-    terms = terms.where(whole & apart & (F.char_length("t.value") >= p.shortest))
-    terms = stage.write(terms.select("doc_id", "digest", "entity", F.lower("t.value").alias("term"), start.alias("start"), end.alias("end")))
-    pairs = terms.select("entity", "term", "doc_id", "digest").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc")).where(F.col("n_tc") >= p.support)
-    pairs = stage.write(pairs)
+    start, end = F.col("at") + F.col("t.start"), F.col("at") + F.col("t.end")
+    pairs = stage.write(near.where(whole & _apart(start, end) & (F.char_length("t.value") >= p.shortest)).select("entity", F.lower("t.value").alias("term")).distinct())
     candidates = stage.write(pairs.select("term").distinct())
     few = candidates.count()
+    none = docs.sparkSession.createDataFrame([], docs.select("doc_id").withColumns({"digest": F.lit(""), "start": F.lit(0), "end": F.lit(0), "share": F.lit(0.0)}).schema)
     if few == 0:
-        return stage.write(terms.select("doc_id", "digest", "start", "end", F.lit(0.0).alias("share")).limit(0))
+        return stage.write(none)
     said = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))).alias("term"))
     if few <= p.broadcast_rows:
         said = said.join(F.broadcast(candidates), "term", "left_semi")
-    counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    holders = found.select("doc_id", "digest", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity"))
-    holders = holders.distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    n = F.lit(float(found.count()))
-    scored = pairs.join(counts, "term").join(holders, "entity")
-    share = F.log(F.col("n_tc") * n / (F.col("n_t") * F.col("n_c"))) / F.nullif(F.log(n / F.col("n_c")), F.lit(0.0))
-    flagged = stage.write(scored.select("entity", "term", share.alias("share")).where(F.col("share") >= p.share))
+    counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= p.support)
+    # Pairs that would not reach the share if each document of the rarer one held both need no count.
+    pairs = pairs.join(counts, "term").join(holders, "entity").where(share(F.least("n_t", "n_c")) >= p.share - 1e-9)
+    pairs = stage.write(pairs)
+    many = pairs.count()
+    if many == 0:
+        return stage.write(none)
+    pairs = _sized(pairs, many, p)
+    terms = found.where(F.size("spans") > 0).select("doc_id", "digest", "spans", F.explode(matches(F.col("held"), TERM)).alias("t"))
+    terms = terms.where(F.char_length("t.value") >= p.shortest).withColumn("term", F.lower("t.value"))
+    terms = terms.join(_sized(pairs.select("term").distinct(), many, p), "term", "left_semi").where(_apart(F.col("t.start"), F.col("t.end")))
+    terms = terms.select("doc_id", "digest", "term", F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.explode(entities).alias("entity"))
+    terms = stage.write(terms.join(pairs.select("entity", "term"), ["entity", "term"]))
+    both = terms.select("entity", "term", "doc_id", "digest").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc")).where(F.col("n_tc") >= p.support)
+    flagged = both.join(pairs, ["entity", "term"]).select("entity", "term", share(F.col("n_tc")).alias("share")).where(F.col("share") >= p.share)
+    flagged = stage.write(flagged)
     hits = terms.join(_sized(flagged, flagged.count(), p), ["entity", "term"])
     return stage.write(hits.groupBy("doc_id", "digest", "start", "end").agg(F.max("share").alias("share")))
 
 
+def _apart(start: Column, end: Column) -> Column:
+    return ~F.exists("spans", lambda s: (s["start"] < end) & (start < s["end"]))
+
+
 _ALL = "array<struct<start:int,kind:int,end:int,share:double>>"
 
 
