@@ -249,3 +249,22 @@ def test_stats_kernel_and_sql_agree(spark):
     s, f = sig.stats(df).first(), features.features_of("a", x, FS, None)
     assert all(abs(s[c] - f[c]) < 1e-5 for c in ("rms", "peak", "kurtosis", "crest_factor"))
     assert config.BALLS == 9
+
+
+def test_shared_baseline_at_two_speeds(spark, entries):
+    slow, fast = RPM * 0.7, RPM
+    data = {"normal": impulses(0), "slow": impulses(features.frequencies(slow)["bpfo"]), "fast": impulses(features.frequencies(fast)["bpfi"])}
+    signals = spark.createDataFrame([(k, i, i / FS, float(v)) for k, x in data.items() for i, v in enumerate(x)], "sample_id string, idx long, ts double, amplitude double")
+    issue = "array<struct<code:string,message:string,field:string>>"
+    scans = spark.createDataFrame([(k, len(x), FS, None, [], []) for k, x in data.items()], f"sample_id string, n_samples long, rate double, file_error struct<code:string,message:string>, errors {issue}, warnings {issue}")
+    speeds = {"slow": slow, "fast": fast}
+    requests = spark.createDataFrame([(k, "normal", k, FS, v) for k, v in speeds.items()], "request_id string, normal_id string, abnormal_id string, sampling_rate double, rotation_speed double")
+    run = diagnose(requests, signals, scans, entries, threshold=0.05)
+    rows = {r.request_id: r for r in run.comparisons.collect()}
+    assert set(rows) == set(speeds)
+    for k, rpm in speeds.items():
+        n, a = (features.envelope(data[s] - data[s].mean(), FS, rpm) for s in ("normal", k))
+        got = {c.label.lower(): c for c in rows[k].characteristic_changes}
+        for f, c in got.items():
+            assert c.frequency_hz == features.frequencies(rpm)[f] and abs(c.normal - n["characteristic_energy"][f]) < 1e-9 and abs(c.abnormal - a["characteristic_energy"][f]) < 1e-9
+    assert sorted(r.request_id for r in run.verdicts.select("request_id").collect()) == ["fast", "slow"]

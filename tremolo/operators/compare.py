@@ -25,14 +25,17 @@ def _matches(peaks: Column, families: dict[str, Column], resolution: Column) ->
 
 
 def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:
-    """One row for each pair (request_id, normal_id, abnormal_id, rotation_speed): the comparison's blocks.
+    """One row for each pair (request_id, normal_id, abnormal_id, sampling_rate, rotation_speed): the comparison's blocks.
+
+    Both sides' features are those at the pair's rate and speed.
 
     Ratios come from features rounded to 6 digits, blocks are rounded to 4. Bands of either side
     count, what one lacks as 0. Without envelopes on both sides characteristic_changes and dominant
     are null; without a rotation speed there are no matches.
     """
     side = lambda k: features.select(*[F.col(c).alias(f"{k}_{c}") for c in features.columns])
-    rows = pairs.join(side("n"), F.col("normal_id") == F.col("n_sample_id")).join(side("a"), F.col("abnormal_id") == F.col("a_sample_id"))
+    same = lambda k, id: (F.col(id) == F.col(f"{k}_sample_id")) & F.col("sampling_rate").eqNullSafe(F.col(f"{k}_sampling_rate")) & F.col("rotation_speed").eqNullSafe(F.col(f"{k}_rotation_speed"))
+    rows = pairs.join(side("n"), same("n", "normal_id")).join(side("a"), same("a", "abnormal_id"))
     blocks = {f: change(F.col(f"n_{f}"), F.col(f"a_{f}"), f != "dominant_frequency") for f in config.FEATURES}
     rows = rows.withColumn("feature_changes", F.struct(*[b.alias(f) for f, b in blocks.items()]))
     labels = F.array_union(F.map_keys("n_band_energy"), F.map_keys("a_band_energy"))

@@ -110,9 +110,9 @@ def features_of(sample_id: str, x: np.ndarray, fs: float, rpm: float | None, edg
 
 
 def extract_features(signals: DataFrame, samples: DataFrame, edges: list[float] | None = None, band: tuple | None = None) -> DataFrame:
-    """FEATURES of each sample, computed once however many requests name it.
+    """FEATURES and rotation_speed of each row of ``samples``, computed once however many requests name it.
 
-    ``samples`` has sample_id, sampling_rate and rotation_speed (null: no envelope). A sample's points
+    ``samples`` has sample_id, sampling_rate and rotation_speed (null: no envelope), no row twice. A sample's points
     meet in one task, as its transform needs them all; samples are spread over tasks. Failures are a
     struct in ``error``, not exceptions.
     """
@@ -120,11 +120,12 @@ def extract_features(signals: DataFrame, samples: DataFrame, edges: list[float]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("idx")
-        rpm = pdf.rpm.iloc[0]
+        rpm = asked = pdf.rpm.iloc[0]
         rpm = float(rpm) if pd.notna(rpm) and np.isfinite(rpm) and rpm > 0 else None
-        return pd.DataFrame([features_of(pdf.sample_id.iloc[0], pdf.amplitude.to_numpy(float), float(pdf.fs.iloc[0]), rpm, edges, band)])
+        made = features_of(pdf.sample_id.iloc[0], pdf.amplitude.to_numpy(float), float(pdf.fs.iloc[0]), rpm, edges, band)
+        return pd.DataFrame([made | {"rotation_speed": asked}])
 
-    return rows.select("sample_id", "idx", "amplitude", "fs", "rpm").groupBy("sample_id").applyInPandas(run, FEATURES)
+    return rows.select("sample_id", "idx", "amplitude", "fs", "rpm").groupBy("sample_id", "fs", "rpm").applyInPandas(run, f"{FEATURES}, rotation_speed double")
 
 
 def extract_series(signals: DataFrame, samples: DataFrame) -> DataFrame:

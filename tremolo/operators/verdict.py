@@ -46,8 +46,8 @@ def verdicts(requests: DataFrame, validation: DataFrame, comparisons: DataFrame,
     significant change; a short signal; a tie of families that the first candidate isn't part of; no
     candidate over the threshold. Review notes never change the status.
     """
-    seconds = features.select(F.col("sample_id").alias("abnormal_id"), (F.col("n_samples") / F.col("sampling_rate")).alias("seconds"), F.col("error").alias("feature_error"))
-    rows = requests.join(validation.select("request_id", "valid", "comparable", "errors"), "request_id", "left").join(seconds, "abnormal_id", "left")
+    seconds = features.select(F.col("sample_id").alias("abnormal_id"), "sampling_rate", "rotation_speed", (F.col("n_samples") / F.col("sampling_rate")).alias("seconds"), F.col("error").alias("feature_error"))
+    rows = requests.join(validation.select("request_id", "valid", "comparable", "errors"), "request_id", "left").join(seconds, ["abnormal_id", "sampling_rate", "rotation_speed"], "left")
     rows = rows.join(comparisons, "request_id", "left").join(leaders(candidates, "request_id"), "request_id", "left")
     bad = ~F.coalesce((F.col("sampling_rate") > 0) & (F.col("rotation_speed") > 0) & (F.col("normal_id") != "") & (F.col("abnormal_id") != ""), F.lit(False))
     tied = F.coalesce(F.col("dominant.ambiguous"), F.lit(False))

@@ -61,15 +61,14 @@ def candidates(queries: DataFrame, entries: DataFrame, comparisons: DataFrame, t
 def diagnose(requests: DataFrame, signals: DataFrame, scans: DataFrame, entries: DataFrame, embed=None, threshold: float = config.SCORE_THRESHOLD) -> Diagnosis:
     """Diagnoses each row of ``requests`` (request_id, normal_id, abnormal_id, sampling_rate, rotation_speed).
 
-    Features are extracted once for each sample and rate however many requests name it, and only of
+    Features are extracted once for each sample, rate and speed however many requests name it, and only of
     requests that passed validation; rejected requests stay as rows with a status of error.
     """
     validation = validate.validate(requests, scans)
     good = requests.join(validation.where("valid AND comparable").select("request_id"), "request_id", "left_semi").where("sampling_rate > 0 AND rotation_speed > 0")
     sides = good.select("sampling_rate", "rotation_speed", F.explode(F.array("normal_id", "abnormal_id")).alias("sample_id"))
-    samples = sides.groupBy("sample_id").agg(F.max("sampling_rate").alias("sampling_rate"), F.max("rotation_speed").alias("rotation_speed"))
-    made = features.extract_features(signals, samples)
-    comparisons = compare.compare(good.select("request_id", "normal_id", "abnormal_id", "rotation_speed"), made)
+    made = features.extract_features(signals, sides.distinct())
+    comparisons = compare.compare(good.select("request_id", "normal_id", "abnormal_id", "sampling_rate", "rotation_speed"), made)
     queries = comparisons.select("request_id", retrieval.build_query().alias("query"))
     found, checks = candidates(queries, entries, comparisons, threshold=threshold, embed=embed)
     decided = verdict.verdicts(requests, validation, comparisons, made, found)

@@ -228,7 +228,7 @@ def diagnosis_batch(spark, sf_dir):
     blocks = _blocks(spark, sf_dir)
     ids = blocks.select("sample_id").distinct()
     features = extract_features(blocks, ids.withColumns({"sampling_rate": F.lit(DIAGNOSIS_FS), "rotation_speed": F.lit(DIAGNOSIS_RPM)}))
-    pairs = ids.where(~F.col("sample_id").startswith(BASELINE)).select(F.col("sample_id").alias("request_id"), F.lit(f"{BASELINE}-0").alias("normal_id"), F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
+    pairs = ids.where(~F.col("sample_id").startswith(BASELINE)).select(F.col("sample_id").alias("request_id"), F.lit(f"{BASELINE}-0").alias("normal_id"), F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
     checks = rules.checked(compare(pairs, features), rules.clause_table(spark))
     return rules.tallied(checks, "request_id", "fault_type")
 
