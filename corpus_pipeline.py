@@ -39,11 +39,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts' token ids, as little-endian unsigned 32-bit integers, with the ids' number."""
+    """The texts' token ids, as little-endian unsigned 32-bit integers, with their number, and the digest of what they decode to."""
     from tremolo.llm.queries import tokenizer_path
 
-    made = bpe.bpe_encode(docs.select("doc_id", "source", "text"), tokenizer_path())
-    return made.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    made = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), tokenizer_path())
+    return made.select(
+        "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids",
+    )
 
 
 STAGES = [
@@ -51,7 +54,7 @@ STAGES = [
     ("n-gram Jaccard join", drop_near_copies),
     ("PII", clean_private),
     ("mixing sources", mix_sources),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: SQL can't express the stages; tests hold them against brute force.
@@ -64,5 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stage.write(docs)
+            before, docs = docs, stage.write(docs)
+            if k:
+                stage.drop(before)
     return docs

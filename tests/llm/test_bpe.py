@@ -1,6 +1,7 @@
 """Encoding against the tokenizer library, decoding as an exact round trip."""
 
 import hashlib
+import json
 import struct
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tremolo.llm.bpe import Codec, Tokens, bpe_decode, bpe_encode
+from tremolo.llm.bpe import Codec, Tokens, bpe_decode, bpe_encode, bpe_round_trip
 from tremolo.llm.queries import op1_bpe, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -18,8 +19,8 @@ SF = "/root/testdata/sf0.001"
 def both():
     with open(tokenizer_path()) as f:
         spec = f.read()
-    codec = Codec(spec)
-    codec.decode = Tokens(spec).decode
+    codec, tokens = Codec(spec), Tokens(spec)
+    codec.decode = lambda ids: tokens.decode([ids])[0]
     return codec, Tokenizer.from_str(spec)
 
 
@@ -57,13 +58,28 @@ def test_nulls_repeats_and_clashes(spark):
     df = spark.createDataFrame([(1, None, "a"), (None, "", "b"), (2, "hi hi", None), (2, "hi hi", None)], "doc_id long, text string, ids string")
     rows = bpe_decode(bpe_encode(df, tokenizer_path()), tokenizer_path()).collect()
     assert sorted((r.doc_id or 0, r.decoded) for r in rows) == [(0, ""), (1, ""), (2, "hi</w> hi</w>"), (2, "hi</w> hi</w>")]
+    assert sorted((r.doc_id or 0, r.decoded) for r in bpe_round_trip(df, tokenizer_path()).collect()) == [(0, ""), (1, ""), (2, "hi</w> hi</w>"), (2, "hi</w> hi</w>")]
     assert bpe_encode(df.limit(0), tokenizer_path()).count() == 0
 
 
+def test_special_tokens_of_any_form(both):
+    with open(tokenizer_path()) as f:
+        spec = json.loads(f.read())
+    spec["added_tokens"].append(spec["added_tokens"][0] | {"id": 49408, "content": "[CLS]"})
+    spec = json.dumps(spec)
+    codec, library = Codec(spec), Tokenizer.from_str(spec)
+    for text in ["[CLS]a b[CLS]", "a[CLS", "<|endoftext|>[CLS] [cls]"]:
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert codec.encode([text])[0] == struct.pack(f"<{len(ids)}I", *ids)
+        assert Tokens(spec).decode([codec.encode([text])[0]])[0] == library.decode(ids, skip_special_tokens=False)
+
+
 def test_memo_runs_full(both, monkeypatch):
     import tremolo.llm.bpe as bpe
 
     monkeypatch.setattr(bpe, "MEMO_CHUNKS", 5)
     monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
+    for memo in (both[0].trie.pairs, both[0].trie.ends, both[0].trie.starts):
+        monkeypatch.setattr(memo, "most", 4)
     for text in ["one two three", "two four five six", "one seven two eight nine ten eleven"]:
         same(*both, text)

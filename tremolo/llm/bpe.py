@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 
 from tremolo.llm.common import Memo, slices, whole_texts
 
-#: Distinct chunks and words that a worker remembers before it starts anew.
-MEMO_CHUNKS, MEMO_WORDS, MEMO_PAIRS = 200_000, 120_000, 200_000
+#: Bytes, as counted by ``_weight``, of the chunks and of the words that a worker remembers before it starts anew.
+MEMO_CHUNKS, MEMO_WORDS = 24 << 20, 8 << 20
+#: Pairs of tokens, and tokens, that it remembers; an entry's size is bounded by the vocabulary.
+MEMO_PAIRS, MEMO_TOKENS = 100_000, 8_000
 
 #: Bytes of texts (or ids) that are split into words at a time.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 #: White space as the tokenizer's patterns have it (fixed values).
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -36,6 +38,11 @@ _SPLIT = re.compile(f"[{_SPACE}]+")
 _ONLY_PYTHON = re.compile("[\x1c-\x1f]")
 
 
+def _weight(word: str, ids: bytes) -> int:
+    """Bytes of an entry of a dictionary from a word to its ids: two objects' heads, and the table's share."""
+    return 200 + len(ids) + len(word) * (1 if word.isascii() else 4)
+
+
 class PrefixTrie:
     """Encodes words, given as strings of the byte alphabet, to token ids.
 
@@ -53,25 +60,26 @@ class PrefixTrie:
             return token
 
         self.rank: dict[int, int] = {}  # of a pair of tokens, packed
-        self.made: dict[int, tuple[int, int, int]] = {}  # a token's parts and rank
+        self.made: dict[int, int] = {}  # a token's parts and their rank, packed
         for rank, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             for x in (a, b):
                 own.setdefault(x, symbol(x))
             own.setdefault(a + b, own[a] + own[b])
             if self.rank.setdefault(vocab[a] << 20 | vocab[b], rank) == rank:
-                self.made.setdefault(vocab[a + b], (vocab[a], vocab[b], rank))
+                self.made.setdefault(vocab[a + b], rank << 40 | vocab[a] << 20 | vocab[b])
         for token in vocab:
             own.setdefault(token, symbol(token))
         self.ids = {own[t]: i for t, i in vocab.items()}
-        self.text = {i: s for s, i in self.ids.items()}
-        self.length = {i: len(s) for s, i in self.ids.items()}
-        self.packed = {i: i.to_bytes(4, "little") for i in self.text}
+        self.text = [""] * (1 + max(self.ids.values()))
+        for s, i in self.ids.items():
+            self.text[i] = s
+        self.packed = [i.to_bytes(4, "little") for i in range(len(self.text))]
         self.tails = {s[k:]: -1 for s in self.ids for k in range(1, len(s))} | self.ids  # -1: only the end of tokens
         self.pairs = Memo(self._agree, MEMO_PAIRS)
         self.alone = Memo(lambda t: self._whole(t) == [t], MEMO_PAIRS)
-        self.ends = Memo(lambda t: self._edge(t, 1), MEMO_PAIRS)
-        self.starts = Memo(lambda t: self._edge(t, 0), MEMO_PAIRS)
+        self.ends = Memo(lambda t: self._edge(t, 0), MEMO_TOKENS)
+        self.starts = Memo(lambda t: self._edge(t, 20), MEMO_TOKENS)
 
     def _whole(self, token: int) -> list[int]:
         """What merging gives for a token's own string: the lowest rank, leftmost first, until none is left."""
@@ -84,15 +92,15 @@ class PrefixTrie:
             out[k : k + 2] = [self.ids[self.text[out[k]] + self.text[out[k + 1]]]]
         return out
 
-    def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
-        """The tokens that stand at one edge while the token is merged, and the rank at which each is used up."""
+    def _edge(self, token: int, shift: int) -> list[tuple[int, float]]:
+        """The tokens that stand at one edge (shift 0: the last part's, 20: the first's) while the token is merged, and the rank at which each is used up."""
         out, until = [], float("inf")
         while True:
             out.append((token, until))
             if token not in self.made:
                 return out[::-1]
             parts = self.made[token]
-            token, until = parts[side], parts[2]
+            token, until = parts >> shift & 0xFFFFF, parts >> 40
 
     def _agree(self, key: int) -> bool:
         """Whether no merge across the border of two tokens comes before those inside them."""
@@ -118,7 +126,7 @@ class PrefixTrie:
         token of each prefix on the path from the root, so a shared prefix is computed once.
         """
         done: dict[str, bytes] = {}
-        tails, pairs, alone, packed, length = self.tails, self.pairs, self.alone, self.packed, self.length
+        tails, pairs, alone, packed, text = self.tails, self.pairs, self.alone, self.packed, self.text
         state: list[int] = [-1]
         before = ""
         for path, word in sorted((w[:-1] + chr(0xF0000 + ord(w[-1])) if self.end else w, w) for w in words if w):
@@ -143,7 +151,7 @@ class PrefixTrie:
             while depth:
                 token = state[depth]
                 out.append(packed[token])
-                depth -= length[token]
+                depth -= len(text[token])
             out.reverse()
             done[word] = b"".join(out)
         return done
@@ -156,8 +164,9 @@ class Codec:
         from tokenizers import Tokenizer
 
         parsed = json.loads(spec)
-        whole = Tokenizer.from_str(spec)
-        self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
+        # The library's normaliser and word pattern are all that is used of it: its own vocabulary stays empty.
+        empty = Tokenizer.from_str(json.dumps(parsed | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
+        self.normalizer, self.splitter = empty.normalizer, empty.pre_tokenizer
         # The file's pattern over lower-case ASCII, if it is the one that we know.
         self.plain = re.compile(_PLAIN) if _PATTERN in json.dumps(parsed["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\") else None
         model = parsed["model"]
@@ -171,19 +180,21 @@ class Codec:
         self.trie = PrefixTrie(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.held = {"chunks": 0, "words": 0}  # bytes
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPLIT.split(text) if c] if _ONLY_PYTHON.search(text) else text.split()
 
     def _pieces(self, text: str) -> list[list[str]]:
         """Chunks between special tokens; a special token is a list of its own, marked by its place."""
-        if self.parts is None or "<|" not in text:
+        if self.parts is None or not self.parts.search(text):
             return [self._chunks(text)]
         return [[p] if k % 2 else self._chunks(p) for k, p in enumerate(self.parts.split(text))]
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.words) > MEMO_WORDS:
+        if self.held["words"] > MEMO_WORDS:
             self.words.clear()
+            self.held["words"] = 0
         split: dict[str, list[str]] = {}
         odd = []
         for c in chunks:
@@ -205,16 +216,20 @@ class Codec:
                 k += 1
             at += 1
         new = {w for ws in split.values() for w in ws if w not in self.words}
-        known = self.words
-        known.update(self.trie.encode(new))
-        self.chunks.update((c, b"".join([known[w] for w in ws])) for c, ws in split.items())
+        known, made = self.words, self.trie.encode(new)
+        known.update(made)
+        self.held["words"] += sum(map(_weight, made, made.values()))
+        for c, ws in split.items():
+            self.chunks[c] = ids = b"".join([known[w] for w in ws])
+            self.held["chunks"] += _weight(c, ids)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._pieces(t or "") for t in texts]
         wanted = {c for pieces in split for k, piece in enumerate(pieces) if k % 2 == 0 for c in piece}
         new = {c for c in wanted if c not in self.chunks}
-        if len(self.chunks) + len(new) > MEMO_CHUNKS:
+        if self.held["chunks"] > MEMO_CHUNKS:
             self.chunks.clear()
+            self.held["chunks"] = 0
             new = wanted
         self._learn(new)
         get = self.chunks.__getitem__
@@ -230,34 +245,41 @@ class Tokens:
             raise ValueError("only files with a plain decoder are supported")
         self.tokens = {i: t for t, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
+    def decode(self, rows: list[bytes | None]) -> list[str]:
+        return [" ".join(map(self.tokens.__getitem__, memoryview(ids or b"").cast("I"))) for ids in rows]
 
 
 _made: dict[tuple, Codec | Tokens] = {}
 
 
-def _kept(kind: type, shared) -> Codec | Tokens:
-    """A worker keeps one of each kind a file."""
-    key = (kind, hash(shared.value))
-    if key not in _made:
-        _made.clear()
-        _made[key] = kind(shared.value)
-    return _made[key]
+def _kept(kinds: tuple[type, ...], spec: str) -> list[Codec | Tokens]:
+    """A worker keeps what its last call used, one of each kind for a file."""
+    keys = [(kind, hash(spec)) for kind in kinds]
+    for key in [k for k in _made if k not in keys]:
+        del _made[key]
+    for key in keys:
+        if key not in _made:
+            _made[key] = key[0](spec)
+    return [_made[key] for key in keys]
 
 
-def _added(df: DataFrame, column: str, out: str, kind: str, each: Callable) -> DataFrame:
-    """``df`` with a column ``out`` (any that it had is replaced), made from batches of ``column``."""
-    rest = [F.col(f"`{c}`") for c in df.columns if c != out]
+def _added(df: DataFrame, column: str, path: str, outs: dict[str, str], kinds: tuple[type, ...], each: Callable) -> DataFrame:
+    """``df`` with the columns ``outs`` (name to type; any that it had are replaced), which ``each`` makes from a slice of ``column``."""
+    with open(path, encoding="utf-8") as f:
+        shared = df.sparkSession.sparkContext.broadcast(f.read())
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in outs]
     source = df.select(*rest, F.col(f"`{column}`").alias("_tremolo_in"))
-    schema = source.drop("_tremolo_in").schema.add(out, kind)
+    schema = source.drop("_tremolo_in").schema
+    for name, kind in outs.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tools = _kept(kinds, shared.value)
         for whole in batches:
             for batch in slices(whole, "_tremolo_in", SLICE):
-                made = each(batch.column(batch.num_columns - 1).to_pylist())
-                arrays = [*batch.columns[:-1], pa.array(made, pa.binary() if kind == "binary" else pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], out])
+                made = each(batch.column(batch.num_columns - 1).to_pylist(), *tools)
+                arrays = [pa.array(x, pa.binary() if kind == "binary" else pa.string()) for x, kind in zip(made, outs.values())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *outs])
 
     return whole_texts(source).mapInArrow(run, schema)
 
@@ -271,9 +293,7 @@ def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -
     others pass through unchanged. The tokenizer file is read on the driver and
     broadcast: its size is fixed.
     """
-    with open(path, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
-    return _added(df, text, ids, "binary", lambda texts: _kept(Codec, shared).encode(texts))
+    return _added(df, text, path, {ids: "binary"}, (Codec,), lambda texts, codec: [codec.encode(texts)])
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -281,11 +301,14 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
     Null and empty ids give an empty text; ids that the file lacks raise KeyError.
     """
-    with open(path, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+    return _added(df, ids, path, {text: "string"}, (Tokens,), lambda rows, tokens: [tokens.decode(rows)])
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``df`` with the columns ``ids`` and ``decoded``: ``bpe_encode`` and ``bpe_decode`` of its ids, by one pass of one worker."""
 
-    def each(rows: list) -> list[str]:
-        codec = _kept(Tokens, shared)
-        return [codec.decode(x or b"") for x in rows]
+    def each(texts: list, codec: Codec, tokens: Tokens) -> list[list]:
+        rows = codec.encode(texts)
+        return [rows, tokens.decode(rows)]
 
-    return _added(df, ids, text, "string", each)
+    return _added(df, text, path, {ids: "binary", decoded: "string"}, (Codec, Tokens), each)

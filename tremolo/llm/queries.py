@@ -22,10 +22,7 @@ def tokenizer_path() -> str:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    path = tokenizer_path()
-    encoded = bpe.bpe_encode(docs, path).select("doc_id", "ids")
-    decoded = bpe.bpe_decode(encoded, path)
-    return decoded.select(
+    return bpe.bpe_round_trip(docs, tokenizer_path()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
