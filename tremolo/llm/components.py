@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from tremolo.session import Stage
 
 
-def components(edges: DataFrame, stage: Stage, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, stage: Stage) -> DataFrame:
     """(node, component), written: the smallest node that is reachable, for each node of an edge.
 
     ``edges`` has a and b, in any direction. A round ties each node's larger neighbours to the
-    smallest node around it, then its smaller ones; it ends when a round changes nothing. Nodes
+    smallest node around it, then its smaller ones; it ends when a round changes nothing, after
+    as many rounds as it takes (about the logarithm of the longest path, squared at most). Nodes
     with many links are aggregated by task before they are shuffled.
     """
     e = stage.write(edges.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).where("u < v").distinct())
     mark = None
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v"), F.col("m").alias("u"))
