@@ -78,7 +78,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
     whole = F.col("headers")["Content-Length"].cast("long").alias("n_bytes")
-    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "refers_to_digest", whole, "block")
+    return made.select("page_id", "warc_type", "record_id", "refers_to", "target_uri", "block_digest", "payload_digest", "refers_to_digest", whole, F.col("block").cast("string").alias("block"))
 
 
 #: The conversation that op4 adds: its texts hold the template's own control strings.

@@ -23,7 +23,7 @@ from tremolo.llm.common import slices, whole_texts
 
 RECORD = (
     "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, "
-    "content_type string, block_digest string, payload_digest string, refers_to_digest string, headers map<string,string>, block string"
+    "content_type string, block_digest string, payload_digest string, refers_to_digest string, headers map<string,string>, block binary"
 )
 #: What ends a record; the text writer puts it after each line.
 SEPARATOR = "\r\n\r\n"
@@ -53,6 +53,12 @@ class _Page(HTMLParser):
         self.hidden: list[str] = []
         self.lang = None
 
+    def parse_marked_section(self, i, report=1):
+        """``<![CDATA[`` is passed over up to its end, any other ``<![`` up to the next ``>``: the library raises at names that it doesn't know."""
+        close = "]]>" if self.rawdata[i : i + 9].upper() == "<![CDATA[" else ">"
+        at = self.rawdata.find(close, i + 3)
+        return at if at < 0 else at + len(close)
+
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
         if tag == "html":
@@ -85,7 +91,7 @@ class _Page(HTMLParser):
 
 
 def read_page(source: str) -> tuple[str, dict]:
-    """(plain text, metadata) of a page: one line for each block, white space folded."""
+    """(plain text, metadata) of a page: one line for each block, white space folded. Malformed markup is read as far as it can be; it never raises."""
     page = _Page()
     page.feed(source)
     page.close()
@@ -114,10 +120,14 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
     return whole_texts(pages.select("page_id", "url", "html")).mapInArrow(run, RECORD)
 
 
+def _line(value: str) -> str:
+    return re.sub(r"[\r\n]+", " ", value)
+
+
 def _row(page, kind, uri, date, content_type, block: bytes, payload, refers_to, refers_digest, extra) -> dict:
     me = record_id(kind, uri, (refers_to or "").encode() + block)
     headers = {
-        "WARC-Type": kind, "WARC-Record-ID": me, "WARC-Date": date, "WARC-Target-URI": re.sub(r"[\r\n]+", " ", uri), "Content-Type": content_type,
+        "WARC-Type": kind, "WARC-Record-ID": me, "WARC-Date": date, "WARC-Target-URI": _line(uri), "Content-Type": content_type,
         "WARC-Block-Digest": digest(block), "Content-Length": str(len(block)),
     }
     if payload:
@@ -126,14 +136,14 @@ def _row(page, kind, uri, date, content_type, block: bytes, payload, refers_to,
         headers["WARC-Refers-To"] = refers_to
     return {
         "page_id": page, "warc_type": kind, "record_id": me, "refers_to": refers_to, "target_uri": uri, "warc_date": date, "content_type": content_type,
-        "block_digest": headers["WARC-Block-Digest"], "payload_digest": payload, "refers_to_digest": refers_digest, "headers": list((headers | extra).items()), "block": block.decode(),
+        "block_digest": headers["WARC-Block-Digest"], "payload_digest": payload, "refers_to_digest": refers_digest, "headers": list((headers | extra).items()), "block": block,
     }
 
 
 _ARROW = pa.schema(
     [("page_id", pa.int64())]
     + [(c, pa.string()) for c in ("warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block_digest", "payload_digest", "refers_to_digest")]
-    + [("headers", pa.map_(pa.string(), pa.string())), ("block", pa.string())]
+    + [("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())]
 )
 
 
@@ -141,14 +151,27 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, _ARROW)
 
 
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+
+
+def decoded(body: bytes, content_type: str) -> str:
+    """A payload's text by the character set that its header names, else UTF-8; bytes that don't fit become U+FFFD."""
+    named = _CHARSET.search(content_type)
+    try:
+        return body.decode(named[1] if named else "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
 def derive(records: DataFrame) -> DataFrame:
     """Two records for each response: ``metadata`` (JSON) and ``conversion`` (plain text).
 
-    Both refer to the response by its identifier and keep its address, date and payload digest; the
+    Both refer to the response by its identifier, address and date, and keep its payload digest; the
     metadata also holds the response's WARC and HTTP headers, title, metas and links. Other types of
-    records are passed over. Responses without an HTTP head are taken as a body; a null
-    block is an empty one; texts of any length are read whole; repeated rows derive the same
-    records again; an empty table gives none; extra columns aren't read.
+    records are passed over. Responses without an HTTP head are taken as a body; bytes outside the
+    character set become U+FFFD in the text, digests are of the bytes as they are; malformed markup
+    is read as far as it goes; a null block is an empty one; texts of any length are read whole;
+    repeated rows derive the same records again; an empty table gives none; extra columns aren't read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,20 +179,22 @@ def derive(records: DataFrame) -> DataFrame:
             for b in slices(whole, "block"):
                 rows = []
                 for r in b.to_pylist():
-                    block = r["block"] or ""
-                    head, found, body = block.partition("\r\n\r\n")
-                    if not found or not head.startswith("HTTP/"):
-                        head, body = "", block
-                    status, *lines = head.split("\r\n")
-                    http = [dict(zip(("name", "value"), (x.strip() for x in line.split(":", 1)))) for line in lines if ":" in line]
-                    text, facts = read_page(body)
+                    block = r["block"] or b""
+                    head, found, body = block.partition(b"\r\n\r\n")
+                    if not found or not head.startswith(b"HTTP/"):
+                        head, body = b"", block
+                    status, *fields = head.decode("utf-8", "replace").split("\r\n")
+                    http = [dict(zip(("name", "value"), (x.strip() for x in line.split(":", 1)))) for line in fields if ":" in line]
+                    text, facts = read_page(decoded(body, " ".join(h["value"] for h in http if h["name"].lower() == "content-type")))
                     uri, date, me = r["target_uri"] or "", r["warc_date"] or "", r["record_id"]
-                    payload = r["payload_digest"] or digest(body.encode())
-                    meta = {"Envelope": {"WARC-Header-Metadata": dict(r["headers"] or []), "Payload-Metadata": {"HTTP-Response-Metadata": {"Status": status, "Headers": http, "HTML-Metadata": facts, "Entity-Digest": payload, "Entity-Length": len(body.encode())}}}}
-                    block = json.dumps(meta, ensure_ascii=False, sort_keys=True).encode()
-                    rows.append(_row(r["page_id"], "metadata", uri, date, "application/json", block, None, me, payload, {"WARC-Refers-To-Payload-Digest": payload}))
-                    plain = text.encode()
-                    rows.append(_row(r["page_id"], "conversion", uri, date, "text/plain", plain, digest(plain), me, payload, {"WARC-Refers-To-Payload-Digest": payload} | ({"WARC-Identified-Content-Language": facts["lang"]} if facts["lang"] else {})))
+                    payload = r["payload_digest"] or digest(body)
+                    source = {"WARC-Refers-To-Target-URI": _line(uri), "WARC-Refers-To-Date": date, "WARC-Refers-To-Payload-Digest": payload}
+                    meta = {"Envelope": {"WARC-Header-Metadata": dict(r["headers"] or []), "Payload-Metadata": {"HTTP-Response-Metadata": {"Status": status, "Headers": http, "HTML-Metadata": facts, "Entity-Digest": payload, "Entity-Length": len(body)}}}}
+                    block = json.dumps(meta, ensure_ascii=False, sort_keys=True).encode("utf-8", "replace")
+                    rows.append(_row(r["page_id"], "metadata", uri, date, "application/json", block, None, me, payload, source))
+                    plain = text.encode("utf-8", "replace")
+                    language = {"WARC-Identified-Content-Language": _line(facts["lang"])} if facts["lang"] else {}
+                    rows.append(_row(r["page_id"], "conversion", uri, date, "text/plain", plain, digest(plain), me, payload, source | language))
                 yield _batch(rows)
 
     source = records.where(F.col("warc_type") == "response")
@@ -177,9 +202,10 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def lines(records: DataFrame) -> DataFrame:
-    """(value): a record as text without its closing separator; header fields in the order that they were made."""
+    """(value): a record's bytes, as a string that no one decodes, without its closing separator; header fields in the order that they were made."""
     fields = F.array_join(F.transform(F.map_entries("headers"), lambda h: F.concat(h["key"], F.lit(": "), h["value"])), "\r\n")
-    return records.select(F.concat(F.lit("WARC/1.0\r\n"), fields, F.lit(SEPARATOR), F.coalesce("block", F.lit(""))).alias("value"))
+    head = F.concat(F.lit("WARC/1.0\r\n"), fields, F.lit(SEPARATOR)).cast("binary")
+    return records.select(F.concat(head, F.coalesce("block", F.lit("").cast("binary"))).cast("string").alias("value"))
 
 
 def write(records: DataFrame, path: str) -> None:
