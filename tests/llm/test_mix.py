@@ -107,3 +107,21 @@ def test_long_document_beside_and_in_sources_of_several_blocks(spark):
         for r in out:
             by[r.source] = by.get(r.source, -r.target) + r.taken
         assert all(abs(x) <= 2 for x in by.values()), by
+
+
+def test_large_ids_beside_null_ids(spark):
+    big = 2**53
+    rows = [(big + 2 * k + 1, "w " * (1 + k % 7), "s") for k in range(40)] + [(None, "w w", "s"), (None, "w w", "s"), (big + 1, None, None), (None, "w", None), (2**63 - 1, "w w w", "t"), (-(2**63), "w", "t")]
+    rows += [(big + 1, "w ", "s")]  # a repeated row
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' as taken", "0 as size", "1.5D as copies")
+    out = mix.mix(df, block=16).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    kept = mix.mixed(df, block=16).collect()
+    words = Counter()
+    for r in kept:
+        words[r.source] += len((r.text or "").split())
+        assert (r.doc_id, r.text, r.source) in rows and (r.taken, r.size, r.copies) == ("x", 0, 1.5)
+    assert words == taken and words["s"] > 0 and words["t"] > 0

@@ -26,7 +26,8 @@ from tremolo.session import Stage
 
 #: Documents to a block, and documents to a landing problem.
 BLOCK, LANDING = 4096, 12
-UNITS = "doc_id long, source string, source_no long, block long, size long, base int, pi double, p double, total double"
+#: Ids travel as strings: pandas would turn integers beside nulls into doubles.
+UNITS = "doc_id string, source string, source_no long, block long, size long, base int, pi double, p double, total double"
 
 
 def targets(sizes: list[int], weights: list[float], cap: float) -> list[float]:
@@ -84,7 +85,8 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Rounds the few units that are left so that words, then documents, come nearest to their sums.
 
     Where one long document outweighs the others that were left, single changes of those
-    already decided follow, each the one that brings the words nearest.
+    already decided follow, each the one that brings the words nearest, as many as a landing
+    problem has documents at most. They move the inclusion probabilities of no more documents than that.
     """
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if not len(open_):
@@ -95,13 +97,14 @@ def land(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     p = p.copy()
     aim = float(size @ p)
     p[open_] = choices[np.lexsort((number, words))[0]]
-    while True:
+    for _ in range(LANDING):
         off = float(size @ p) - aim
         after = np.abs(off + np.where(p == 1, -size, size))
         k = int(after.argmin())
         if after[k] >= abs(off) - 1e-6:
-            return p
+            break
         p[k] = 1 - p[k]
+    return p
 
 
 def changes(off: float, size: list[int], taken: list[bool], rows: list[int]) -> list[int]:
@@ -204,9 +207,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
     plan_df = spark.createDataFrame(plan, "source_no long, s string, source_size long, target double, base int, pi double, blocks long")
     own = sized.join(plan_df, sized.source.eqNullSafe(plan_df.s))
     units = own.select(
-        "doc_id", "source", "source_no", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "blocks").alias("block"), "size", "base", "pi", F.col("pi").alias("p"), F.col("target").alias("total"),
+        F.col("doc_id").cast("string").alias("doc_id"), "source", "source_no", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), "blocks").alias("block"), "size", "base", "pi", F.col("pi").alias("p"), F.col("target").alias("total"),
     )
     most = max((x[-1] for x in plan), default=1)
+    fan = max(2, block // LANDING)  # blocks whose undecided documents move on together
     done = []
     while True:
         moved = stage.write(units.groupBy("source_no", "block").applyInPandas(_move(most <= 1, seed), UNITS))
@@ -215,15 +219,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), cap: int
             done.append(moved)
             break
         done.append(moved.where(~open_))
-        units = moved.where(open_).withColumn("block", F.floor(F.col("block") / (block // LANDING)).cast("long"))
-        most = -(-most // (block // LANDING))
+        units = moved.where(open_).withColumn("block", F.floor(F.col("block") / fan).cast("long"))
+        most = -(-most // fan)
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
     whole = made_up(whole, plan_df, seed, stage)
     copies = (F.col("base") + F.col("p").cast("int")).alias("copies")
     sizes = plan_df.select(F.col("source_no").alias("_k"), "source_size")
-    return whole.join(sizes, whole.source_no == sizes["_k"]).select("doc_id", "source", "size", "source_size", F.col("total").alias("target"), copies, (F.col("size") * copies).alias("taken"))
+    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return whole.join(sizes, whole.source_no == sizes["_k"]).select(doc_id, "source", "size", "source_size", F.col("total").alias("target"), copies, (F.col("size") * copies).alias("taken"))
 
 
 def mixed(docs: DataFrame, broadcast_rows: int = 300_000, **params) -> DataFrame:
