@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import Memo, slices, whole_texts
+from tremolo.llm.common import Memo, lean, slices, whole_texts
 
 #: Bytes, as counted by ``_weight``, of the chunks and of the words that a worker remembers before it starts anew.
-MEMO_CHUNKS, MEMO_WORDS = 24 << 20, 8 << 20
+MEMO_CHUNKS, MEMO_WORDS = 24 << 20, 6 << 20
 #: Pairs of tokens, and tokens, that it remembers; an entry's size is bounded by the vocabulary.
-MEMO_PAIRS, MEMO_TOKENS = 100_000, 8_000
+MEMO_PAIRS, MEMO_TOKENS = 80_000, 8_000
 
 #: Bytes of texts (or ids) that are split into words at a time.
 SLICE = 1 << 20
@@ -281,7 +281,7 @@ def _added(df: DataFrame, column: str, path: str, outs: dict[str, str], kinds: t
                 arrays = [pa.array(x, pa.binary() if kind == "binary" else pa.string()) for x, kind in zip(made, outs.values())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *outs])
 
-    return whole_texts(source).mapInArrow(run, schema)
+    return whole_texts(source).mapInArrow(lean(run), schema)
 
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -37,6 +38,22 @@ class Memo(dict):
         return value
 
 
+def lean(run: Callable) -> Callable:
+    """``run``, a function over batches for mapInArrow, after which the worker gives memory that it no longer uses back.
+
+    Spark uses workers again for later stages; what their allocators kept would add up beside the executor's heap.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = FLUSH_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most about ``most`` bytes in ``column`` (one row at least)."""
     sizes = batch.column(column).to_pylist() if pa.types.is_integer(batch.schema.field(column).type) else None

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import Memo, slices, whole_texts
+from tremolo.llm.common import Memo, lean, slices, whole_texts
 from tremolo.llm.components import components
 from tremolo.session import Stage
 
@@ -59,7 +59,7 @@ def shingler(words: int):
     Words are runs without ASCII white space, A-Z in lower case; fewer words than a shingle's
     are one shingle together; no words are none.
     """
-    memo = Memo(lambda w: xxhash.xxh3_64_digest(w), 200_000)
+    memo = Memo(lambda w: xxhash.xxh3_64_digest(w), 100_000)
     factors = [_mixed(np.uint64(k + 1) * _M[k % 5]) | np.uint64(1) for k in range(words)]
 
     def of(text: str | None) -> np.ndarray:
@@ -107,7 +107,7 @@ def _frequent(docs: DataFrame, p: Params, stage: Stage) -> tuple[np.ndarray, np.
                 num = n[often].tolist() + [int(rest.sum()), int((rest * (rest - 1)).sum()), b.num_rows]
                 yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(num, pa.int64())], ["kind", "e", "n"])
 
-    found = whole_texts(docs.select("text")).mapInArrow(run, "kind int, e long, n long")
+    found = whole_texts(docs.select("text")).mapInArrow(lean(run), "kind int, e long, n long")
     counts = stage.write(found.groupBy("kind", "e").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("slices")))
     stat = {r.kind: r for r in counts.where("kind > 0").collect()}
     if not stat:
@@ -165,7 +165,7 @@ def _described(docs: DataFrame, p: Params, stage: Stage) -> tuple[DataFrame, int
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), sigs], ["doc_id", "m", "digest", "sigs"])
 
-    return stage.write(whole_texts(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, m long, digest binary, sigs array<long>")), light
+    return stage.write(whole_texts(docs.select("doc_id", "text")).mapInArrow(lean(run), "doc_id long, m long, digest binary, sigs array<long>")), light
 
 
 def _sized(df: DataFrame, n: int, p: Params) -> DataFrame:
@@ -195,8 +195,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, p: Params, stage: Stage) -> Dat
                     sets.append(made)
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sets, pa.binary())], [*b.schema.names[:-1], "els"])
 
-    one = whole_texts(mine).mapInArrow(make, "a long, b long, els binary").withColumnRenamed("els", "x")
-    two = whole_texts(others).mapInArrow(make, "b long, els binary").withColumnRenamed("els", "y")
+    one = whole_texts(mine).mapInArrow(lean(make), "a long, b long, els binary").withColumnRenamed("els", "x")
+    two = whole_texts(others).mapInArrow(lean(make), "b long, els binary").withColumnRenamed("els", "y")
     both = one.join(two, "b").select("a", "b", "x", "y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, p: Params, stage: Stage) -> Dat
                 keep.append(common > 0 and 100 * common >= p.percent * (len(x) + len(y) - common))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return stage.write(both.mapInArrow(compare, "a long, b long"))
+    return stage.write(both.mapInArrow(lean(compare), "a long, b long"))
 
 
 def _fits(m: Column, n: Column, percent: int) -> Column:

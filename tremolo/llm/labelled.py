@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import held_out, slices, whole_texts
+from tremolo.llm.common import held_out, lean, slices, whole_texts
 
 #: Labelled documents that a model is fitted on at most: those of the smallest hash of their id.
 SAMPLE = 20_000
@@ -33,7 +33,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, m
                 ids = [make(t).tobytes() for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["doc_id", "y", "ids"])
 
-    rows = whole_texts(texts).mapInArrow(run, "doc_id long, y int, ids binary").toArrow()
+    rows = whole_texts(texts).mapInArrow(lean(run), "doc_id long, y int, ids binary").toArrow()
     ids, y = rows.column("ids").to_pylist(), rows.column("y").to_numpy()
     order = sorted(range(len(ids)), key=lambda k: (rows.column("doc_id")[k].as_py(), ids[k]))
     return [np.frombuffer(ids[k], np.uint32) for k in order], y[order].astype(float)
@@ -49,7 +49,7 @@ def scored(docs: DataFrame, scorer: Callable) -> DataFrame:
             for b in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(score(b.column(2).to_pylist()), pa.float64())], ["doc_id", "held_out", "score"])
 
-    return whole_texts(source).mapInArrow(run, "doc_id long, held_out boolean, score double")
+    return whole_texts(source).mapInArrow(lean(run), "doc_id long, held_out boolean, score double")
 
 
 def kept(docs: DataFrame, scorer: Callable, keep: Callable) -> DataFrame:
@@ -63,4 +63,4 @@ def kept(docs: DataFrame, scorer: Callable, keep: Callable) -> DataFrame:
             for b in slices(whole, "text"):
                 yield b.filter(pa.array([keep(s) for s in score([t or "" for t in b.column(at).to_pylist()])], pa.bool_()))
 
-    return whole_texts(docs).mapInArrow(run, docs.schema)
+    return whole_texts(docs).mapInArrow(lean(run), docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremolo.llm import labelled
-from tremolo.llm.common import Memo, slices, whole_texts
+from tremolo.llm.common import Memo, lean, slices, whole_texts
 from tremolo.session import Stage
 
 _PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
@@ -68,7 +68,7 @@ def word_ids(buckets: int):
                 out.append(f"\x01{len(w)}" if w.isdigit() else w)
         return b"".join((zlib.crc32(w.encode()) % buckets).to_bytes(4, "little") for w in out)
 
-    memo = Memo(of_chunk, 200_000)
+    memo = Memo(of_chunk, 100_000)
     return lambda text: np.frombuffer(b"".join(map(memo.__getitem__, text.split())), np.uint32)
 
 
@@ -119,7 +119,7 @@ def word_vectors(docs: DataFrame, p: Params) -> tuple[np.ndarray, np.ndarray]:
         return pd.DataFrame({"slab": [pdf.slab[0]], "part": [pdf.part[0]], "sums": [total.tobytes()]})
 
     schema = "slab int, part int, sums binary"
-    parts = stage.write(whole_texts(docs.select(F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(run, schema))
+    parts = stage.write(whole_texts(docs.select(F.coalesce("text", F.lit("")).alias("text"))).mapInArrow(lean(run), schema))
     while True:
         most = parts.agg(F.max("part")).first()[0]
         if most is None:

@@ -51,7 +51,7 @@ def term_ids(bits: int):
     def of_chunk(chunk: str) -> bytes:
         return b"".join((zlib.crc32(w.encode()) & mask).to_bytes(4, "little") for w in _WORD.findall(chunk.lower()))
 
-    memo = Memo(of_chunk, 200_000)
+    memo = Memo(of_chunk, 100_000)
     return lambda text: np.unique(np.frombuffer(b"".join(map(memo.__getitem__, text.split())), np.uint32))
 
 

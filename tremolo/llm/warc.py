@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.common import slices, whole_texts
+from tremolo.llm.common import lean, slices, whole_texts
 
 RECORD = (
     "page_id long, warc_type string, record_id string, refers_to string, target_uri string, warc_date string, "
@@ -117,7 +117,7 @@ def responses(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame
                     rows.append(_row(page, "response", url, date, "application/http; msgtype=response", block, digest(payload), None, None, {}))
                 yield _batch(rows)
 
-    return whole_texts(pages.select("page_id", "url", "html")).mapInArrow(run, RECORD)
+    return whole_texts(pages.select("page_id", "url", "html")).mapInArrow(lean(run), RECORD)
 
 
 def _line(value: str) -> str:
@@ -198,7 +198,7 @@ def derive(records: DataFrame) -> DataFrame:
                 yield _batch(rows)
 
     source = records.where(F.col("warc_type") == "response")
-    return whole_texts(source.select("page_id", "record_id", "target_uri", "warc_date", "payload_digest", "headers", "block")).mapInArrow(run, RECORD)
+    return whole_texts(source.select("page_id", "record_id", "target_uri", "warc_date", "payload_digest", "headers", "block")).mapInArrow(lean(run), RECORD)
 
 
 def lines(records: DataFrame) -> DataFrame:
