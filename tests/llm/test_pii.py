@@ -3,8 +3,11 @@
 import hashlib
 import math
 import re
+import time
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from tremolo.llm import pii
 from tremolo.llm.queries import op2_pii
 
@@ -67,7 +70,7 @@ def test_disclosure_by_plain_counts(spark):
     p = pii.Disclosure()
     got = defaultdict(set)
     for r in pii.scan(df, p).collect():
-        got[r.doc_id] |= {(s.start, s.end) for s in r.spans if s.kind == 4}
+        got[r.doc_id] |= {(s.start, s.end) for s in r.spans if s.kind == pii.TERMS}
     words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_][\w'’]*", t or "")]
     n, n_t, n_c, n_tc = len(rows), defaultdict(int), 0, defaultdict(set)
     for i, t in rows:
@@ -100,10 +103,55 @@ def test_terms_far_from_their_entity(spark):
     clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
     assert all("quentin" not in clean[k].lower() and "[EMAIL]" in clean[k] for k in range(6))
     assert all(clean[k] == t for k, t in rows if k >= 100)
-    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == 4] for r in pii.scan(df).collect()}
+    spans = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == pii.TERMS] for r in pii.scan(df).collect()}
     assert spans == {k: [(m.start(), m.end()) for m in re.finditer(r"Quentin", t)] if k < 6 else [] for k, t in rows}
 
 
+def secrets(text):
+    """(start, end) of a credential's name with a value of 12 characters or more that has a digit."""
+    names = "token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key"
+    found = re.finditer(rf"(?i)\b(?:{names})[\"']?\s*[:=]\s*[\"']?([a-z0-9_+/=.-]{{12,}})", text)
+    return [(m.start(), m.end()) for m in found if re.search("[0-9]", m[1])]
+
+
+def test_secrets(spark):
+    texts = ['x token = "1eb9c654e721b4f812088970" y', "API_KEY:abcdefghijkl1 z", "tokens = aaaaaaaaaaaaa1", "token = short1", "password=nodigitsatallhere", "a" * 5000 + " secret: " + "b1" * 4000, "token token = " * 3000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.scan(df).collect():
+        assert [(s.start, s.end) for s in r.spans if pii.KINDS[s.kind] == "secret"] == secrets(texts[r.doc_id]) and not r.base
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[0] == 'x [SECRET]" y' and clean[1] == "[SECRET] z" and all(clean[k] == texts[k] for k in (2, 3, 4, 6))
+
+
+def test_rebuilt_text(spark):
+    texts = ["", "abc", "é" * 9000 + "x@y.zz" + "ü" * 5000 + " 1.2.3.4", "1.2.3.4 " * 900, "4111 1111 1111 1111.2.3.4", "a@b.c" * 3, "+1 415 555 2671 1.2.3.4"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = df.withColumn("spans", pii.base_spans(df.text)).select("doc_id", "text", "spans", pii._masked(df.text, F.col("spans")).alias("m")).collect()
+    for r in rows:
+        inside = {k for s in r.spans for k in range(s.start, s.end)}
+        want = [pii.LETTER if c.isalpha() and k in inside else pii.OTHER if (c.isdigit() or c == "'") and k in inside else c for k, c in enumerate(r.text)]
+        assert r.m == "".join(want)
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    for k, t in enumerate(texts):
+        out, at = "", 0
+        for a, kind, b in sorted(base(t), key=lambda s: (s[0], -s[2], s[1])):
+            if b > at:
+                out, at = out + t[at : max(a, at)] + f"[{pii.KINDS[kind].upper()}]", b
+        assert clean[k] == out + t[at:]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"user{k % 4000}@corp.example writes to 10.0.{k % 256}.{k // 256 % 256}" for k in range(10000))
+    df = spark.createDataFrame([(k, text) for k in range(3)] + [(k, "quiet words") for k in range(9, 20)], "doc_id long, text string")
+    began = time.monotonic()
+    rows = pii.scan(df).collect()
+    assert [len(r.base) for r in rows if r.doc_id < 3] == [20000] * 3
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    took = time.monotonic() - began
+    assert clean[9] == "quiet words" and clean[0] == clean[1] and "@" not in clean[0] and clean[0].count("[EMAIL]") == 10000 == clean[0].count("[IP]")
+    assert took < 120, took
+
+
 def test_matches_in_blocks(spark):
     texts = ["", "abc", "x1 " * 127 + "é", "x1 " * 128, "𝒳y  z'q, " * 300, "1 " * 500, "ab " * 129 + "."]
     df = spark.createDataFrame([(t,) for t in texts], "text string")

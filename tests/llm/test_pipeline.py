@@ -1,5 +1,6 @@
 """The pipeline's stages against brute force, each on its own input."""
 
+import hashlib
 import struct
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_jaccard import brute
-from tests.llm.test_pii import base
+from tests.llm.test_pii import base, secrets
 from tremolo.llm import mix, toxicity
 from tremolo.llm.queries import tokenizer_path
 
@@ -30,8 +31,8 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in single} == {c for *_, c in brute([(r.doc_id, r.text) for r in calm])} and set(single) <= set(calm)
     assert {r.doc_id for r in clean} == {r.doc_id for r in single} and len(clean) == len(single)
     before = {r.doc_id: r.text for r in single}
-    assert all(r.text == before[r.doc_id] for r in clean if not base(before[r.doc_id]))
-    assert not any(s for r in clean for s in base(r.text)) and any(base(t) for t in before.values())
+    assert all(r.text == before[r.doc_id] for r in clean if not base(before[r.doc_id]) and not secrets(before[r.doc_id]))
+    assert not any(s for r in clean for s in base(r.text) + secrets(r.text)) and any(base(t) for t in before.values())
     assert set(mixed) <= set(clean)
     own, taken = defaultdict(int), defaultdict(int)
     for rows, into in ((clean, own), (mixed, taken)):
@@ -44,3 +45,4 @@ def test_stages(spark, tmp_path):
     ids = {r.doc_id: library.encode(r.text, add_special_tokens=False).ids for r in clean}
     assert sorted(r.doc_id for r in encoded) == sorted(r.doc_id for r in mixed)
     assert all(bytes(r.ids) == struct.pack(f"<{r.n_tokens}I", *ids[r.doc_id]) for r in encoded)
+    assert all(r.decoded_sha256 == hashlib.sha256(library.decode(ids[r.doc_id], skip_special_tokens=False).encode()).hexdigest() for r in encoded)

@@ -72,7 +72,8 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
-    return found.select("doc_id", *map(count, range(4)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    n_spans = F.size("spans").cast("long").alias("n_spans")
+    return found.select("doc_id", *map(count, range(pii.BASE)), F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), n_spans)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
