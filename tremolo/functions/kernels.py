@@ -22,15 +22,21 @@ def amplitude_spectrum(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray
 
 def find_peaks(y: np.ndarray, least: float) -> np.ndarray:
     """Places of local maxima (plateaus: their middle, rounded down; no ends) with at least this prominence."""
+    peaks, prominence = peak_prominences(y)
+    return peaks[prominence >= least]
+
+
+def peak_prominences(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of local maxima, and their prominences."""
     if len(y) < 3:
-        return np.zeros(0, int)
+        return np.zeros(0, int), np.zeros(0)
     start = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
     end = np.concatenate([start[1:], [len(y)]]) - 1
     level = y[start]
     top = np.flatnonzero((level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])) + 1
     peaks = (start[top] + end[top]) // 2
     if not len(peaks):
-        return peaks
+        return peaks, np.zeros(0)
 
     def basin(values: np.ndarray) -> np.ndarray:
         """For each place the least value between it and the last higher one before it, by a stack."""
@@ -43,8 +49,7 @@ def find_peaks(y: np.ndarray, least: float) -> np.ndarray:
             stack.append((v, m))
         return low
 
-    prominence = y[peaks] - np.maximum(basin(y)[peaks], basin(y[::-1])[::-1][peaks])
-    return peaks[prominence >= least]
+    return peaks, y[peaks] - np.maximum(basin(y)[peaks], basin(y[::-1])[::-1][peaks])
 
 
 def butter_bandpass(low: float, high: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -61,17 +66,34 @@ def butter_bandpass(low: float, high: float, order: int = 4) -> tuple[np.ndarray
     return np.real(gain * np.poly(zeros)), np.real(np.poly(digital))
 
 
+#: Points that the filter takes at a step.
+STEP = 64
+
+
 def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    """Direct form II, transposed."""
-    b, a, z = b.tolist(), a.tolist(), z.tolist()
-    n, out = len(z), []
-    for v in x.tolist():
-        y = b[0] * v + z[0]
-        for k in range(n - 1):
-            z[k] = b[k + 1] * v + z[k + 1] - a[k + 1] * y
-        z[n - 1] = b[n] * v - a[n] * y
-        out.append(y)
-    return np.array(out)
+    """The difference equation from the state ``z``, in blocks of STEP points.
+
+    What a block's points add to its outputs and to the state after it are two products for all blocks at
+    once; only the state is carried from block to block.
+    """
+    n = len(z)
+    on = np.zeros((n, n))
+    on[:, 0] = -a[1:]
+    on[np.arange(n - 1), np.arange(1, n)] = 1
+    into = b[1:] - a[1:] * b[0]
+    seen, after, row, column = np.zeros((STEP, n)), np.zeros((n, STEP)), np.eye(n)[0], into
+    for k in range(STEP):
+        seen[k], after[:, STEP - 1 - k] = row, column
+        row, column = row @ on, on @ column
+    response = np.concatenate([[b[0]], seen[:-1] @ into])
+    lag = np.arange(STEP)[:, None] - np.arange(STEP)
+    blocks = np.concatenate([x, np.zeros(-len(x) % STEP)]).reshape(-1, STEP)
+    pushed, whole = blocks @ after.T, np.linalg.matrix_power(on, STEP)
+    states = np.zeros((len(blocks), n))
+    for k in range(len(blocks)):
+        states[k] = z
+        z = whole @ z + pushed[k]
+    return (blocks @ np.where(lag >= 0, response[np.abs(lag)], 0.0).T + states @ seen.T).ravel()[: len(x)]
 
 
 def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:

@@ -12,9 +12,9 @@ from tremolo.functions import kernels
 
 _PEAK = "struct<frequency:double,amplitude:double>"
 _MATCH = "struct<label:string,frequency:double,nearest_peak:double,deviation_pct:double,peak_amplitude:double,harmonic_order:int>"
-_FAMILY = "struct<shaft:double,bpfo:double,bpfi:double,bsf:double,ftf:double>"
+_BASES = "struct<shaft:double,bpfo:double,bpfi:double,bsf:double,ftf:double,bsf_2x:double>"
 _ENERGY = "struct<bpfo:double,bpfi:double,bsf:double,ftf:double>"
-ENVELOPE = f"struct<band_hz:array<double>,band_rule:string,characteristic_frequencies:{_FAMILY},characteristic_energy:{_ENERGY},characteristic_peaks:array<{_MATCH}>,envelope_peaks:array<{_PEAK}>>"
+ENVELOPE = f"struct<band_hz:array<double>,band_rule:string,characteristic_frequencies:{_BASES},characteristic_energy:{_ENERGY},characteristic_peaks:array<{_MATCH}>,envelope_peaks:array<{_PEAK}>>"
 FEATURES = (
     "sample_id string, n_samples long, sampling_rate double, rms double, peak double, kurtosis double, crest_factor double, dominant_frequency double, dominant_amplitude double, "
     f"band_energy map<string,double>, spectrum_peaks array<{_PEAK}>, envelope {ENVELOPE}, error struct<code:string,message:string>"
@@ -41,14 +41,17 @@ def frequencies(rpm: float) -> dict[str, float]:
 
 
 def envelope(x: np.ndarray, fs: float, rpm: float, band: tuple | None = None) -> dict | None:
-    """Energies and peaks of the envelope spectrum at the families' harmonics; null if the signal is too short to filter."""
+    """Energies and peaks of the envelope spectrum at the families' harmonics; null if the signal is too short to filter.
+
+    Peaks stand out by a set share of the spectrum's largest value; of those near a harmonic the highest counts.
+    """
     if len(x) <= 27:
         return None
     narrow, edges, rule = kernels.bandpass(x, fs, band)
     freq, mag = kernels.envelope_spectrum(narrow, fs)
     base, step = frequencies(rpm), fs / len(x)
     tops = kernels.find_peaks(mag, config.PROMINENCE_RATIO * mag.max()) if mag.max() > 0 else np.zeros(0, int)
-    maxima = kernels.find_peaks(mag, 0.0)
+    tops = tops[freq[tops] > 0]
     energy, matches = {}, []
     for family in ("ftf", "bsf", "bpfo", "bpfi"):
         total = 0.0
@@ -56,17 +59,15 @@ def envelope(x: np.ndarray, fs: float, rpm: float, band: tuple | None = None) ->
             target = base[family] * order
             reach = max(config.ENVELOPE_TOLERANCE * target, step)
             total += float((mag[np.abs(freq - target) <= reach] ** 2).sum())
-            near = maxima[np.abs(freq[maxima] - target) <= reach]
-            near = near[freq[near] > 0]
+            near = tops[np.abs(freq[tops] - target) <= reach]
             if len(near):
                 best = near[np.argmax(mag[near])]
                 matches.append({"label": family.upper(), "frequency": _f(target, 4), "nearest_peak": _f(freq[best], 4), "deviation_pct": _f(abs(freq[best] - target) / target * 100, 2), "peak_amplitude": _f(mag[best], 12), "harmonic_order": order})
         energy[family] = _f(total, 12)
-    tops = tops[freq[tops] > 0]
     tops = np.sort(tops[np.argsort(-mag[tops], kind="stable")][:10])
     return {
-        "band_hz": [_f(v, 4) for v in edges], "band_rule": rule, "characteristic_frequencies": base, "characteristic_energy": {k: energy[k] for k in config.FAMILIES},
-        "characteristic_peaks": matches, "envelope_peaks": [{"frequency": _f(freq[k], 4), "amplitude": _f(mag[k], 6)} for k in tops],
+        "band_hz": [_f(v, 4) for v in edges], "band_rule": rule, "characteristic_frequencies": base | {"bsf_2x": _f(2 * base["bsf"], 4)}, "characteristic_energy": {k: energy[k] for k in config.FAMILIES},
+        "characteristic_peaks": matches, "envelope_peaks": [{"frequency": _f(freq[k], 4), "amplitude": _f(mag[k], 12)} for k in tops],
     }
 
 
@@ -77,11 +78,11 @@ def selected_peaks(freq: np.ndarray, mag: np.ndarray, band_high: float) -> list[
     against the largest bin of the band.
     """
     inside = freq <= band_high
+    peaks, prominence = kernels.peak_prominences(mag)
     chosen: set[int] = set()
     for top, most, ok in ((mag.max(initial=0.0), config.GLOBAL_PEAKS, freq > 0), (mag[inside].max(initial=0.0), config.BAND_PEAKS, inside & (freq > 0))):
         if top > 0:
-            k = kernels.find_peaks(mag, config.PROMINENCE_RATIO * top)
-            k = k[ok[k]]
+            k = peaks[(prominence >= config.PROMINENCE_RATIO * top) & ok[peaks]]
             chosen |= set(k[np.argsort(-mag[k], kind="stable")][:most].tolist())
     return [{"frequency": _f(freq[k], 4), "amplitude": _f(mag[k])} for k in sorted(chosen)]
 

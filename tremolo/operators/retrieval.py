@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo import config
+from tremolo.functions.scalars import short_number
+from tremolo.session import Stage
 
 #: Runs of Latin letters, numbers, and runs of CJK characters.
 _TOKEN = r"[A-Za-z]+|\d+(?:\.\d+)?|[\x{4E00}-\x{9FFF}]+"
 
 
+_CJK = r"[\x{4E00}-\x{9FFF}]"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case Latin words, numbers, and the bigrams of CJK runs (a single character gives none)."""
-    found = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+    """Lower-case Latin words, numbers, and the bigrams of CJK runs (a single character gives none).
+
+    Only texts with a CJK character are taken apart token by token.
+    """
+    found = F.regexp_extract_all(F.translate(text, _UPPER, _UPPER.lower()), F.lit(_TOKEN), F.lit(0))
 
     def split(t: Column) -> Column:
         bigrams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, 2))
-        return F.when(~t.rlike(r"^[\x{4E00}-\x{9FFF}]"), F.array(F.lower(t))).when(F.char_length(t) > 1, bigrams).otherwise(F.array().cast("array<string>"))
+        return F.when(~t.rlike(f"^{_CJK}"), F.array(t)).when(F.char_length(t) > 1, bigrams).otherwise(F.array().cast("array<string>"))
 
-    return F.flatten(F.transform(found, split))
+    return F.when(text.rlike(_CJK), F.flatten(F.transform(found, split))).otherwise(found)
 
 
 def postings(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
@@ -32,41 +44,52 @@ def postings(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     return rows.groupBy(key, *keep, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row: n_docs and avgdl over all documents, those without tokens too."""
-    return docs.select(F.size(tokens(F.coalesce(F.col(text), F.lit("")))).alias("n")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("n").alias("avgdl"))
-
-
 def _saturated(tf: Column, length: Column, avgdl: Column) -> Column:
     k, b = config.BM25_K1, config.BM25_B
     return tf * (k + 1) / (tf + k * (1 - b + b * length / avgdl))
 
 
-def index(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(weights, idf, stats) of a corpus: weights has key, token, w and the document's norm; tokens of idf 0 or less are dropped.
+@dataclass(frozen=True)
+class Index:
+    """A written index of texts: weights (key, token, w), norms (key, norm), idf (token, df, idf), the number of texts and their mean length."""
+
+    key: str
+    weights: DataFrame
+    norms: DataFrame
+    idf: DataFrame
+    n_docs: int
+    avgdl: float
 
-    idf = ln((N - df + 0.5) / (df + 0.5)).
+
+def index(docs: DataFrame, key: str, text: str) -> Index:
+    """The index of a corpus; tokens of idf 0 or less are dropped. idf = ln((N - df + 0.5) / (df + 0.5)).
+
+    Texts are taken apart once: term frequencies are written, and all else is read from them.
+    Texts without tokens count in N and in the mean length.
     """
-    post, stats = postings(docs, key, text), corpus_stats(docs, key, text)
+    stage = Stage(docs.sparkSession, "index")
+    post = stage.write(postings(docs, key, text))
+    n = docs.count()
+    mean = (post.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.join(F.broadcast(stats), F.lit(True)).select("token", "df", "avgdl", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0")
-    w = post.join(idf, "token").select(key, "token", (F.col("idf") * _saturated(F.col("tf"), F.col("doc_len"), F.col("avgdl"))).alias("w"))
-    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    return w.join(norms, key), idf, stats
+    idf = stage.write(df.select("token", "df", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0"))
+    w = _saturated(F.col("tf"), F.col("doc_len"), F.lit(mean or 1.0))
+    weights = stage.write(post.join(idf, "token").select(key, "token", (F.col("idf") * w).alias("w")))
+    return Index(key, weights, weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")), idf, n, mean or 1.0)
 
 
-def bm25_scores(queries: DataFrame, weights: DataFrame, idf: DataFrame, key: str, query_key: str = "query_id", text: str = "query") -> DataFrame:
+def bm25_scores(queries: DataFrame, ind: Index, query_key: str = "query_id", text: str = "query") -> DataFrame:
     """(query_key, key, score): the cosine of query and document weights, scaled and held to [0, 1]; pairs that share no token are left out.
 
-    A query's weights take the mean length. The join of postings is by token; both sides hold each
-    token of a text once.
+    A query's weights take the mean length. Weights meet the queries' tokens, each text's once, before
+    anything else is joined to them.
     """
-    q = postings(queries, query_key, text).join(idf, "token")
-    q = q.select(query_key, "token", (F.col("idf") * _saturated(F.col("tf"), F.col("avgdl"), F.col("avgdl"))).alias("qw"))
+    mean = F.lit(ind.avgdl)
+    q = Stage(queries.sparkSession, "queries").write(postings(queries, query_key, text).join(ind.idf, "token").select(query_key, "token", (F.col("idf") * _saturated(F.col("tf"), mean, mean)).alias("qw")))
     norms = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qnorm"))
-    dots = q.join(weights, "token").groupBy(query_key, key, "norm").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    dots = q.join(ind.weights, "token").groupBy(query_key, ind.key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
     score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), config.BM25_SCALE * F.col("dot") / (F.col("qnorm") * F.col("norm"))))
-    return dots.join(norms, query_key).select(query_key, key, score.alias("score"))
+    return dots.join(norms, query_key).join(ind.norms, ind.key).select(query_key, ind.key, score.alias("score"))
 
 
 def top(scores: DataFrame, key: str, k: int = config.TOP_K, query_key: str = "query_id") -> DataFrame:
@@ -88,13 +111,48 @@ def cosine(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)))
 
 
-def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str, query_key: str = "query_id") -> DataFrame:
+#: Vectors to a pack.
+PACK = 512
+
+
+def _packed(vectors: DataFrame, key: str, vector: str, prefix: str) -> DataFrame:
+    """Packs of about PACK vectors: arrays of keys and of vectors, in the same order."""
+    packs = max(1, -(-vectors.count() // PACK))
+    both = F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")))
+    rows = vectors.where(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(key), F.lit(packs)).alias("_p")).agg(both.alias("_r"))
+    return rows.select(F.col("_r.k").alias(f"{prefix}k"), F.col("_r.v").alias(f"{prefix}v"))
+
+
+def cosine_scores(queries: DataFrame, vectors: DataFrame, key: str, query_key: str = "query_id", best: int | None = None, digits: int | None = None) -> DataFrame:
     """(query_key, key, score) of every query vector (v) with every vector (embedding): an exact search of stated queries, in blocks.
 
-    Spark broadcasts the queries if they are small.
+    Cosine similarity held to [0, 1], 0 where a norm is 0 or lengths differ; null vectors take no part.
+    Packs of queries meet packs of vectors, a product of two matrices each. With ``best`` only as many
+    of a query and pack go on, those of the largest score (rounded to ``digits``), ties to the smaller key.
     """
-    q = queries.select(query_key, F.col("v").alias("_v"))
-    return vectors.join(q, F.lit(True)).select(query_key, key, cosine(F.col("_v"), F.col("embedding")).alias("score"))
+    met = _packed(queries, query_key, "v", "q").join(_packed(vectors, key, "embedding", ""), F.lit(True))
+    schema = queries.select(query_key).schema.add(vectors.select(F.col(key).alias("_key")).schema[0]).add("score", "double")
+
+    def matrix(rows: list, width: int) -> np.ndarray:
+        return np.array([v if len(v) == width else [0.0] * width for v in rows], float).reshape(len(rows), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for qk, qv, k, v in zip(*(c.to_pylist() for c in batch.columns)):
+                width = max(map(len, qv + v), default=0)
+                q, x, k = matrix(qv, width), matrix(v, width), np.array(k)
+                norm = np.sqrt(np.outer((q**2).sum(1), (x**2).sum(1)))
+                score = np.clip(np.divide(q @ x.T, norm, out=np.zeros_like(norm), where=norm > 0), 0, 1)
+                if digits is not None:
+                    score = np.round(score, digits)
+                rows, at = np.indices(score.shape)
+                if best is not None and best < len(k):
+                    at = np.array([np.lexsort((k, -s))[:best] for s in score])
+                    rows = np.repeat(np.arange(len(qk))[:, None], best, 1)
+                rows, at = rows.ravel(), at.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(qk)[rows]), pa.array(k[at]), pa.array(score[rows, at])], schema.names)
+
+    return met.mapInArrow(run, schema).withColumnRenamed("_key", key)
 
 
 def fused(chunks: DataFrame, vector: DataFrame, lexical: DataFrame, key: str, query_key: str = "query_id") -> DataFrame:
@@ -150,6 +208,26 @@ def hashed_embedder(width: int = 256) -> Callable[[Column], Column]:
     return embed
 
 
+def batched(embed: Callable[[list[str]], list[list[float]]], size: int = 64) -> Callable[[Column], Column]:
+    """An embedder of texts as a function of columns: it gets ``size`` texts at a time, and an error is raised if it returns another number."""
+
+    def column(text: Column) -> Column:
+        @F.pandas_udf("array<double>")
+        def run(texts: pd.Series) -> pd.Series:
+            out: list = []
+            for k in range(0, len(texts), size):
+                part = [t or "" for t in texts[k : k + size]]
+                made = embed(part)
+                if len(made) != len(part):
+                    raise RuntimeError(f"{len(made)} vectors for {len(part)} texts")
+                out += [[float(x) for x in v] for v in made]
+            return pd.Series(out)
+
+        return run(text)
+
+    return column
+
+
 def rebuilt(old: DataFrame, new: DataFrame, key: str = "chunk_id") -> tuple[DataFrame, DataFrame]:
     """(index, counts) after an upsert by stable id and the removal of ids that are gone; the same again if nothing changed."""
     merged = new.withColumn("_new", F.lit(1)).select(key, "_new").join(old.withColumn("_old", F.lit(1)).select(key, "_old"), key, "full_outer")
@@ -178,15 +256,34 @@ def distinct_sources(rows: DataFrame, by: str, rank: str) -> DataFrame:
 
 
 def build_query() -> Column:
-    """The search text of a comparison: changes, the leading family, matches, the two most energetic families and the widest bands."""
+    """The search text of a comparison: changes, shift, aligned families, the leading family, the two most energetic families and the widest bands.
+
+    Of an aligned family its orders and largest deviation stand once, so that none is repeated by its harmonics.
+    """
     f = lambda name, word: F.when(F.coalesce(F.abs(F.col(f"feature_changes.{name}.ratio") - 1) >= config.CHANGE_THRESHOLD, F.lit(False)), F.concat(F.lit(word), F.when(F.col(f"feature_changes.{name}.ratio") >= 1, " 升高 rises").otherwise(" 降低 falls")))
     d = F.col("dominant")
     families = F.transform(F.slice(F.array_sort("characteristic_changes"), 1, 2), lambda c: F.concat(c["label"], F.lit(" envelope energy")))
     bands = F.slice(F.array_sort(F.transform("band_changes", lambda b, i: F.struct((-F.abs(b["change"]["delta"])).alias("d"), i.alias("i"), b["band"].alias("b")))), 1, 3)
-    labels = F.array_distinct(F.transform("matches", lambda m: m["label"]))
+    shift = F.when(F.col("frequency_change.normal_dominant") != F.col("frequency_change.abnormal_dominant"), F.concat(F.lit("主频 dominant frequency shift "), short_number(F.col("frequency_change.shift_hz")), F.lit(" Hz")))
     parts = F.filter(F.array(
-        f("rms", "RMS"), f("kurtosis", "峭度 kurtosis"), f("crest_factor", "波峰因子 crest factor"), f("peak", "峰值 peak"),
+        f("rms", "RMS"), f("kurtosis", "峭度 kurtosis"), f("crest_factor", "波峰因子 crest factor"), f("peak", "峰值 peak"), shift,
         F.when(d.isNotNull(), F.when(d["ambiguous"], F.concat(F.array_join(d["tied"], " "), F.lit(" 并列 tied"))).otherwise(F.concat(d["label"], F.lit(" 主导 dominant 包络谱 谐波")))),
-        F.when(F.size("matches") > 0, F.concat(F.array_join(labels, " "), F.lit(" 频谱峰 peaks"))), F.array_join(families, ", "), F.concat(F.lit("band energy "), F.array_join(F.transform(bands, lambda b: b["b"]), " ")),
+        F.array_join(F.transform(match_orders(F.col("matches")), _aligned), ", "), F.array_join(families, ", "), F.concat(F.lit("band energy "), F.array_join(F.transform(bands, lambda b: b["b"]), " ")),
     ), lambda x: x.isNotNull() & (x != ""))
     return F.array_join(parts, "；")
+
+
+def match_orders(matches: Column) -> Column:
+    """By label, in the order of first match: its harmonic orders, rising, and its largest deviation in per cent."""
+    labels = F.array_distinct(F.transform(matches, lambda m: m["label"]))
+
+    def of(label: Column) -> Column:
+        own = F.filter(matches, lambda m: m["label"] == label)
+        return F.struct(label.alias("label"), F.array_sort(F.transform(own, lambda m: m["harmonic_order"])).alias("orders"), F.array_max(F.transform(own, lambda m: m["deviation_pct"])).alias("deviation_pct"))
+
+    return F.transform(labels, of)
+
+
+def _aligned(m: Column) -> Column:
+    far = F.when(m["deviation_pct"].isNotNull(), F.concat(F.lit(" deviation "), short_number(m["deviation_pct"]), F.lit("%"))).otherwise("")
+    return F.concat(m["label"], F.lit(" 频谱峰 peaks at orders "), F.array_join(m["orders"].cast("array<string>"), " "), far)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tremolo.functions.scalars import rounded
 
 
+#: Points to a block where neighbours are looked up.
+BLOCK = 4096
+
+
 def indexed(df: DataFrame, key: str, block: Column, *order: str) -> DataFrame:
     """``df`` with idx, the row's place (from 0) by ``order`` within ``key``.
 
@@ -56,9 +60,19 @@ def rounded_stats(signals: DataFrame) -> DataFrame:
 
 
 def sampling_rate(signals: DataFrame) -> DataFrame:
-    """(sample_id, rate): one over the median interval; null with under two points or a median of 0 or less."""
-    step = F.col("ts") - F.lag("ts").over(Window.partitionBy("sample_id").orderBy("idx"))
-    median = signals.withColumn("_d", step).groupBy("sample_id").agg(F.median("_d").alias("_m"))
+    """(sample_id, rate): one over the median interval; null with under two points or a median of 0 or less.
+
+    Intervals are taken within blocks of points, those between blocks from their last and first
+    points. The median is of counted intervals, which tasks add up before they meet.
+    """
+    rows = signals.withColumn("_block", F.floor(F.col("idx") / BLOCK).cast("long"))
+    inner = rows.select("sample_id", (F.col("ts") - F.lag("ts").over(Window.partitionBy("sample_id", "_block").orderBy("idx"))).alias("_d"), (F.col("idx") % BLOCK == 0).alias("_first")).where("NOT _first").drop("_first")
+    ends = rows.where((F.col("idx") % BLOCK == 0) | ((F.col("idx") + 1) % BLOCK == 0)).groupBy("sample_id", (F.floor((F.col("idx") + 1) / BLOCK)).alias("_at"))
+    border = ends.agg(F.max(F.when(F.col("idx") % BLOCK == 0, F.col("ts"))).alias("_a"), F.max(F.when((F.col("idx") + 1) % BLOCK == 0, F.col("ts"))).alias("_z"))
+    steps = inner.unionByName(border.where("_a IS NOT NULL AND _z IS NOT NULL").select("sample_id", (F.col("_a") - F.col("_z")).alias("_d")))
+    counted = steps.where("_d IS NOT NULL").groupBy("sample_id", "_d").agg(F.count(F.lit(1)).alias("_n"))
+    known = signals.select("sample_id").distinct()
+    median = known.join(counted.groupBy("sample_id").agg(F.percentile("_d", F.lit(0.5), F.col("_n")).alias("_m")), "sample_id", "left")
     return median.select("sample_id", F.when(F.col("_m") > 0, 1 / F.col("_m")).alias("rate"))
 
 

@@ -16,12 +16,13 @@ def relational_dft(signals: DataFrame, n: int, fs: float) -> DataFrame:
 
     The Hann-windowed discrete transform as a join of points and bins and two sums; the
     magnitude is 2/n of the modulus, of the first bin and an even length's last one half of that.
-    It makes n * n / 2 rows a sample: for short windows; longer ones go to the kernels.
+    It makes n * n / 2 rows a sample, in the task where its points are: samples are dealt out once, by their
+    id. For short windows; longer ones go to the kernels.
     """
-    first = signals.where(F.col("idx") < n)
-    mean = first.groupBy("sample_id").agg(F.avg("amplitude").alias("_mean"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") == n)
+    of = Window.partitionBy("sample_id")
+    first = signals.where(F.col("idx") < n).withColumns({"_mean": F.avg("amplitude").over(of), "_n": F.count(F.lit(1)).over(of)}).where(F.col("_n") == n)
     hann = 0.5 - 0.5 * F.cos(F.lit(2 * math.pi) * F.col("idx") / n)
-    rows = first.join(mean, "sample_id").select("sample_id", "idx", ((F.col("amplitude") - F.col("_mean")) * hann).alias("x"))
+    rows = first.select("sample_id", "idx", ((F.col("amplitude") - F.col("_mean")) * hann).alias("x"))
     rows = rows.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(n // 2))))
     turn = F.lit(2 * math.pi) * F.pmod(F.col("idx") * F.col("bin"), F.lit(n)) / n
     sums = rows.groupBy("sample_id", "bin").agg(F.sum(F.col("x") * F.cos(turn)).alias("re"), F.sum(F.col("x") * F.sin(turn)).alias("im"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo import config
+from tremolo.functions.scalars import positive
 
 
 def no_change() -> Column:
@@ -39,6 +40,12 @@ def confidence(top: Column, second: Column, n: Column, tied: Column) -> Column:
     return F.when(n.isNull() | (n == 0), "low").when(top["state"] == "conflict", "low").otherwise(level)
 
 
+def well_formed() -> Column:
+    """Whether a request names both samples and has a finite rate and speed above 0."""
+    named = F.coalesce((F.trim("normal_id") != "") & (F.trim("abnormal_id") != ""), F.lit(False))
+    return named & positive(F.col("sampling_rate")).isNotNull() & positive(F.col("rotation_speed")).isNotNull()
+
+
 def verdicts(requests: DataFrame, validation: DataFrame, comparisons: DataFrame, features: DataFrame, candidates: DataFrame) -> DataFrame:
     """One row for each request: status, branch, conclusion, confidence, confidence_reason, reviews, error.
 
@@ -49,7 +56,7 @@ def verdicts(requests: DataFrame, validation: DataFrame, comparisons: DataFrame,
     seconds = features.select(F.col("sample_id").alias("abnormal_id"), "sampling_rate", "rotation_speed", (F.col("n_samples") / F.col("sampling_rate")).alias("seconds"), F.col("error").alias("feature_error"))
     rows = requests.join(validation.select("request_id", "valid", "comparable", "errors"), "request_id", "left").join(seconds, ["abnormal_id", "sampling_rate", "rotation_speed"], "left")
     rows = rows.join(comparisons, "request_id", "left").join(leaders(candidates, "request_id"), "request_id", "left")
-    bad = ~F.coalesce((F.col("sampling_rate") > 0) & (F.col("rotation_speed") > 0) & (F.col("normal_id") != "") & (F.col("abnormal_id") != ""), F.lit(False))
+    bad = ~well_formed()
     tied = F.coalesce(F.col("dominant.ambiguous"), F.lit(False))
     own = F.coalesce(F.array_contains("dominant.tied", F.col("top.frequency_family")), F.lit(False))
     failed = ~F.coalesce(F.col("valid") & F.col("comparable"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremolo import config
@@ -10,7 +10,7 @@ from tremolo.functions.scalars import change, fault_frequencies, rounded
 from tremolo.operators import signals as sig
 from tremolo.operators import spectra
 
-#: Points of the short spectrum, and its nominal rate (bins are then 1 Hz apart).
+#: Points of a window for short spectra, and its nominal rate (bins are then 1 Hz apart).
 N, FS = 256, 256.0
 RPM = 600.0
 BASELINE = "view"
@@ -86,11 +86,19 @@ def bucket_minmax(spark, sf_dir):
     return sig.bucket_minmax(_signals(spark, sf_dir), config.WAVEFORM_POINTS)
 
 
+def _blocks(spark, sf_dir, points: int) -> DataFrame:
+    """Every whole block of so many points of each event type: a sample each, named by type and block. A type's last points, fewer than a block, are left over."""
+    rows = _signals(spark, sf_dir).withColumn("block", F.floor(F.col("idx") / points))
+    whole = F.count(F.lit(1)).over(Window.partitionBy("sample_id", "block"))
+    rows = rows.withColumn("_n", whole).where(F.col("_n") == points)
+    return rows.select(F.concat("sample_id", F.lit("-"), F.col("block").cast("string")).alias("sample_id"), F.col("sample_id").alias("kind"), "block", (F.col("idx") % points).alias("idx"), "amplitude")
+
+
 def _dft(spark, sf_dir):
-    return spectra.relational_dft(_signals(spark, sf_dir), N, FS)
+    return spectra.relational_dft(_blocks(spark, sf_dir, N).select("sample_id", "idx", "amplitude"), N, FS)
 
 
-_DFT = f"""g AS ({_SIGNAL}), f AS (SELECT * FROM g WHERE idx < {N}),
+_DFT = f"""g AS ({_SIGNAL}), f AS (SELECT sample_id || '-' || (idx // {N}) AS sample_id, idx % {N} AS idx, amplitude FROM g),
   m AS (SELECT sample_id, avg(amplitude) AS mean FROM f GROUP BY 1 HAVING count(*) = {N}),
   x AS (SELECT sample_id, idx, (amplitude - mean) * (0.5 - 0.5 * cos(2 * pi() * idx / {N})) AS x FROM f JOIN m USING (sample_id)),
   d AS (SELECT sample_id, bin, sum(x * cos(2 * pi() * ((idx * bin) % {N}) / {N})) AS re, sum(x * sin(2 * pi() * ((idx * bin) % {N}) / {N})) AS im
@@ -122,15 +130,13 @@ _LABEL = "CASE band " + " ".join(f"WHEN {k} THEN '{_text(_EDGES[k])}-{_text(_EDG
 
 
 def band_change_outer(spark, sf_dir):
-    """Union of both sides' bands; what one lacks counts as 0; the band of the largest change is marked."""
-    from pyspark.sql import Window
-
+    """Union of the bands of each window and of the baseline's of the same number; what one lacks counts as 0; the band of the largest change is marked."""
     e = spectra.band_energy(_dft(spark, sf_dir), spectra.equal_bands(FS))
-    n = e.where(F.col("sample_id") == BASELINE).select("band", F.col("energy").alias("n"))
-    ids = e.where(F.col("sample_id") != BASELINE).select("sample_id").distinct()
-    n = ids.join(n, F.lit(True))  # the baseline's few bands for each sample
-    a = e.where(F.col("sample_id") != BASELINE).select("sample_id", "band", F.col("energy").alias("a"))
-    both = n.join(a, ["sample_id", "band"], "full_outer").na.fill(0.0, ["n", "a"])
+    e = e.withColumns({"kind": F.substring_index("sample_id", "-", 1), "window": F.substring_index("sample_id", "-", -1)})
+    n = e.where(F.col("kind") == BASELINE).select("window", "band", F.col("energy").alias("n"))
+    a = e.where(F.col("kind") != BASELINE)
+    n = a.select("sample_id", "window").distinct().join(n, "window").drop("window")
+    both = n.join(a.select("sample_id", "band", F.col("energy").alias("a")), ["sample_id", "band"], "full_outer").na.fill(0.0, ["n", "a"])
     rank = F.row_number().over(Window.partitionBy("sample_id").orderBy(F.desc(F.abs(F.col("a") - F.col("n"))), "band"))
     rows = both.select("sample_id", "band", F.col("n").alias("normal"), F.col("a").alias("abnormal"), (F.col("a") - F.col("n")).alias("delta"), (rank == 1).alias("largest"))
     return _r(rows, "normal", "abnormal", "delta", digits=3)
@@ -200,19 +206,11 @@ def quality_checks(spark, sf_dir):
 DIAGNOSIS_POINTS, DIAGNOSIS_FS, DIAGNOSIS_RPM = 1024, 12000.0, 1797.0
 
 
-def _blocks(spark, sf_dir) -> DataFrame:
-    """Each event type's whole blocks of 1024 points, a sample each."""
-    rows = _signals(spark, sf_dir).withColumn("block", F.floor(F.col("idx") / DIAGNOSIS_POINTS))
-    whole = rows.groupBy("sample_id", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == DIAGNOSIS_POINTS).drop("n")
-    rows = rows.join(whole, ["sample_id", "block"])
-    return rows.select(F.concat("sample_id", F.lit("-"), F.col("block").cast("string")).alias("sample_id"), (F.col("idx") % DIAGNOSIS_POINTS).alias("idx"), "amplitude")
-
-
 def envelope_features(spark, sf_dir):
-    """Kernel features of each block, envelopes included; no SQL can express the filter."""
+    """Kernel features of each whole block, envelopes included; no SQL can express the filter."""
     from tremolo.operators.features import extract_features
 
-    blocks = _blocks(spark, sf_dir)
+    blocks = _blocks(spark, sf_dir, DIAGNOSIS_POINTS)
     samples = blocks.select("sample_id").distinct().withColumns({"sampling_rate": F.lit(DIAGNOSIS_FS), "rotation_speed": F.lit(DIAGNOSIS_RPM)})
     f = extract_features(blocks, samples)
     e = F.col("envelope.characteristic_energy")
@@ -220,15 +218,20 @@ def envelope_features(spark, sf_dir):
 
 
 def diagnosis_batch(spark, sf_dir):
-    """Every block of another type compared with the baseline's first: features, comparison, clauses, ranks."""
+    """Every block of another type compared with the baseline's of the same number: features, comparison, clauses, ranks."""
     from tremolo.operators import rules
     from tremolo.operators.compare import compare
     from tremolo.operators.features import extract_features
-
-    blocks = _blocks(spark, sf_dir)
-    ids = blocks.select("sample_id").distinct()
-    features = extract_features(blocks, ids.withColumns({"sampling_rate": F.lit(DIAGNOSIS_FS), "rotation_speed": F.lit(DIAGNOSIS_RPM)}))
-    pairs = ids.where(~F.col("sample_id").startswith(BASELINE)).select(F.col("sample_id").alias("request_id"), F.lit(f"{BASELINE}-0").alias("normal_id"), F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
+    from tremolo.session import Stage
+
+    blocks = _blocks(spark, sf_dir, DIAGNOSIS_POINTS)
+    ids = blocks.select("sample_id", "kind", "block").distinct()
+    samples = ids.select("sample_id", F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
+    # Written, as the comparison reads them for either side.
+    features = Stage(spark, "batch").write(extract_features(blocks, samples))
+    known = features.select("sample_id", F.substring_index("sample_id", "-", 1).alias("kind"), F.substring_index("sample_id", "-", -1).alias("block"))
+    base = known.where(F.col("kind") == BASELINE).select("block", F.col("sample_id").alias("normal_id"))
+    pairs = known.where(F.col("kind") != BASELINE).join(base, "block").select(F.col("sample_id").alias("request_id"), "normal_id", F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
     checks = rules.checked(compare(pairs, features), rules.clause_table(spark))
     return rules.tallied(checks, "request_id", "fault_type")
 
@@ -269,7 +272,7 @@ ORACLE = {
     "dft_spectrum": f"WITH {_DFT} SELECT sample_id, bin, freq, round(mag, 4) AS mag FROM spec",
     "dominant_frequency": f"WITH {_DFT} SELECT sample_id, freq AS dominant_frequency, round(mag, 4) AS dominant_amplitude FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY mag DESC, bin) AS k FROM spec) WHERE k = 1",
     "band_energy": f"WITH {_DFT}, {_BANDS} SELECT sample_id, band, {_LABEL} AS label, round(energy, 4) AS energy FROM bands",
-    "band_change_outer": f"WITH {_DFT}, {_BANDS}, n AS (SELECT * FROM bands WHERE sample_id = '{BASELINE}'), a AS (SELECT * FROM bands WHERE sample_id <> '{BASELINE}'), i AS (SELECT DISTINCT sample_id FROM a), nn AS (SELECT i.sample_id, n.band, n.energy FROM n, i), j AS (SELECT coalesce(nn.sample_id, a.sample_id) AS sample_id, coalesce(nn.band, a.band) AS band, coalesce(nn.energy, 0) AS n, coalesce(a.energy, 0) AS a FROM nn FULL JOIN a ON nn.sample_id = a.sample_id AND nn.band = a.band) SELECT sample_id, band, round(n, 3) AS normal, round(a, 3) AS abnormal, round(a - n, 3) AS delta, row_number() OVER (PARTITION BY sample_id ORDER BY abs(a - n) DESC, band) = 1 AS largest FROM j",
+    "band_change_outer": f"WITH {_DFT}, {_BANDS}, e AS (SELECT *, split_part(sample_id, '-', 1) AS kind, split_part(sample_id, '-', 2) AS w FROM bands), n AS (SELECT w, band, energy FROM e WHERE kind = '{BASELINE}'), a AS (SELECT * FROM e WHERE kind <> '{BASELINE}'), i AS (SELECT DISTINCT sample_id, w FROM a), nn AS (SELECT i.sample_id, n.band, n.energy FROM n JOIN i ON n.w = i.w), j AS (SELECT coalesce(nn.sample_id, a.sample_id) AS sample_id, coalesce(nn.band, a.band) AS band, coalesce(nn.energy, 0) AS n, coalesce(a.energy, 0) AS a FROM nn FULL JOIN a ON nn.sample_id = a.sample_id AND nn.band = a.band) SELECT sample_id, band, round(n, 3) AS normal, round(a, 3) AS abnormal, round(a - n, 3) AS delta, row_number() OVER (PARTITION BY sample_id ORDER BY abs(a - n) DESC, band) = 1 AS largest FROM j",
     "local_maxima_prominence": f"""WITH {_DFT}, {_PEAKS}, w AS (SELECT p.sample_id, p.bin, p.freq, p.mag, max(s.bin) FILTER (s.bin < p.bin AND s.mag > p.mag) AS wl, min(s.bin) FILTER (s.bin > p.bin AND s.mag > p.mag) AS wr FROM maxima p JOIN spec s USING (sample_id) GROUP BY 1, 2, 3, 4),
       q AS (SELECT w.sample_id, w.bin, w.freq, w.mag, min(s.mag) FILTER (s.bin <= w.bin AND s.bin > coalesce(wl, -1)) AS a, min(s.mag) FILTER (s.bin >= w.bin AND s.bin < coalesce(wr, 1000000)) AS z FROM w JOIN spec s ON s.sample_id = w.sample_id GROUP BY 1, 2, 3, 4)
       SELECT sample_id, bin, freq, round(mag, 4) AS mag, round(mag - greatest(a, z), 4) AS prominence FROM q""",

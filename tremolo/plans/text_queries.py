@@ -41,13 +41,11 @@ def token_counts(spark, sf_dir):
 
 
 def bm25_index_stats(spark, sf_dir):
-    _, idf, _ = retrieval.index(_docs(spark, sf_dir), "doc_id", "text")
-    return idf.select("token", "df", F.round("idf", 4).alias("idf"))
+    return retrieval.index(_docs(spark, sf_dir), "doc_id", "text").idf.select("token", "df", F.round("idf", 4).alias("idf"))
 
 
 def _bm25(spark, sf_dir):
-    weights, idf, _ = retrieval.index(_docs(spark, sf_dir), "doc_id", "text")
-    scores = retrieval.bm25_scores(_asked(spark, sf_dir), weights, idf, "doc_id")
+    scores = retrieval.bm25_scores(_asked(spark, sf_dir), retrieval.index(_docs(spark, sf_dir), "doc_id", "text"))
     return scores.withColumn("score", F.round("score", 6))
 
 
@@ -59,14 +57,14 @@ def bm25_topk(spark, sf_dir):
 _COS = "cs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(greatest(0, least(1, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])))), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
 
 
-def _cosine(spark, sf_dir):
+def _cosine(spark, sf_dir, best: int | None = None):
     v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("v"))
-    return retrieval.cosine_scores(q, v, "doc_id").withColumn("score", F.round("score", 6))
+    return retrieval.cosine_scores(q, v, "doc_id", best=best, digits=6)
 
 
 def cosine_topk(spark, sf_dir):
-    return retrieval.top(_cosine(spark, sf_dir), "doc_id", TOP)
+    return retrieval.top(_cosine(spark, sf_dir, TOP), "doc_id", TOP)
 
 
 def hybrid_topk(spark, sf_dir):
@@ -86,6 +84,14 @@ def best_chunk_per_entry(spark, sf_dir):
     return retrieval.best_chunk(_bm25(spark, sf_dir).join(sources, "doc_id"), "source", "doc_id").select("query_id", "source", "doc_id", "score")
 
 
+def clause_hits(spark, sf_dir):
+    """Of each source the two documents that score best for a query, as an entry's clauses are picked."""
+    from tremolo.operators.search import best_clauses
+
+    sources = load(spark, sf_dir, "documents").select("doc_id", "source")
+    return best_clauses(_bm25(spark, sf_dir).join(sources, "doc_id"), "source", "doc_id", 2, "query_id").select("query_id", "source", "k", "doc_id", "score")
+
+
 def query_overlap(spark, sf_dir):
     """Share of each benchmark item's tokens that each language's stated words hold."""
     words = retrieval.tokens(F.lit("the of and to in is for on with as de la le der die und el en que"))
@@ -103,16 +109,13 @@ def vector_normalise(spark, sf_dir):
 
 
 def index_rebuild(spark, sf_dir):
-    """Counts of a rebuild from the even documents' index to that of the documents divisible by 3."""
-    ids = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"))
-    return retrieval.rebuilt(ids.where("chunk_id % 2 = 0"), ids.where("chunk_id % 3 = 0"))[1]
+    """Counts of a rebuild from an index of the vectors' ids to that of all documents."""
+    old = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"))
+    return retrieval.rebuilt(old, load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")))[1]
 
 
 # --- rules ---
 
-_SIMPLE = [c for c in rules.CLAUSES if c[2] in ("rms_ratio", "kurtosis_ratio", "crest_factor_ratio", "changed_feature_count")]
-
-
 def _facts(spark, sf_dir) -> DataFrame:
     rows = compare_changes(spark, sf_dir)
     one = lambda f: F.max(F.when(F.col("feature") == f, F.struct("normal", "abnormal", "delta", "ratio")))
@@ -177,6 +180,41 @@ def confidence_levels(spark, sf_dir):
     return led.select("sample_id", F.col("top.fault_type").alias("fault_type"), verdict.confidence(F.col("top"), F.col("second"), F.col("n"), F.lit(False)).alias("level"))
 
 
+#: A clause for each metric that no registered clause uses, and for each operator.
+_EXTRA = [
+    ("probe", "probe-peak", "peak_ratio", ">", "1.5", None, None), ("probe", "probe-amplitude", "dominant_amplitude_ratio", ">=", "2", None, None), ("probe", "probe-energy", "envelope_energy", ">", "20", "BPFO", None),
+    ("probe", "probe-ratio", "envelope_ratio", "<=", "2.5", "FTF", None), ("probe", "probe-rank", "envelope_rank", "!=", "1", "BSF", None), ("probe", "probe-orders", "peak_match_orders", "==", "2", "BPFI", None),
+    ("probe", "probe-truth", "dominant_ambiguous", "!=", "yes", None, None), ("probe", "probe-tie", "tied_family", "==", "0", "BPFI", None), ("probe", "probe-third", "dominant_near_shaft", "==", "1", None, "3"),
+    ("probe", "probe-word", "rms_ratio", ">=", "many", None, None), ("probe", "probe-operator", "rms_ratio", "~", "1", None, None), ("probe", "probe-metric", "no_such_metric", ">", "1", None, None),
+]
+
+
+def clause_metrics(spark, sf_dir):
+    """Every metric and operator over facts with values: each part's size stands for the measurements of one comparison."""
+    x = F.col("p_size").cast("double")
+    blank = F.lit(None).cast("double")
+    ratio = lambda r: F.struct(blank.alias("normal"), blank.alias("abnormal"), blank.alias("delta"), r.alias("ratio"))
+    energy = {"BPFO": x, "BPFI": 51 - x, "BSF": F.lit(25.0), "FTF": F.abs(x - 25)}
+    changes = F.array(*[F.struct((-e).alias("_order"), F.lit(k).alias("_pos"), F.lit(f).alias("label"), e.alias("abnormal"), (e / 10).alias("ratio")) for k, (f, e) in enumerate(energy.items())])
+    first, second = F.element_at(F.array_sort(changes), 1), F.element_at(F.array_sort(changes), 2)
+    margin = first["abnormal"] / second["abnormal"]
+    tied = margin < config.DOMINANCE_MARGIN
+    dominant = F.struct(first["label"].alias("label"), tied.alias("ambiguous"), margin.alias("margin_ratio"), F.when(tied, F.array(first["label"], second["label"])).otherwise(F.array().cast("array<string>")).alias("tied"))
+    repeated = lambda f, n: F.array_repeat(F.struct(F.lit(f).alias("label"), F.lit(1).alias("harmonic_order")), n.cast("int"))
+    facts = load(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.struct(ratio(x / 25).alias("rms"), ratio(x / 20).alias("peak"), ratio((51 - x) / 25).alias("kurtosis"), ratio(F.when(x % 7 != 0, x / 30)).alias("crest_factor"), ratio(x / 10).alias("dominant_amplitude")).alias("feature_changes"),
+        F.when(x != 50, F.array_repeat(F.lit("rms"), F.floor(x / 20).cast("int"))).alias("changed_features"),
+        F.struct(((x - 25) / 4).alias("shift_hz"), (10 + x / 2).alias("abnormal_dominant")).alias("frequency_change"),
+        F.when(x != 49, F.struct(x.alias("shaft"))).alias("fault_frequencies"),
+        F.when(x != 48, F.concat(repeated("BPFO", x % 4), repeated("BPFI", x % 3))).alias("matches"),
+        F.when(x != 47, changes).alias("characteristic_changes"), F.when(x != 47, dominant).alias("dominant"),
+    )
+    clauses = spark.createDataFrame([(k, *c) for k, c in enumerate(rules.CLAUSES + _EXTRA)], rules.clause_table(spark).schema)
+    made = rules.checked(facts, clauses)
+    return made.select("p_partkey", "clause_id", F.round("actual", 6).alias("actual"), "expected", "state")
+
+
 # --- sessions: conversations stand in for them ---
 
 
@@ -223,9 +261,11 @@ def url_extract(spark, sf_dir):
 
 
 def allowed_urls(spark, sf_dir):
-    """URLs in pages that neither begin nor are begun by the address of the page of that id."""
-    pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("session_id"), "html", "url")
-    return sessions.rejected_urls(pages, pages.select("session_id", "url"), "html", "session_id")
+    """Of texts that name their own page's address, a part of it and the address of the page after, the URLs that don't fit the own one."""
+    pages = load(spark, sf_dir, "pages").select(F.col("page_id").alias("session_id"), "url")
+    after = pages.select((F.col("session_id") - 1).alias("session_id"), F.col("url").alias("other"))
+    text = F.concat_ws(" ", F.lit("see"), "url", F.concat("url", F.lit("/more")), F.lit("and"), "other")
+    return sessions.rejected_urls(pages.join(after, "session_id", "left").select("session_id", text.alias("answer")), pages, "answer", "session_id")
 
 
 def event_payload_json(spark, sf_dir):
@@ -262,14 +302,33 @@ def _matched() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_counts, bm25_index_stats, bm25_topk, cosine_topk, hybrid_topk, chunks, best_chunk_per_entry, query_overlap, distinct_sources, vector_normalise, index_rebuild, clause_checks, clause_tallies,
+        token_counts, bm25_index_stats, bm25_topk, cosine_topk, hybrid_topk, chunks, best_chunk_per_entry, clause_hits, query_overlap, distinct_sources, vector_normalise, index_rebuild, clause_checks, clause_metrics, clause_tallies,
         alignment_rerank, candidate_gaps, confidence_levels, session_list, session_retention, history_window, topic_router, question_match, session_counts, url_extract, allowed_urls, event_payload_json, text_folding,
     )
 }
 
+_STRIP = r"regexp_replace(regexp_replace({}, '^[\s\v]+', ''), '[\s\v]+$', '')"
+#: Where the chunk of ``t`` that begins at ``at`` ends: after the last border of its tail, if it isn't the last chunk.
+_E = f"least({{at}} + {config.CHUNK_SIZE}, length(t))"
+_LOW = f"greatest({{at}} + 1, {_E} - {config.CHUNK_LOOKBACK})"
+_TAIL = f"length(regexp_replace(substr(t, CAST({_LOW} AS BIGINT) + 1, CAST({_E} - {_LOW} AS BIGINT)), '[^{config.CHUNK_BORDERS}]*$', ''))"
+_END = f"CASE WHEN {_E} < length(t) AND {_TAIL} > 0 THEN {_LOW} + {_TAIL} ELSE {_E} END"
 _TOPK = f"SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM {{0}}) WHERE rank <= {TOP}"
 _SHARED = "list_filter(list_distinct(list_transform(regexp_extract_all(text, " + _RE + "), lambda x: lower(x))), lambda x: list_contains(['the','of','and','to','in','is','for','on','with','as','de','la','le','der','die','und','el','en','que'], x))"
+_ENERGY = {"BPFO": "x", "BPFI": "(51 - x)", "BSF": "25.0", "FTF": "abs(x - 25)"}
+_RANKED = "SELECT p_partkey, list({'f': f, 'e': e} ORDER BY e DESC, k) AS r FROM (" + " UNION ALL ".join(f"SELECT p_partkey, {k} AS k, '{f}' AS f, {e} AS e FROM x WHERE x <> 47" for k, (f, e) in enumerate(_ENERGY.items())) + ") GROUP BY 1"
+_OF = lambda form: "CASE family " + " ".join(f"WHEN '{f}' THEN {form(f, e)}" for f, e in _ENERGY.items()) + " END"
+_METRICS = f"""WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x FROM part), rk AS ({_RANKED}), c(fault_type, clause_id, metric, op, value, family, ord) AS (VALUES {", ".join(f"({', '.join(map(_text, c))})" for c in rules.CLAUSES + _EXTRA)}),
+  f AS (SELECT x.p_partkey, x, r, r[1].e / r[2].e AS margin, r[1].e / r[2].e < {config.DOMINANCE_MARGIN} AS tied FROM x LEFT JOIN rk USING (p_partkey)),
+  j AS (SELECT p_partkey, clause_id, op, CASE metric WHEN 'rms_ratio' THEN x / 25 WHEN 'peak_ratio' THEN x / 20 WHEN 'kurtosis_ratio' THEN (51 - x) / 25 WHEN 'crest_factor_ratio' THEN CASE WHEN x % 7 <> 0 THEN x / 30 END WHEN 'dominant_amplitude_ratio' THEN x / 10
+      WHEN 'changed_feature_count' THEN CASE WHEN x <> 50 THEN floor(x / 20) END WHEN 'dominant_shift_hz' THEN abs((x - 25) / 4) WHEN 'dominant_near_shaft' THEN CASE WHEN x <> 49 AND x > 0 THEN CAST(abs(10 + x / 2 - x * coalesce(CAST(ord AS DOUBLE), 1)) / (x * coalesce(CAST(ord AS DOUBLE), 1)) <= {config.SHAFT_TOLERANCE} AS DOUBLE) END
+      WHEN 'envelope_energy' THEN CASE WHEN x <> 47 THEN {_OF(lambda f, e: e)} END WHEN 'envelope_ratio' THEN CASE WHEN x <> 47 THEN {_OF(lambda f, e: e + " / 10")} END WHEN 'envelope_rank' THEN list_position(list_transform(r, lambda q: q.f), family) WHEN 'envelope_margin' THEN margin WHEN 'dominant_ambiguous' THEN CAST(tied AS DOUBLE)
+      WHEN 'peak_match_orders' THEN CASE WHEN x <> 48 THEN CASE family WHEN 'BPFO' THEN x % 4 WHEN 'BPFI' THEN x % 3 ELSE 0 END END WHEN 'tied_family' THEN CASE WHEN tied THEN CAST(family IN (r[1].f, r[2].f) AS DOUBLE) END END AS actual,
+    CASE WHEN metric IN ('dominant_near_shaft', 'dominant_ambiguous', 'tied_family') THEN CASE WHEN value IN ('true', '1', 'yes') THEN 1.0 WHEN value IN ('false', '0', 'no') THEN 0.0 END ELSE TRY_CAST(value AS DOUBLE) END AS expected FROM f, c),
+  s AS (SELECT *, CASE op WHEN '>=' THEN actual >= expected WHEN '<=' THEN actual <= expected WHEN '>' THEN actual > expected WHEN '<' THEN actual < expected WHEN '==' THEN actual = expected WHEN '!=' THEN actual <> expected END AS holds FROM j)
+  SELECT p_partkey, clause_id, round(CAST(actual AS DOUBLE), 6) AS actual, CAST(expected AS DOUBLE) AS expected, CASE WHEN holds IS NULL THEN 'unknown' WHEN holds THEN 'hit' ELSE 'miss' END AS state FROM s"""
 ORACLE = {
+    "clause_metrics": _METRICS,
     "token_counts": f"WITH {_POST.format('p', 'doc_id', 'text', 'documents')} SELECT token, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs FROM p GROUP BY 1",
     "bm25_index_stats": f"WITH {_INDEX} SELECT token, df, round(idf, 4) AS idf FROM idf",
     "bm25_topk": f"WITH {_BM25} {_TOPK.format('bm')}",
@@ -277,10 +336,12 @@ ORACLE = {
     "hybrid_topk": f"""WITH {_BM25}, {_COS}, h AS (SELECT coalesce(cs.query_id, bm.query_id) AS query_id, coalesce(cs.doc_id, bm.doc_id) AS doc_id, coalesce(cs.score, 0) AS vector_score, coalesce(bm.score, 0) AS bm25_score FROM cs FULL JOIN bm ON cs.query_id = bm.query_id AND cs.doc_id = bm.doc_id),
       k AS (SELECT *, round(greatest(0, least(1, {config.VECTOR_WEIGHT} * vector_score + {config.BM25_WEIGHT} * bm25_score)), 5) AS score FROM h WHERE doc_id IN (SELECT doc_id FROM documents)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k) WHERE rank <= {TOP}""",
     "best_chunk_per_entry": f"WITH {_BM25}, j AS (SELECT bm.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS k FROM bm JOIN documents USING (doc_id)) SELECT query_id, source, doc_id, score FROM j WHERE k = 1",
+    "clause_hits": f"WITH {_BM25}, j AS (SELECT bm.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS k FROM bm JOIN documents USING (doc_id) WHERE score > 0) SELECT query_id, source, k, doc_id, score FROM j WHERE k <= 2",
+    "chunks": f"WITH RECURSIVE d AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents), r AS (SELECT doc_id, 0 AS p0, {_END.format(at=0)} AS e FROM d UNION ALL SELECT doc_id, nat AS p0, {_END.format(at='nat')} AS e FROM (SELECT r.doc_id, d.t, greatest(r.e - {config.CHUNK_OVERLAP}, r.p0 + 1) AS nat FROM r JOIN d USING (doc_id) WHERE r.e < length(d.t))), p AS (SELECT doc_id, p0, {_STRIP.format('substr(t, CAST(p0 AS BIGINT) + 1, CAST(e - p0 AS BIGINT))')} AS c, length(t) AS l FROM r JOIN d USING (doc_id)), k AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1 AS i FROM p WHERE c <> '' OR l = 0) SELECT doc_id, i AS chunk_index, doc_id || '#chunk-' || printf('%03d', i) AS chunk_id, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS md5 FROM k",
     "query_overlap": f"SELECT item_id, round(CAST(len({_SHARED}) AS DOUBLE) / greatest(1, len(list_distinct(list_transform(regexp_extract_all(text, {_RE}), lambda x: lower(x))))), 6) AS share FROM benchmark",
     "distinct_sources": "SELECT source AS name, lang, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2",
     "vector_normalise": "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / n)), 4) AS total, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x / n) * (x / n))), 4) AS norm2 FROM (SELECT *, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)",
-    "index_rebuild": "SELECT count(*) FILTER (doc_id % 3 = 0) AS upserted, count(*) FILTER (doc_id % 2 = 0 AND doc_id % 3 <> 0) AS pruned, count(*) FILTER (doc_id % 3 = 0 AND doc_id % 2 <> 0) AS added FROM documents",
+    "index_rebuild": "SELECT count(doc_id) AS upserted, count(*) FILTER (doc_id IS NULL) AS pruned, count(*) FILTER (vec_id IS NULL) AS added FROM documents FULL JOIN embeddings ON doc_id = vec_id",
     "clause_checks": f"WITH {_CHECKS} SELECT sample_id, fault_type, clause_id, round(actual, 4) AS actual, expected, state, expectation FROM s",
     "clause_tallies": f"WITH {_CHECKS}, {_TALLY} SELECT sample_id, fault_type, hits, misses, unknowns, checked, total, state, CAST(factor AS DOUBLE) AS factor FROM u",
     "alignment_rerank": f"{_RERANK} SELECT * FROM a",
@@ -293,7 +354,7 @@ ORACLE = {
     "question_match": f"SELECT conv_id, turn, CASE {_matched()} END AS question FROM conversations",
     "session_counts": "SELECT count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations",
     "url_extract": f"SELECT DISTINCT page_id, unnest(regexp_extract_all(concat_ws(' ', url, html), {_URL})) AS url FROM pages",
-    "allowed_urls": f"SELECT session_id, u AS url FROM (SELECT DISTINCT page_id AS session_id, url, unnest(regexp_extract_all(html, {_URL})) AS u FROM pages) WHERE NOT (starts_with(u, url) OR starts_with(url, u))",
+    "allowed_urls": f"SELECT DISTINCT p.page_id AS session_id, u AS url FROM (SELECT a.page_id, a.url, unnest(regexp_extract_all(concat_ws(' ', 'see', a.url, a.url || '/more', 'and', b.url), {_URL})) AS u FROM pages a LEFT JOIN pages b ON b.page_id = a.page_id + 1) p WHERE NOT (starts_with(u, p.url) OR starts_with(p.url, u))",
     "event_payload_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
     "text_folding": f"SELECT doc_id, {_SHORT.format('text')} AS short FROM documents",
 }
