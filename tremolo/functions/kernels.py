@@ -52,8 +52,11 @@ def peak_prominences(y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return peaks, y[peaks] - np.maximum(basin(y)[peaks], basin(y[::-1])[::-1][peaks])
 
 
-def butter_bandpass(low: float, high: float, order: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Coefficients (b, a) of a Butterworth band-pass; edges as shares of the Nyquist frequency."""
+def butter_sections(low: float, high: float, order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A Butterworth band-pass as sections (b, a) of second order; edges as shares of the Nyquist frequency.
+
+    Sections keep narrow bands stable, whose whole polynomial would not be.
+    """
     poles = np.exp(1j * np.pi * (2 * np.arange(order) + order + 1) / (2 * order))
     w1, w2 = 4 * np.tan(np.pi * low / 2), 4 * np.tan(np.pi * high / 2)
     width, centre = w2 - w1, np.sqrt(w1 * w2)
@@ -61,9 +64,15 @@ def butter_bandpass(low: float, high: float, order: int = 4) -> tuple[np.ndarray
     root = np.sqrt(half**2 - centre**2 + 0j)
     analog = np.concatenate([half + root, half - root])
     digital = (4 + analog) / (4 - analog)
-    zeros = np.concatenate([np.ones(order), -np.ones(order)])
-    gain = np.real(width**order * 4.0**order / np.prod(4 - analog))
-    return np.real(gain * np.poly(zeros)), np.real(np.poly(digital))
+    gain = float(np.real(width**order * 4.0**order / np.prod(4 - analog)))
+    upper = sorted((p for p in digital if p.imag > 0), key=abs)
+    if len(upper) == order:  # the others are their conjugates
+        pairs = [(p, p.conjugate()) for p in upper]
+    else:  # a wide band may have real poles
+        real = sorted((p for p in digital if p.imag == 0), key=abs)
+        pairs = [(p, p.conjugate()) for p in upper] + list(zip(real[::2], real[1::2]))
+    each = gain ** (1 / order)
+    return [(np.array([each, 0.0, -each]), np.array([1.0, -(p + q).real, (p * q).real])) for p, q in pairs]
 
 
 #: Points that the filter takes at a step.
@@ -96,20 +105,22 @@ def _run(b: np.ndarray, a: np.ndarray, x: np.ndarray, z: np.ndarray) -> np.ndarr
     return (blocks @ np.where(lag >= 0, response[np.abs(lag)], 0.0).T + states @ seen.T).ravel()[: len(x)]
 
 
-def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray) -> np.ndarray:
+def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) -> np.ndarray:
     """Forward and backward filtering with odd extension and steady-state starts."""
-    pad = 3 * max(len(a), len(b))
+    pad = 3 * (2 * len(sections) + 1)
     if len(x) <= pad:
         raise ValueError(f"the filter needs more than {pad} points")
-    n = len(a) - 1
-    companion = np.zeros((n, n))
-    companion[0] = -a[1:]
-    companion[np.arange(1, n), np.arange(n - 1)] = 1
-    start = np.linalg.solve(np.eye(n) - companion.T, b[1:] - a[1:] * b[0])
+
+    def through(y: np.ndarray) -> np.ndarray:
+        level = y[0]  # the state is that of a constant signal of the first value
+        for b, a in sections:
+            out = level * b.sum() / a.sum()
+            y = _run(b, a, y, np.array([out - b[0] * level, b[2] * level - a[2] * out]))
+            level = out
+        return y
+
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    y = _run(b, a, ext, start * ext[0])
-    y = _run(b, a, y[::-1], start * y[-1])[::-1]
-    return y[pad:-pad]
+    return through(through(ext)[::-1])[::-1][pad:-pad]
 
 
 def bandpass(x: np.ndarray, fs: float, band: tuple | None = None) -> tuple[np.ndarray, list[float], str]:
@@ -121,7 +132,7 @@ def bandpass(x: np.ndarray, fs: float, band: tuple | None = None) -> tuple[np.nd
         raise ValueError("invalid_argument: the band needs two rising finite numbers")
     if lo <= 0 or hi >= nyquist:
         return x, [0.0, nyquist], "unfiltered"
-    return zero_phase(*butter_bandpass(lo / nyquist, hi / nyquist), x), [lo, hi], rule
+    return zero_phase(butter_sections(lo / nyquist, hi / nyquist), x), [lo, hi], rule
 
 
 def envelope_spectrum(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:

@@ -51,6 +51,40 @@ def reworded(reports: DataFrame, call: Callable[[Column], Column] | None) -> Dat
     }).drop("_answer")
 
 
+#: Failures that may pass if tried again (fixed values).
+RETRYABLE = ("mcp_connection_error", "mcp_timeout", "mcp_protocol_error", "internal_error")
+
+
+class ToolError(Exception):
+    def __init__(self, code: str, message: str = ""):
+        super().__init__(message or code)
+        self.code = code
+
+
+def bounded(call: Callable, most: int, retries: int = 1, warn: Callable[[str], None] = lambda text: None) -> Callable:
+    """``call`` that works ``most`` times at most and is tried again ``retries`` times where it fails with a retryable code.
+
+    Tries again don't count. Beyond the limit it raises max_tool_calls_exceeded without a call; other codes
+    are raised at once. For calls outside Spark; tasks are tried again by Spark itself (spark.task.maxFailures).
+    """
+    used = 0
+
+    def run(*args, **kwargs):
+        nonlocal used
+        if used >= most:
+            raise ToolError("max_tool_calls_exceeded", f"no more than {most} calls are allowed")
+        used += 1
+        for k in range(retries + 1):
+            try:
+                return call(*args, **kwargs)
+            except ToolError as e:
+                if e.code not in RETRYABLE or k == retries:
+                    raise
+                warn(f"{e.code}, try {k + 2}: {e}")
+
+    return run
+
+
 def load_settings(path: str, environment: dict[str, str] | None = None) -> dict[str, str]:
     """``KEY=VALUE`` lines of a file; comments are passed over, and what the environment has stands."""
     found: dict[str, str] = {}

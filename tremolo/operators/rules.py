@@ -7,33 +7,35 @@ from pyspark.sql import functions as F
 
 from tremolo.config import FACTOR_BASE, FACTOR_SPAN, SHAFT_TOLERANCE
 
-#: fault type, clause id, metric, operator, value, family, order (fixed values).
-CLAUSES = [
-    ("ball_fault", "ball-rms-up", "rms_ratio", ">=", "1.3", None, None),
-    ("ball_fault", "ball-kurt-mild", "kurtosis_ratio", "<", "1.3", None, None),
-    ("ball_fault", "ball-crest-mild", "crest_factor_ratio", "<", "1.2", None, None),
-    ("ball_fault", "ball-dispersed", "dominant_ambiguous", "==", "true", None, None),
-    ("ball_fault", "ball-tie-bsf", "tied_family", "==", "true", "BSF", None),
-    ("cage_fault", "cage-ftf-peaks", "peak_match_orders", ">=", "1", "FTF", None),
-    ("cage_fault", "cage-ftf-rank", "envelope_rank", "<=", "2", "FTF", None),
-    ("cage_fault", "cage-mild", "kurtosis_ratio", "<", "1.3", None, None),
-    ("inner_race_fault", "inner-rms-up", "rms_ratio", ">=", "1.3", None, None),
-    ("inner_race_fault", "inner-kurt-up", "kurtosis_ratio", ">=", "1.3", None, None),
-    ("inner_race_fault", "inner-crest-up", "crest_factor_ratio", ">=", "1.2", None, None),
-    ("inner_race_fault", "inner-bpfi-peaks", "peak_match_orders", ">=", "2", "BPFI", None),
-    ("inner_race_fault", "inner-bpfi-rank", "envelope_rank", "<=", "1", "BPFI", None),
-    ("inner_race_fault", "inner-bpfi-margin", "envelope_margin", ">=", "1.15", None, None),
-    ("misalignment", "misalign-2x-dominant", "dominant_near_shaft", "==", "true", None, "2"),
-    ("normal", "normal-no-change", "changed_feature_count", "<=", "0", None, None),
-    ("normal", "normal-no-shift", "dominant_shift_hz", "<", "1.0", None, None),
-    ("outer_race_fault", "outer-rms-up", "rms_ratio", ">=", "1.3", None, None),
-    ("outer_race_fault", "outer-kurt-up", "kurtosis_ratio", ">=", "1.3", None, None),
-    ("outer_race_fault", "outer-crest-up", "crest_factor_ratio", ">=", "1.2", None, None),
-    ("outer_race_fault", "outer-bpfo-peaks", "peak_match_orders", ">=", "2", "BPFO", None),
-    ("outer_race_fault", "outer-bpfo-rank", "envelope_rank", "<=", "1", "BPFO", None),
-    ("outer_race_fault", "outer-bpfo-margin", "envelope_margin", ">=", "1.15", None, None),
-    ("unbalance", "unbalance-1x-dominant", "dominant_near_shaft", "==", "true", None, "1"),
+#: fault type, metric, operator, value, family, order (fixed values).
+_RULES = [
+    ("ball_fault", "rms_ratio", ">=", "1.3", None, None),
+    ("ball_fault", "kurtosis_ratio", "<", "1.3", None, None),
+    ("ball_fault", "crest_factor_ratio", "<", "1.2", None, None),
+    ("ball_fault", "dominant_ambiguous", "==", "true", None, None),
+    ("ball_fault", "tied_family", "==", "true", "BSF", None),
+    ("cage_fault", "peak_match_orders", ">=", "1", "FTF", None),
+    ("cage_fault", "envelope_rank", "<=", "2", "FTF", None),
+    ("cage_fault", "kurtosis_ratio", "<", "1.3", None, None),
+    ("inner_race_fault", "rms_ratio", ">=", "1.3", None, None),
+    ("inner_race_fault", "kurtosis_ratio", ">=", "1.3", None, None),
+    ("inner_race_fault", "crest_factor_ratio", ">=", "1.2", None, None),
+    ("inner_race_fault", "peak_match_orders", ">=", "2", "BPFI", None),
+    ("inner_race_fault", "envelope_rank", "<=", "1", "BPFI", None),
+    ("inner_race_fault", "envelope_margin", ">=", "1.15", None, None),
+    ("misalignment", "dominant_near_shaft", "==", "true", None, "2"),
+    ("normal", "changed_feature_count", "<=", "0", None, None),
+    ("normal", "dominant_shift_hz", "<", "1.0", None, None),
+    ("outer_race_fault", "rms_ratio", ">=", "1.3", None, None),
+    ("outer_race_fault", "kurtosis_ratio", ">=", "1.3", None, None),
+    ("outer_race_fault", "crest_factor_ratio", ">=", "1.2", None, None),
+    ("outer_race_fault", "peak_match_orders", ">=", "2", "BPFO", None),
+    ("outer_race_fault", "envelope_rank", "<=", "1", "BPFO", None),
+    ("outer_race_fault", "envelope_margin", ">=", "1.15", None, None),
+    ("unbalance", "dominant_near_shaft", "==", "true", None, "1"),
 ]
+#: The same with a clause id in second place: the type and the clause's number among those of its type.
+CLAUSES = [(kind, f"{kind}/{sum(r[0] == kind for r in _RULES[: k + 1])}", *rest) for k, (kind, *rest) in enumerate(_RULES)]
 #: Words that stand for true and false (fixed values).
 TRUE, FALSE = ("true", "1", "yes", "是", "成立"), ("false", "0", "no", "否", "不成立")
 BOOLEAN_METRICS = ("dominant_near_shaft", "dominant_ambiguous", "tied_family")

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo import config
-from tremolo.functions.scalars import folded, normal_question, urls
+from tremolo.functions.scalars import folded, normal_question, short_number, urls
+from tremolo.operators.signals import indexed
 
 #: The kinds of events, in the order in which they may occur (fixed values).
-EVENTS = ("run_started", "node_started", "tool_started", "tool_finished", "node_finished", "warning", "report_ready", "run_finished", "run_failed")
+EVENTS = ("diagnosis_started", "node_started", "tool_started", "tool_completed", "node_completed", "branch_selected", "warning", "diagnosis_completed", "diagnosis_failed")
+#: What an answer says that nothing supports.
+NO_SUPPORT = "The record of this diagnosis does not support an answer."
 EVENT = "session_id string, event string, node string, tool string, status string, label string, summary string, elapsed_ms long, payload string"
 
 #: Topics of free questions: words that lead to each, tried in this order.
@@ -59,8 +62,42 @@ def history(messages: DataFrame, turns: int = config.HISTORY_TURNS, chars: int =
 def appended(messages: DataFrame, new: DataFrame) -> DataFrame:
     """Messages with ``new`` (session_id, created_at, role, content, meta) after them; ids go on from the largest."""
     base = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
-    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("created_at", "session_id", "role"))  # one request's few messages
-    return messages.unionByName(new.withColumn("_k", number).join(F.broadcast(base), F.lit(True)).withColumn("id", (F.col("_base") + F.col("_k")).cast("long")).drop("_k", "_base"))
+    rows = indexed(new.withColumn("_all", F.lit(0)), "_all", F.floor(F.coalesce("created_at", F.lit(-1.0)) / 3600), "created_at", "session_id", "role")
+    return messages.unionByName(rows.join(F.broadcast(base), F.lit(True)).withColumn("id", (F.col("_base") + F.col("idx") + 1).cast("long")).drop("_all", "idx", "_base"))
+
+
+def answered(messages: DataFrame, answers: DataFrame) -> DataFrame:
+    """``messages`` with two more for each answer of a known session: the question, then the answer.
+
+    ``answers`` is what ``answer`` gives, with created_at. Their meta says the question's key, the facts
+    used, and whether nothing supports an answer. Ids go on from the largest.
+    """
+    known = answers.where("facts_used")
+    kind = F.when(F.col("question_key").isNull(), "chat").otherwise("ask")
+    asked = F.struct(F.lit(0).alias("_p"), F.lit("user").alias("role"), F.col("question").alias("content"), F.to_json(F.struct(kind.alias("kind"), "question_key")).alias("meta"))
+    told = F.struct(F.lit(1).alias("_p"), F.lit("assistant").alias("role"), F.col("content").alias("content"), F.to_json(F.struct(kind.alias("kind"), "question_key", "facts_used", (F.col("content") == NO_SUPPORT).alias("no_support"))).alias("meta"))
+    pairs = known.select("session_id", "created_at", "question", F.explode(F.array(asked, told)).alias("m")).select("session_id", "created_at", "question", "m.*")
+    base = messages.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_base"))
+    rows = indexed(pairs.withColumn("_all", F.lit(0)), "_all", F.floor(F.coalesce("created_at", F.lit(-1.0)) / 3600), "created_at", "session_id", "question", "_p")
+    new = rows.join(F.broadcast(base), F.lit(True)).withColumn("id", (F.col("_base") + F.col("idx") + 1).cast("long"))
+    return messages.unionByName(new.select(*messages.columns))
+
+
+def session_id() -> Column:
+    """A new random id: 32 hexadecimal digits."""
+    return F.replace(F.expr("uuid()"), F.lit("-"), F.lit(""))
+
+
+def audio_name(session: Column, slot: Column) -> Column:
+    """The file of a session's sound; null where the id or the slot isn't of the allowed form."""
+    return F.when(session.rlike(r"\A[A-Za-z0-9_-]{6,64}\z") & slot.isin("normal", "abnormal"), F.concat(session, F.lit("_"), slot, F.lit(".wav")))
+
+
+def timed_events(events: DataFrame, at: str = "at") -> DataFrame:
+    """``events`` (session_id, a timestamp and more) with seq, their place in the session from 0, and elapsed_ms since its first event."""
+    own = Window.partitionBy("session_id")
+    rows = events.drop("seq", "elapsed_ms").withColumn("_first", F.min(at).over(own)).withColumn("seq", (F.row_number().over(own.orderBy(at, "event")) - 1).cast("long"))
+    return rows.withColumn("elapsed_ms", F.floor((F.unix_micros(at) - F.unix_micros("_first")) / 1000).cast("long")).drop("_first")
 
 
 def topic(question: Column) -> Column:
@@ -131,6 +168,40 @@ def answer(report: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.select("session_id", "question", "question_key", F.when(missing, "session_not_found").otherwise(out).alias("content"), (~missing).alias("facts_used"))
 
 
+def context_digest() -> Column:
+    """What a model may know of a session, as lines: input, status, quality, candidates, sources, evidence, conclusion and advice.
+
+    Columns: session_id, request (struct of normal_id, abnormal_id, sampling_rate, rotation_speed), status, error, quality
+    (struct of valid, comparable, errors), candidates (array of structs with fault_type, title, score, evidence), sources,
+    evidence, conclusion, confidence, confidence_reason, suggestions and warnings. What is null or empty has no line.
+    """
+    few = lambda c, n: F.when(F.size(c) > 0, F.array_join(F.transform(F.slice(c, 1, n), lambda x: F.concat(F.lit("\n- "), x)), ""))
+    r, q = F.col("request"), F.col("quality")
+    known = F.transform("candidates", lambda c: F.concat(c["fault_type"], F.lit(" ("), F.coalesce(c["title"], F.lit("")), F.format_string(", score %.4f): ", c["score"]), F.coalesce(c["evidence"], F.lit(""))))
+    types = F.array_join(F.transform("candidates", lambda c: c["fault_type"]), ", ")
+    return F.concat_ws(
+        "\n", F.lit("Facts of this session; nothing else may be used:"),
+        F.concat(F.lit("input: baseline "), F.coalesce(r["normal_id"], F.lit("unknown")), F.lit(", suspect "), F.coalesce(r["abnormal_id"], F.lit("unknown")), F.coalesce(F.concat(F.lit(", speed "), short_number(r["rotation_speed"])), F.lit("")), F.coalesce(F.concat(F.lit(", rate "), short_number(r["sampling_rate"])), F.lit(""))),
+        F.concat(F.lit("status: "), "status"), F.concat(F.lit("error: "), "error"),
+        F.when(q.isNotNull(), F.concat(F.lit("data: valid "), F.coalesce(q["valid"].cast("string"), F.lit("unknown")), F.lit(", comparable "), F.coalesce(q["comparable"].cast("string"), F.lit("unknown")), F.coalesce(few(q["errors"], 2), F.lit("")))),
+        F.when(F.size("candidates") > 0, F.concat(F.lit("candidates:"), few(known, 1000), F.lit("\nfault types that may be named: "), types)),
+        F.concat(F.lit("sources that may be named:"), few(F.col("sources"), 5)), F.concat(F.lit("evidence:"), few(F.col("evidence"), 4)),
+        F.concat(F.lit("conclusion: "), "conclusion"), F.concat(F.lit("confidence: "), "confidence", F.lit("; "), F.coalesce("confidence_reason", F.lit(""))),
+        F.concat(F.lit("to be reviewed:"), few(F.col("suggestions"), 5)), F.concat(F.lit("warnings:"), few(F.col("warnings"), 3)),
+        F.concat(F.lit("If these facts don't answer the question, say: "), F.lit(NO_SUPPORT)),
+    )
+
+
+def digest_facts() -> Column:
+    """The names of the parts that ``context_digest`` has lines of."""
+    has = lambda name, ok: F.when(ok, name)
+    parts = F.array(
+        F.lit("request_summary"), F.lit("result.status"), has("result.error", F.col("error").isNotNull()), has("result.data_quality", F.col("quality").isNotNull()), has("result.candidates", F.size("candidates") > 0), has("result.sources", F.size("sources") > 0),
+        has("result.comparison", F.size("evidence") > 0), has("result.report", F.col("conclusion").isNotNull()), has("result.trace", F.size("warnings") > 0),
+    )
+    return F.filter(parts, lambda x: x.isNotNull())
+
+
 def event_log(rows: DataFrame) -> DataFrame:
     """Events of the known kinds in the envelope's nine fields; the payload is JSON or null."""
     return rows.where(F.col("event").isin(*EVENTS)).select(*[c.split()[0] for c in EVENT.split(", ")])

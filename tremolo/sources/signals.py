@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremolo.config import UPLOAD_BYTES
+from tremolo.config import AUDIO_KEPT, UPLOAD_BYTES
 from tremolo.functions.scalars import parsed
+from tremolo.operators.sessions import audio_name
 
 _ISSUE = "struct<code:string,message:string,field:string>"
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content, size) of files; bytes, so that broken encodings are seen."""
-    return spark.read.format("binaryFile").load(path).select("path", "content", F.col("length").alias("size"))
+    """(path, content, size) of files; bytes, so that broken encodings are seen. Files over the limit aren't read: their content is null."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= UPLOAD_BYTES).select("path", "content", F.col("length").alias("size"))
+    return small.unionByName(files.where(F.col("length") > UPLOAD_BYTES).select("path", F.lit(None).cast("binary").alias("content"), F.col("length").alias("size")))
 
 
 def header_mode(header: Column) -> Column:
@@ -30,13 +33,16 @@ def header_mode(header: Column) -> Column:
 def parse_lines(files: DataFrame) -> DataFrame:
     """(sample_id, mode, line_no, cells) of each non-blank line; mode tells of the header, line 1 is the header.
 
-    ``files`` has sample_id, content (bytes) and size. Line numbers count non-blank lines.
+    ``files`` has sample_id, content (bytes) and size, and may have kind, the name's ending: other than csv
+    is invalid_file_type. Line numbers count non-blank lines.
     """
+    kind = F.col("kind") if "kind" in files.columns else F.lit("csv")
     text = F.when(F.is_valid_utf8(F.col("content")), F.regexp_replace(F.decode("content", "UTF-8"), r"^\x{FEFF}", ""))
     lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: F.trim(x) != "")
-    rows = files.select("sample_id", text.alias("text"), lines.alias("lines"), "size")
+    rows = files.select("sample_id", text.alias("text"), lines.alias("lines"), "size", F.lower(kind).alias("kind"))
     mode = (
-        F.when(F.col("size") > UPLOAD_BYTES, "file_too_large")
+        F.when(F.col("kind") != "csv", "invalid_file_type")
+        .when(F.col("size") > UPLOAD_BYTES, "file_too_large")
         .when(F.col("text").isNull(), "file_format")
         .when(F.size("lines") == 0, "empty_data")
         .otherwise(F.coalesce(F.when(F.size("lines") == 1, F.when(header_mode(F.col("lines")[0]).isin("pair", "single"), "empty_data")), header_mode(F.get("lines", F.lit(0)))))
@@ -86,8 +92,8 @@ def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """``scan`` of the files at ``path``; a sample is named by its file without the ending."""
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
-    return scan(read_files(spark, path).select(name.alias("sample_id"), "content", "size"))
+    file = F.element_at(F.split("path", "/"), -1)
+    return scan(read_files(spark, path).select(F.regexp_replace(file, r"\.[^.]*$", "").alias("sample_id"), "content", "size", F.regexp_extract(file, r"\.([^.]*)$", 1).alias("kind")))
 
 
 def strict(scans: DataFrame) -> DataFrame:
@@ -119,10 +125,37 @@ def write_csv(signals: DataFrame, path: str) -> None:
     csv_lines(signals).repartition("sample_id").sortWithinPartitions("sample_id", "idx").select("sample_id", "value").write.partitionBy("sample_id").mode("overwrite").text(path)
 
 
-def sample_lookup(requests: DataFrame, samples: DataFrame) -> DataFrame:
-    """``requests`` (request_id, sample_id) with sample_error: the known ids, where the sample isn't in the catalogue."""
-    known = samples.agg(F.array_sort(F.collect_set("sample_id")).alias("_known"))
-    found = samples.select("sample_id", F.lit(True).alias("_found"))
-    rows = requests.join(found, "sample_id", "left").join(F.broadcast(known), F.lit(True))
-    error = F.when(F.col("_found").isNull(), F.concat(F.lit("sample_not_found; known: "), F.array_join(F.slice("_known", 1, 50), ", ")))
+def sample_lookup(requests: DataFrame, samples: DataFrame, shown: int = 50) -> DataFrame:
+    """``requests`` (request_id, sample_id) with sample_error: the first ``shown`` known ids, where the sample isn't in the catalogue."""
+    first = samples.select("sample_id").distinct().orderBy("sample_id").limit(shown).agg(F.array_sort(F.collect_list("sample_id")).alias("_known"))
+    found = samples.select("sample_id", F.lit(True).alias("_found")).distinct()
+    rows = requests.join(found, "sample_id", "left").join(first, F.lit(True))
+    error = F.when(F.col("_found").isNull(), F.concat(F.lit("sample_not_found; known: "), F.array_join("_known", ", ")))
     return rows.withColumn("sample_error", error).drop("_found", "_known")
+
+
+def write_samples(samples: DataFrame, path: str) -> None:
+    """A folder for each sample with its metadata as a JSON object, indented; characters beyond ASCII stay as they are."""
+    rows = samples.select(F.col("sample_id").alias("_id"), F.to_json(F.struct(*samples.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    rows.repartition("_id").write.partitionBy("_id").mode("overwrite").text(path)
+
+
+def write_audio(sounds: DataFrame, path: str, keep: int = AUDIO_KEPT) -> int:
+    """Writes WAV files (session_id, slot, wav) into a folder and keeps its newest ``keep`` files; the number of files removed.
+
+    Names of another form than allowed are passed over. At most ``keep`` sounds are written, of the largest
+    session_id and slot, one by one, so that what passes through the driver is bounded.
+    """
+    spark = sounds.sparkSession
+    named = sounds.withColumn("_name", audio_name(F.col("session_id"), F.col("slot"))).where("_name IS NOT NULL AND wav IS NOT NULL")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    for r in named.orderBy(F.desc("_name")).limit(keep).select("_name", "wav").toLocalIterator():
+        out = store.create(spark._jvm.org.apache.hadoop.fs.Path(folder, r["_name"]), True)
+        out.write(bytearray(r["wav"]))
+        out.close()
+    files = sorted(((f.getModificationTime(), f.getPath().getName()) for f in store.listStatus(folder) if f.getPath().getName().endswith(".wav")), reverse=True)
+    for _, name in files[keep:]:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, name), False)
+    return len(files[keep:])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +38,23 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
 def log_events(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Appends the known events of a stream; readers never hold it up."""
     run_to_table(event_log(stream), path, checkpoint)
+
+
+TIMED = "session_id string, event string, at timestamp, seq long, elapsed_ms long"
+
+
+def timed_stream(events: DataFrame) -> DataFrame:
+    """TIMED of a stream of events (session_id, event, at): numbered within the session, with the time since its first event.
+
+    The state of a session is its first time and its count, so it doesn't grow with the session's events.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        first, count = state.get if state.exists else (None, 0)
+        rows = pd.concat(batches).sort_values(["at", "event"], kind="stable")
+        first = rows["at"].iloc[0] if first is None else min(pd.Timestamp(first, unit="us"), rows["at"].iloc[0])
+        since = ((rows["at"] - first) // pd.Timedelta(milliseconds=1)).astype("int64")
+        yield pd.DataFrame({"session_id": key[0], "event": rows["event"], "at": rows["at"], "seq": range(count, count + len(rows)), "elapsed_ms": since})
+        state.update((int(first.value // 1000), count + len(rows)))
+
+    return events.select("session_id", "event", "at").groupBy("session_id").applyInPandasWithState(run, TIMED, "first long, count long", "append", "NoTimeout")
