@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from tremolo.llm.common import Memo, lean, slices, whole_texts
 
 #: Bytes, as counted by ``_weight``, of the chunks and of the words that a worker remembers before it starts anew.
-MEMO_CHUNKS, MEMO_WORDS = 24 << 20, 6 << 20
+MEMO_CHUNKS, MEMO_WORDS = 80 << 20, 16 << 20
 #: Pairs of tokens, and tokens, that it remembers; an entry's size is bounded by the vocabulary.
-MEMO_PAIRS, MEMO_TOKENS = 80_000, 8_000
+MEMO_PAIRS, MEMO_TOKENS = 200_000, 8_000
 
 #: Bytes of texts (or ids) that are split into words at a time.
 SLICE = 1 << 20
