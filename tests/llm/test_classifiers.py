@@ -60,6 +60,53 @@ def test_machine_learns_a_meeting_of_terms():
     assert f(np.array([1, 2])) > 0 > max(f(np.array([1])), f(np.array([2])))
 
 
+def test_machine_admits_a_term_that_tells_only_beside_another():
+    rng = np.random.default_rng(2)
+    x, y = [], []
+    for _ in range(6000):
+        # Insult with group and another insult are toxic; group alone (as frequent), insult alone and neither are clean.
+        kind = rng.choice(5, p=[0.25, 0.25, 0.25, 0.1, 0.15])
+        x.append(np.unique(np.append(rng.integers(10, 200, 6), ([1, 2], [3], [2], [1], [])[kind]).astype(int)))
+        y.append(float(kind < 2))
+    y = np.array(y)
+    p = toxicity.Params(bits=8)
+    first, _ = toxicity._telling(x, y, p)
+    m = toxicity.fit(x, y, p)
+    f = lambda ids: float(toxicity.raw_scores(m.place[ids], np.array([0, len(ids)]), (m.bias, m.weight, m.vectors))[0][0])
+    assert first[1] and not first[2] and m.place[2] >= 0
+    assert min(f(np.array([1, 2])), f(np.array([3]))) > 0 > max(f(np.array([1])), f(np.array([2])))
+
+
+def test_network_equals_its_definition():
+    rng = np.random.default_rng(3)
+    vectors, weight = rng.normal(size=(12, 4)), rng.random(12)
+    ids = np.array([3, 3, 7, 0], np.uint32)
+    w = np.array([weight[i] for i in ids]) / sum(weight[i] for i in ids)
+    mean = sum(a * vectors[i] for a, i in zip(w, ids))
+    spread = np.sqrt(sum(a * vectors[i] ** 2 for a, i in zip(w, ids)) - mean**2)
+    assert np.allclose(quality.pooled(ids, vectors, weight), np.concatenate([mean, spread]))
+    layers = (rng.normal(size=(8, 5)), rng.normal(size=5), rng.normal(size=5), rng.normal(size=1))
+    x = rng.normal(size=(3, 8))
+    want = [sum(np.tanh(sum(r[i] * layers[0][i, k] for i in range(8)) + layers[1][k]) * layers[2][k] for k in range(5)) + layers[3][0] for r in x]
+    assert np.allclose(quality._forward(x, layers)[1], want)
+
+
+def test_gradients_and_temperature():
+    rng = np.random.default_rng(4)
+    layers = [rng.normal(size=(6, 3)), rng.normal(size=3), rng.normal(size=3), rng.normal(size=1)]
+    x, y = rng.normal(size=(20, 6)), rng.integers(0, 2, 20).astype(float)
+    loss = lambda ls: float(np.logaddexp(0, np.where(y > 0, -1, 1) * quality._forward(x, ls)[1]).mean() + 0.5e-4 * ((ls[0] ** 2).sum() + (ls[2] ** 2).sum()))
+    for k, g in enumerate(quality.gradients(x, y, layers)):
+        for at in np.ndindex(*layers[k].shape):
+            up, down = [v.copy() for v in layers], [v.copy() for v in layers]
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            assert abs((loss(up) - loss(down)) / 2e-6 - g[at]) < 1e-6
+    raw, truth = rng.normal(size=4000) * 3, None
+    truth = (rng.random(4000) < 1 / (1 + np.exp(-raw / 2.5))).astype(float)
+    assert abs(quality.best_temperature(raw, truth) - 2.5) < 0.4
+
+
 def test_random_indexing_by_brute_force(spark):
     texts = ["the cat sat on the mat", "", None, "a", "THE Cat!! 123 the cat"] * 3
     p = quality.Params(buckets=50, width=8)

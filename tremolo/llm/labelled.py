@@ -15,11 +15,11 @@ from tremolo.llm.common import held_out, lean, slices, whole_texts
 SAMPLE = 20_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, most: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature ids (unsigned 32-bit, by document) and labels of a sample outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, most: int = SAMPLE, kind: type = np.uint32) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features (arrays of ``kind``, by document) and labels of a sample outside the held-out fold.
 
     A document's label is the largest of its rows; null labels and ids don't count. The
-    sample's ids and labels are broadcast, as many as ``most``; texts are turned into ids on
+    sample's ids and labels are broadcast, as many as ``most``; texts are turned into features on
     the executors, and only these reach the driver, in an order that reruns repeat.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
@@ -36,7 +36,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, m
     rows = whole_texts(texts).mapInArrow(lean(run), "doc_id long, y int, ids binary").toArrow()
     ids, y = rows.column("ids").to_pylist(), rows.column("y").to_numpy()
     order = sorted(range(len(ids)), key=lambda k: (rows.column("doc_id")[k].as_py(), ids[k]))
-    return [np.frombuffer(ids[k], np.uint32) for k in order], y[order].astype(float)
+    return [np.frombuffer(ids[k], kind) for k in order], y[order].astype(float)
 
 
 def scored(docs: DataFrame, scorer: Callable) -> DataFrame:

@@ -151,10 +151,28 @@ def _forward(x: np.ndarray, layers: tuple) -> tuple[np.ndarray, np.ndarray]:
     return h, h @ c + d
 
 
-def fit(features: list[np.ndarray], y: np.ndarray, sums: np.ndarray, seen: np.ndarray, p: Params) -> Model:
+def normalised(sums: np.ndarray, seen: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Unit word vectors, and the weight of each bucket."""
     norm = np.linalg.norm(sums, axis=1, keepdims=True)
-    vectors = sums / np.where(norm > 0, norm, 1)
-    weight = p.rare / (p.rare + seen / max(seen.sum(), 1))
+    return sums / np.where(norm > 0, norm, 1), p.rare / (p.rare + seen / max(seen.sum(), 1))
+
+
+def gradients(x: np.ndarray, y: np.ndarray, layers: list) -> list[np.ndarray]:
+    """Of the mean logistic loss and a small decay of the two matrices, by layer."""
+    h, raw = _forward(x, tuple(layers))
+    off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y) / len(x)
+    back = np.outer(off, layers[2]) * (1 - h**2)
+    return [x.T @ back + 1e-4 * layers[0], back.sum(0), h.T @ off + 1e-4 * layers[2], np.array([off.sum()])]
+
+
+def best_temperature(raw: np.ndarray, y: np.ndarray) -> float:
+    """Of a range of temperatures that of the least logistic loss."""
+    sign = np.where(y > 0.5, 1, -1)
+    return float(min(np.exp(np.linspace(-2, 3, 101)), key=lambda t: float(np.logaddexp(0, -sign * raw / t).mean())))
+
+
+def fit(x: np.ndarray, y: np.ndarray, vectors: np.ndarray, weight: np.ndarray, p: Params) -> Model:
+    """Fits the network to pooled documents, the temperature to a fifth of them that it hasn't seen."""
     width = 2 * p.width
     rng = np.random.default_rng(p.seed)
     layers = [rng.normal(0, 1 / np.sqrt(width), (width, p.hidden)), np.zeros(p.hidden), rng.normal(0, 1 / np.sqrt(p.hidden), p.hidden), np.zeros(1)]
@@ -162,7 +180,6 @@ def fit(features: list[np.ndarray], y: np.ndarray, sums: np.ndarray, seen: np.nd
         layers[2][:] = 0
         layers[3][:] = 20.0 if len(y) and y[0] else -20.0
         return Model(vectors, weight, np.zeros(width), np.ones(width), tuple(layers), 1.0)
-    x = np.array([pooled(ids, vectors, weight) for ids in features])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     x = (x - mean) / scale
     order = rng.permutation(len(y))
@@ -172,19 +189,12 @@ def fit(features: list[np.ndarray], y: np.ndarray, sums: np.ndarray, seen: np.nd
     step = 0
     for _ in range(p.epochs):
         for part in np.array_split(rng.permutation(own), max(1, len(own) // 128)):
-            h, raw = _forward(x[part], tuple(layers))
-            off = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[part]) / len(part)
-            back = np.outer(off, layers[2]) * (1 - h**2)
             step += 1
-            for k, g in enumerate((x[part].T @ back + 1e-4 * layers[0], back.sum(0), h.T @ off + 1e-4 * layers[2], np.array([off.sum()]))):
+            for k, g in enumerate(gradients(x[part], y[part], layers)):
                 first[k] = 0.9 * first[k] + 0.1 * g
                 second[k] = 0.999 * second[k] + 0.001 * g**2
                 layers[k] = layers[k] - p.rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    raw = _forward(x[apart], tuple(layers))[1]
-    sign = np.where(y[apart] > 0.5, 1, -1)
-    choices = np.exp(np.linspace(-2, 3, 101))
-    temperature = float(min(choices, key=lambda t: float(np.logaddexp(0, -sign * raw / t).mean())))
-    return Model(vectors, weight, mean, scale, tuple(layers), temperature)
+    return Model(vectors, weight, mean, scale, tuple(layers), best_temperature(_forward(x[apart], tuple(layers))[1], y[apart]))
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
@@ -192,8 +202,16 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
 
     Without labelled documents, or with one label only, all scores are that label's (without any, 0).
     """
-    sums, seen = word_vectors(docs, p)
-    return fit(*labelled.sample(docs, labels, "quality", lambda: word_ids(p.buckets), p.sample), sums, seen, p)
+    vectors, weight = normalised(*word_vectors(docs, p), p)
+    shared = docs.sparkSession.sparkContext.broadcast((vectors, weight))  # of a fixed size
+
+    def features():
+        ids_of, (vectors, weight) = word_ids(p.buckets), shared.value
+        return lambda text: pooled(ids_of(text), vectors, weight)
+
+    # A sampled document comes to the driver as two vectors.
+    rows, y = labelled.sample(docs, labels, "quality", features, p.sample, np.float64)
+    return fit(np.array(rows).reshape(len(rows), 2 * p.width), y, vectors, weight, p)
 
 
 def score(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
