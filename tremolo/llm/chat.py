@@ -32,23 +32,6 @@ def head(role: Column) -> Column:
     return F.concat(F.lit(START), F.url_encode(role), F.lit("\n"))
 
 
-def numbered(turns: DataFrame) -> DataFrame:
-    """(conv_id, block, pos, role, text): rows in the order of (turn, role, text), numbered from 0.
-
-    The number is the block's offset plus the place in the block, so that no task
-    needs all rows of a long conversation: blocks are ranges of ``turn``.
-    """
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long"))
-    mine = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
-    rows = rows.withColumn("_k", F.row_number().over(mine) - 1)
-    counts = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
-    joined = rows.join(offsets, rows.conv_id.eqNullSafe(offsets._c) & (rows.block == offsets._b))
-    return joined.select("conv_id", "block", (F.col("_before") + F.col("_k")).alias("pos"), "role", "text")
-
-
 def format_chat(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
     """One row for each example of each conversation, and one for what follows its last reply.
 
@@ -61,28 +44,32 @@ def format_chat(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
 
     Null texts and roles count as empty; rows are ordered by turn, then role, then text, null
     turns first; repeated rows are turns of their own; a null conv_id is a conversation too;
-    an empty table gives no rows.
+    an empty table gives no rows. Blocks are ranges of ``turn``: places, examples and lengths are summed
+    within them and offset by the sums of the blocks before, so that no task needs all rows of
+    a long conversation. Rows without a turn are one block.
     """
-    rows = numbered(turns)
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))).cast("long"))
     reply = F.col("role") == trainable
-    body = F.concat(head(F.col("role")), F.when(reply, F.lit("")).otherwise(F.concat(escape(F.col("text")), F.lit(END + "\n"))))
-    rows = rows.select(
-        "conv_id", "block", "pos", reply.cast("long").alias("is_reply"), body.alias("delta"),
-        F.when(reply, F.concat(escape(F.col("text")), F.lit(END + "\n"))).alias("reply"),
+    told = F.concat(escape(F.col("text")), F.lit(END + "\n"))
+    delta = F.concat(head(F.col("role")), F.when(reply, F.lit("")).otherwise(told))
+    rows = rows.select("conv_id", "block", "turn", "role", "text", reply.cast("long").alias("is_reply"), delta.alias("delta"), F.when(reply, told).alias("reply"))
+    rows = rows.withColumn("size", (F.char_length("delta") + F.coalesce(F.char_length("reply"), F.lit(0))).cast("long"))
+    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    past = order.rowsBetween(Window.unboundedPreceding, -1)
+    inside = rows.select(
+        "conv_id", "block", "delta", "reply", (F.row_number().over(order) - 1).alias("_n"),
+        F.coalesce(F.sum("is_reply").over(past), F.lit(0)).alias("_r"), F.coalesce(F.sum("size").over(past), F.lit(0)).alias("_s"),
     )
-    size = F.char_length("delta") + F.coalesce(F.char_length("reply"), F.lit(0))
-    rows = rows.withColumn("size", size.cast("long"))
-    # Numbers and lengths of all before a block, then of all before a row in it.
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("is_reply").alias("r"), F.sum("size").alias("s"))
+    sums = rows.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("n"), F.sum("is_reply").alias("r"), F.sum("size").alias("s"))
     earlier = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.coalesce(F.sum("r").over(earlier), F.lit(0)).alias("_r"), F.coalesce(F.sum("s").over(earlier), F.lit(0)).alias("_s"))
-    rows = rows.join(sums, rows.conv_id.eqNullSafe(sums._c) & (rows.block == sums._b))
-    inside = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("example", F.col("_r") + F.coalesce(F.sum("is_reply").over(inside), F.lit(0)))
-    rows = rows.withColumn("start", F.col("_s") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_{c}0")
+    offsets = sums.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), before("n"), before("r"), before("s"))
+    rows = inside.join(offsets, inside.conv_id.eqNullSafe(offsets._c) & (inside.block == offsets._b))
+    start = F.col("_s0") + F.col("_s") + F.char_length("delta")
+    rows = rows.select("conv_id", (F.col("_r0") + F.col("_r")).alias("example"), (F.col("_n0") + F.col("_n")).alias("pos"), "delta", "reply", start.alias("start"))
     made = rows.groupBy("conv_id", "example").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "delta"))).alias("parts"),
-        F.max("reply").alias("reply"), F.max(F.col("start") + F.char_length("delta")).alias("context_chars"),
+        F.array_sort(F.collect_list(F.struct("pos", "delta"))).alias("parts"), F.max("reply").alias("reply"), F.max("start").alias("context_chars"),
     )
     delta = F.array_join(F.transform("parts", lambda p: p["delta"]), "")
     return made.select("conv_id", "example", delta.alias("delta"), "reply", "context_chars", F.col("reply").isNotNull().alias("mask"))
