@@ -57,3 +57,23 @@ def test_a_vector_in_a_third_of_all_rows(spark):
     for r in neighbours.search(df, F.col("vec_id") % 150 == 0, 5, p).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert all(sorted(f)[0][2] == 0.0 and [v for _, v, _ in sorted(f)] == [v for v in range(0, 30, 3) if v != q][:5] for q, f in got.items())
+
+
+def test_an_id_with_several_vectors_counts_by_its_nearest(spark):
+    rows = [(0, [0.0, 1.0]), (0, [9.0, 9.0]), (1, [0.0, 2.0]), (1, [9.0, 8.0]), (2, [0.0, 4.0]), (3, [50.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for p in (neighbours.Params(), neighbours.Params(pack=1, queries=1, held=1)):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in neighbours.search(df, F.col("vec_id") == 0, 10, p).collect())
+        assert [(n, v) for n, v, _ in got] == [(1, 1), (2, 2), (3, 3)] and got[0][2] == 1.0 and got[1][2] == 3.0
+
+
+def test_clusters_need_a_small_share(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 16)) * 4
+    x = centres[rng.integers(0, 60, 3000)] + rng.normal(size=(3000, 16)) * 0.4
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    hits = 0
+    rows = neighbours.search(df, F.col("vec_id") % 100 == 0, 10, neighbours.Params(share=0.05)).collect()
+    for q in range(0, 3000, 100):
+        hits += len({r.vec_id for r in rows if r.query_id == q} & set(neighbours.exact(x, np.arange(3000), q, 10)))
+    assert hits / 300 >= 0.95

@@ -27,12 +27,17 @@ from tremolo.session import Stage
 
 @dataclass(frozen=True)
 class Params:
-    """centroids: of each half. sample: vectors that they are fitted on at most. share: of all
-    vectors that a query's cells must hold (0.5 gives a recall over 0.9 on data without any clusters)."""
-
-    centroids: int = 64
+    """centroids: of each half; None: the root of the number of vectors, ``least`` at least and
+    ``most`` at most. sample: vectors that they are fitted on at most. share: of all
+    vectors that a query's cells must hold (0.4 gives a recall over 0.9 on data without any clusters).
+    held: queries whose best a task keeps before it passes them on."""
+
+    centroids: int | None = None
+    least: int = 64
+    most: int = 256
     sample: int = 8000
-    share: float = 0.5
+    share: float = 0.4
+    held: int = 20_000
     rounds: int = 12
     pack: int = 512
     queries: int = 128
@@ -106,7 +111,8 @@ def build(vectors: DataFrame, p: Params, stage: Stage) -> tuple[Index | None, Da
     rows = rows.where(F.size("v") == width)
     sample = np.array([r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(p.sample).select("v").collect()])
     half = max(1, width // 2)
-    one, two = kmeans(sample[:, :half], p.centroids, p.rounds, p.seed), kmeans(sample[:, half:] if width > 1 else np.zeros((len(sample), 1)), p.centroids, p.rounds, p.seed + 1)
+    k = p.centroids or min(p.most, max(p.least, round(widths[0]["count"] ** 0.5)))
+    one, two = kmeans(sample[:, :half], k, p.rounds, p.seed), kmeans(sample[:, half:] if width > 1 else np.zeros((len(sample), 1)), k, p.rounds, p.seed + 1)
     shared = vectors.sparkSession.sparkContext.broadcast((one, two))  # 2 x centroids x half the width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +137,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, params: Params = Pa
     distance in double precision; ties go to the smaller vec_id, and a query's own id is no
     candidate. Vectors that are null, zero, without an id, of another length than most, or
     hold null or non-finite components take no part; rows that repeat an id and a vector count
-    once; with fewer candidates all are returned; an empty table gives no rows.
+    once, and of an id with several vectors the nearest pair counts, as query and as candidate; with fewer candidates all are returned; an empty table gives no rows.
     """
     p, spark = params, vectors.sparkSession
     stage = Stage(spark, "neighbours")
@@ -185,11 +191,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, params: Params = Pa
     met = met.select("n", "ids", "rest", "v", "qn", "qids", "qrest", "qv")
 
     def compare(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, dict[int, float]] = {}  # of a query the nearest ids that this task has met
+
+        def passed_on() -> pd.DataFrame:
+            got = [(q, v, d) for q, own in best.items() for v, d in own.items()]
+            best.clear()
+            return pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 ids, two, x = np.frombuffer(r.ids, np.int64), np.frombuffer(r.rest, np.int32), np.frombuffer(r.v).reshape(r.n, -1)
                 qids, seen, q = np.frombuffer(r.qids, np.int64), np.frombuffer(r.qrest, np.uint8).reshape(r.qn, -1), np.frombuffer(r.qv).reshape(r.qn, -1)
-                got = []
                 for a in range(r.qn):
                     at = np.flatnonzero(seen[a][two] & (ids != qids[a]))
                     d = np.sqrt(((x[at] - q[a]) ** 2).sum(1))
@@ -197,11 +209,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, params: Params = Pa
                         close = d <= np.partition(d, 2 * k)[2 * k]
                         if len(np.unique(ids[at][close])) >= k:
                             at, d = at[close], d[close]
-                    best = sorted(set(zip(d.tolist(), ids[at].tolist())))[:k]
-                    got += [(int(qids[a]), v, s) for s, v in best]
-                yield pd.DataFrame(got, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    found = met.mapInPandas(compare, "query_id long, vec_id long, score double")
+                    own = best.setdefault(int(qids[a]), {})
+                    for s, v in zip(d.tolist(), ids[at].tolist()):
+                        if s < own.get(v, np.inf):
+                            own[v] = s
+                    if len(own) > k:
+                        best[int(qids[a])] = {v: s for s, v in sorted((s, v) for v, s in own.items())[:k]}
+                if len(best) > p.held:
+                    yield passed_on()
+        if best:
+            yield passed_on()
+
+    found = met.mapInPandas(compare, "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
