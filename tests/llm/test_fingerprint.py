@@ -60,7 +60,33 @@ def test_ranges(spark):
     from tremolo.llm.fingerprint import with_next
     from tremolo.session import Stage
 
-    df = spark.range(0, 500, 7).selectExpr("id as doc_id", "concat('t', id) as text")
-    got = {r.doc_id: r.next.text for r in with_next(df, Stage(spark, "t"), ["text"], range_rows=9).collect()}
-    ids = sorted(got)
-    assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
+    df = spark.range(0, 3500, 7).selectExpr("id as doc_id", "concat('t', id) as text")
+    for size in (1 << 20, 40, 9):
+        got = {r.doc_id: r.next.text for r in with_next(df, Stage(spark, "t"), ["text"], range_bytes=size).collect()}
+        ids = sorted(got)
+        assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)} and len(ids) == 500
+
+
+def test_thousands_of_borders(spark):
+    from bisect import bisect_right
+
+    from pyspark.sql import functions as F
+
+    from tremolo.llm.fingerprint import _range
+
+    borders = list(range(-9000, 9000, 4))
+    for own in (borders, borders[:1], borders[:7], []):
+        rows = spark.range(-9100, 9100, 13).select("id", _range(F.col("id"), own).alias("k")).collect()
+        assert all(r.k == bisect_right(own, r.id) for r in rows)
+
+
+def test_repeated_and_missing_ids_across_ranges(spark):
+    from tremolo.llm.fingerprint import with_next
+    from tremolo.session import Stage
+
+    rows = [(None, "n2"), (None, "n1"), (1, "b"), (1, "a"), (2, "c"), (5, "e"), (5, "e"), (9, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for size in (1, 2, 100):
+        got = sorted((r.doc_id or 0, r.text, r.next.text) for r in with_next(df, Stage(spark, "t"), ["text"], range_bytes=size).collect())
+        assert got == sorted((i or 0, t, want[(k + 1) % len(want)][1]) for k, (i, t) in enumerate(want))

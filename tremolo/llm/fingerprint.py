@@ -6,6 +6,8 @@ from the ICU classes that Spark itself ships, called by ``java_method``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,8 +16,8 @@ from tremolo.session import Stage
 
 #: Broadcast at most so many buckets (of 32 characters, so under 50 MB).
 BROADCAST_BUCKETS = 400_000
-#: Rows dealt to a range of ids, and ranges at most (more rows then share a range).
-RANGE_ROWS, RANGES = 20_000, 10_000
+#: Bytes of texts dealt to a range of ids.
+RANGE_BYTES = 8 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -99,23 +101,35 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return marked.join(groups, "fingerprint")
 
 
-def with_next(rows: DataFrame, stage: Stage, carried: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
-    """``rows`` (doc_id, text and more) with ``next``, a struct of the columns ``carried`` of the
-    next row by (doc_id, text); the last row's next is the first.
+def _range(doc_id: Column, borders: list[int]) -> Column:
+    """The number of ``borders`` (rising) that are not above the id; looked up in two steps, by the root of their number each."""
+    step = max(1, int(len(borders) ** 0.5))
+    parts = [borders[k : k + step] for k in range(0, len(borders), step)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<bigint>")
+    upto = lambda xs: F.size(F.filter(xs, lambda b: b <= doc_id))
+    first = upto(longs([x[0] for x in parts]))
+    return F.when(first == 0, 0).otherwise((first - 1) * step + upto(F.element_at(F.array(*map(longs, parts)), first))) if parts else F.lit(0)
+
+
+def with_next(rows: DataFrame, stage: Stage, carried: list[str], make: Callable[[DataFrame], DataFrame] = lambda df: df, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """``make(rows)`` with ``next``, a struct of the columns ``carried`` of the next row by (doc_id, text);
+    the last row's next is the first. ``rows`` has doc_id and text; ``make`` adds columns to its rows.
 
-    Rows are dealt by ranges of doc_id whose borders are quantiles of all ids, so texts are
-    shuffled once; rows without an id form a range of their own before all others. Within a
-    range the next row is a window's lead; across borders it is the first row of the next
-    range that has any, so one row of each range is looked up apart.
+    Rows are dealt by ranges of doc_id whose borders are quantiles of all ids, as many as their texts'
+    bytes take, so texts are shuffled once and ranges don't grow with the table; rows without an id form a
+    range of their own before all others. Within a range the next row is a window's lead; across borders it is
+    the first row of the next range that has any, so one row of each range is looked up apart.
     """
-    n = rows.select("doc_id").count()
-    ranges = min(RANGES, -(-n // range_rows))
-    cuts = rows.select("doc_id").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
-    borders = F.array(*[F.lit(int(x)).cast("long") for x in sorted(set(cuts))]) if cuts else F.array().cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(F.filter(borders, lambda b: b <= F.col("doc_id"))))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-size // range_bytes))
+    cuts = rows.select("doc_id").approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], min(0.001, 0.25 / ranges)) if ranges > 1 else []
+    part = F.when(F.col("doc_id").isNull(), -1).otherwise(_range(F.col("doc_id"), sorted({int(x) for x in cuts})))
     dealt = rows.withColumn("_part", part)
-    led = dealt.withColumn("_next", F.lead(F.struct(*carried)).over(Window.partitionBy("_part").orderBy("doc_id", "text")))
-    first = stage.write(dealt.groupBy("_part").agg(F.min(F.struct("doc_id", "text", *[c for c in carried if c != "text"])).alias("row")))
+    led = make(dealt).withColumn("_next", F.lead(F.struct(*carried)).over(Window.partitionBy("_part").orderBy("doc_id", "text")))
+    # Ids alone say which rows come first; only these are made.
+    ids = dealt.where("_part >= 0").groupBy("_part").agg(F.min("doc_id").alias("doc_id"))
+    heads = dealt.join(F.broadcast(stage.write(ids)), ["_part", "doc_id"], "left_semi").unionByName(dealt.where("_part < 0"))
+    first = stage.write(make(heads).groupBy("_part").agg(F.min(F.struct("doc_id", "text", *[c for c in carried if c != "text"])).alias("row")))
     order = Window.partitionBy(F.lit(0)).orderBy("_part")  # a row for each range
     start = F.struct(*[F.col(f"row.{c}").alias(c) for c in carried])
     head = F.first(start).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -136,9 +150,12 @@ def fingerprint_edits(docs: DataFrame, bits: int = 128) -> DataFrame:
     stage = Stage(docs.sparkSession, "edits")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     clash = _clashes(rows, "text", bits)
-    own = rows.withColumn("canon", canonical(F.col("text"))).withColumn("bucket", wide_hash(F.col("canon"), bits))
-    own = _numbered(own, "canon", "bucket", clash, "fingerprint").drop("canon", "bucket")
-    paired = with_next(own, stage, ["text", "fingerprint"])
+
+    def printed(df: DataFrame) -> DataFrame:
+        own = df.withColumn("canon", canonical(F.col("text"))).withColumn("bucket", wide_hash(F.col("canon"), bits))
+        return _numbered(own, "canon", "bucket", clash, "fingerprint").drop("canon", "bucket")
+
+    paired = with_next(rows, stage, ["text", "fingerprint"], printed)
     head = "substring(text, 1, char_length(text) - int(floor(char_length(text) / 2)))"
     tail = "substring(next.text, 1, int(floor(char_length(text) / 2)))"
     edited = paired.withColumn("edited_text", F.expr(f"concat({head}, {tail})"))
