@@ -277,7 +277,9 @@ def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
     docs = docs.select("doc_id", "text")
     made, light = _described(docs, p, stage)
     sets = stage.write(made.select("doc_id", "m", "digest"))
-    classes = stage.write(sets.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    # Digests of several rows; all others are classes of their own and need no join on digests.
+    classes = stage.write(sets.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1 AND rep IS NOT NULL").select("digest", "rep"))
+    classes = _sized(classes, classes.count(), p)
     copies = sets.where("doc_id IS NOT NULL").join(classes, "digest").where("doc_id <> rep").select("doc_id", "digest").distinct()
     copies = stage.write(copies)
     reps = made.where("doc_id IS NOT NULL AND size(sigs) > 0").join(_sized(copies, copies.count(), p), ["doc_id", "digest"], "left_anti")
@@ -297,11 +299,16 @@ def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
         found = _verified(docs, pairs, p, stage)
         links = found if links is None else links.unionByName(found)
         known = components(links, stage)
-    named = classes.select(F.col("digest"), F.col("rep"))
+    named = classes.select("digest", "rep")
     if known is not None:
+        known = _sized(known, known.count(), p)
         named = named.join(known, named.rep == known.node, "left").select("digest", F.coalesce("component", "rep").alias("rep"))
-    out = sets.join(named, "digest", "left")
-    return out.select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("component_id"))
+        named = stage.write(named)
+        named = _sized(named, named.count(), p)
+    several = sets.join(named, "digest").select("doc_id", "m", F.col("rep").alias("component"))
+    alone = sets.join(named, "digest", "left_anti").select("doc_id", "m")
+    alone = alone.withColumn("component", F.col("doc_id")) if known is None else alone.join(known, alone.doc_id == known.node, "left").select("doc_id", "m", "component")
+    return several.unionByName(alone).select("doc_id", F.col("m").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def distinct(docs: DataFrame, params: Params = Params()) -> DataFrame:
