@@ -1,7 +1,9 @@
 """Envelope peaks, requests, notes, digests, answers, files, events and bounded calls."""
 
 import json
+import struct
 import wave
+import zlib
 from io import BytesIO
 
 import numpy as np
@@ -13,6 +15,7 @@ from tremolo import config
 from tremolo.functions import kernels
 from tremolo.operators import features, model, report, sessions, verdict
 from tremolo.operators import signals as sig
+from tremolo.sources import mat
 from tremolo.sources import signals as files
 
 
@@ -187,6 +190,51 @@ def test_events_in_order(spark, tmp_path):
     assert {(r.session_id, r.seq): (r.event, r.elapsed_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
 
 
+def element(kind, data, order="<"):
+    return struct.pack(order + "II", kind, len(data)) + data + b"\0" * (-len(data) % 8)
+
+
+def matrix(name, values, kind, packed, order="<", shape=None):
+    shape = shape or (len(values), 1)
+    data = np.asarray(values).astype(order + mat.KINDS[kind]).tobytes()
+    body = element(6, struct.pack(order + "II", 6, 0), order) + element(5, struct.pack(order + "ii", *shape), order)
+    body += (struct.pack(order + "HH", *((1, len(name)) if order == "<" else (len(name), 1))) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode(), order)) + element(kind, data, order)
+    whole = element(14, body, order)
+    return struct.pack(order + "II", 15, len(zlib.compress(whole))) + zlib.compress(whole) if packed else whole
+
+
+def test_mat_files(spark, tmp_path):
+    x = np.round(impulses(100, 700), 6)
+    for order, mark in (("<", b"IM"), (">", b"MI")):
+        head = b"MATLAB 5.0".ljust(124) + b"\0\1" + mark
+        for packed in (False, True):
+            data = head + matrix("X105_FE_time", [1.0], 9, packed, order) + matrix("X105_DE_time", x, 9, packed, order) + matrix("RPM", [1797], 4, packed, order) + matrix("grid", range(6), 3, packed, order, (2, 3))
+            assert np.array_equal(mat.recording(data, 105)[0], x) and mat.recording(data, 105)[1] == 1797 and np.array_equal(mat.recording(data)[0], x)
+            assert mat.matrices(data)["grid"].tolist() == [[0, 2, 4], [1, 3, 5]]
+    (tmp_path / "105.mat").write_bytes(data)
+    (tmp_path / "106.mat").write_bytes(data[:300])
+    (tmp_path / "107.mat").write_bytes(b"no such file")
+    (tmp_path / "108.mat").write_bytes(head + matrix("other", [1.0], 9, False, ">"))
+    rows = mat.read_mat(spark, str(tmp_path), FS).collect()
+    good = sorted((r.idx, r.amplitude, r.ts, r.rotation_speed) for r in rows if r.sample_id == "105")
+    assert [g[1] for g in good] == x.tolist() and good[12][2] == 12 / FS and good[0][3] == 1797
+    assert {r.sample_id for r in rows if r.error} == {"106", "107", "108"} and all(r.idx is None for r in rows if r.error)
+
+
+def test_stages_close(spark):
+    from tremolo.session import Stage, passing
+
+    outer = Stage(spark, "outer")
+    kept = outer.write(spark.range(3).toDF("id"))
+    with passing():
+        inner = Stage(spark, "inner")
+        result = outer.write(inner.write(spark.range(5).toDF("id")).where("id > 1"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(inner.root)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    assert (kept.count(), result.count()) == (3, 3)
+    outer.close()
+
+
 def test_bounded_calls():
     tries, said = [], []
 

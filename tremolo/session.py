@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,13 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Stages whose folders may still be read, by folder.
+_open: dict[str, Stage] = {}
+
+
 class Stage:
-    """Written intermediate tables: they cut lineage and survive lost executors."""
+    """Written intermediate tables: they cut lineage and survive lost executors.
+
+    Tables stay until ``close``, ``close_stages`` or the end of the program, as lazy results may read them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/tremolo-{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if not _open:
+            atexit.unregister(close_stages)
+            atexit.register(close_stages)  # after the gateway's own, so it runs before it
+        _open[self.root] = self
 
     def write(self, df: DataFrame) -> DataFrame:
         """Write ``df`` as Parquet into the shared folder and read it back.
@@ -74,8 +88,31 @@ class Stage:
             self._delete(path)
 
     def close(self) -> None:
+        _open.pop(self.root, None)
         self._delete(self.root)
 
     def _delete(self, path: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def close_stages(keep: Iterable[str] = ()) -> None:
+    """Deletes the tables of all open stages but those whose folders are in ``keep``: results that read them must be written by then."""
+    for root, stage in list(_open.items()):
+        if root not in keep:
+            _open.pop(root, None)
+            try:
+                if stage.spark.sparkContext._jsc is not None:
+                    stage._delete(root)
+            except Exception:  # the session may have ended
+                pass
+
+
+@contextmanager
+def passing() -> Iterator[None]:
+    """Closes the stages that were opened inside when it ends: what is needed of them is written by then."""
+    before = set(_open)
+    try:
+        yield
+    finally:
+        close_stages(before)
