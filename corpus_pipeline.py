@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tremolo.llm import bpe, jaccard, mix, pii, toxicity
 from tremolo.llm.common import table
-from tremolo.session import Stage
+from tremolo.session import Stage, passing
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,9 +65,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     stage = Stage(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            before, docs = docs, stage.write(docs)
-            if k:
-                stage.drop(before)
-    return docs
+        if k == len(STAGES) - 1:
+            return step(spark, docs, sf_dir)
+        before = docs
+        with passing():  # what a step stages by itself goes once its result is written
+            docs = stage.write(step(spark, docs, sf_dir))
+        if k:
+            stage.drop(before)

@@ -1,6 +1,7 @@
 """Chat formatting against a plain Python version, and exact round trips."""
 
 import hashlib
+import re
 from collections import defaultdict
 
 from tremolo.llm import chat
@@ -26,6 +27,11 @@ def test_query_by_brute_force(spark):
         assert got[c].n_turns == len(rows)
         assert got[c].turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, role, t in rows))
         assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), sha(loss))
+        upto, examples = "", []
+        for _, role, t in rows:
+            upto += f"<|im_start|>{role}\n{re.sub(chr(60) + r'(' + chr(92) * 2 + r'*)' + chr(92) + '|', lambda m: '<' + chr(92) + m[1] + '|', t)}<|im_end|>\n"
+            examples += [upto] if role == "assistant" else []
+        assert got[c].formatted_chars == (sum(map(len, examples)) if examples else len(upto))
 
 
 def test_escaping_and_edges(spark):
@@ -37,11 +43,13 @@ def test_escaping_and_edges(spark):
     want = defaultdict(list)
     for c, t, role, text in rows:
         want[c].append((-1 if t is None else t, role or "", text or ""))
-    for r in chat.conversations_read_back(examples, 2).collect():
-        turns = sorted(want.pop(r.conv_id))
-        assert r.turns == "".join(f"{a}\n{b}\n" for _, a, b in turns)
-        assert r.loss == "".join(b for _, a, b in turns if a == "assistant")
-    assert not want
+    for block in (1, 2, 64):
+        rows = chat.read_back(chat.expand(examples, block)).collect()
+        assert len(rows) == len(want)
+        for r in rows:
+            turns = sorted(want[r.conv_id])
+            assert r.turns == "".join(f"{a}\n{b}\n" for _, a, b in turns) and r.n_turns == len(turns)
+            assert r.loss == "".join(b for _, a, b in turns if a == "assistant")
     assert chat.format_chat(df.limit(0)).count() == 0
 
 
@@ -54,5 +62,10 @@ def test_long_conversation_and_expansion(spark):
     assert full[1].reply == "t3<|im_end|>\n"
     for r in examples.where("example < 3").collect():
         assert r.context_chars == len(full[r.example].context)
-    back = chat.conversations_read_back(examples).collect()[0]
+    every = {r.example: (r.context + r.reply, r.mask) for r in chat.expand(examples).collect()}
+    upto = ""
+    for k in range(750):
+        upto += f"<|im_start|>user\nt{2 * k}<|im_end|>\n<|im_start|>assistant\nt{2 * k + 1}<|im_end|>\n"
+        assert every[k] == (upto, True)
+    back = chat.read_back(chat.expand(examples)).collect()[0]
     assert back.n_turns == 1500 and back.turns.endswith("user\nt1498\nassistant\nt1499\n")

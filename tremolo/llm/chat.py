@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion, with DataFrame functions only.
 
 Every assistant turn becomes an example of its own: all preceding turns are its
-context, only its reply is trainable. Written out, a conversation of n turns would
-repeat its first turns n/2 times, so an example holds what is new since the one
-before (``delta``, the formatted turns between the two replies, and ``reply``) and the
-length of the shared prefix; ``expand`` writes contexts out in full for those who want them.
+context, only its reply is trainable. ``format_chat`` finds the examples; each holds
+what is new since the one before (``delta``, the formatted turns between the two replies, and
+``reply``) and the length of the shared prefix. ``expand`` writes every example out with its whole
+context, and ``read_back`` takes conversations and loss masks from that text alone.
 """
 
 from __future__ import annotations
@@ -75,35 +75,45 @@ def format_chat(turns: DataFrame, trainable: str = "assistant") -> DataFrame:
     return made.select("conv_id", "example", delta.alias("delta"), "reply", "context_chars", F.col("reply").isNotNull().alias("mask"))
 
 
-def expand(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, context, reply): every example written out; its size is the square of a conversation's."""
-    order = Window.partitionBy("conv_id").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    past = F.array_join(F.collect_list(F.concat("delta", F.coalesce("reply", F.lit("")))).over(order), "")
-    return examples.select("conv_id", "example", F.concat(past, "delta").alias("context"), "reply", "mask").where("mask")
-
-
-def read_back(examples: DataFrame) -> DataFrame:
-    """(conv_id, example, k, role, text, mask): the turns that formatted examples hold, unescaped."""
-    whole = F.concat("delta", F.coalesce("reply", F.lit("")))
-    parts = F.filter(F.split(whole, r"<\|im_start\|>"), lambda p: p != "")
-    rows = examples.select("conv_id", "example", "mask", F.posexplode(parts).alias("k", "part"), F.size(parts).alias("n"))
-    role = F.url_decode(F.substring_index("part", "\n", 1))
-    text = F.expr(f"substring(part, instr(part, '\n') + 1, char_length(part) - instr(part, '\n') - {len(END) + 1})")
-    return rows.select("conv_id", "example", "k", role.alias("role"), unescape(text).alias("text"), (F.col("mask") & (F.col("k") == F.col("n") - 1)).alias("mask"))
+def expand(examples: DataFrame, block: int = 64) -> DataFrame:
+    """(conv_id, example, context, reply, mask): every example with all that precedes its reply written out.
 
+    What a conversation adds up to is as the square of its turns, and rows are as long as what they hold. Blocks
+    of examples are expanded apart from one another: each starts from the text of all blocks before it. Rows
+    without a reply (what follows a conversation's last) are no examples: their mask is false.
+    """
+    own = F.concat("delta", F.coalesce("reply", F.lit("")))
+    rows = examples.select("conv_id", "example", "delta", "reply", "mask", F.floor(F.col("example") / block).alias("_b"), own.alias("_own"))
+    texts = rows.groupBy("conv_id", "_b").agg(F.array_sort(F.collect_list(F.struct("example", "_own"))).alias("_rows"))
+    texts = texts.select("conv_id", "_b", F.array_join(F.transform("_rows", lambda r: r["_own"]), "").alias("_text"))
+    past = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = texts.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_k"), F.array_join(F.collect_list("_text").over(past), "").alias("_before")).where("_k > 0")
+    near = Window.partitionBy("conv_id", "_b").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_near", F.array_join(F.collect_list("_own").over(near), ""))
+    joined = rows.join(before, rows.conv_id.eqNullSafe(before._c) & (rows._b == before._k), "left")
+    return joined.select("conv_id", "example", F.concat(F.coalesce("_before", F.lit("")), "_near", "delta").alias("context"), "reply", "mask")
+
+
+def read_back(expanded: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, turns, loss, formatted_chars): a row for each conversation, from its written examples alone.
+
+    ``turns`` joins role, line break, text and line break of each turn, read from the longest row; ``loss`` joins what
+    stands under the masks, unescaped; formatted_chars counts all examples (of a conversation without a reply,
+    what was formatted).
+    """
+    whole = F.concat("context", F.coalesce("reply", F.lit("")))
+    size = F.char_length("context") + F.coalesce(F.char_length("reply"), F.lit(0)).cast("long")
+    reply = unescape(F.expr(f"substring(reply, 1, char_length(reply) - {len(END) + 1})"))
+    made = expanded.groupBy("conv_id").agg(
+        F.max_by(whole, "example").alias("_whole"), F.array_sort(F.collect_list(F.when(F.col("mask"), F.struct("example", reply.alias("text"))))).alias("_replies"),
+        F.sum(F.when(F.col("mask"), size)).alias("_sum"), F.max(size).alias("_most"),
+    )
+    parts = F.filter(F.split("_whole", r"<\|im_start\|>"), lambda p: p != "")
 
-def conversations_read_back(examples: DataFrame, examples_to_block: int = 128) -> DataFrame:
-    """A row for each conversation, from its formatted examples alone.
+    def turn(part: Column) -> Column:
+        role = F.substring_index(part, "\n", 1)
+        text = F.substring(part, F.char_length(role) + 2, F.char_length(part) - F.char_length(role) - 1 - (len(END) + 1))
+        return F.concat(F.url_decode(role), F.lit("\n"), unescape(text), F.lit("\n"))
 
-    The digests are over whole conversations, so the strings of a conversation's blocks meet
-    in one row in the end; each block is parsed and joined apart before that.
-    """
-    turns = read_back(examples).withColumn("block", F.floor(F.col("example") / examples_to_block))
-    blocks = turns.groupBy("conv_id", "block").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array_sort(F.collect_list(F.struct("example", "k", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("s"), F.when(F.col("mask"), F.col("text")).alias("loss")))).alias("rows"),
-    )
-    joined = lambda f: F.array_join(F.transform("rows", f), "")
-    blocks = blocks.select("conv_id", "block", "n", joined(lambda r: r["s"]).alias("s"), joined(lambda r: F.coalesce(r["loss"], F.lit(""))).alias("loss"))
-    whole = blocks.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), F.array_sort(F.collect_list(F.struct("block", "s", "loss"))).alias("rows"))
-    return whole.select("conv_id", "n_turns", joined(lambda r: r["s"]).alias("turns"), joined(lambda r: r["loss"]).alias("loss"))
+    loss = F.array_join(F.transform("_replies", lambda r: r["text"]), "")
+    return made.select("conv_id", F.size(parts).cast("long").alias("n_turns"), F.array_join(F.transform(parts, turn), "").alias("turns"), loss.alias("loss"), F.coalesce("_sum", "_most").alias("formatted_chars"))
