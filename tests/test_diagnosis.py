@@ -173,6 +173,17 @@ def test_knowledge(entries):
     assert (inner.sources[0].url, inner.sources[1].name) == ("https://example.org/a:b", "plain note") and inner.typical_features == ["BPFI dominant envelope peaks"] and rows["normal"].frequency_family is None
 
 
+def test_front_matter_forms(spark):
+    texts = {
+        "open": "---\nfault_type: a\nlist:\n- one\n  - two: 2", "none": " plain \n", "empty": "---\n---\n\nbody\n", "value": "---\na: 1\n- dropped: x\nb:\n-no\n - kept\n --- \nx\n---\ny\n", "blank": "", "first": "---\n- a: b\nc: d\n---",
+    }
+    rows = {r.name: (r.meta, r.lists, r.body) for r in knowledge.front_matter(spark.createDataFrame(list(texts.items()), "name string, text string")).collect()}
+    assert rows == {
+        "open": ({"fault_type": "a", "list": ""}, {"list": ["one", "two: 2"]}, ""), "none": ({}, {}, "plain"), "empty": ({}, {}, "body"),
+        "value": ({"a": "1", "b": ""}, {"b": ["kept"]}, "x\n---\ny"), "blank": ({}, {}, ""), "first": ({"- a": "b", "c": "d"}, {}, ""),
+    }
+
+
 def test_whole_diagnoses(spark, entries):
     base = features.frequencies(RPM)
     data = {"normal": impulses(0), "inner": impulses(base["bpfi"]), "outer": impulses(base["bpfo"]), "short": impulses(base["bpfi"], 2000), "tiny": impulses(0, 300)}

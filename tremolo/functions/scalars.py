@@ -40,17 +40,34 @@ def band_label(lo: Column, hi: Column) -> Column:
     return F.concat(hz_text(lo), F.lit("-"), hz_text(hi), F.lit("Hz"))
 
 
-def short_number(v: Column) -> Column:
-    """Four significant digits without trailing zeros; an exponent outside 1e-4 to 1e4.
+def formatted(form: str, *values: Column | str) -> Column:
+    """Values in a printf form; null if any is null."""
+    columns = [F.col(v) if isinstance(v, str) else v for v in values]
+    known = F.lit(True)
+    for c in columns:
+        known = known & c.isNotNull()
+    return F.when(known, F.format_string(form, *columns))
+
+
+def significant(v: Column, digits: int) -> Column:
+    """As many significant digits without trailing zeros; an exponent from -5 down and from ``digits`` up, as C's %g has it.
 
-    Where the fifth digit is a lone 5 in decimal, the fourth may differ from exact binary rounding.
+    Where the next digit is a lone 5 in decimal, the last may differ from exact binary rounding.
     """
     v = v.cast("double")
-    size = F.floor(F.log10(F.abs(v)) + 1e-12)
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", F.bround(v * F.pow(F.lit(10.0), 3 - size)) / F.pow(F.lit(10.0), 3 - size)), "0+$", ""), r"\.$", "")
-    mantissa = F.bround(v / F.pow(F.lit(10.0), size) * 1000) / 1000  # of ties the even one
-    sci = F.regexp_replace(F.format_string("%.3fe%+03d", mantissa, size), r"\.?0+e", "e")
-    return F.when(v.isNull(), None).when(v == 0, "0").when((size < -4) | (size >= 4), sci).otherwise(plain)
+    place = lambda x: F.floor(F.log10(F.abs(x)) + 1e-12)
+    ten = F.lit(10.0)
+    short = lambda size: F.when(size < digits, F.bround(v * F.pow(ten, digits - 1 - size)) / F.pow(ten, digits - 1 - size)).otherwise(F.bround(v / F.pow(ten, size - digits + 1)) * F.pow(ten, size - digits + 1))
+    w = short(place(v))
+    size = place(w)  # rounding may have made it a digit longer
+    plain = F.regexp_replace(F.regexp_replace(F.format_string(f"%.{digits + 4}f", w), "0+$", ""), r"\.$", "")
+    mantissa = F.bround(w / F.pow(ten, size) * 10.0 ** (digits - 1)) / 10.0 ** (digits - 1)
+    sci = F.regexp_replace(F.format_string(f"%.{digits - 1}fe%+03d", mantissa, size), r"\.?0+e", "e")
+    return F.when(v.isNull(), None).when(v == 0, "0").when((size < -4) | (size >= digits), sci).otherwise(plain)
+
+
+def short_number(v: Column) -> Column:
+    return significant(v, 4)
 
 
 def fault_frequencies(rpm: Column, g: Geometry = Geometry()) -> dict[str, Column]:
@@ -77,7 +94,7 @@ def trend(ratio: Column) -> Column:
 
 
 def percent(ratio: Column) -> Column:
-    return F.coalesce(F.format_string("%.0f%%", F.abs(ratio - 1) * 100), F.lit("unknown"))
+    return F.coalesce(formatted("%.0f%%", F.bround(F.abs(ratio - 1) * 100)), F.lit("unknown"))  # of ties the even one
 
 
 def file_name(path: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremolo import config
-from tremolo.functions.scalars import change, fault_frequencies, percent, rounded, trend
+from tremolo.functions.scalars import change, fault_frequencies, formatted, percent, rounded, trend
 
 
 def _matches(peaks: Column, families: dict[str, Column], resolution: Column) -> Column:
@@ -80,11 +80,11 @@ def evidence() -> Column:
     """At most six lines in a fixed order; a line on the dominant amplitude if there are fewer than three."""
     f = lambda name, part: F.col(f"feature_changes.{name}.{part}")
     big = lambda name: F.coalesce(F.abs(f(name, "ratio") - 1) >= config.CHANGE_THRESHOLD, F.lit(False))
-    from_to = lambda name, fmt: F.format_string(f"from {fmt} to {fmt}", f(name, "normal"), f(name, "abnormal"))
+    from_to = lambda name, fmt: formatted(f"from {fmt} to {fmt}", f(name, "normal"), f(name, "abnormal"))
     word = F.when(~big("kurtosis"), "no clear change").when(f("kurtosis", "ratio") >= 1, "stronger impulses").otherwise("weaker impulses")
     d = F.col("dominant")
-    tied = F.format_string("envelope energies of %s and %s are too close to rank (ratio %.4f)", F.element_at(d["tied"], 1), F.element_at(d["tied"], 2), d["margin_ratio"])
-    leads = F.format_string("%s (%.1f Hz) and its harmonics hold the most envelope energy (%.4f)", d["label"], d["frequency_hz"], d["abnormal_energy"])
+    tied = formatted("envelope energies of %s and %s are too close to rank (ratio %.4f)", F.element_at(d["tied"], 1), F.element_at(d["tied"], 2), d["margin_ratio"])
+    leads = formatted("%s (%.1f Hz) and its harmonics hold the most envelope energy (%.4f)", d["label"], d["frequency_hz"], d["abnormal_energy"])
     known = F.filter("band_changes", lambda b: b["change"]["ratio"].isNotNull())
     widest = F.array_max(F.transform(known, lambda b, i: F.struct(F.abs(b["change"]["delta"]).alias("d"), (-i).alias("i"), b.alias("b"))))["b"]
     top = F.array_max(F.transform("a_envelope.characteristic_peaks", lambda p, i: F.struct(p["peak_amplitude"].alias("a"), (-i).alias("i"), p.alias("p"))))["p"]
@@ -93,9 +93,9 @@ def evidence() -> Column:
         F.concat(F.lit("RMS "), from_to("rms", "%.4f"), F.lit(", "), trend(f("rms", "ratio")), F.lit(" "), percent(f("rms", "ratio"))),
         F.concat(F.lit("kurtosis "), from_to("kurtosis", "%.2f"), F.lit(", "), word),
         F.when(d.isNotNull(), F.when(d["ambiguous"], tied).otherwise(leads)),
-        F.when(d.isNotNull() & top.isNotNull(), F.format_string("a clear envelope peak at harmonic %d of %s (%.1f Hz, off by %.2f%%)", top["harmonic_order"], top["label"], top["nearest_peak"], top["deviation_pct"])),
-        F.when(widest.isNotNull(), F.concat(F.lit("energy of band "), widest["band"], F.format_string(" from %.6f to %.6f, ", widest["change"]["normal"], widest["change"]["abnormal"]), trend(widest["change"]["ratio"]), F.lit(" "), percent(widest["change"]["ratio"]))),
-        F.when(shift["normal_dominant"] != shift["abnormal_dominant"], F.format_string("dominant frequency moved from %.1f Hz to %.1f Hz", shift["normal_dominant"], shift["abnormal_dominant"])).otherwise(F.format_string("dominant frequency stays at %.1f Hz", shift["normal_dominant"])),
+        F.when(d.isNotNull() & top.isNotNull(), formatted("a clear envelope peak at harmonic %d of %s (%.1f Hz, off by %.2f%%)", top["harmonic_order"], top["label"], top["nearest_peak"], top["deviation_pct"])),
+        F.when(widest.isNotNull(), F.concat(F.lit("energy of band "), widest["band"], formatted(" from %.6f to %.6f, ", widest["change"]["normal"], widest["change"]["abnormal"]), trend(widest["change"]["ratio"]), F.lit(" "), percent(widest["change"]["ratio"]))),
+        F.when(shift["normal_dominant"] != shift["abnormal_dominant"], formatted("dominant frequency moved from %.1f Hz to %.1f Hz", shift["normal_dominant"], shift["abnormal_dominant"])).otherwise(formatted("dominant frequency stays at %.1f Hz", shift["normal_dominant"])),
         F.when(big("peak"), F.concat(F.lit("peak "), from_to("peak", "%.4f"), F.lit(", "), trend(f("peak", "ratio")), F.lit(" "), percent(f("peak", "ratio")))),
         F.when(big("crest_factor"), F.concat(F.lit("crest factor "), from_to("crest_factor", "%.2f"), F.lit(", "), trend(f("crest_factor", "ratio")))),
     ), lambda x: x.isNotNull())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.functions.scalars import json_object, urls
+from tremolo.functions.scalars import formatted, json_object, urls
 
 
 def prompt() -> Column:
@@ -16,7 +16,7 @@ def prompt() -> Column:
 
     Columns: evidence (array of lines), candidates (array with fault_type, score, state).
     """
-    known = F.transform("candidates", lambda c: F.concat(c["fault_type"], F.format_string(" (score %.4f, clauses ", c["score"]), c["state"], F.lit(")")))
+    known = F.transform("candidates", lambda c: F.concat(c["fault_type"], formatted(" (score %.4f, clauses ", c["score"]), c["state"], F.lit(")")))
     allowed = F.array_join(F.array_union(F.transform("candidates", lambda c: c["fault_type"]), F.array(F.lit("unconfirmed"))), ", ")
     return F.concat(
         F.lit("Evidence:\n- "), F.array_join("evidence", "\n- "), F.lit("\nCandidates:\n- "), F.array_join(known, "\n- "),

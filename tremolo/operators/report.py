@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremolo import config
-from tremolo.functions.scalars import percent, short_number, trend
+from tremolo.functions.scalars import formatted, percent, short_number, trend
 
 SECTIONS = (
     "Subject", "Data quality", "Feature comparison", "Band energy", "Spectrum", "Envelope spectrum", "Evidence", "Knowledge candidates", "Conclusion", "Sources", "Review suggestions",
@@ -63,13 +63,13 @@ def leading_families(most: int = 3) -> Column:
 def spectrum_notes() -> Column:
     """Lines on the dominant frequency, the bands that changed most, the theoretical frequencies, aligned peaks and changed features."""
     shift, f = F.col("frequency_change"), F.col("fault_frequencies")
-    moved = F.format_string("the dominant frequency moved from %.1f Hz to %.1f Hz (%+.1f Hz)", shift["normal_dominant"], shift["abnormal_dominant"], shift["shift_hz"])
-    bands = F.transform(changed_bands(), lambda b: F.concat(b["band"], F.format_string(" from %.6f to %.6f (", b["change"]["normal"], b["change"]["abnormal"]), _times(b["change"]["ratio"]), F.lit(")")))
-    peaks = F.transform("matches", lambda m: F.concat(m["label"], F.when(m["harmonic_order"] > 1, F.concat(F.lit("×"), m["harmonic_order"].cast("string"))).otherwise(""), F.format_string(" %.2f Hz: peak at %.2f Hz, off by %.2f%%, amplitude ", m["frequency"], m["nearest_peak"], m["deviation_pct"]), short_number(m["peak_amplitude"])))
+    moved = formatted("the dominant frequency moved from %.1f Hz to %.1f Hz (%+.1f Hz)", shift["normal_dominant"], shift["abnormal_dominant"], shift["shift_hz"])
+    bands = F.transform(changed_bands(), lambda b: F.concat(b["band"], formatted(" from %.6f to %.6f (", b["change"]["normal"], b["change"]["abnormal"]), _times(b["change"]["ratio"]), F.lit(")")))
+    peaks = F.transform("matches", lambda m: F.concat(m["label"], F.when(m["harmonic_order"] > 1, F.concat(F.lit("×"), m["harmonic_order"].cast("string"))).otherwise(""), formatted(" %.2f Hz: peak at %.2f Hz, off by %.2f%%, amplitude ", m["frequency"], m["nearest_peak"], m["deviation_pct"]), short_number(m["peak_amplitude"])))
     return F.filter(F.array(
-        F.when(shift["normal_dominant"] == shift["abnormal_dominant"], F.format_string("the dominant frequency stays at %.1f Hz", shift["normal_dominant"])).otherwise(moved),
+        F.when(shift["normal_dominant"] == shift["abnormal_dominant"], formatted("the dominant frequency stays at %.1f Hz", shift["normal_dominant"])).otherwise(moved),
         F.when(F.size("band_changes") > 0, F.concat(F.lit("bands that changed most: "), _listed(bands))),
-        F.when(f.isNotNull(), F.format_string("at %.1f rpm: shaft %.2f Hz, BPFO %.2f Hz, BPFI %.2f Hz, BSF %.2f Hz, FTF %.2f Hz", "rotation_speed", f["shaft"], f["bpfo"], f["bpfi"], f["bsf"], f["ftf"])),
+        F.when(f.isNotNull(), formatted("at %.1f rpm: shaft %.2f Hz, BPFO %.2f Hz, BPFI %.2f Hz, BSF %.2f Hz, FTF %.2f Hz", "rotation_speed", f["shaft"], f["bpfo"], f["bpfi"], f["bsf"], f["ftf"])),
         F.when(F.size("matches") > 0, F.concat(F.lit("aligned peaks: "), _listed(peaks))).when(f.isNotNull(), "no peak of the suspect aligns with a harmonic of BPFO, BPFI, BSF or FTF"),
         F.when(F.size("changed_features") > 0, F.concat(F.lit("changed features: "), F.array_join("changed_features", ", "))),
     ), lambda x: x.isNotNull())
@@ -78,10 +78,10 @@ def spectrum_notes() -> Column:
 def envelope_notes() -> Column:
     """Lines on the leading or tied families and on the three of the most energy; energies in scientific notation, as they span decades. Null without envelopes."""
     changes, d = F.col("characteristic_changes"), F.col("dominant")
-    energy = lambda v: F.format_string("%.2e", v)
+    energy = lambda v: formatted("%.2e", v)
     base = lambda c: F.when(c["detected_in_baseline"], F.concat(F.lit("baseline "), energy(c["normal"]), F.lit(", "), _times(c["ratio"]))).otherwise("not in the baseline")
     of = lambda label: F.get(F.filter(changes, lambda c: c["label"] == label), F.lit(0))
-    named = lambda c: F.concat(c["label"], F.format_string(" (%.1f Hz) ", c["frequency_hz"]), energy(c["abnormal"]), F.lit(" ("), base(c), F.lit(")"))
+    named = lambda c: F.concat(c["label"], formatted(" (%.1f Hz) ", c["frequency_hz"]), energy(c["abnormal"]), F.lit(" ("), base(c), F.lit(")"))
     lines = F.filter(F.array(
         F.when(d["ambiguous"], F.concat(F.lit("the energies of these families are close, none leads: "), _listed(F.transform(d["tied"], lambda t: named(of(t)))))).when(d.isNotNull(), F.concat(F.lit("the band of its harmonics has the most energy: "), named(of(d["label"])))),
         F.concat(F.lit("energies: "), _listed(F.transform(leading_families(), lambda c: F.concat(c["label"], F.lit(" "), energy(c["abnormal"]))))),
@@ -124,11 +124,11 @@ def reports(requests: DataFrame, validation: DataFrame, comparisons: DataFrame,
     )
     e = lambda c, t: F.coalesce(c, F.array().cast(t))
     bands = F.transform("band_changes", lambda b: F.array(b["band"], short_number(b["change"]["normal"]), short_number(b["change"]["abnormal"]), short_number(b["change"]["ratio"])))
-    families = F.transform(e(F.col("characteristic_changes"), comparisons.schema["characteristic_changes"].dataType), lambda c: F.array(c["label"], F.format_string("%.2f", c["frequency_hz"]), F.format_string("%.3e", c["normal"]), F.format_string("%.3e", c["abnormal"]), short_number(c["ratio"])))
-    known = F.transform("candidates", lambda c: F.array(c["fault_type"], F.format_string("%.4f", c["score"]), F.format_string("%.4f", c["alignment_score"]), c["state"], F.array_join(F.transform(F.filter(F.coalesce(c["clauses"], F.array().cast(own.schema["clauses"].dataType)), lambda x: x["state"] == "miss"), lambda x: x["clause_id"]), " ")))
+    families = F.transform(e(F.col("characteristic_changes"), comparisons.schema["characteristic_changes"].dataType), lambda c: F.array(c["label"], formatted("%.2f", c["frequency_hz"]), formatted("%.3e", c["normal"]), formatted("%.3e", c["abnormal"]), short_number(c["ratio"])))
+    known = F.transform("candidates", lambda c: F.array(c["fault_type"], formatted("%.4f", c["score"]), formatted("%.4f", c["alignment_score"]), c["state"], F.array_join(F.transform(F.filter(F.coalesce(c["clauses"], F.array().cast(own.schema["clauses"].dataType)), lambda x: x["state"] == "miss"), lambda x: x["clause_id"]), " ")))
     parts = [
-        F.concat(F.lit("baseline "), "normal_id", F.lit(", suspect "), "abnormal_id", F.format_string(", %.0f Hz, %.0f rpm", "sampling_rate", "rotation_speed")),
-        F.concat(F.format_string("%d and %d points; ", F.coalesce("n_normal", F.lit(0)), F.coalesce("n_abnormal", F.lit(0))), F.size(F.coalesce("warnings", F.array().cast(validation.schema["warnings"].dataType))).cast("string"), F.lit(" warnings")),
+        F.concat(F.lit("baseline "), "normal_id", F.lit(", suspect "), "abnormal_id", formatted(", %.0f Hz, %.0f rpm", "sampling_rate", "rotation_speed")),
+        F.concat(formatted("%d and %d points; ", F.coalesce("n_normal", F.lit(0)), F.coalesce("n_abnormal", F.lit(0))), F.size(F.coalesce("warnings", F.array().cast(validation.schema["warnings"].dataType))).cast("string"), F.lit(" warnings")),
         table(["feature", "baseline", "suspect", "difference", "ratio", "change"], _feature_rows()), table(["band", "baseline", "suspect", "ratio"], bands), bullets(spectrum_notes()),
         F.concat(table(["family", "Hz", "baseline", "suspect", "ratio"], families), F.lit("\n\n"), bullets(F.coalesce(envelope_notes(), F.array().cast("array<string>")))), bullets(F.col("evidence")), table(["type", "score", "alignment", "clauses", "missed"], known),
         F.concat("conclusion", F.lit(", confidence "), "confidence", F.lit(": "), "confidence_reason"), bullets(F.transform(refs_of, lambda s: F.concat_ws(" ", s["name"], s["url"], s["locator"]))), bullets(F.col("suggestions")),

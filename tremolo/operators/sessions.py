@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo import config
-from tremolo.functions.scalars import folded, normal_question, short_number, urls
+from tremolo.functions.scalars import folded, formatted, normal_question, short_number, urls
 from tremolo.operators.signals import indexed
 
 #: The kinds of events, in the order in which they may occur (fixed values).
@@ -177,7 +177,7 @@ def context_digest() -> Column:
     """
     few = lambda c, n: F.when(F.size(c) > 0, F.array_join(F.transform(F.slice(c, 1, n), lambda x: F.concat(F.lit("\n- "), x)), ""))
     r, q = F.col("request"), F.col("quality")
-    known = F.transform("candidates", lambda c: F.concat(c["fault_type"], F.lit(" ("), F.coalesce(c["title"], F.lit("")), F.format_string(", score %.4f): ", c["score"]), F.coalesce(c["evidence"], F.lit(""))))
+    known = F.transform("candidates", lambda c: F.concat(c["fault_type"], F.lit(" ("), F.coalesce(c["title"], F.lit("")), formatted(", score %.4f): ", c["score"]), F.coalesce(c["evidence"], F.lit(""))))
     types = F.array_join(F.transform("candidates", lambda c: c["fault_type"]), ", ")
     return F.concat_ws(
         "\n", F.lit("Facts of this session; nothing else may be used:"),

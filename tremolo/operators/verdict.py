@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremolo import config
-from tremolo.functions.scalars import positive
+from tremolo.functions.scalars import formatted, positive
 
 
 def no_change() -> Column:
@@ -74,7 +74,7 @@ def verdicts(requests: DataFrame, validation: DataFrame, comparisons: DataFrame,
     ok = F.col("branch") == "ok"
     shown = F.col("branch") != "no_significant_change"
     level = confidence(F.col("top"), F.col("second"), F.coalesce("n", F.lit(0)), tied)
-    reason = F.when(F.coalesce("n", F.lit(0)) == 0, "no candidate").otherwise(F.format_string("first score %.4f of %d candidates, clauses %s", "top.score", "n", "top.state"))
+    reason = F.when(F.coalesce("n", F.lit(0)) == 0, "no candidate").otherwise(formatted("first score %.4f of %d candidates, clauses %s", "top.score", "n", "top.state"))
     error = F.when(status == "error", F.coalesce(F.when(bad, F.lit("invalid_argument")), F.get("errors", F.lit(0))["code"], F.col("feature_error.code"), F.lit("internal_error")))
     return rows.select(
         "request_id", status.alias("status"), "branch", F.when(ok, F.col("top.fault_type")).when(status != "error", "unconfirmed").alias("conclusion"), F.when(status != "error", F.when(shown, level).otherwise("low")).alias("confidence"),

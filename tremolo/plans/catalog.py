@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tremolo.plans import signal_queries, text_queries
+from tremolo.plans import part_queries, signal_queries, text_queries
 
-_MODULES = (signal_queries, text_queries)
+_MODULES = (signal_queries, text_queries, part_queries)
 
 
 def queries() -> dict[str, Callable]:

@@ -18,23 +18,24 @@ def list_item(item: Column) -> Column:
 def front_matter(docs: DataFrame) -> DataFrame:
     """(name, meta map<string,string>, lists map<string,array<string>>, body) of texts (name, text).
 
-    Between two ``---`` lines: ``key: value``, and indented ``- item`` lines that belong to the last key
-    whose own value is empty. Without the fences all is body.
+    Between two ``---`` lines, or from the first to the end: ``key: value``, and ``- item`` lines that belong to
+    the last key if its own value is empty, and else are dropped. Without the first fence all is body.
     """
     text = F.regexp_replace(F.regexp_replace("text", r"^\x{FEFF}", ""), r"\r\n?", "\n")
-    part = lambda k: F.regexp_extract(text, r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n(.*))?\z", k)
-    fenced = text.rlike(r"(?s)\A---[ \t]*\n.*?\n---[ \t]*(\n|\z)")
-    rows = docs.select("name", F.when(fenced, part(1)).otherwise("").alias("head"), F.when(fenced, F.trim(part(2))).otherwise(F.trim(text)).alias("body"))
+    part = lambda k: F.regexp_extract(text, r"(?s)\A[ \t]*---[ \t]*(?:\n(.*?))??(?:\n[ \t]*---[ \t]*(?:\n(.*))?\z|\z)", k)
+    fenced = text.rlike(r"\A[ \t]*---[ \t]*(\n|\z)")
+    bare = lambda t: F.regexp_replace(t, r"\A\s+|\s+\z", "")
+    rows = docs.select("name", F.when(fenced, part(1)).otherwise("").alias("head"), F.when(fenced, bare(part(2))).otherwise(bare(text)).alias("body"))
     zero = F.struct(F.lit("").alias("key"), F.array().cast("array<struct<k:string,v:string>>").alias("meta"), F.array().cast("array<struct<k:string,v:string>>").alias("items"))
 
     def step(acc: Column, line: Column) -> Column:
-        item = line.rlike(r"^\s+-\s+") & (acc["key"] != "")
-        pair = ~line.rlike(r"^\s") & line.contains(":")
-        key, value = F.trim(F.substring_index(line, ":", 1)), F.trim(F.regexp_replace(line, "^[^:]*:", ""))
+        bare = F.regexp_replace(line, r"\A\s+|\s+\z", "")
+        item = bare.startswith("- ") & (F.size(acc["meta"]) > 0)
+        key, value = F.trim(F.substring_index(bare, ":", 1)), F.trim(F.regexp_replace(bare, "^[^:]*:", ""))
         entry = lambda k, v: F.array(F.struct(k.alias("k"), v.alias("v")))
-        added = F.struct(acc["key"].alias("key"), acc["meta"].alias("meta"), F.concat(acc["items"], entry(acc["key"], F.trim(F.regexp_replace(line, r"^\s+-\s+", "")))).alias("items"))
+        added = F.struct(acc["key"].alias("key"), acc["meta"].alias("meta"), F.concat(acc["items"], entry(acc["key"], F.trim(F.substring(bare, 3, F.char_length(bare))))).alias("items"))
         new = F.struct(F.when(value == "", key).otherwise("").alias("key"), F.concat(acc["meta"], entry(key, value)).alias("meta"), acc["items"].alias("items"))
-        return F.when(item, added).when(pair, new).otherwise(acc)
+        return F.when(item, F.when(acc["key"] != "", added).otherwise(acc)).when(bare.contains(":"), new).otherwise(acc)
 
     rows = rows.withColumn("p", F.aggregate(F.split("head", "\n"), zero, step))
     keys = F.array_distinct(F.transform("p.items", lambda i: i["k"]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremolo.config import AUDIO_KEPT, UPLOAD_BYTES
-from tremolo.functions.scalars import parsed
+from tremolo.functions.scalars import formatted, parsed, significant
 from tremolo.operators.sessions import audio_name
 
 _ISSUE = "struct<code:string,message:string,field:string>"
@@ -115,7 +115,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 def csv_lines(signals: DataFrame) -> DataFrame:
     """(sample_id, idx, value): lines of a CSV file, the header at -1."""
-    body = signals.select("sample_id", "idx", F.format_string("%.6f,%.8g", "ts", "amplitude").alias("value"))
+    body = signals.select("sample_id", "idx", F.concat(formatted("%.6f,", "ts"), significant(F.col("amplitude"), 8)).alias("value"))
     head = signals.select("sample_id").distinct().select("sample_id", F.lit(-1).cast("long").alias("idx"), F.lit("timestamp,amplitude").alias("value"))
     return head.unionByName(body)
 
