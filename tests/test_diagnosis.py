@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tremolo import config
 from tremolo.functions import kernels, scalars
 from tremolo.operators import features, retrieval, rules, sessions, signals as sig
-from tremolo.plans.diagnose import diagnose
+from tremolo.plans.diagnose import diagnose, first_sources, projected
 from tremolo.sources import knowledge, signals as files
 
 FS, RPM = 12000.0, 1797.0
@@ -203,6 +203,8 @@ def test_whole_diagnoses(spark, entries):
     reports = {r.request_id: r for r in run.reports.collect()}
     assert reports["tiny"].report is None and reports["inner"].markdown.count("## ") == 11 and "inner_race_fault" in reports["inner"].markdown
     assert reports["inner"].report.sources and not reports["same"].report.candidates and len(reports["inner"].report.evidence) <= 6
+    shown = {(r.request_id, r.align_rank): r for r in projected(run.candidates, run.checks, first_sources(entries)).collect()}
+    assert shown["inner", 1].fault_type == "inner_race_fault" and shown["inner", 1].source == "Handbook" and len(shown["inner", 1].criteria_check) == 6 and len(shown["inner", 1]) == 12
     hybrid = diagnose(requests, signals, scans, entries, embed=retrieval.hashed_embedder(64), threshold=0.05)
     assert {r.request_id: r.conclusion for r in hybrid.verdicts.collect()}["outer"] == "outer_race_fault"
 

@@ -221,6 +221,24 @@ def test_mat_files(spark, tmp_path):
     assert {r.sample_id for r in rows if r.error} == {"106", "107", "108"} and all(r.idx is None for r in rows if r.error)
 
 
+def test_band_edges(spark):
+    from tremolo.operators import spectra
+
+    assert spectra.band_edges(None, 100.0) == [0, 10, 20, 30, 40, 50] and spectra.band_edges([1, 2.5, 4], 0) == [1, 2.5, 4] and spectra.band_edges([(0, 5), (5, 9)], 0) == [0, 5, 9]
+    for bad in ([], [1], [2, 1], [1, 1], [(0, 5), (5, 5)], ["a", "b"], [float("nan"), 1.0]):
+        with pytest.raises(ValueError, match="invalid_argument"):
+            spectra.band_edges(bad, 1.0)
+    x = impulses(100, 2000)
+    assert list(features.features_of("s", x, FS, None, [(0, 1000), (1000, 6000)])["band_energy"]) == ["0-1000Hz", "1000-6000Hz"]
+
+
+def test_one_session(spark):
+    s = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "session_id string, created_at double")
+    m = spark.createDataFrame([(5, "a", "second"), (2, "a", "first"), (3, "b", "other")], "id long, session_id string, content string")
+    found, log = sessions.session(s, m, spark.createDataFrame([("a",), ("a",), ("z",)], "session_id string"))
+    assert [r.session_id for r in found.collect()] == ["a"] and sorted((r.pos, r.content) for r in log.collect()) == [(0, "first"), (1, "second")]
+
+
 def test_stages_close(spark):
     from tremolo.session import Stage, passing
 

@@ -128,6 +128,10 @@ def test_stored_index(spark, entries, queries, tmp_path):
     assert sorted(map(key, search.search(queries, entries, embed, path).rows.collect())) == sorted(map(key, search.search(queries, entries, embed).rows.collect()))
     with pytest.raises(RuntimeError):
         search.write_index(entries.limit(0), embed, path)
+    state = lambda p: tuple(search.status(spark, p).first())[1:3]
+    assert state(path) == (True, first.upserted) and state(str(tmp_path / "none")) == (False, 0)
+    (tmp_path / "odd").mkdir()
+    assert search.status(spark, str(tmp_path / "odd")).first().error
 
 
 def test_batched_embedder_counts(spark):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tremolo import config
 from tremolo.functions import kernels
+from tremolo.operators.spectra import band_edges
 
 _PEAK = "struct<frequency:double,amplitude:double>"
 _MATCH = "struct<label:string,frequency:double,nearest_peak:double,deviation_pct:double,peak_amplitude:double,harmonic_order:int>"
@@ -87,7 +88,7 @@ def selected_peaks(freq: np.ndarray, mag: np.ndarray, band_high: float) -> list[
     return [{"frequency": _f(freq[k], 4), "amplitude": _f(mag[k])} for k in sorted(chosen)]
 
 
-def features_of(sample_id: str, x: np.ndarray, fs: float, rpm: float | None, edges: list[float] | None = None, band: tuple | None = None) -> dict:
+def features_of(sample_id: str, x: np.ndarray, fs: float, rpm: float | None, edges: list | None = None, band: tuple | None = None) -> dict:
     out = dict.fromkeys(c.split()[0] for c in FEATURES.split(", ") if " " in c) | {"sample_id": sample_id, "n_samples": len(x), "sampling_rate": fs, "error": None}
     out = {k: out.get(k) for k in ("sample_id", "n_samples", "sampling_rate", "rms", "peak", "kurtosis", "crest_factor", "dominant_frequency", "dominant_amplitude", "band_energy", "spectrum_peaks", "envelope", "error")}
     if not (fs and np.isfinite(fs) and fs > 0):
@@ -98,7 +99,7 @@ def features_of(sample_id: str, x: np.ndarray, fs: float, rpm: float | None, edg
     rms, peak = float(np.sqrt(np.mean(x**2))), float(np.abs(x).max())
     freq, mag = kernels.amplitude_spectrum(x, fs)
     k = int(mag.argmax())
-    edges = edges or [fs / 2 * i / config.BANDS for i in range(config.BANDS + 1)]
+    edges = band_edges(edges, fs)
     bands = {}
     for i, (a, b) in enumerate(zip(edges, edges[1:])):
         inside = (freq >= a) & ((freq <= b) if i == len(edges) - 2 else (freq < b))
@@ -110,13 +111,15 @@ def features_of(sample_id: str, x: np.ndarray, fs: float, rpm: float | None, edg
     }
 
 
-def extract_features(signals: DataFrame, samples: DataFrame, edges: list[float] | None = None, band: tuple | None = None) -> DataFrame:
+def extract_features(signals: DataFrame, samples: DataFrame, edges: list | None = None, band: tuple | None = None) -> DataFrame:
     """FEATURES and rotation_speed of each row of ``samples``, computed once however many requests name it.
 
     ``samples`` has sample_id, sampling_rate and rotation_speed (null: no envelope), no row twice. A sample's points
     meet in one task, as its transform needs them all; samples are spread over tasks. Failures are a
     struct in ``error``, not exceptions.
     """
+    if edges is not None:
+        band_edges(edges, 0.0)  # broken ones fail before any work
     rows = signals.join(samples.select("sample_id", F.col("sampling_rate").cast("double").alias("fs"), F.col("rotation_speed").cast("double").alias("rpm")), "sample_id")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

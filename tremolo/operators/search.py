@@ -71,6 +71,17 @@ def open_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def status(spark: SparkSession, path: str) -> DataFrame:
+    """(path, exists, count, error): the state of the stored index; nothing is created."""
+    try:
+        row = (path, True, open_index(spark, path).count(), None)
+    except FileNotFoundError:
+        row = (path, False, 0, None)
+    except Exception as e:  # the folder holds no readable table
+        row = (path, True, 0, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}")
+    return spark.createDataFrame([row], "path string, exists boolean, count long, error string")
+
+
 def clause_hits(queries: DataFrame, entries: DataFrame, most: int = 2, query_key: str = "request_id") -> DataFrame:
     """(query_key, entry_index, k, id, claim, score): of each query and entry the clauses of the best BM25 score over all clauses, above 0."""
     clauses = entries.select("entry_index", F.posexplode("criteria").alias("pos", "c")).select("entry_index", "pos", F.col("c.id").alias("id"), F.coalesce("c.claim", F.lit("")).alias("claim"))

@@ -45,6 +45,13 @@ def retained(sessions: DataFrame, messages: DataFrame, keep: int = config.SESSIO
     return kept, messages.join(kept.select("session_id"), "session_id", "left_semi")
 
 
+def session(sessions: DataFrame, messages: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sessions of the ids in ``wanted`` (session_id), and their whole logs with pos, each message's place from 0."""
+    ids = wanted.select("session_id").distinct()
+    place = (F.row_number().over(Window.partitionBy("session_id").orderBy("id")) - 1).cast("long")
+    return sessions.join(ids, "session_id", "left_semi"), messages.join(ids, "session_id", "left_semi").withColumn("pos", place)
+
+
 def session_list(sessions: DataFrame, messages: DataFrame, limit: int = config.SESSIONS_KEPT) -> DataFrame:
     counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
     rows = sessions.orderBy(F.desc("created_at"), F.desc("session_id")).limit(limit).join(counts, "session_id", "left")

@@ -37,10 +37,27 @@ def dominant(spectrum: DataFrame) -> DataFrame:
     return spectrum.groupBy("sample_id").agg(top.alias("t")).select("sample_id", F.col("t.freq").alias("dominant_frequency"), F.col("t.mag").alias("dominant_amplitude"))
 
 
-def band_energy(spectrum: DataFrame, edges: list[float]) -> DataFrame:
-    """(sample_id, band, label, energy): squared magnitudes by band; the last band holds its upper edge."""
-    if len(edges) < 2 or any(b <= a for a, b in zip(edges, edges[1:])):
+def band_edges(given: list | None, fs: float) -> list[float]:
+    """Edges of bands: five equal ones up to the Nyquist frequency, rising numbers, or pairs of which each begins where the one before ends.
+
+    ValueError if they don't rise. Of pairs the first's lower and all upper edges count.
+    """
+    if given is None:
+        return equal_bands(fs)
+    if given and all(isinstance(x, (list, tuple)) and len(x) == 2 for x in given):
+        given = [given[0][0], *(high for _, high in given)]
+    try:
+        edges = [float(x) for x in given]
+    except (TypeError, ValueError) as e:
+        raise ValueError("invalid_argument: band edges must be numbers") from e
+    if len(edges) < 2 or any(not b > a for a, b in zip(edges, edges[1:])):
         raise ValueError("invalid_argument: band edges must rise")
+    return edges
+
+
+def band_energy(spectrum: DataFrame, edges: list) -> DataFrame:
+    """(sample_id, band, label, energy): squared magnitudes by band; the last band holds its upper edge."""
+    edges = band_edges(edges, 0.0)
     last = len(edges) - 2
     band = F.size(F.filter(F.array(*map(F.lit, map(float, edges))), lambda e: e <= F.col("freq"))) - 1
     band = F.when(F.col("freq") == edges[-1], last).otherwise(band)

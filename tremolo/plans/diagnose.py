@@ -47,6 +47,21 @@ def candidates(queries: DataFrame, entries: DataFrame, comparisons: DataFrame, t
     return made.withColumn("evidence", picked).drop("query"), checks
 
 
+def projected(candidates: DataFrame, checks: DataFrame, sources: DataFrame) -> DataFrame:
+    """What is shown of each candidate: type, title, both scores, its clauses, first source, evidence and family, in the order of alignment.
+
+    ``sources`` has fault_type, name, url and locator in the entries' order, as ``first_sources`` gives them.
+    """
+    clauses = checks.groupBy("request_id", "fault_type").agg(F.array_sort(F.collect_list(F.struct("pos", "clause_id", "expectation", "actual", "state"))).alias("criteria_check"))
+    rows = candidates.join(clauses, ["request_id", "fault_type"], "left").join(sources, "fault_type", "left")
+    return rows.select("request_id", "align_rank", "fault_type", "title", "score", "alignment_score", "criteria_check", F.col("name").alias("source"), F.col("url").alias("source_url"), "locator", "evidence", "frequency_family")
+
+
+def first_sources(entries: DataFrame) -> DataFrame:
+    """(fault_type, name, url, locator): each entry's first source."""
+    return entries.select("fault_type", F.get("sources", F.lit(0)).alias("s")).select("fault_type", "s.*")
+
+
 def diagnose(requests: DataFrame, signals: DataFrame, scans: DataFrame, entries: DataFrame, embed=None, threshold: float = config.SCORE_THRESHOLD, index_path: str | None = None) -> Diagnosis:
     """Diagnoses each row of ``requests`` (request_id, normal_id, abnormal_id, sampling_rate, rotation_speed).
 
