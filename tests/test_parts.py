@@ -15,7 +15,7 @@ from tremolo import config
 from tremolo.functions import kernels
 from tremolo.operators import features, model, report, sessions, verdict
 from tremolo.operators import signals as sig
-from tremolo.sources import mat
+from tremolo.sources import download, mat
 from tremolo.sources import signals as files
 
 
@@ -221,6 +221,19 @@ def test_mat_files(spark, tmp_path):
     assert {r.sample_id for r in rows if r.error} == {"106", "107", "108"} and all(r.idx is None for r in rows if r.error)
 
 
+def test_downloads(tmp_path):
+    source, target = tmp_path / "a.bin", tmp_path / "kept" / "a.bin"
+    source.write_bytes(b"x" * 200)
+    get = lambda **more: download.fetch(source.as_uri(), str(target), **{"least": 100} | more)
+    assert get() == "downloaded" and target.read_bytes() == b"x" * 200
+    source.write_bytes(b"y" * 300)
+    assert get() == "cached" and target.stat().st_size == 200 and get(force=True) == "downloaded" and target.stat().st_size == 300
+    for broken in (lambda: get(force=True, least=1000), lambda: download.fetch((tmp_path / "none").as_uri(), str(target), force=True)):
+        with pytest.raises(OSError):
+            broken()
+    assert [f.name for f in target.parent.iterdir()] == ["a.bin"] and target.stat().st_size == 300
+
+
 def test_band_edges(spark):
     from tremolo.operators import spectra
 
