@@ -23,13 +23,14 @@ def csv_scan(spark, sf_dir):
     text = F.format_string("%.4f", "value")
     for k, odd in _ODD.items():
         text = F.when(F.col("event_id") % 50 == k, odd).otherwise(text)
-    rows = e.select(F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("sample_id"), F.struct("ts", "event_id", text.alias("t")).alias("r"))
+    line = F.concat(F.format_string("%.6f,", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6), text)
+    rows = e.select(F.concat("event_type", F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("sample_id"), F.struct("ts", "event_id", line.alias("t")).alias("r"))
     body = rows.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n").alias("b"))
-    content = F.concat(F.lit("Amplitude\n"), "b").cast("binary")
+    content = F.concat(F.lit("Timestamp, Amplitude\n"), "b").cast("binary")
     signals, scans = files.scan(body.select("sample_id", content.alias("content"), F.octet_length(content).cast("long").alias("size")))
     totals = signals.groupBy("sample_id").agg(F.round(F.sum("amplitude"), 3).alias("total"), F.max("idx").alias("last"))
     n = lambda code: F.size(F.filter("errors", lambda x: x["code"] == code)).cast("long")
-    found = scans.select("sample_id", "mode", "n_samples", n("missing_value").alias("missing"), n("invalid_value").alias("invalid"), F.get("errors", F.lit(0))["message"].alias("first_error"))
+    found = scans.select("sample_id", "mode", "n_samples", F.round("rate", 6).alias("rate"), n("missing_value").alias("missing"), n("invalid_value").alias("invalid"), F.get("errors", F.lit(0))["message"].alias("first_error"))
     return found.join(totals, "sample_id", "left")
 
 
@@ -167,11 +168,12 @@ _MATCHES = f"""near AS (SELECT * FROM (SELECT p.sample_id, t.family, t.harmonic,
   WHERE k = 1 AND abs(freq - target) <= greatest({config.PEAK_TOLERANCE} * target, {signal_queries.FS / signal_queries.N}))"""
 _KURTOSIS = "CASE WHEN count(value) > 3 THEN coalesce(kurtosis(value) + 3, 0) ELSE coalesce(kurtosis_pop(value) + 3, 0) END"
 ORACLE = {
-    "csv_scan": f"""WITH e AS (SELECT event_type || '-' || strftime(ts, '%Y%m%d') AS sample_id, ts, event_id, {_TEXT} AS t FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
-      l AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ts, event_id) AS raw FROM e), q AS (SELECT * EXCLUDE raw, row_number() OVER (PARTITION BY sample_id ORDER BY raw) + 1 AS line FROM l WHERE t <> ''),
+    "csv_scan": f"""WITH e AS (SELECT event_type || '-' || strftime(ts, '%Y%m%d') AS sample_id, ts, event_id, CAST(printf('%.6f', epoch_us(ts) / 1e6) AS DOUBLE) AS sec, {_TEXT} AS t FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL),
+      q AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY ts, event_id) + 1 AS line FROM e),
       s AS (SELECT *, CASE WHEN t = '1,2' THEN NULL WHEN regexp_matches(trim(t), {_NUMBER}) AND isfinite(TRY_CAST(trim(t) AS DOUBLE)) THEN TRY_CAST(trim(t) AS DOUBLE) END AS v FROM q),
-      f AS (SELECT sample_id, count(v) AS n_samples, count(*) FILTER (v IS NULL) AS invalid, min(line) FILTER (v IS NULL) AS bad, arg_min(t, line) FILTER (v IS NULL) AS bad_text, round(sum(v), 3) AS total FROM s GROUP BY 1)
-      SELECT e.sample_id, CASE WHEN f.sample_id IS NULL THEN 'empty_data' ELSE 'single' END AS mode, coalesce(n_samples, 0) AS n_samples, 0 AS missing, coalesce(invalid, 0) AS invalid, 'line ' || bad || CASE WHEN bad_text = '1,2' THEN ': row is invalid' ELSE ': amplitude is invalid' END AS first_error, total, CASE WHEN n_samples > 0 THEN n_samples - 1 END AS last FROM (SELECT DISTINCT sample_id FROM e) e LEFT JOIN f USING (sample_id)""",
+      g AS (SELECT sample_id, median(d) AS m FROM (SELECT sample_id, sec - lag(sec) OVER (PARTITION BY sample_id ORDER BY line) AS d FROM s WHERE v IS NOT NULL) GROUP BY 1),
+      f AS (SELECT sample_id, count(v) AS n_samples, count(*) FILTER (v IS NULL AND t = '') AS missing, count(*) FILTER (v IS NULL AND t <> '') AS invalid, min(line) FILTER (v IS NULL) AS bad, arg_min(t, line) FILTER (v IS NULL) AS bad_text, round(sum(v), 3) AS total FROM s GROUP BY 1)
+      SELECT sample_id, 'pair' AS mode, n_samples, round(CASE WHEN m > 0 THEN 1 / m END, 6) AS rate, missing, invalid, 'line ' || bad || CASE bad_text WHEN '1,2' THEN ': row is invalid' WHEN '' THEN ': amplitude is missing' ELSE ': amplitude is invalid' END AS first_error, total, CASE WHEN n_samples > 0 THEN n_samples - 1 END AS last FROM f LEFT JOIN g USING (sample_id)""",
     "csv_lines": f"WITH s AS ({signal_queries._SIGNAL}) SELECT sample_id, idx, printf('%.6f,%.8g', ts, amplitude) AS value FROM s UNION ALL SELECT DISTINCT sample_id, -1, 'timestamp,amplitude' FROM s",
     "number_parsing": f"WITH p AS (SELECT p_partkey, CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) AS p FROM part), f AS (SELECT p_partkey, unnest(range(9)) AS form, unnest({_FORMS}) AS text FROM p) SELECT p_partkey, CAST(form AS INTEGER) AS form, text, CASE WHEN regexp_matches(trim(text), {_NUMBER}) THEN CAST(trim(text) AS DOUBLE) END AS number FROM f",
     "short_numbers": "WITH o AS (SELECT o_orderkey, round((floor(o_totalprice) + 0.01) * pow(10.0, o_orderkey % 9 - 6), 9) AS v, CASE WHEN o_orderkey % 11 <> 0 THEN floor(o_totalprice / 100) / 1000 END AS r FROM orders) SELECT o_orderkey, printf('%.4g', v) AS short, CASE WHEN r IS NULL THEN 'changed' WHEN r >= 1 THEN 'rose' ELSE 'fell' END AS trend, coalesce(printf('%.0f%%', abs(r - 1) * 100), 'unknown') AS percent FROM o",
