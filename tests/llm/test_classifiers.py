@@ -70,13 +70,26 @@ def test_machine_admits_a_term_that_tells_only_beside_another():
         y.append(float(kind < 2))
     y = np.array(y)
     p = toxicity.Params(bits=8)
-    first, _ = toxicity._telling(x, y, p)
+    first, _ = toxicity.differs(*toxicity.counted(zip(x, y.astype(int)), None, p), p)
     m = toxicity.fit(x, y, p)
     f = lambda ids: float(toxicity.raw_scores(m.place[ids], np.array([0, len(ids)]), (m.bias, m.weight, m.vectors))[0][0])
     assert first[1] and not first[2] and m.place[2] >= 0
     assert min(f(np.array([1, 2])), f(np.array([3]))) > 0 > max(f(np.array([1])), f(np.array([2])))
 
 
+def test_counts_and_model_do_not_depend_on_where_they_are_made(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join(rng.choice(words, 12)) + (" bad" if k % 3 == 0 else ""), int(k % 3 == 0)) for k in range(900)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(5)
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    own = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    ids_of = toxicity.term_ids(18)
+    plain = toxicity.fit([ids_of(t) for _, t, _ in own], np.array([float(y) for *_, y in own]), toxicity.Params())
+    assert np.array_equal(model.place, plain.place) and model.bias == plain.bias and np.array_equal(model.weight, plain.weight) and np.array_equal(model.vectors, plain.vectors)
+    assert model.place[ids_of("bad")[0]] >= 0
+
+
 def test_network_equals_its_definition():
     rng = np.random.default_rng(3)
     vectors, weight = rng.normal(size=(12, 4)), rng.random(12)

@@ -15,12 +15,12 @@ from tremolo.llm.common import held_out, lean, slices, whole_texts
 SAMPLE = 20_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, most: int = SAMPLE, kind: type = np.uint32) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features (arrays of ``kind``, by document) and labels of a sample outside the held-out fold.
+def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, most: int = SAMPLE) -> DataFrame:
+    """(doc_id, y, x): features (an array's bytes) and labels of a sample outside the held-out fold.
 
     A document's label is the largest of its rows; null labels and ids don't count. The
     sample's ids and labels are broadcast, as many as ``most``; texts are turned into features on
-    the executors, and only these reach the driver, in an order that reruns repeat.
+    the executors.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id")))
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -30,13 +30,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, features: Callable, m
         make = features()
         for whole in batches:
             for b in slices(whole, "text"):
-                ids = [make(t).tobytes() for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["doc_id", "y", "ids"])
+                x = [make(t).tobytes() for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
 
-    rows = whole_texts(texts).mapInArrow(lean(run), "doc_id long, y int, ids binary").toArrow()
-    ids, y = rows.column("ids").to_pylist(), rows.column("y").to_numpy()
-    order = sorted(range(len(ids)), key=lambda k: (rows.column("doc_id")[k].as_py(), ids[k]))
-    return [np.frombuffer(ids[k], kind) for k in order], y[order].astype(float)
+    return whole_texts(texts).mapInArrow(lean(run), "doc_id long, y int, x binary")
+
+
+def collected(rows: DataFrame, kind: type) -> tuple[list[np.ndarray], np.ndarray]:
+    """The features (arrays of ``kind``) and labels of a sample, on the driver, in an order that reruns repeat."""
+    table = rows.toArrow()
+    ids, x, y = table.column("doc_id").to_pylist(), table.column("x").to_pylist(), table.column("y").to_numpy()
+    order = sorted(range(len(x)), key=lambda k: (ids[k], x[k]))
+    return [np.frombuffer(x[k], kind) for k in order], y[order].astype(float)
 
 
 def scored(docs: DataFrame, scorer: Callable) -> DataFrame:

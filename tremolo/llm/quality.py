@@ -210,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         return lambda text: pooled(ids_of(text), vectors, weight)
 
     # A sampled document comes to the driver as two vectors.
-    rows, y = labelled.sample(docs, labels, "quality", features, p.sample, np.float64)
+    rows, y = labelled.collected(labelled.sample(docs, labels, "quality", features, p.sample), np.float64)
     return fit(np.array(rows).reshape(len(rows), 2 * p.width), y, vectors, weight, p)
 
 
