@@ -14,6 +14,10 @@ from tremolo.llm.common import table
 from tremolo.session import Stage, passing
 
 
+#: Bytes that an encoding worker remembers: executors still hold what earlier stages made their heaps grow to.
+ENCODER_MEMO = 20 << 20
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine scores at 0.3 or more go.
 
@@ -42,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts' token ids, as little-endian unsigned 32-bit integers, with their number, and the digest of what they decode to."""
     from tremolo.llm.queries import tokenizer_path
 
-    made = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), tokenizer_path())
+    made = bpe.bpe_round_trip(docs.select("doc_id", "source", "text"), tokenizer_path(), memo=ENCODER_MEMO)
     return made.select(
         "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids",

@@ -75,11 +75,13 @@ def test_special_tokens_of_any_form(both):
 
 
 def test_memo_runs_full(both, monkeypatch):
-    import tremolo.llm.bpe as bpe
-
-    monkeypatch.setattr(bpe, "MEMO_CHUNKS", 5)
-    monkeypatch.setattr(bpe, "MEMO_WORDS", 3)
-    for memo in (both[0].trie.pairs, both[0].trie.ends, both[0].trie.starts):
+    codec = both[0]
+    before = codec.chunks.most
+    for memo in (codec.trie.pairs, codec.trie.ends, codec.trie.starts):
         monkeypatch.setattr(memo, "most", 4)
-    for text in ["one two three", "two four five six", "one seven two eight nine ten eleven"]:
-        same(*both, text)
+    for most in (1, 900, 4000):
+        codec.remember(most)
+        for text in ["one two three", "two four five six", "one seven two eight nine ten eleven", "two two one", "a,b one,two"]:
+            same(*both, text)
+            assert codec.chunks.held <= max(most, 900)
+    codec.remember(before)

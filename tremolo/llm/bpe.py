@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -20,10 +21,10 @@ from pyspark.sql import functions as F
 
 from tremolo.llm.common import Memo, lean, slices, whole_texts
 
-#: Bytes, as counted by ``_weight``, of the chunks and of the words that a worker remembers before it starts anew.
-MEMO_CHUNKS, MEMO_WORDS = 80 << 20, 16 << 20
+#: Bytes, as counted by ``_weight``, of the chunks that a worker remembers at most; words take an eighth of it besides.
+MEMO = 80 << 20
 #: Pairs of tokens, and tokens, that it remembers; an entry's size is bounded by the vocabulary.
-MEMO_PAIRS, MEMO_TOKENS = 200_000, 8_000
+MEMO_PAIRS, MEMO_TOKENS = 100_000, 8_000
 
 #: Bytes of texts (or ids) that are split into words at a time.
 SLICE = 1 << 20
@@ -43,6 +44,36 @@ def _weight(word: str, ids: bytes) -> int:
     return 200 + len(ids) + len(word) * (1 if word.isascii() else 4)
 
 
+class Recent:
+    """Ids by word, in two generations of half of ``most`` bytes each: what the younger half looked up or learned
+    stays when it becomes the older one, and the older one goes."""
+
+    def __init__(self, most: int):
+        self.most, self.held = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> set[str]:
+        """Those of ``words`` that aren't known; the others are in ``young`` now."""
+        out = set()
+        for w in words - self.young.keys():
+            ids = self.old.get(w)
+            if ids is None:
+                out.add(w)
+            else:
+                self.learn(w, ids)
+        return out
+
+    def learn(self, word: str, ids: bytes) -> None:
+        self.young[word] = ids
+        self.held += _weight(word, ids)
+
+    def turn(self) -> None:
+        """Ends a batch: what it used may go from now on."""
+        if self.held > self.most // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+
+
 class PrefixTrie:
     """Encodes words, given as strings of the byte alphabet, to token ids.
 
@@ -60,22 +91,23 @@ class PrefixTrie:
             return token
 
         self.rank: dict[int, int] = {}  # of a pair of tokens, packed
-        self.made: dict[int, int] = {}  # a token's parts and their rank, packed
+        self.made = array("q", [-1]) * (1 + max(vocab.values()))  # a token's parts and their rank, packed
         for rank, pair in enumerate(merges):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             for x in (a, b):
                 own.setdefault(x, symbol(x))
             own.setdefault(a + b, own[a] + own[b])
             if self.rank.setdefault(vocab[a] << 20 | vocab[b], rank) == rank:
-                self.made.setdefault(vocab[a + b], rank << 40 | vocab[a] << 20 | vocab[b])
+                if self.made[vocab[a + b]] < 0:
+                    self.made[vocab[a + b]] = rank << 40 | vocab[a] << 20 | vocab[b]
         for token in vocab:
             own.setdefault(token, symbol(token))
-        self.ids = {own[t]: i for t, i in vocab.items()}
-        self.text = [""] * (1 + max(self.ids.values()))
-        for s, i in self.ids.items():
-            self.text[i] = s
+        self.text = [""] * len(self.made)
+        for t, i in vocab.items():
+            self.text[i] = own[t]
         self.packed = [i.to_bytes(4, "little") for i in range(len(self.text))]
-        self.tails = {s[k:]: -1 for s in self.ids for k in range(1, len(s))} | self.ids  # -1: only the end of tokens
+        self.tails = {s[k:]: -1 for s in self.text for k in range(1, len(s))}  # -1: only the end of tokens
+        self.tails.update((own[t], i) for t, i in vocab.items())
         self.pairs = Memo(self._agree, MEMO_PAIRS)
         self.alone = Memo(lambda t: self._whole(t) == [t], MEMO_PAIRS)
         self.ends = Memo(lambda t: self._edge(t, 0), MEMO_TOKENS)
@@ -83,13 +115,13 @@ class PrefixTrie:
 
     def _whole(self, token: int) -> list[int]:
         """What merging gives for a token's own string: the lowest rank, leftmost first, until none is left."""
-        out = [self.ids[s] for s in self.text[token]]
+        out = [self.tails[s] for s in self.text[token]]
         while len(out) > 1:
             best = min(((self.rank[a << 20 | b], k) for k, (a, b) in enumerate(zip(out, out[1:])) if a << 20 | b in self.rank), default=None)
             if best is None:
                 break
             k = best[1]
-            out[k : k + 2] = [self.ids[self.text[out[k]] + self.text[out[k + 1]]]]
+            out[k : k + 2] = [self.tails[self.text[out[k]] + self.text[out[k + 1]]]]
         return out
 
     def _edge(self, token: int, shift: int) -> list[tuple[int, float]]:
@@ -97,9 +129,9 @@ class PrefixTrie:
         out, until = [], float("inf")
         while True:
             out.append((token, until))
-            if token not in self.made:
-                return out[::-1]
             parts = self.made[token]
+            if parts < 0:
+                return out[::-1]
             token, until = parts >> shift & 0xFFFFF, parts >> 40
 
     def _agree(self, key: int) -> bool:
@@ -178,9 +210,11 @@ class Codec:
         self.special = {k: v.to_bytes(4, "little") for k, v in special.items()}
         self.parts = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.trie = PrefixTrie(model["vocab"], model["merges"], model.get("end_of_word_suffix") or "")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.held = {"chunks": 0, "words": 0}  # bytes
+        self.chunks, self.words = Recent(MEMO), Recent(MEMO // 8)
+
+    def remember(self, most: int) -> Codec:
+        self.chunks.most, self.words.most = most, most // 8
+        return self
 
     def _chunks(self, text: str) -> list[str]:
         return [c for c in _SPLIT.split(text) if c] if _ONLY_PYTHON.search(text) else text.split()
@@ -192,9 +226,6 @@ class Codec:
         return [[p] if k % 2 else self._chunks(p) for k, p in enumerate(self.parts.split(text))]
 
     def _learn(self, chunks: set[str]) -> None:
-        if self.held["words"] > MEMO_WORDS:
-            self.words.clear()
-            self.held["words"] = 0
         split: dict[str, list[str]] = {}
         odd = []
         for c in chunks:
@@ -215,25 +246,21 @@ class Codec:
                 words.append(pieces[k][0])
                 k += 1
             at += 1
-        new = {w for ws in split.values() for w in ws if w not in self.words}
-        known, made = self.words, self.trie.encode(new)
-        known.update(made)
-        self.held["words"] += sum(map(_weight, made, made.values()))
+        new = self.words.missing({w for ws in split.values() for w in ws})
+        for w, ids in self.trie.encode(new).items():
+            self.words.learn(w, ids)
+        known = self.words.young
         for c, ws in split.items():
-            self.chunks[c] = ids = b"".join([known[w] for w in ws])
-            self.held["chunks"] += _weight(c, ids)
+            self.chunks.learn(c, known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]))
+        self.words.turn()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self._pieces(t or "") for t in texts]
-        wanted = {c for pieces in split for k, piece in enumerate(pieces) if k % 2 == 0 for c in piece}
-        new = {c for c in wanted if c not in self.chunks}
-        if self.held["chunks"] > MEMO_CHUNKS:
-            self.chunks.clear()
-            self.held["chunks"] = 0
-            new = wanted
-        self._learn(new)
-        get = self.chunks.__getitem__
-        return [b"".join(b"".join(map(get, piece)) if k % 2 == 0 else self.special[piece[0]] for k, piece in enumerate(pieces)) for pieces in split]
+        self._learn(self.chunks.missing({c for pieces in split for k, piece in enumerate(pieces) if k % 2 == 0 for c in piece}))
+        get = self.chunks.young.__getitem__
+        out = [b"".join(b"".join(map(get, piece)) if k % 2 == 0 else self.special[piece[0]] for k, piece in enumerate(pieces)) for pieces in split]
+        self.chunks.turn()
+        return out
 
 
 class Tokens:
@@ -304,11 +331,14 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return _added(df, ids, path, {text: "string"}, (Tokens,), lambda rows, tokens: [tokens.decode(rows)])
 
 
-def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """``df`` with the columns ``ids`` and ``decoded``: ``bpe_encode`` and ``bpe_decode`` of its ids, by one pass of one worker."""
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", memo: int = MEMO) -> DataFrame:
+    """``df`` with the columns ``ids`` and ``decoded``: ``bpe_encode`` and ``bpe_decode`` of its ids, by one pass of one worker.
+
+    ``memo``: bytes of what a worker remembers of words that it has met; less takes longer.
+    """
 
     def each(texts: list, codec: Codec, tokens: Tokens) -> list[list]:
-        rows = codec.encode(texts)
+        rows = codec.remember(memo).encode(texts)
         return [rows, tokens.decode(rows)]
 
     return _added(df, text, path, {ids: "binary", decoded: "string"}, (Codec, Tokens), each)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python lists that go back to Spark are flushed at about this many bytes.
-FLUSH_BYTES = 4 << 20
+FLUSH_BYTES = 2 << 20
 #: Rows to an Arrow batch: rows hold whole texts, and Spark's default of 10,000 of them is too much memory.
 BATCH_ROWS, BATCH_BYTES = 1000, "4m"
 

@@ -59,7 +59,7 @@ def shingler(words: int):
     Words are runs without ASCII white space, A-Z in lower case; fewer words than a shingle's
     are one shingle together; no words are none.
     """
-    memo = Memo(lambda w: xxhash.xxh3_64_digest(w), 100_000)
+    memo = Memo(lambda w: xxhash.xxh3_64_digest(w), 60_000)
     factors = [_mixed(np.uint64(k + 1) * _M[k % 5]) | np.uint64(1) for k in range(words)]
 
     def of(text: str | None) -> np.ndarray:
@@ -97,7 +97,7 @@ def _frequent(docs: DataFrame, p: Params, stage: Stage) -> tuple[np.ndarray, np.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shingler(p.words)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 4 << 20):
                 sets = [of(t) for t in b.column(0).to_pylist()]
                 x, n = np.unique(np.concatenate(sets), return_counts=True)
                 often = n >= max(2, b.num_rows // p.frequent)
@@ -187,7 +187,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, p: Params, stage: Stage) -> Dat
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, last, made = shingler(p.words), None, b""
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text"):
                 sets = []
                 for t in b.column(b.num_columns - 1).to_pylist():
                     if t != last:
