@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>"
 #: Turns to a block: a long conversation is dealt out by blocks of so many rows.
 BLOCK = 256
+#: Broadcast at most so many ids.
+BROADCAST_ROWS = 300_000
 
 
 def escape(text: Column) -> Column:
@@ -83,14 +85,21 @@ def expand(examples: DataFrame, block: int = 64) -> DataFrame:
     without a reply (what follows a conversation's last) are no examples: their mask is false.
     """
     own = F.concat("delta", F.coalesce("reply", F.lit("")))
-    rows = examples.select("conv_id", "example", "delta", "reply", "mask", F.floor(F.col("example") / block).alias("_b"), own.alias("_own"))
-    texts = rows.groupBy("conv_id", "_b").agg(F.array_sort(F.collect_list(F.struct("example", "_own"))).alias("_rows"))
-    texts = texts.select("conv_id", "_b", F.array_join(F.transform("_rows", lambda r: r["_own"]), "").alias("_text"))
-    past = Window.partitionBy("conv_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    before = texts.select(F.col("conv_id").alias("_c"), F.col("_b").alias("_k"), F.array_join(F.collect_list("_text").over(past), "").alias("_before")).where("_k > 0")
-    near = Window.partitionBy("conv_id", "_b").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_near", F.array_join(F.collect_list("_own").over(near), ""))
-    joined = rows.join(before, rows.conv_id.eqNullSafe(before._c) & (rows._b == before._k), "left")
+    key = F.coalesce(F.concat(F.lit("="), F.col("conv_id").cast("string")), F.lit(""))  # a null id is a conversation too
+    rows = examples.select("conv_id", "example", "delta", "reply", "mask", F.floor(F.col("example") / block).alias("_b"), own.alias("_own"), key.alias("_c"))
+    near = Window.partitionBy("_c", "_b").orderBy("example").rowsBetween(Window.unboundedPreceding, -1)
+    near = rows.withColumn("_near", F.array_join(F.collect_list("_own").over(near), ""))
+    # Conversations of several blocks; all others need no text of earlier ones.
+    long = rows.where("_b > 0").select("_c").distinct()
+    many = long.count()
+    if many == 0:
+        return near.select("conv_id", "example", F.concat("_near", "delta").alias("context"), "reply", "mask")
+    texts = rows.join(F.broadcast(long) if many <= BROADCAST_ROWS else long, "_c", "left_semi")
+    texts = texts.groupBy("_c", "_b").agg(F.array_sort(F.collect_list(F.struct("example", "_own"))).alias("_rows"))
+    texts = texts.select("_c", "_b", F.array_join(F.transform("_rows", lambda r: r["_own"]), "").alias("_text"))
+    past = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = texts.select("_c", "_b", F.array_join(F.collect_list("_text").over(past), "").alias("_before")).where("_b > 0")
+    joined = near.join(before, ["_c", "_b"], "left")
     return joined.select("conv_id", "example", F.concat(F.coalesce("_before", F.lit("")), "_near", "delta").alias("context"), "reply", "mask")
 
 
