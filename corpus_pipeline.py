@@ -15,7 +15,7 @@ from tremolo.session import Stage, passing
 
 
 #: Bytes that an encoding worker remembers: executors still hold what earlier stages made their heaps grow to.
-ENCODER_MEMO = 20 << 20
+ENCODER_MEMO = 8 << 20
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

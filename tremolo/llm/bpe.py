@@ -290,8 +290,8 @@ def _kept(kinds: tuple[type, ...], spec: str) -> list[Codec | Tokens]:
     return [_made[key] for key in keys]
 
 
-def _added(df: DataFrame, column: str, path: str, outs: dict[str, str], kinds: tuple[type, ...], each: Callable) -> DataFrame:
-    """``df`` with the columns ``outs`` (name to type; any that it had are replaced), which ``each`` makes from a slice of ``column``."""
+def _added(df: DataFrame, column: str, path: str, outs: dict[str, str], kinds: tuple[type, ...], each: Callable, size: int = SLICE) -> DataFrame:
+    """``df`` with the columns ``outs`` (name to type; any that it had are replaced), which ``each`` makes from a slice of ``column``, ``size`` bytes at a time."""
     with open(path, encoding="utf-8") as f:
         shared = df.sparkSession.sparkContext.broadcast(f.read())
     rest = [F.col(f"`{c}`") for c in df.columns if c not in outs]
@@ -303,7 +303,7 @@ def _added(df: DataFrame, column: str, path: str, outs: dict[str, str], kinds: t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _kept(kinds, shared.value)
         for whole in batches:
-            for batch in slices(whole, "_tremolo_in", SLICE):
+            for batch in slices(whole, "_tremolo_in", size):
                 made = each(batch.column(batch.num_columns - 1).to_pylist(), *tools)
                 arrays = [pa.array(x, pa.binary() if kind == "binary" else pa.string()) for x, kind in zip(made, outs.values())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*batch.schema.names[:-1], *outs])
@@ -341,4 +341,5 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids
         rows = codec.remember(memo).encode(texts)
         return [rows, tokens.decode(rows)]
 
-    return _added(df, text, path, {ids: "binary", decoded: "string"}, (Codec, Tokens), each)
+    size = max(1 << 18, min(SLICE, memo // 16))
+    return _added(df, text, path, {ids: "binary", decoded: "string"}, (Codec, Tokens), each, size)
