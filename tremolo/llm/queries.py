@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe, chat, fingerprint, jaccard, mix, neighbours, pii, quality, toxicity, warc
+from tremolo.llm import bpe, chat, fim, fingerprint, jaccard, mix, neighbours, pii, quality, toxicity, warc
 from tremolo.llm.common import table
 from tremolo.session import Stage
 
@@ -101,6 +101,14 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 _QUERIES: dict[str, Callable] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -113,7 +121,9 @@ _QUERIES: dict[str, Callable] = {
     "op9_mix": op9_mix,
     "pipeline": corpus_pipeline.run,
     "op10_fingerprint": op10_fingerprint,
+    "op12_fim": op12_fim,
 }
+_SPACE = " \\t\\n\\x0b\\f\\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SIZE = "length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|im_end|>' || chr(10))"
 #: The others can't be expressed in SQL: their tests hold them against brute force, round trips or held-out labels.
@@ -129,6 +139,14 @@ _ORACLE: dict[str, str] = {
       l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.m) + any_value(b.m) - count(*))),
       r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
       SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = sh.doc_id) AS component_id FROM sh""",
+    "op12_fim": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+') AS w FROM documents),
+      d AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS b FROM t),
+      c AS (SELECT doc_id, text, n, array_to_string(w[1:least(a, b)], '') AS p, array_to_string(w[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(w[greatest(a, b) + 1:], '') AS s,
+        CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d)
+      SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(text) AS restored_sha256 FROM c""",
 }
 
 
