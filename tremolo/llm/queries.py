@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe, chat, fim, fingerprint, jaccard, mix, neighbours, pii, quality, toxicity, warc
+from tremolo.llm import bpe, chat, fim, fingerprint, jaccard, mix, neighbours, pii, quality, toxicity, trie, warc
 from tremolo.llm.common import table
 from tremolo.session import Stage
 
@@ -101,6 +101,10 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("key")
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return made.select(
@@ -121,9 +125,12 @@ _QUERIES: dict[str, Callable] = {
     "op9_mix": op9_mix,
     "pipeline": corpus_pipeline.run,
     "op10_fingerprint": op10_fingerprint,
+    "op11_trie": op11_trie,
     "op12_fim": op12_fim,
 }
 _SPACE = " \\t\\n\\x0b\\f\\r"
+#: crc32 of a decimal id in SQL: eight shifts for each of its characters.
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST({0} AS VARCHAR), '')]), lambda a, c: list_reduce(list_prepend(xor(a, c), [CAST(0 AS BIGINT) FOR _ IN range(8)]), lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _SIZE = "length('<|im_start|>' || role || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\\\\\1|', 'g') || '<|im_end|>' || chr(10))"
 #: The others can't be expressed in SQL: their tests hold them against brute force, round trips or held-out labels.
@@ -139,6 +146,16 @@ _ORACLE: dict[str, str] = {
       l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM u a JOIN u b ON a.e = b.e AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 80 * (any_value(a.m) + any_value(b.m) - count(*))),
       r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
       SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = sh.doc_id) AS component_id FROM sh""",
+    "op11_trie": f"""WITH c AS (SELECT conv_id, list(md5(coalesce(role, '')) || md5(coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ts,
+        list(CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[{_SPACE}]+'), lambda x: x <> '')) AS BIGINT) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS ws, {_CRC.format('conv_id')} % 4 AS h
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+      r AS (SELECT c.conv_id, list_concat(coalesce(b.ts, [])[1:c.h], c.ts[c.h + 1:]) AS ts, list_concat(coalesce(b.ws, [])[1:c.h], c.ws[c.h + 1:]) AS ws FROM c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+      m AS (SELECT conv_id, len(ts) AS n, unnest(range(0, len(ts) + 1)) AS depth, ts, ws FROM r),
+      g AS (SELECT array_to_string(ts[1:depth], '') AS k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(ws[depth]) AS w,
+        sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+      p AS (SELECT g.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM g x WHERE x.depth = g.depth + 1 AND x.k[1:64 * g.depth] = g.k) AS n_children FROM g LEFT JOIN g u ON u.depth = g.depth - 1 AND u.k = g.k[1:64 * g.depth - 64])
+      SELECT a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, CAST(count(*) FILTER (b.n_children = 0) AS BIGINT) AS n_leaves, CAST(coalesce(sum((b.n_convs - 1) * b.w), 0) AS BIGINT) AS saved_tokens, a.ends_sha256
+      FROM p a JOIN p b ON b.depth >= a.depth AND b.k[1:64 * a.depth] = a.k GROUP BY a.k, a.conv_id, a.depth, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256""",
     "op12_fim": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
         regexp_extract_all(coalesce(text, ''), '[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+') AS w FROM documents),
       d AS (SELECT *, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS b FROM t),
