@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremolo.llm import bpe, chat, fim, fingerprint, jaccard, mix, neighbours, pii, quality, toxicity, trie, warc
+from tremolo.llm import bpe, chat, extract, fim, fingerprint, jaccard, mix, neighbours, pii, quality, toxicity, trie, warc
 from tremolo.llm.common import table
 from tremolo.session import Stage
 
@@ -113,6 +113,11 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = extract.main_text(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path", "by_host")
+
+
 _QUERIES: dict[str, Callable] = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -127,6 +132,7 @@ _QUERIES: dict[str, Callable] = {
     "op10_fingerprint": op10_fingerprint,
     "op11_trie": op11_trie,
     "op12_fim": op12_fim,
+    "op13_extract": op13_extract,
 }
 _SPACE = " \\t\\n\\x0b\\f\\r"
 #: crc32 of a decimal id in SQL: eight shifts for each of its characters.
