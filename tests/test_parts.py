@@ -285,3 +285,39 @@ def test_bounded_calls():
     with pytest.raises(model.ToolError) as e:
         run()
     assert e.value.code == "max_tool_calls_exceeded" and len(tries) == 7
+
+
+def test_a_given_band_begins_above_zero():
+    x = np.sin(np.arange(500) / 3)
+    for band in ((0, 100), (-1, 100), (200, 100), (float("nan"), 5)):
+        with pytest.raises(ValueError, match="invalid_argument"):
+            kernels.bandpass(x, 1000.0, band)
+    assert kernels.bandpass(x, 1000.0, (100, 500))[2] == "unfiltered" and kernels.bandpass(x, 1000.0, (100, 400))[1] == [100.0, 400.0]
+
+
+def test_prominences_and_matches_by_definition(spark):
+    """Spectra with plateaus and equal heights against the kernel; the merge against every pair."""
+    from tremolo.operators import spectra
+
+    rng = np.random.default_rng(8)
+    rows, want = [], set()
+    for s in range(30):
+        y = rng.integers(0, 6 if s % 2 else 1000, rng.integers(0, 60)).astype(float)
+        rows += [(f"s{s}", k, k * 2.0, float(v)) for k, v in enumerate(y)]
+        want |= {(f"s{s}", int(k), 2.0 * k, y[k], p) for k, p in zip(*kernels.peak_prominences(y))}
+    df = spark.createDataFrame(rows, "sample_id string, bin long, freq double, mag double")
+    for parts in (1, 5):
+        got = spectra.prominences(df.repartition(parts)).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+    peaks = spectra.local_maxima(df)
+    assert {tuple(r) for r in peaks.select("sample_id", "bin", "freq", "mag").collect()} == {w[:4] for w in want}
+    targets = spark.createDataFrame([("a", 1, 13.0), ("a", 2, 26.0), ("b", 1, 1.0), ("b", 2, 300.0), ("c", 1, 40.0), ("c", 2, 5.0)], "family string, harmonic long, target double")
+    own = df.select("sample_id").distinct().join(targets)
+    pairs = set()
+    for s in {w[0] for w in want}:
+        for t in targets.collect():
+            gap, f, m = min((abs(w[2] - t.target), w[2], w[3]) for w in want if w[0] == s)
+            if gap <= max(0.1 * t.target, 1.5):
+                pairs.add((s, t.family, t.harmonic, t.target, f, m, gap / t.target * 100))
+    for t in (targets, own):
+        assert {tuple(r) for r in spectra.nearest_matches(peaks, t, 1.5, 0.1).collect()} == pairs

@@ -163,3 +163,40 @@ def test_query_text_of_matches(spark):
     df = spark.createDataFrame([([("BPFI", 1.0, 1.0, 0.5, 0.1, 3), ("BPFI", 1.0, 1.0, 1.25, 0.1, 1), ("BPFO", 1.0, 1.0, None, 0.1, 2)],), ([],)], f"matches array<{m}>")
     rows = df.select(retrieval.match_orders(F.col("matches")).alias("m")).collect()
     assert [(x.label, list(x.orders), x.deviation_pct) for x in rows[0].m] == [("BPFI", [1, 3], 1.25), ("BPFO", [2], None)] and rows[1].m == []
+
+
+def test_pruned_search_equals_the_full_one(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    vocabulary = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(300)]
+    common = vocabulary[:20]
+    pick = lambda n: " ".join(rng.sample(common, 6) + rng.choices(vocabulary, k=n))
+    texts = [(k, pick(rng.randrange(1, 40))) for k in range(600)] + [(600 + k, "wzz wyy special words " * (k + 1)) for k in range(8)] + [(700, None), (701, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked = [(k, pick(6)) for k in range(15)] + [(50, "special words"), (51, "wzz waa wab"), (52, "nothing here"), (53, ""), (54, None)] + [(60 + k, texts[k][1]) for k in range(5)] + [(70 + k, f"special words {common[k]} {common[k + 1]}") for k in range(5)]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    ind = retrieval.index(docs, "doc_id", "text")
+    key = lambda r: (r.query_id, r["rank"], r.doc_id, r.score)
+    for block, first, k in ((256, 12, 5), (4, 2, 3)):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        monkeypatch.setattr(retrieval, "FIRST", first)
+        full = retrieval.top(retrieval.bm25_scores(queries, ind).withColumn("score", F.round("score", 6)), "doc_id", k)
+        blocks = retrieval.blocked(ind)
+        assert blocks.rows.count() == ind.postings.join(ind.idf, "token").count() and blocks.heads.agg(F.max("n")).first()[0] <= 4 * block
+        made = retrieval.pruned_top(queries, ind, blocks, k)
+        assert sorted(map(key, made.rows.collect())) == sorted(map(key, full.collect()))
+        read = {r.query_id: r for r in made.read.collect()}
+        assert all(r.read <= r.postings for r in read.values()) and set(read) == {r[0] for r in asked} - {52, 53, 54}
+        assert all(r.read < 0.2 * r.postings and r.candidates < 20 for q, r in read.items() if q >= 70)  # the common words propose no text
+
+
+def test_postings_equal_tokens(spark):
+    texts = ["Ab1.5x 7.8.9 für élan 漢字かな漢 一 ABC", None, "", "9999 a-b_c", "䷿鿿ꀀ 一丁丂", "KK 𝒳"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = {r.id: Counter(r.t) for r in df.select("id", retrieval.tokens(F.coalesce("text", F.lit(""))).alias("t")).collect()}
+    got = defaultdict(Counter)
+    for r in retrieval.postings(df, "id", "text").collect():
+        got[r.id][r.token] = r.tf
+        assert r.doc_len == sum(want[r.id].values())
+    assert {k: v for k, v in want.items() if v} == got

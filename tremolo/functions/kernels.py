@@ -124,13 +124,13 @@ def zero_phase(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray) ->
 
 
 def bandpass(x: np.ndarray, fs: float, band: tuple | None = None) -> tuple[np.ndarray, list[float], str]:
-    """(filtered, band, rule); a band that touches 0 or the Nyquist frequency means no filter."""
+    """(filtered, band, rule); a band that reaches the Nyquist frequency means no filter, one from 0 Hz or below is refused."""
     nyquist = fs / 2
     rule = "default" if band is None else "given"
     lo, hi = (config.RESONANCE_BAND[0] * nyquist, config.RESONANCE_BAND[1] * nyquist) if band is None else map(float, band)
-    if not (np.isfinite(lo) and np.isfinite(hi) and 0 <= lo < hi):
-        raise ValueError("invalid_argument: the band needs two rising finite numbers")
-    if lo <= 0 or hi >= nyquist:
+    if not (np.isfinite(lo) and np.isfinite(hi) and 0 < lo < hi):
+        raise ValueError("invalid_argument: the band needs two rising finite numbers above 0")
+    if hi >= nyquist:
         return x, [0.0, nyquist], "unfiltered"
     return zero_phase(butter_sections(lo / nyquist, hi / nyquist), x), [lo, hi], rule
 

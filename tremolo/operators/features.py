@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tremolo import config
 from tremolo.functions import kernels
 from tremolo.operators.spectra import band_edges
+from tremolo.session import dealt
 
 _PEAK = "struct<frequency:double,amplitude:double>"
 _MATCH = "struct<label:string,frequency:double,nearest_peak:double,deviation_pct:double,peak_amplitude:double,harmonic_order:int>"
@@ -129,7 +130,7 @@ def extract_features(signals: DataFrame, samples: DataFrame, edges: list | None
         made = features_of(pdf.sample_id.iloc[0], pdf.amplitude.to_numpy(float), float(pdf.fs.iloc[0]), rpm, edges, band)
         return pd.DataFrame([made | {"rotation_speed": asked}])
 
-    return rows.select("sample_id", "idx", "amplitude", "fs", "rpm").groupBy("sample_id", "fs", "rpm").applyInPandas(run, f"{FEATURES}, rotation_speed double")
+    return dealt(rows.select("sample_id", "idx", "amplitude", "fs", "rpm"), "sample_id", "fs", "rpm").groupBy("sample_id", "fs", "rpm").applyInPandas(run, f"{FEATURES}, rotation_speed double")
 
 
 def extract_series(signals: DataFrame, samples: DataFrame) -> DataFrame:
@@ -154,4 +155,4 @@ def extract_series(signals: DataFrame, samples: DataFrame) -> DataFrame:
             ef, em = thinned(freq[low], mag[low], config.ENVELOPE_POINTS)
         return pd.DataFrame([{"sample_id": pdf.sample_id.iloc[0], "waveform_min": [float(x[a:b].min()) for a, b in bounds], "waveform_max": [float(x[a:b].max()) for a, b in bounds], "spectrum_freq": sf, "spectrum_mag": sm, "envelope_freq": ef, "envelope_mag": em, "wav": kernels.wav_bytes(x, fs)}])
 
-    return rows.select("sample_id", "idx", "amplitude", "fs").groupBy("sample_id").applyInPandas(run, SERIES)
+    return dealt(rows.select("sample_id", "idx", "amplitude", "fs"), "sample_id").groupBy("sample_id").applyInPandas(run, SERIES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tremolo import config
 from tremolo.functions.scalars import short_number
-from tremolo.session import Stage
+from tremolo.session import Stage, spread
 
 #: Runs of Latin letters, numbers, and runs of CJK characters.
 _TOKEN = r"[A-Za-z]+|\d+(?:\.\d+)?|[\x{4E00}-\x{9FFF}]+"
@@ -37,11 +39,54 @@ def tokens(text: Column) -> Column:
     return F.when(text.rlike(_CJK), F.flatten(F.transform(found, split))).otherwise(found)
 
 
+#: The same tokens in UTF-8, after lower-casing of A to Z: words, numbers, and runs of U+4E00 to U+9FFF.
+_TOKEN_BYTES = re.compile(rb"[a-z]+|[0-9]+(?:\.[0-9]+)?|(?:\xe4[\xb8-\xbf][\x80-\xbf]|[\xe5-\xe9][\x80-\xbf][\x80-\xbf])+")
+#: Rows of postings that go back to Spark at once.
+_POSTINGS = 200_000
+
+
+def _counted(text: str) -> Counter:
+    """Tokens of a text with their numbers, as ``tokens`` has them."""
+    found = Counter(_TOKEN_BYTES.findall(text.encode("utf-8", "replace").lower()))
+    out: Counter = Counter()
+    for token, n in found.items():
+        word = token.decode()
+        if word[0] < "\u4e00":
+            out[word] += n
+        else:
+            for k in range(len(word) - 1):
+                out[word[k : k + 2]] += n
+    return out
+
+
 def postings(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
-    """(key, token, tf, doc_len): term frequencies of ``docs``; map-side aggregation makes hot tokens cheap."""
-    toks = tokens(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(key, *keep, toks.alias("_t")).select(key, *keep, F.size("_t").cast("long").alias("doc_len"), F.explode("_t").alias("token"))
-    return rows.groupBy(key, *keep, "doc_len", "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, doc_len, token, tf): term frequencies of ``docs``, counted text by text where the texts are; nothing is shuffled.
+
+    Every row of ``docs`` is a document of its own; null texts have no tokens.
+    """
+    rows = docs.select(F.col(key), *keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    schema = rows.drop("_text").schema.add("doc_len", "long").add("token", "string").add("tf", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(source: pa.RecordBatch, first: int, sizes: list[int], lengths: list[int], token: list[str], tf: list[int]) -> pa.RecordBatch:
+            at = np.repeat(np.arange(first, first + len(sizes)), sizes)
+            own = [c.take(pa.array(at)) for c in source.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*own, pa.array(np.repeat(np.array(lengths, np.int64), sizes)), pa.array(token, pa.string()), pa.array(tf, pa.int64())], schema.names)
+
+        for source in batches:
+            first, sizes, lengths, token, tf = 0, [], [], [], []
+            for i, t in enumerate(source.columns[-1]):
+                found = _counted(t.as_py())
+                sizes.append(len(found))
+                lengths.append(sum(found.values()))
+                token += found.keys()
+                tf += found.values()
+                if len(token) >= _POSTINGS:
+                    yield batch(source, first, sizes, lengths, token, tf)
+                    first, sizes, lengths, token, tf = i + 1, [], [], [], []
+            yield batch(source, first, sizes, lengths, token, tf)
+
+    return rows.mapInArrow(run, schema)
 
 
 def _saturated(tf: Column, length: Column, avgdl: Column) -> Column:
@@ -51,45 +96,126 @@ def _saturated(tf: Column, length: Column, avgdl: Column) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """A written index of texts: weights (key, token, w), norms (key, norm), idf (token, df, idf), the number of texts and their mean length."""
+    """A written index of texts: postings (key, doc_len, token, tf), idf (token, df, idf), norms (key, norm), the number of texts and their mean length."""
 
     key: str
-    weights: DataFrame
-    norms: DataFrame
+    postings: DataFrame
     idf: DataFrame
+    norms: DataFrame
     n_docs: int
     avgdl: float
 
+    def weight(self) -> Column:
+        """A posting's weight, beside its token's idf."""
+        return F.col("idf") * _saturated(F.col("tf"), F.col("doc_len"), F.lit(self.avgdl))
+
 
 def index(docs: DataFrame, key: str, text: str) -> Index:
     """The index of a corpus; tokens of idf 0 or less are dropped. idf = ln((N - df + 0.5) / (df + 0.5)).
 
-    Texts are taken apart once: term frequencies are written, and all else is read from them.
-    Texts without tokens count in N and in the mean length.
+    Texts are taken apart once: term frequencies are written, and idf and norms are read from them and written as well, so
+    that a query takes norms over no documents. Texts without tokens count in N and in the mean length.
     """
     stage = Stage(docs.sparkSession, "index")
-    post = stage.write(postings(docs, key, text))
+    post = stage.write(postings(spread(docs.select(key, text)), key, text))
     n = docs.count()
     mean = (post.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
     df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = stage.write(df.select("token", "df", F.ln((n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")).where("idf > 0"))
-    w = _saturated(F.col("tf"), F.col("doc_len"), F.lit(mean or 1.0))
-    weights = stage.write(post.join(idf, "token").select(key, "token", (F.col("idf") * w).alias("w")))
-    return Index(key, weights, weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm")), idf, n, mean or 1.0)
+    ind = Index(key, post, idf, post, n, mean or 1.0)
+    norms = stage.write(post.join(idf, "token").groupBy(key).agg(F.sqrt(F.sum(ind.weight() ** 2)).alias("norm")))
+    return Index(key, post, idf, norms, n, mean or 1.0)
+
+
+def _asked(queries: DataFrame, ind: Index, query_key: str, text: str, stage: Stage) -> DataFrame:
+    """(query_key, token, c, df, idf), written: the tokens of each query that the index weighs, by their share of the query's length. A query's weights take the mean length."""
+    mean = F.lit(ind.avgdl)
+    q = postings(queries, query_key, text).join(ind.idf, "token").withColumn("qw", F.col("idf") * _saturated(F.col("tf"), mean, mean))
+    norm = F.sqrt(F.sum(F.col("qw") ** 2).over(Window.partitionBy(query_key)))
+    return stage.write(q.select(query_key, "token", (F.col("qw") / norm).alias("c"), "df", "idf"))
+
+
+def _scaled(cosine: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), config.BM25_SCALE * cosine))
 
 
 def bm25_scores(queries: DataFrame, ind: Index, query_key: str = "query_id", text: str = "query") -> DataFrame:
     """(query_key, key, score): the cosine of query and document weights, scaled and held to [0, 1]; pairs that share no token are left out.
 
-    A query's weights take the mean length. Weights meet the queries' tokens, each text's once, before
-    anything else is joined to them.
+    Postings meet the queries' tokens, each text's once, before anything else is joined to them.
     """
-    mean = F.lit(ind.avgdl)
-    q = Stage(queries.sparkSession, "queries").write(postings(queries, query_key, text).join(ind.idf, "token").select(query_key, "token", (F.col("idf") * _saturated(F.col("tf"), mean, mean)).alias("qw")))
-    norms = q.groupBy(query_key).agg(F.sqrt(F.sum(F.col("qw") ** 2)).alias("qnorm"))
-    dots = q.join(ind.weights, "token").groupBy(query_key, ind.key).agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), config.BM25_SCALE * F.col("dot") / (F.col("qnorm") * F.col("norm"))))
-    return dots.join(norms, query_key).join(ind.norms, ind.key).select(query_key, ind.key, score.alias("score"))
+    q = _asked(queries, ind, query_key, text, Stage(queries.sparkSession, "queries"))
+    dots = q.join(ind.postings, "token").groupBy(query_key, ind.key).agg(F.sum(F.col("c") * ind.weight()).alias("dot"))
+    return dots.join(ind.norms, ind.key).select(query_key, ind.key, _scaled(F.col("dot") / F.col("norm")).alias("score"))
+
+
+#: Postings to a block, about; blocks of a query that its threshold is taken from; how much scores may differ by order of summing.
+BLOCK, FIRST, SLACK = 256, 12, 1e-9
+
+
+@dataclass(frozen=True)
+class Blocks:
+    """Postings by block, written: rows (token, level, part, key, u), u the weight's share of its text's length; heads (token, level, part, top, n), top the block's largest share."""
+
+    rows: DataFrame
+    heads: DataFrame
+
+
+def blocked(ind: Index) -> Blocks:
+    """The postings of an index in blocks.
+
+    A token of up to BLOCK texts has one block; of another's, a block holds shares within a factor of the square root of 2
+    of each other, dealt out by key so that it has BLOCK at most, about: no list is ever in one task or row. Rows are
+    written in order of token and level within files, so that a reader's filter on these passes whole row groups over.
+    """
+    stage = Stage(ind.postings.sparkSession, "blocks")
+    u = ind.postings.join(ind.idf, "token").join(ind.norms, ind.key).select("token", ind.key, "df", (ind.weight() / F.col("norm")).alias("u"))
+    level = F.when(F.col("df") > BLOCK, F.floor(-2 * F.log2("u")).cast("int")).otherwise(0)
+    part = F.pmod(F.xxhash64(ind.key), F.ceil(F.col("df") / BLOCK)).cast("int")
+    rows = stage.write(u.select("token", level.alias("level"), part.alias("part"), ind.key, "u").sortWithinPartitions("token", "level", "part"))
+    return Blocks(rows, stage.write(rows.groupBy("token", "level", "part").agg(F.max("u").alias("top"), F.count(F.lit(1)).alias("n"))))
+
+
+@dataclass(frozen=True)
+class Pruned:
+    """The best of each query (query_key, key, score, rank), and a row for each query of what was read: all postings of its tokens, those of the blocks read, candidates."""
+
+    rows: DataFrame
+    read: DataFrame
+
+
+def pruned_top(queries: DataFrame, ind: Index, blocks: Blocks, k: int = config.TOP_K, query_key: str = "query_id", text: str = "query", digits: int = 6) -> Pruned:
+    """The k best texts of each query by ``bm25_scores`` rounded to ``digits``, ties to the smaller key; the same rows as a full search.
+
+    A query's blocks of the largest gain (its token's share times the block's largest weight) give a
+    threshold: k texts reach it by what they hold in these alone. Tokens whose largest gains together stay
+    below it can't bring a text up to it: they propose none. Of the other tokens a block is read if its gain and the largest gains of
+    all other tokens together reach the threshold. What a text lacks to its score is then looked up for the texts that still can reach it.
+    """
+    stage = Stage(queries.sparkSession, "pruned")
+    q = _asked(queries, ind, query_key, text, stage)
+    at = ["token", "level", "part"]
+    heads = stage.write(q.select(query_key, "token", "c").join(blocks.heads, "token").withColumn("gain", F.col("c") * F.col("top")))
+    opened = lambda h: h.join(blocks.rows, at).groupBy(query_key, ind.key).agg(F.sum(F.col("c") * F.col("u")).alias("got"))
+    by_gain = Window.partitionBy(query_key).orderBy(F.desc("gain"), *at)
+    first = opened(heads.withColumn("_k", F.row_number().over(by_gain)).where(F.col("_k") <= FIRST))
+    by_got = Window.partitionBy(query_key).orderBy(F.desc("got"))
+    kth = first.withColumn("_k", F.row_number().over(by_got)).where(F.col("_k") == k).select(query_key, F.least("got", F.lit(1 / config.BM25_SCALE)).alias("kth"))
+    of = Window.partitionBy(query_key)
+    rising = of.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    terms = heads.groupBy(query_key, "token").agg(F.max("gain").alias("most"), F.first("c").alias("c")).join(kth, query_key, "left")
+    terms = terms.withColumn("least", F.coalesce("kth", F.lit(0.0)) - 10.0**-digits - SLACK).withColumn("proposes", F.sum("most").over(rising) >= F.col("least"))
+    terms = stage.write(terms.withColumn("all", F.sum("most").over(of)).withColumn("rest", F.coalesce(F.sum(F.when(~F.col("proposes"), F.col("most"))).over(of), F.lit(0.0))))
+    could = F.col("gain") + F.col("all") - F.col("most") >= F.col("least")
+    chosen = stage.write(heads.join(terms.where("proposes").select(query_key, "token", "most", "least", "all"), [query_key, "token"]).where(could).select(query_key, "c", *at, "n"))
+    bound = terms.select(query_key, "least", "rest").distinct()
+    near = stage.write(opened(chosen).join(bound, query_key).where(F.col("got") + F.col("rest") >= F.col("least")).select(query_key, ind.key, "got"))
+    looked = near.select(query_key, ind.key).join(terms.where("NOT proposes").select(query_key, "token", "c"), query_key)
+    more = looked.join(blocks.rows.select(ind.key, "token", "u"), [ind.key, "token"]).groupBy(query_key, ind.key).agg(F.sum(F.col("c") * F.col("u")).alias("more"))
+    score = _scaled(F.col("got") + F.coalesce("more", F.lit(0.0)))
+    rows = top(near.join(more, [query_key, ind.key], "left").select(query_key, ind.key, F.round(score, digits).alias("score")), ind.key, k, query_key)
+    counts = heads.groupBy(query_key).agg(F.sum("n").alias("postings")).join(chosen.groupBy(query_key).agg(F.sum("n").alias("read")), query_key, "left").join(near.groupBy(query_key).agg(F.count(F.lit(1)).alias("candidates")), query_key, "left")
+    return Pruned(rows, counts.na.fill(0, ["read", "candidates"]))
 
 
 def top(scores: DataFrame, key: str, k: int = config.TOP_K, query_key: str = "query_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tremolo import config
 from tremolo.operators import retrieval
 from tremolo.session import Stage
+from tremolo.sources import versioned
 
 
 def lexical_text() -> Column:
@@ -44,31 +45,46 @@ def entry_chunks(entries: DataFrame, size: int = config.CHUNK_SIZE, overlap: int
     )
 
 
-def write_index(entries: DataFrame, embed: Callable[[Column], Column], path: str) -> DataFrame:
+def write_index(entries: DataFrame, embed: Callable[[Column], Column], path: str, model: str = "") -> DataFrame:
     """Brings the stored index at ``path`` up to date; a row of counts: upserted, pruned, added, count.
 
-    Chunks of equal id are replaced, ids that are gone are removed, and a second run changes nothing. The
-    new table is written beside the old one before it takes its place.
+    Chunks of equal id are replaced, ids that are gone are removed, and a second run changes nothing. Only
+    chunks whose text is new are embedded, unless ``model``, the embedder's name, is another than before; only
+    buckets that hold a changed or removed chunk are written. The index is kept in versions: until the new one is
+    whole, and if writing it fails, the old one is read.
     """
     spark = entries.sparkSession
-    new = Stage(spark, "vectors").write(entry_chunks(entries).withColumn("embedding", embed(F.col("text"))))
+    stage = Stage(spark, "vectors")
+    new = stage.write(entry_chunks(entries))
     if new.isEmpty():
         raise RuntimeError("there are no entries to index")
+    old, known = new.limit(0), None
     try:
-        old = open_index(spark, path).select("chunk_id")
+        known = versioned.current(spark, path)
+        old = versioned.read(spark, path)
     except FileNotFoundError:
-        old = new.select("chunk_id").limit(0)
-    counts = retrieval.rebuilt(old, new)[1].withColumn("count", F.col("upserted")).collect()
-    new.write.mode("overwrite").parquet(path)
+        pass
+    counts = retrieval.rebuilt(old.select("chunk_id"), new.select("chunk_id"))[1].withColumn("count", F.col("upserted")).collect()
+    same = known is not None and known.notes.get("model") == model and {*new.columns, "embedding"} == set(old.columns)
+    if same:
+        # A chunk stays as it is if all its columns but the vector are equal.
+        both = old.select(F.col("chunk_id").alias("_id"), F.sha2(F.to_json(F.struct(*sorted(new.columns))), 256).alias("_text"), "embedding")
+        met = new.withColumn("_now", F.sha2(F.to_json(F.struct(*sorted(new.columns))), 256)).join(both, F.col("chunk_id") == F.col("_id"), "full_outer")
+        met = stage.write(met.withColumn("_kept", F.col("_now").eqNullSafe(F.col("_text"))).withColumn("_bucket", versioned.bucket(F.coalesce("chunk_id", "_id"), known.buckets)))
+        changed = {r[0] for r in met.where(~F.col("_kept")).select("_bucket").distinct().collect()}  # as many as there are buckets at most
+        touched = met.where(F.col("_bucket").isin(sorted(changed)) & F.col("chunk_id").isNotNull()) if changed else met.limit(0)
+        kept = touched.where("_kept").select(*new.columns, "embedding")
+        rows = kept.unionByName(touched.where("NOT _kept").select(*new.columns).withColumn("embedding", embed(F.col("text"))))
+    else:
+        changed, rows = None, new.withColumn("embedding", embed(F.col("text")))
+    if changed is None or changed:
+        versioned.write(rows, "chunk_id", path, changed, known.buckets if known else versioned.BUCKETS, {"model": model})
     return spark.createDataFrame(counts, "upserted long, pruned long, added long, count long")
 
 
 def open_index(spark: SparkSession, path: str) -> DataFrame:
     """The stored chunks and vectors; FileNotFoundError if there are none."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
-        raise FileNotFoundError(path)
-    return spark.read.parquet(path)
+    return versioned.read(spark, path)
 
 
 def status(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +92,8 @@ def status(spark: SparkSession, path: str) -> DataFrame:
     try:
         row = (path, True, open_index(spark, path).count(), None)
     except FileNotFoundError:
-        row = (path, False, 0, None)
+        there = versioned.exists(spark, path)
+        row = (path, there, 0, "the folder holds no index" if there else None)
     except Exception as e:  # the folder holds no readable table
         row = (path, True, 0, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}")
     return spark.createDataFrame([row], "path string, exists boolean, count long, error string")

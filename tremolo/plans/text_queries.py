@@ -53,6 +53,12 @@ def bm25_topk(spark, sf_dir):
     return retrieval.top(_bm25(spark, sf_dir), "doc_id", TOP)
 
 
+def bm25_pruned(spark, sf_dir):
+    """The same rows by blocks of postings, of which only those are read that can hold one of the best."""
+    ind = retrieval.index(_docs(spark, sf_dir), "doc_id", "text")
+    return retrieval.pruned_top(_asked(spark, sf_dir), ind, retrieval.blocked(ind), TOP).rows.select("query_id", "doc_id", "score", "rank")
+
+
 #: Every vector whose id is divisible by 50 is a query.
 _COS = "cs AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(greatest(0, least(1, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])))), 6) AS score FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0)"
 
@@ -302,7 +308,7 @@ def _matched() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_counts, bm25_index_stats, bm25_topk, cosine_topk, hybrid_topk, chunks, best_chunk_per_entry, clause_hits, query_overlap, distinct_sources, vector_normalise, index_rebuild, clause_checks, clause_metrics, clause_tallies,
+        token_counts, bm25_index_stats, bm25_topk, bm25_pruned, cosine_topk, hybrid_topk, chunks, best_chunk_per_entry, clause_hits, query_overlap, distinct_sources, vector_normalise, index_rebuild, clause_checks, clause_metrics, clause_tallies,
         alignment_rerank, candidate_gaps, confidence_levels, session_list, session_retention, history_window, topic_router, question_match, session_counts, url_extract, allowed_urls, event_payload_json, text_folding,
     )
 }
@@ -332,6 +338,7 @@ ORACLE = {
     "token_counts": f"WITH {_POST.format('p', 'doc_id', 'text', 'documents')} SELECT token, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs FROM p GROUP BY 1",
     "bm25_index_stats": f"WITH {_INDEX} SELECT token, df, round(idf, 4) AS idf FROM idf",
     "bm25_topk": f"WITH {_BM25} {_TOPK.format('bm')}",
+    "bm25_pruned": f"WITH {_BM25} {_TOPK.format('bm')}",
     "cosine_topk": f"WITH {_COS} {_TOPK.format('cs')}",
     "hybrid_topk": f"""WITH {_BM25}, {_COS}, h AS (SELECT coalesce(cs.query_id, bm.query_id) AS query_id, coalesce(cs.doc_id, bm.doc_id) AS doc_id, coalesce(cs.score, 0) AS vector_score, coalesce(bm.score, 0) AS bm25_score FROM cs FULL JOIN bm ON cs.query_id = bm.query_id AND cs.doc_id = bm.doc_id),
       k AS (SELECT *, round(greatest(0, least(1, {config.VECTOR_WEIGHT} * vector_score + {config.BM25_WEIGHT} * bm25_score)), 5) AS score FROM h WHERE doc_id IN (SELECT doc_id FROM documents)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k) WHERE rank <= {TOP}""",

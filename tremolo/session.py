@@ -44,6 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return str(named)
 
 
+#: Bytes of input to a core below which a table is dealt out again: its files are read in fewer tasks than there are cores.
+SMALL_BYTES = 32 << 20
+
+
+def cores(spark: SparkSession) -> int:
+    """Tasks that the session runs at once, as its shuffles count on."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, if it is a small table (by Spark's estimate) that much work is done for; large ones are read by splits, and stay as they are."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores(spark)) if size < SMALL_BYTES * cores(spark) else df
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` by keys over as many tasks as shuffles have: for work that is heavy for its bytes, where adaptive execution would put partitions together by size alone."""
+    return df.repartition(cores(df.sparkSession), *keys)
+
+
 #: Deletes the shuffle files of a query when it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
