@@ -58,6 +58,46 @@ def test_hard_texts(spark):
         assert [(s.start, s.kind, s.end) for s in r.base] == base(HARD[r.doc_id] or ""), r.doc_id
 
 
+def lowered(hits, of, z):
+    """Wilson's lower end."""
+    r = hits / of
+    return (r + z * z / (2 * of) - z * math.sqrt(r * (1 - r) / of + z * z / (4 * of * of))) / (1 + z * z / of)
+
+
+def disclosed(rows, p):
+    """By id the (start, end) of terms that disclose an entity of their document, by plain counts over distinct documents."""
+    word, run = re.compile(r"[^\W\d_](?:[^\W_]|['’])*"), re.compile(r"(?:[^\W_]|['’])+")
+    docs = {(i, t or "") for i, t in rows}
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    same = [str.lower, str, digits, digits, str]
+    spans = {d: base(d[1]) + [(a, 4, b) for a, b in secrets(d[1])] for d in docs}
+    entity = lambda d, s: (s[1], same[s[1]](d[1][s[0] : s[2]]))
+    free = lambda d, a, b: all(b <= s[0] or a >= s[2] for s in spans[d])
+    said, terms, holds, near = defaultdict(set), defaultdict(set), defaultdict(set), set()
+    for d in docs:
+        for m in word.finditer(d[1]):
+            said[m[0].lower()].add(d)
+            if len(m[0]) >= p.shortest and spans[d] and free(d, m.start(), m.end()):
+                terms[m[0].lower()].add((d, m.start(), m.end()))
+                a, b = next((r.start(), r.end()) for r in run.finditer(d[1]) if r.start() <= m.start() < r.end())
+                for s in spans[d]:
+                    # what touches the window's edge may have been cut there
+                    if (a > s[0] - p.reach or s[0] <= p.reach) and (b < s[2] + p.reach or s[2] + p.reach >= len(d[1])) and a < s[2] + p.reach and b > s[0] - p.reach:
+                        near.add((m[0].lower(), entity(d, s)))
+        for s in spans[d]:
+            holds[entity(d, s)].add(d)
+    out = defaultdict(set)
+    for w, e in near:
+        both = {d for d, *_ in terms[w]} & holds[e]
+        n, n_c = len(docs), len(holds[e])
+        if min(len(both), n_c) >= p.support and len(said[w]) >= p.support and n > n_c:
+            if math.log(lowered(len(both), len(said[w]), p.certainty) * n / n_c) / math.log(n / n_c) >= p.share:
+                for d, a, b in terms[w]:
+                    if d in both:
+                        out[d[0]].add((a, b))
+    return out
+
+
 def corpus():
     rows = [(k, f"Contact Quentin at quentin@corp.example about invoices number {k}") for k in range(6)]
     rows += [(100 + k, f"about invoices and the contact of number {k} as usual") for k in range(40)]
@@ -71,30 +111,39 @@ def test_disclosure_by_plain_counts(spark):
     got = defaultdict(set)
     for r in pii.scan(df, p).collect():
         got[r.doc_id] |= {(s.start, s.end) for s in r.spans if s.kind == pii.TERMS}
-    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_][\w'’]*", t or "")]
-    n, n_t, n_c, n_tc = len(rows), defaultdict(int), 0, defaultdict(set)
-    for i, t in rows:
-        for w in {w for *_, w in words(t)}:
-            n_t[w] += 1
-    held = {(i, t) for i, t in rows if "@" in (t or "")}
-    n_c = len(held)
-    for i, t in held:
-        e = re.search(r"\S+@\S+", t)
-        for a, b, w in words(t):
-            if len(w) >= p.shortest and (b <= e.start() or a >= e.end()):
-                n_tc[w].add((i, t))
-    want = defaultdict(set)
-    for i, t in held:
-        e = re.search(r"\S+@\S+", t)
-        for a, b, w in words(t):
-            if len(n_tc[w]) >= p.support and (b <= e.start() or a >= e.end()) and math.log(len(n_tc[w]) * n / (n_t[w] * n_c)) / math.log(n / n_c) >= p.share:
-                want[i].add((a, b))
+    want = disclosed(rows, p)
     assert got[0] == want[0] == {(8, 15)} or got == {**{i: set() for i, _ in rows}, **want}
     clean = {r.doc_id: r.text for r in pii.sanitise(df.selectExpr("*", "doc_id AS n_chars", "'d' AS digest", "'e' AS extra", "1 AS spans", "2 AS start"), p).where("digest = 'd' AND extra = 'e' AND spans = 1").collect()}
     assert "quentin" not in clean[0].lower() and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
     assert pii.scan(df.limit(0), p).count() == 0
 
 
+def test_terms_of_the_given_documents(spark):
+    """The query's terms against plain counts: entities that a few documents hold, rare terms only, none in documents without an entity."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    # Copies make entities that several documents hold.
+    rows = list(docs.items()) + [(100_000 + i, t) for i, t in docs.items() if t and i % 3 == 0] + [(i, t) for i, t in docs.items() if i % 7 == 0]
+    want = disclosed(rows, pii.Disclosure())
+    got = defaultdict(set)
+    for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id] |= {(s.start, s.end) for s in r.spans if s.kind == pii.TERMS}
+    assert {k: v for k, v in got.items() if v} == dict(want) and sum(map(len, want.values())) > 100
+    flagged = {dict(rows)[i][a:b].lower() for i, v in want.items() for a, b in v}
+    assert not flagged & {"the", "and", "that", "with", "for", "der", "die", "und", "les", "des", "que", "los"}
+
+
+def test_two_documents_and_repeated_rows(spark):
+    rows = [(k, f"Quentin said quentin@corp.example about thing{k}") for k in range(2)] + [(k, f"nothing about thing{k} was said") for k in range(10, 200)]
+    many = rows + [rows[0]] * 30 + [rows[5]] * 30
+    found = lambda rs: {(r.doc_id, s.start, s.end) for r in pii.scan(spark.createDataFrame(rs, "doc_id long, text string")).collect() for s in r.spans if s.kind == pii.TERMS}
+    assert found(rows) == found(many) == {(0, 0, 7), (1, 0, 7)}
+    assert found(rows[1:]) == set()  # one document is no co-occurrence
+    clean = [r.text for r in pii.sanitise(spark.createDataFrame(many, "doc_id long, text string")).collect()]
+    again = [r.text for r in pii.sanitise(spark.createDataFrame(many, "doc_id long, text string"), pii.Disclosure(broadcast_rows=0)).collect()]
+    assert sorted(clean) == sorted(again) and len(clean) == len(many) and not any("Quentin" in t or "@" in t for t in clean)
+
+
 def test_terms_far_from_their_entity(spark):
     gap = "filler words that go on and on " * 12
     rows = [(k, f"Quentin opens. {gap}{k} quentin@corp.example and Quentin again" if k < 2 else f"Quentin wrote. {gap}{k} quentin@corp.example") for k in range(6)]

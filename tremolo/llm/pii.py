@@ -48,13 +48,16 @@ class Disclosure:
     """Parameters of the sanitisation.
 
     reach: characters on either side of an entity that count as its neighbourhood, which proposes terms.
-    support: documents that must hold both a term and an entity before the estimate counts.
-    share: a term is generalised if its PMI is at least this share of the entity's information.
+    support: documents that must hold both a term and an entity; one document is no co-occurrence.
+    certainty: standard errors by which the estimate is lowered (1.2816: 90 % of it are above, on one side).
+    share: a term is generalised if its lowered PMI is at least this share of the entity's information.
     shortest: characters of a term at least.
+    full: a term is removed if its PMI as counted is at least this share.
     """
 
     reach: int = 120
-    support: int = 3
+    support: int = 2
+    certainty: float = 1.2816
     share: float = 0.8
     shortest: int = 3
     full: float = 0.999
@@ -202,20 +205,39 @@ def _sized(df: DataFrame, n: int, p: Disclosure) -> DataFrame:
     return F.broadcast(df) if n <= p.broadcast_rows else df
 
 
+def lowered(hits: Column, of: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a rate of ``hits`` in ``of``, at ``z`` standard errors on one side."""
+    rate, z2 = hits / of, z * z
+    return (rate + z2 / (2 * of) - z * F.sqrt(rate * (1 - rate) / of + z2 / (4 * of * of))) / (1 + z2 / of)
+
+
+def _distinct_docs(docs: DataFrame, found: DataFrame, p: Disclosure, stage: Stage) -> DataFrame:
+    """``docs`` with each document once: only rows that repeat another (same id and text) are shuffled."""
+    repeated = stage.write(found.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc"))
+    many = repeated.count()
+    if many == 0:
+        return docs
+    docs, repeated = docs.withColumn("doc", _key()), _sized(repeated, many, p)
+    return docs.join(repeated, "doc", "left_anti").unionByName(docs.join(repeated, "doc", "left_semi").dropDuplicates(["doc"]))
+
+
 def disclosing(docs: DataFrame, found: DataFrame, p: Disclosure, stage: Stage) -> DataFrame:
     """(doc, start, end, share), written: the terms that disclose an entity of their document.
 
-    A term is proposed for an entity if it stands near it in some document. With documents as
-    contexts, n_c those that hold the entity, n_t those that hold the term, and n_tc those that
-    hold both, wherever they stand: PMI = ln(n_tc N / (n_t n_c)), the entity's information is
-    ln(N / n_c), and ``share`` is their quotient, 1 at most. All places of such a term in the
+    A term is proposed for an entity if it stands near it in some document. With N documents (rows of
+    the same id and text are one) as contexts, n_c those that hold the entity, n_t those that hold the term, and
+    n_tc those that hold both, wherever they stand: PMI = ln(r N / n_c) with r = n_tc / n_t, the entity's information
+    is ln(N / n_c), and ``share`` is their quotient, 1 at most. As a few documents prove little, a term is
+    flagged by the share that the lower end of Wilson's interval for r gives. All places of such a term in the
     entity's documents are listed; documents without the entity keep the term.
 
     What a text holds n of is read and joined in proportion to n: places of terms meet their
     shares by document and term, after all entities of that document have been looked at.
     """
-    n = F.lit(float(found.count()))
-    share = lambda n_tc: F.log(n_tc * n / (F.col("n_t") * F.col("n_c"))) / F.nullif(F.log(n / F.col("n_c")), F.lit(0.0))
+    docs = _distinct_docs(docs, found, p, stage)
+    n = F.lit(float(found.select("doc").distinct().count()))
+    informs = lambda rate: F.log(rate * n / F.col("n_c")) / F.nullif(F.log(n / F.col("n_c")), F.lit(0.0))
+    least = lambda n_tc: informs(lowered(n_tc, F.col("n_t"), p.certainty))
     none = lambda: stage.write(docs.sparkSession.createDataFrame([], "doc string, start int, end int, share double"))
     holding = found.select("doc", F.explode(F.array_distinct(F.transform("spans", lambda s: s["entity"]))).alias("entity")).distinct()
     holders = stage.write(holding.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c")).where(F.col("n_c") >= p.support))
@@ -249,7 +271,7 @@ def disclosing(docs: DataFrame, found: DataFrame, p: Disclosure, stage: Stage) -
         said = said.join(F.broadcast(candidates), "term", "left_semi")
     counts = said.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") >= p.support)
     # Pairs that would not reach the share if each document of the rarer one held both need no count.
-    pairs = pairs.join(counts, "term").join(holders, "entity").where(share(F.least("n_t", "n_c")) >= p.share - 1e-9)
+    pairs = pairs.join(counts, "term").join(holders, "entity").where(least(F.least("n_t", "n_c")) >= p.share - 1e-9)
     pairs = stage.write(pairs)
     many = pairs.count()
     if many == 0:
@@ -260,7 +282,7 @@ def disclosing(docs: DataFrame, found: DataFrame, p: Disclosure, stage: Stage) -
     places = stage.write(places.join(_sized(pairs.select("term").distinct(), many, p), "term", "left_semi"))
     both = stage.write(holding.join(pairs.select("entity", "term"), "entity").join(places.select("doc", "term").distinct(), ["doc", "term"]))
     n_tc = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_tc")).where(F.col("n_tc") >= p.support)
-    flagged = stage.write(n_tc.join(pairs, ["entity", "term"]).select("entity", "term", share(F.col("n_tc")).alias("share")).where(F.col("share") >= p.share))
+    flagged = stage.write(n_tc.join(pairs, ["entity", "term"]).where(least(F.col("n_tc")) >= p.share).select("entity", "term", informs(F.col("n_tc") / F.col("n_t")).alias("share")))
     told = both.join(_sized(flagged, flagged.count(), p), ["entity", "term"]).groupBy("doc", "term").agg(F.max("share").alias("share"))
     return stage.write(places.distinct().join(told, ["doc", "term"]).select("doc", "start", "end", "share"))
 
@@ -297,6 +319,15 @@ def _with_hits(rows: DataFrame, hits: DataFrame, p: Disclosure, key: str, out: s
     return joined.withColumn(out, F.coalesce("_tremolo_e", F.array().cast(f"array<{_ALL}>"))).drop("_tremolo_d", "_tremolo_e")
 
 
+def _with_spans(rows: DataFrame, found: DataFrame, p: Disclosure) -> DataFrame:
+    """Adds _tremolo_base, the patterns' spans: those found before, if few enough were counted to be broadcast, else taken again from the texts, which is less work than to shuffle these."""
+    held = found.where(F.size("spans") > 0).select(F.col("doc").alias("_tremolo_d"), F.col("spans").alias("_tremolo_s"))
+    if (held.agg(F.sum(F.size("_tremolo_s"))).first()[0] or 0) > p.broadcast_rows:
+        return rows.withColumn("_tremolo_base", base_spans(F.coalesce("text", F.lit(""))))
+    joined = rows.join(F.broadcast(held.dropDuplicates(["_tremolo_d"])), rows["_tremolo_doc"] == F.col("_tremolo_d"), "left")
+    return joined.withColumn("_tremolo_base", F.coalesce("_tremolo_s", F.array().cast(f"array<{_BASE}>"))).drop("_tremolo_d", "_tremolo_s")
+
+
 def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     """``docs`` with personal data and disclosing terms taken out of ``text``; all columns stay.
 
@@ -312,8 +343,8 @@ def sanitise(docs: DataFrame, params: Disclosure = Disclosure()) -> DataFrame:
     hits = disclosing(docs.select("doc_id", "text"), found, params, stage)
     rows = docs.withColumn("_tremolo_doc", _key())
     rows = _with_hits(rows, hits, params, "_tremolo_doc", "_tremolo_extra")
-    spans = F.concat(_plain(base_spans(F.coalesce("text", F.lit("")))), "_tremolo_extra")
-    rows = rows.withColumn("_tremolo_spans", F.array_sort(spans, _order))
+    rows = _with_spans(rows, found, params)
+    rows = rows.withColumn("_tremolo_spans", F.array_sort(F.concat(_plain(F.col("_tremolo_base")), "_tremolo_extra"), _order))
 
     def put(s: Column, part: Column) -> Column:
         label = F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1)
