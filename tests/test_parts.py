@@ -321,3 +321,32 @@ def test_prominences_and_matches_by_definition(spark):
                 pairs.add((s, t.family, t.harmonic, t.target, f, m, gap / t.target * 100))
     for t in (targets, own):
         assert {tuple(r) for r in spectra.nearest_matches(peaks, t, 1.5, 0.1).collect()} == pairs
+
+
+def test_addresses_and_names_by_every_pair(spark):
+    """The merge and the automaton against the comparison of all pairs."""
+    import random
+
+    rng = random.Random(6)
+    stems = ["http://a", "http://a.org", "http://a.org/", "http://a.org/x", "http://a.org/x/y", "https://b.net/é", "https://b.net/z?q=1", "http://a.orgx"]
+    some = lambda n: [rng.choice(stems) + rng.choice(["", "/", "/more", "x"]) for _ in range(n)]
+    allowed = [(k % 9, u) for k in range(40) for u in some(1)] + [(3, None), (None, "http://a.org")]
+    said = {k: some(12) for k in [*range(12), None]}
+    answers = spark.createDataFrame([(k, f"see ({u[0]}) and '{u[1]}' " + " ".join(u[2:])) for k, u in said.items()] + [(50, None)], "k int, t string")
+    bad = sessions.rejected_urls(answers, spark.createDataFrame(allowed, "k int, url string"), "t", "k").collect()
+    want = {(k, u) for k, us in said.items() for u in us if not any(k is not None and k == j and a and (u.startswith(a) or a.startswith(u)) for j, a in allowed)}
+    assert {tuple(r) for r in bad} == want and len(bad) == len(want)
+
+    names = ["inner", "inner_race", "race", "ra", "ball", "漢字", "normal", "", None, "none of them"]
+    texts = [(1, "inner_race and 漢字"), (2, "a ball"), (2, "a ball race"), (3, None), (4, ""), (None, "race")]
+    df, known = spark.createDataFrame(texts, "k int, t string"), spark.createDataFrame([(n,) for n in names] * 2, "fault_type string")
+    want = sorted(((k, n) for k, t in texts for n in set(names) if n and t and n in t), key=repr)
+    assert sorted(map(tuple, sessions.names_in(df, "t", "k", known).collect()), key=repr) == want
+    old, sessions.NAME_BYTES = sessions.NAME_BYTES, 8  # several automata
+    try:
+        assert sorted(map(tuple, sessions.names_in(df, "t", "k", known).collect()), key=repr) == want
+    finally:
+        sessions.NAME_BYTES = old
+    left = sessions.rejected_types(df, spark.createDataFrame([(1, "race"), (2, "ball")], "k int, fault_type string"), known, "t", "k")
+    assert {tuple(r) for r in left.collect()} == {(1, "inner"), (1, "inner_race"), (1, "ra"), (1, "漢字"), (2, "race"), (2, "ra"), (None, "race"), (None, "ra")}
+    assert "NestedLoop" not in left._jdf.queryExecution().executedPlan().toString()

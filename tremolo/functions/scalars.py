@@ -107,7 +107,7 @@ def normal_question(text: Column) -> Column:
 
 
 def urls(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(r"https?://[^\s)\]>\"'，。；、]+"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(r"https?://[^\s，。；、）)\]}\"'<>]+"), F.lit(0))
 
 
 def folded(text: Column, most: int) -> Column:

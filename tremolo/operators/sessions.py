@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,19 +135,75 @@ def known_question(question: Column, questions: list[tuple[str, str]] = QUESTION
 def rejected_urls(answers: DataFrame, allowed: DataFrame, text: str, key: str) -> DataFrame:
     """(key, url) of the URLs in answers that neither begin nor are begun by an allowed one.
 
-    ``allowed`` has key and url. Prefixes at equal hosts are compared only: one of two URLs can't begin
-    the other if their hosts differ, unless one stops within the host, which is compared apart.
+    ``allowed`` has key and url. A merge: the URLs of both sides stand in one order by key. A URL begins an allowed one if and only if it begins
+    the next allowed one; an allowed one begins it if and only if the last one does that no other allowed one begins. So no pairs are made, and a session
+    passes as a stream, of which two URLs are held. Null URLs allow nothing.
+    """
+    found = answers.select(F.col(key).alias("_k"), F.explode(F.array_distinct(urls(F.col(text)))).alias("url"), F.lit(1).alias("_side"))
+    ok = allowed.where(F.col("url").isNotNull()).select(F.col(key).alias("_k"), "url", F.lit(0).alias("_side"))
+    # The next allowed URL, in the order of bytes; at the same place an allowed one counts as next too.
+    after = F.last(F.when(F.col("_side") == 0, F.col("url")), ignorenulls=True).over(Window.partitionBy("_k").orderBy(F.desc("url"), "_side").rowsBetween(Window.unboundedPreceding, 0))
+    rows = found.unionByName(ok).withColumn("_after", after).where((F.col("_side") == 0) | ~F.coalesce(F.col("_after").startswith(F.col("url")), F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = kept = None
+        for batch in batches:
+            out = []
+            for i, (k, url, side) in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
+                if k != now:
+                    now, kept = k, None
+                begun = kept is not None and url.startswith(kept)
+                if side == 0 and not begun:
+                    kept = url
+                elif side == 1 and not begun:
+                    out.append(i)
+            yield batch.select([0, 1]).take(pa.array(out, pa.int64()))
+
+    rows = rows.select("_k", "url", "_side").where("_k IS NOT NULL").repartition("_k").sortWithinPartitions("_k", "url", "_side")
+    left = rows.mapInArrow(run, rows.select("_k", "url").schema)
+    # Answers without a session have no allowed URLs.
+    return left.unionByName(found.where("_k IS NULL").select("_k", "url")).withColumnRenamed("_k", key)
+
+
+#: Bytes of names to an automaton; longer lists of names go by several, one after another.
+NAME_BYTES = 32 << 20
+
+
+def names_in(texts: DataFrame, text: str, key: str, names: DataFrame) -> DataFrame:
+    """(key, name): the distinct ``names`` (one column) that each row's text holds anywhere, by one automaton over all of them.
+
+    A text is read once for each automaton, whatever the number of names. Null texts hold none; empty and null names are held by none.
     """
-    found = answers.select(key, F.explode(F.array_distinct(urls(F.col(text)))).alias("url"))
-    ok = allowed.select(F.col(key).alias("_k"), F.col("url").alias("_a"))
-    on = (F.col(key) == F.col("_k")) & (F.col("url").startswith(F.col("_a")) | F.col("_a").startswith(F.col("url")))
-    return found.join(ok, on, "left_anti")
+    names = names.toDF("name").where("name <> ''").distinct()
+    size = names.agg(F.sum(F.octet_length("name"))).first()[0] or 0
+    parts = -(-size // NAME_BYTES) or 1
+    schema = texts.select(F.col(key).alias("_key")).schema.add("name", "string")
+    found = []
+    for k in range(parts):
+        # About NAME_BYTES by its share of the names, so it may be collected and sent to all.
+        own = names.sparkSession.sparkContext.broadcast([r.name for r in names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == k).collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], own=own) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for name in own.value:
+                automaton.add_word(name, name)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, out = [], []
+                for i, t in enumerate(batch.column(1).to_pylist()):
+                    hits = {name for _, name in automaton.iter(t)} if t and len(automaton) else ()
+                    rows += [i] * len(hits)
+                    out += hits
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(out, pa.string())], schema.names)
+
+        found.append(texts.select(F.col(key).alias("_key"), text).mapInArrow(run, schema))
+    return reduce(DataFrame.unionByName, found).withColumnRenamed("_key", key)
 
 
 def rejected_types(answers: DataFrame, allowed: DataFrame, known: DataFrame, text: str, key: str) -> DataFrame:
     """(key, fault_type) of known fault types that an answer names but its session doesn't allow."""
-    named = answers.join(known.where("fault_type <> 'normal'"), F.col(text).contains(F.col("fault_type")))
-    return named.select(key, "fault_type").join(allowed, [key, "fault_type"], "left_anti").distinct()
+    named = names_in(answers, text, key, known.where("fault_type <> 'normal'").select("fault_type")).withColumnRenamed("name", "fault_type")
+    return named.join(allowed, [key, "fault_type"], "left_anti").distinct()
 
 
 def allowed_types(report: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from tremolo import config
 from tremolo.functions.scalars import change, fault_frequencies, rounded
 from tremolo.operators import signals as sig
 from tremolo.operators import spectra
+from tremolo.session import Stage
 
 #: Points of a window for short spectra, and its nominal rate (bins are then 1 Hz apart).
 N, FS = 256, 256.0
@@ -183,6 +184,25 @@ def bucket_argmax(spark, sf_dir):
     return _r(sig.bucket_argmax(_dft(spark, sf_dir), 20), "mag")
 
 
+def long_spectrum(spark, sf_dir):
+    """The spectrum of each event type's whole signal, whatever its length, at a rate of FS."""
+    from tremolo.operators.long_signals import amplitude_spectrum
+
+    signals = _signals(spark, sf_dir)
+    rates = signals.select("sample_id").distinct().withColumn("fs", F.lit(FS))
+    return _r(amplitude_spectrum(Stage(spark, "long").write(signals), rates), "freq", "mag", digits=5)
+
+
+def long_envelope_peaks(spark, sf_dir):
+    """Prominent peaks of the envelope spectrum of each event type's whole signal; no SQL can express the filter."""
+    from tremolo.operators.long_signals import envelope_spectrum
+
+    signals = _signals(spark, sf_dir)
+    rates = signals.select("sample_id").distinct().withColumn("fs", F.lit(DIAGNOSIS_FS))
+    spectrum = Stage(spark, "long").write(envelope_spectrum(Stage(spark, "long").write(signals), rates, *config.RESONANCE_BAND))
+    return _r(spectra.prominent(spectra.prominences(spectrum), spectrum), "freq", "mag", "prominence")
+
+
 def fault_frequency_table(spark, sf_dir):
     part = load(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 60.0).alias("rpm"))
     f = fault_frequencies(F.col("rpm"))
@@ -222,7 +242,6 @@ def diagnosis_batch(spark, sf_dir):
     from tremolo.operators import rules
     from tremolo.operators.compare import compare
     from tremolo.operators.features import extract_features
-    from tremolo.session import Stage
 
     blocks = _blocks(spark, sf_dir, DIAGNOSIS_POINTS)
     ids = blocks.select("sample_id", "kind", "block").distinct()
@@ -256,6 +275,8 @@ QUERIES = {
     "family_energy_range_join": family_energy_range_join,
     "family_rank_margin": family_rank_margin,
     "fault_frequencies": fault_frequency_table,
+    "long_spectrum": long_spectrum,
+    "long_envelope_peaks": long_envelope_peaks,
     "quality_checks": quality_checks,
 }
 
@@ -278,6 +299,10 @@ ORACLE = {
       SELECT sample_id, bin, freq, round(mag, 4) AS mag, round(mag - greatest(a, z), 4) AS prominence FROM q""",
     "harmonic_nearest_match": f"""WITH {_DFT}, {_PEAKS}, {_TARGETS}, j AS (SELECT p.sample_id, t.family, CAST(t.harmonic AS BIGINT) AS harmonic, t.target, p.freq, p.mag, row_number() OVER (PARTITION BY p.sample_id, t.family, t.harmonic ORDER BY abs(p.freq - t.target), p.freq) AS k FROM maxima p, targets t)
       SELECT sample_id, family, harmonic, round(target, 3) AS target, round(freq, 3) AS nearest_peak, round(mag, 3) AS peak_amplitude, round(abs(freq - target) / target * 100, 3) AS deviation_pct FROM j WHERE k = 1 AND abs(freq - target) <= greatest({config.PEAK_TOLERANCE} * target, {FS / N})""",
+    "long_spectrum": f"""WITH s AS ({_SIGNAL}), t AS (SELECT sample_id, idx, amplitude, count(*) OVER w AS n, avg(amplitude) OVER w AS mean FROM s WINDOW w AS (PARTITION BY sample_id)),
+      x AS (SELECT sample_id, idx, n, (amplitude - mean) * (0.5 - 0.5 * cos(2 * pi() * idx / n)) AS x FROM t), b AS (SELECT sample_id, n, unnest(range(0, n // 2 + 1)) AS bin FROM (SELECT DISTINCT sample_id, n FROM t)),
+      d AS (SELECT x.sample_id, x.n, b.bin, sum(x * cos(2 * pi() * ((idx * bin) % x.n) / x.n)) AS re, sum(x * sin(2 * pi() * ((idx * bin) % x.n) / x.n)) AS im FROM x JOIN b ON b.sample_id = x.sample_id GROUP BY 1, 2, 3)
+      SELECT sample_id, bin, round(bin * {FS} / n, 5) AS freq, round(sqrt(re * re + im * im) * CASE WHEN bin = 0 OR 2 * bin = n THEN 1.0 ELSE 2.0 END / n, 5) AS mag FROM d""",
     "family_energy_range_join": f"WITH {_DFT}, {_TARGETS}, {_FAMILY} SELECT sample_id, family, CAST(family_pos AS BIGINT) AS family_pos, round(energy, 4) AS energy FROM energy",
     "family_rank_margin": f"""WITH {_DFT}, {_TARGETS}, {_FAMILY}, r AS (SELECT *, row_number() OVER w AS rank, lead(energy) OVER w AS nxt FROM energy WINDOW w AS (PARTITION BY sample_id ORDER BY energy DESC, family_pos)), q AS (SELECT *, CASE WHEN rank = 1 AND nxt > 0 THEN energy / nxt END AS m FROM r)
       SELECT sample_id, family, round(energy, 4) AS energy, rank, round(m, 4) AS margin, rank = 1 AND energy >= {config.MIN_ENERGY} AS is_dominant, coalesce(m < {config.DOMINANCE_MARGIN}, false) AS ambiguous FROM q""",

@@ -289,7 +289,7 @@ _SPACE = r"'[ \t\n\f\r\v]+'"
 _FOLD = f"trim(regexp_replace(coalesce({{0}}, ''), {_SPACE}, ' ', 'g'))"
 _SHORT = f"CASE WHEN length({_FOLD}) > {config.HISTORY_CHARS} THEN substr({_FOLD}, 1, {config.HISTORY_CHARS}) || '…' ELSE {_FOLD} END"
 _NORMAL = r"lower(regexp_replace(coalesce(text, ''), '[^\p{L}\p{N}]', '', 'g'))"
-_URL = r"""'https?://[^\s)\]>"''，。；、]+'"""
+_URL = r"""'https?://[^\s，。；、）)\]}"''<>]+'"""
 
 
 def _topics() -> str:
