@@ -10,18 +10,21 @@ from tremolo.functions.scalars import change, fault_frequencies, formatted, perc
 
 
 def _matches(peaks: Column, families: dict[str, Column], resolution: Column) -> Column:
-    """The peak nearest to each family's harmonics, the first if several, within tolerance."""
-    found = []
-    for name in config.FAMILIES:
-        for order in config.HARMONICS:
-            target = families[name] * order
-            near = F.array_min(F.transform(peaks, lambda p, i: F.struct(F.abs(p["frequency"] - target).alias("gap"), i.alias("i"), p["frequency"].alias("f"), p["amplitude"].alias("a"))))
-            ok = near["gap"] <= F.greatest(F.lit(config.PEAK_TOLERANCE) * target, resolution)
-            found.append(F.when(ok, F.struct(
-                F.lit(name.upper()).alias("label"), F.round(target, 4).alias("frequency"), F.round(near["f"], 4).alias("nearest_peak"), F.round(near["gap"] / target * 100, 2).alias("deviation_pct"),
-                F.round(near["a"], 6).alias("peak_amplitude"), F.lit(order).alias("harmonic_order"),
-            )))
-    return F.filter(F.array(*found), lambda m: m.isNotNull())
+    """The peak nearest to each family's harmonics, the first if several, within tolerance: one pass over an array of the harmonics."""
+    targets = F.array(*[F.struct(F.lit(name.upper()).alias("label"), F.lit(order).alias("order"), (families[name] * order).alias("at")) for name in config.FAMILIES for order in config.HARMONICS])
+
+    def nearest(t: Column) -> Column:
+        return F.array_min(F.transform(peaks, lambda p, i: F.struct(F.abs(p["frequency"] - t["at"]).alias("gap"), i.alias("i"), p["frequency"].alias("f"), p["amplitude"].alias("a"))))
+
+    def match(m: Column) -> Column:
+        t, near = m["t"], m["near"]
+        return F.when(near["gap"] <= F.greatest(F.lit(config.PEAK_TOLERANCE) * t["at"], resolution), F.struct(
+            t["label"].alias("label"), F.round(t["at"], 4).alias("frequency"), F.round(near["f"], 4).alias("nearest_peak"), F.round(near["gap"] / t["at"] * 100, 2).alias("deviation_pct"),
+            F.round(near["a"], 6).alias("peak_amplitude"), t["order"].alias("harmonic_order"),
+        ))
+
+    met = F.transform(targets, lambda t: F.struct(t.alias("t"), nearest(t).alias("near")))
+    return F.filter(F.transform(met, match), lambda m: m.isNotNull())
 
 
 def compare(pairs: DataFrame, features: DataFrame) -> DataFrame:

@@ -77,6 +77,7 @@ def diagnose(requests: DataFrame, signals: DataFrame, scans: DataFrame, entries:
     comparisons = stage.write(comparisons)
     queries = comparisons.select("request_id", retrieval.build_query().alias("query"))
     found, checks = candidates(queries, entries, comparisons, threshold=threshold, embed=embed, index_path=index_path)
+    found, checks = stage.write(found), stage.write(checks)  # verdicts and reports read them several times
     decided = verdict.verdicts(requests, validation, comparisons, made, found)
     sources = entries.select("fault_type", F.explode("sources").alias("s")).select("fault_type", "s.*")
     made_reports = report.reports(requests, validation, comparisons, found, checks, decided, sources)

@@ -238,21 +238,30 @@ def envelope_features(spark, sf_dir):
 
 
 def diagnosis_batch(spark, sf_dir):
-    """Every block of another type compared with the baseline's of the same number: features, comparison, clauses, ranks."""
+    """Every block of another type compared with the baseline's of the same number: features, comparison, clauses, ranks.
+
+    A type's last points, fewer than a block, and blocks whose number the baseline lacks are rows with a status of their own.
+    """
     from tremolo.operators import rules
     from tremolo.operators.compare import compare
     from tremolo.operators.features import extract_features
 
-    blocks = _blocks(spark, sf_dir, DIAGNOSIS_POINTS)
-    ids = blocks.select("sample_id", "kind", "block").distinct()
+    stage = Stage(spark, "batch")
+    blocks = stage.write(_blocks(spark, sf_dir, DIAGNOSIS_POINTS))
+    ids = stage.write(blocks.select("sample_id", "kind", "block").distinct())
     samples = ids.select("sample_id", F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
-    # Written, as the comparison reads them for either side.
-    features = Stage(spark, "batch").write(extract_features(blocks, samples))
-    known = features.select("sample_id", F.substring_index("sample_id", "-", 1).alias("kind"), F.substring_index("sample_id", "-", -1).alias("block"))
-    base = known.where(F.col("kind") == BASELINE).select("block", F.col("sample_id").alias("normal_id"))
-    pairs = known.where(F.col("kind") != BASELINE).join(base, "block").select(F.col("sample_id").alias("request_id"), "normal_id", F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
-    checks = rules.checked(compare(pairs, features), rules.clause_table(spark))
-    return rules.tallied(checks, "request_id", "fault_type")
+    # Written, as the comparison reads them for either side; and the comparison, as the clauses read each of its columns often.
+    features = stage.write(extract_features(blocks, samples))
+    base = ids.where(F.col("kind") == BASELINE).select("block", F.col("sample_id").alias("normal_id"))
+    asked = ids.where(F.col("kind") != BASELINE).join(base, "block", "left")
+    pairs = asked.where("normal_id IS NOT NULL").select(F.col("sample_id").alias("request_id"), "normal_id", F.col("sample_id").alias("abnormal_id"), F.lit(DIAGNOSIS_FS).alias("sampling_rate"), F.lit(DIAGNOSIS_RPM).alias("rotation_speed"))
+    checks = rules.checked(stage.write(compare(pairs, features)), rules.clause_table(spark))
+    done = rules.tallied(checks, "request_id", "fault_type").withColumn("status", F.lit("compared"))
+    alone = asked.where("normal_id IS NULL").select(F.col("sample_id").alias("request_id"), F.lit("no_baseline").alias("status"))
+    n = _signals(spark, sf_dir).groupBy("sample_id").agg(F.count(F.lit(1)).alias("n"))
+    rest = n.where((F.col("n") % DIAGNOSIS_POINTS > 0) & (F.col("sample_id") != BASELINE))
+    short = rest.select(F.concat("sample_id", F.lit("-"), F.floor(F.col("n") / DIAGNOSIS_POINTS).cast("string")).alias("request_id"), F.lit("short_block").alias("status"))
+    return done.unionByName(alone.unionByName(short), allowMissingColumns=True)
 
 
 QUERIES = {
