@@ -219,6 +219,14 @@ def test_mat_files(spark, tmp_path):
     good = sorted((r.idx, r.amplitude, r.ts, r.rotation_speed) for r in rows if r.sample_id == "105")
     assert [g[1] for g in good] == x.tolist() and good[12][2] == 12 / FS and good[0][3] == 1797
     assert {r.sample_id for r in rows if r.error} == {"106", "107", "108"} and all(r.idx is None for r in rows if r.error)
+    mat.register(spark)
+    read = lambda **options: spark.read.format("signal-mat").options(samplingRate=FS, **options).load(str(tmp_path))
+    assert sorted(map(tuple, read().collect()), key=repr) == sorted(map(tuple, rows), key=repr) and read().rdd.getNumPartitions() == 4
+    named = read(variables="grid, X105_FE_time").collect()
+    assert sorted((r.idx, r.amplitude) for r in named if r.sample_id == "105:grid") == list(enumerate([0.0, 1.0, 2.0, 3.0, 4.0, 5.0]))
+    assert [r.amplitude for r in named if r.sample_id == "105:X105_FE_time"] == [1.0] and {r.error for r in named if r.sample_id.startswith("108")} == {"no variable grid", "no variable X105_FE_time"}
+    with pytest.raises(Exception, match="samplingRate"):
+        spark.read.format("signal-mat").load(str(tmp_path)).count()
 
 
 def test_downloads(tmp_path):
@@ -350,3 +358,32 @@ def test_addresses_and_names_by_every_pair(spark):
     left = sessions.rejected_types(df, spark.createDataFrame([(1, "race"), (2, "ball")], "k int, fault_type string"), known, "t", "k")
     assert {tuple(r) for r in left.collect()} == {(1, "inner"), (1, "inner_race"), (1, "ra"), (1, "漢字"), (2, "race"), (2, "ra"), (None, "race"), (None, "ra")}
     assert "NestedLoop" not in left._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_csv_by_split(spark, tmp_path):
+    """Files read in many splits tell the same as files read whole."""
+    rng = np.random.default_rng(9)
+    pair = [f"{k / 100:.6f},{v:.5f}" for k, v in enumerate(rng.normal(size=900))]
+    pair[17], pair[400], pair[401], pair[700] = "", "4.0,", "4.01,NaN", "1,2,3"
+    texts = {
+        "pair.csv": "\ufeffTimestamp, Amplitude\r\n" + "\r\n".join(pair) + "\r\n", "single.csv": "amplitude\n" + "\n".join(f"{v:.4f}" for v in rng.normal(size=700)), "times.csv": "timestamp,amplitude\n" + "\n".join(f"{'x' if k == 350 else k},{k}" for k in range(500)),
+        "head.csv": "amplitude\n", "none.csv": "", "blank.csv": "\n \n", "odd.csv": "a,b\n1,2\n", "other.txt": "amplitude\n1\n", "with space+é.csv": "amplitude\n1\n2\n",
+    }
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    (tmp_path / "bytes.csv").write_bytes(b"amplitude\n1\n\xff\xfe\n")
+    want = [sorted(map(repr, d.collect())) for d in files.read_csv(spark, str(tmp_path))]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    lines, files.LINES = files.LINES, 64
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+        assert spark.read.text(str(tmp_path / "pair.csv")).rdd.getNumPartitions() > 10
+        signals, scans = files.read_long_csv(spark, str(tmp_path))
+        got = [sorted(map(repr, d.collect())) for d in (signals.select("sample_id", "idx", "ts", "amplitude"), scans)]
+    finally:
+        files.LINES = lines
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert got[0] == want[0] and len(got[0]) > 2000
+    assert got[1] == want[1]

@@ -8,8 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 #: Element types of the format (fixed values): numpy's name by number; matrices and compressed elements.
 KINDS = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
@@ -93,3 +97,72 @@ def read_mat(spark: SparkSession, path: str, sampling_rate: float) -> DataFrame:
 
     name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     return spark.read.format("binaryFile").load(path).select(name.alias("name"), "content").mapInPandas(run, COLUMNS)
+
+
+class SignalMat(DataSource):
+    """``spark.read.format("signal-mat")``: COLUMNS of MAT files, one partition a file and variable; ``register`` makes the name known.
+
+    Options: path (a file, or a folder whose .mat files are read; any file system that Arrow knows), samplingRate, and
+    variables, a list by commas: then each file gives a sample for each of them, named file:variable, else the drive end's signal.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "signal-mat"
+
+    def schema(self) -> str:
+        return COLUMNS
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return _MatReader(self.options)
+
+
+class _Part(InputPartition):
+    def __init__(self, file: str, variable: str):
+        super().__init__((file, variable))
+        self.file, self.variable = file, variable
+
+
+class _MatReader(DataSourceReader):
+    #: Points to a batch.
+    POINTS = 1 << 16
+
+    def __init__(self, options: dict):
+        if not options.get("path") or not options.get("samplingrate", options.get("samplingRate")):
+            raise ValueError("signal-mat needs a path and a samplingRate")
+        self.path, self.rate = options["path"], float(options.get("samplingrate", options.get("samplingRate")))
+        self.variables = [v.strip() for v in options.get("variables", "").split(",") if v.strip()]
+
+    def _store(self):
+        return pa.fs.FileSystem.from_uri(self.path) if "://" in self.path else (pa.fs.LocalFileSystem(), self.path)
+
+    def partitions(self) -> list[InputPartition]:
+        store, root = self._store()
+        info = store.get_file_info(root)
+        if info.type == pa.fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.is_file else store.get_file_info(pa.fs.FileSelector(root))
+        names = sorted(f.path for f in found if f.is_file and f.path.endswith(".mat"))
+        return [_Part(f, v) for f in names for v in self.variables or [""]]
+
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+        with self._store()[0].open_input_stream(part.file) as f:
+            data = f.read()
+        name = part.file.rsplit("/", 1)[-1].removesuffix(".mat")
+        sample = f"{name}:{part.variable}" if part.variable else name
+        schema = pa.schema([(c.split()[0], {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in COLUMNS.split(", ")])
+        try:
+            x, speed = recording(data, int(name) if name.isdigit() else None) if not part.variable else (matrices(data)[part.variable].ravel(order="F").astype(float), None)
+        except (ValueError, KeyError) as e:
+            message = f"no variable {part.variable}" if isinstance(e, KeyError) else str(e)
+            yield pa.RecordBatch.from_pylist([{"sample_id": sample, "sampling_rate": self.rate, "error": message}], schema)
+            return
+        for at in range(0, len(x), self.POINTS):
+            idx = np.arange(at, min(at + self.POINTS, len(x)))
+            fixed = lambda v, kind: pa.array([v] * len(idx), kind)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([fixed(sample, pa.string()), pa.array(idx), pa.array(idx / self.rate), pa.array(x[idx]), fixed(self.rate, pa.float64()), fixed(speed, pa.int64()), fixed(None, pa.string())], schema=schema)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format "signal-mat" known to a session."""
+    spark.dataSource.register(SignalMat)

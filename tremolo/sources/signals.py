@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tremolo.config import AUDIO_KEPT, UPLOAD_BYTES
 from tremolo.functions.scalars import formatted, parsed, significant
+from tremolo.operators import signals as sig
 from tremolo.operators.sessions import audio_name
+from tremolo.session import Stage
 
 _ISSUE = "struct<code:string,message:string,field:string>"
 
@@ -52,8 +54,55 @@ def parse_lines(files: DataFrame) -> DataFrame:
     return rows.select("sample_id", "mode", (F.col("pos") + 1).cast("long").alias("line_no"), cells.alias("cells"))
 
 
+#: Lines to a block in which a long file's rows are numbered.
+LINES = 1 << 16
+
+
+def split_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``parse_lines`` of the CSV files at ``path``, of any size, read by split: no task holds a file.
+
+    A split's lines are numbered where they are; the splits before add their counts. The header's mode goes with
+    every line, by a join with one row a file.
+    """
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    where = [plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("start")]
+    stage = Stage(spark, "lines")
+    raw = stage.write(spark.read.text(path).select(*where, F.monotonically_increasing_id().alias("k"), "value").where(F.trim("value") != ""))
+    counts = raw.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.is_valid_utf8("value")).alias("valid"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = stage.write(counts.select("path", "start", F.coalesce(before, F.lit(0)).alias("before"), "valid"))
+    number = F.row_number().over(Window.partitionBy("path", "start").orderBy("k"))
+    rows = raw.withColumn("_n", number).join(offsets.drop("valid"), ["path", "start"]).withColumn("line_no", (F.col("_n") + F.col("before")).cast("long"))
+    line = F.when(F.col("line_no") == 1, F.regexp_replace("value", r"^\x{FEFF}", "")).otherwise(F.col("value"))
+    rows = stage.write(rows.select("path", "line_no", line.alias("line")))
+    files = spark.read.format("binaryFile").load(path).select("path", F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("kind"))  # lists them, their contents aren't read
+    same = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    heads = rows.groupBy(same(F.col("path")).alias("_p")).agg(F.max_by(F.struct("line"), -F.col("line_no"))["line"].alias("head"), F.max("line_no").alias("n"))
+    valid = offsets.groupBy(same(F.col("path")).alias("_p")).agg(F.bool_and("valid").alias("valid"))
+    known = files.withColumn("_p", same(F.col("path"))).drop("path").join(heads, "_p", "left").join(valid, "_p", "left")
+    mode = (
+        F.when(F.col("kind") != "csv", "invalid_file_type").when(~F.col("valid"), "file_format").when(F.col("n").isNull(), "empty_data")
+        .when((F.col("n") == 1) & header_mode(F.col("head")).isin("pair", "single"), "empty_data").otherwise(header_mode(F.col("head")))
+    )
+    known = stage.write(known.select("_p", mode.alias("mode")))
+    sample = F.regexp_replace(F.element_at(F.split("_p", "/"), -1), r"\.[^.]*$", "")
+    out = known.join(rows.withColumn("_p", same(F.col("path"))), "_p", "left")
+    cells = F.transform(F.split("line", ",", -1), lambda c: F.trim(c))
+    return out.select(sample.alias("sample_id"), "mode", "line_no", cells.alias("cells"))
+
+
+def read_long_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``read_csv`` for files of any size: lines by split, points numbered and intervals taken within blocks of lines."""
+    return scan_lines(Stage(spark, "long").write(split_lines(spark, path)), long=True)
+
+
 def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(signals, scans) of CSV files.
+    """``scan_lines`` of whole CSV files (sample_id, content, size and maybe kind)."""
+    return scan_lines(parse_lines(files))
+
+
+def scan_lines(lines: DataFrame, long: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(signals, scans) of the lines of CSV files; with ``long`` no window spans a whole file.
 
     ``signals``: sample_id, idx, ts (null where the file has none or one of its times is bad),
     amplitude. ``scans``: a row for each file with n_samples, rate (inferred from times), file_error
@@ -61,7 +110,6 @@ def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     a wrong number of cells is invalid_value; an empty amplitude is missing_value; one that is no
     finite number is invalid_value; a bad time warns once and discards all times of the file.
     """
-    lines = parse_lines(files)
     width = F.when(F.col("mode") == "pair", 2).otherwise(1)
     ok = F.col("mode").isin("pair", "single")
     rows = lines.where(ok & (F.col("line_no") > 1) & F.exists("cells", lambda c: c != ""))
@@ -73,12 +121,19 @@ def scan(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = rows.where("code IS NULL").select("sample_id", "mode", "line_no", "ts", "amplitude")
     times = good.groupBy("sample_id").agg(F.min(F.when((F.col("mode") == "pair") & F.col("ts").isNull(), F.col("line_no"))).alias("bad_time"), F.count(F.lit(1)).alias("n_samples"))
     order = Window.partitionBy("sample_id").orderBy("line_no")
-    signals = good.join(times.select("sample_id", "bad_time"), "sample_id").select("sample_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), F.when(F.col("bad_time").isNull(), F.col("ts")).alias("ts"), "amplitude")
+    signals = good.join(times.select("sample_id", "bad_time"), "sample_id").withColumn("ts", F.when(F.col("bad_time").isNull(), F.col("ts")))
+    if long:
+        signals = Stage(lines.sparkSession, "points").write(sig.indexed(signals, "sample_id", F.floor(F.col("line_no") / LINES), "line_no").select("sample_id", "idx", "ts", "amplitude"))
+    else:
+        signals = signals.select("sample_id", (F.row_number().over(order) - 1).cast("long").alias("idx"), "ts", "amplitude")
     message = F.concat(F.lit("line "), F.col("line_no"), F.lit(": "), F.col("field"), F.when(F.col("code") == "missing_value", " is missing").otherwise(" is invalid"))
     bad = rows.where("code IS NOT NULL").groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "code", message.alias("message"), "field"))).alias("bad"))
-    step = F.col("ts") - F.lag("ts").over(Window.partitionBy("sample_id").orderBy("idx"))
-    rate = signals.withColumn("_d", step).groupBy("sample_id").agg(F.median("_d").alias("_m"))
-    rate = rate.select("sample_id", F.when(F.col("_m") > 0, 1 / F.col("_m")).alias("rate"))
+    if long:
+        rate = sig.sampling_rate(signals)
+    else:
+        step = F.col("ts") - F.lag("ts").over(Window.partitionBy("sample_id").orderBy("idx"))
+        rate = signals.withColumn("_d", step).groupBy("sample_id").agg(F.median("_d").alias("_m"))
+        rate = rate.select("sample_id", F.when(F.col("_m") > 0, 1 / F.col("_m")).alias("rate"))
     heads = lines.groupBy("sample_id").agg(F.max("mode").alias("mode"))
     out = heads.join(times, "sample_id", "left").join(bad, "sample_id", "left").join(rate, "sample_id", "left")
     file_error = F.when(~F.col("mode").isin("pair", "single"), F.struct(F.col("mode").alias("code"), F.concat(F.lit("the file can't be used: "), F.col("mode")).alias("message")))
