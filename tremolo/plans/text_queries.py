@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tremolo import config
 from tremolo.operators import retrieval, rules, sessions
 from tremolo.plans.signal_queries import _CHANGES, compare_changes, load
+from tremolo.session import Stage
 
 TOP = 5
 
@@ -84,6 +85,25 @@ def chunks(spark, sf_dir):
     return made.select("doc_id", "chunk_index", "chunk_id", F.char_length("chunk").alias("n_chars"), F.md5("chunk").alias("md5"))
 
 
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _letters(text):
+    """A vector that SQL can make too: how often each letter stands in the text."""
+    return F.array(*[(F.char_length(text) - F.char_length(F.replace(text, F.lit(c)))).cast("double") for c in _LETTERS])
+
+
+def hybrid_chunks(spark, sf_dir):
+    """Documents by their best chunk, for each benchmark item: chunks are scored by words and vectors, and the scores fused."""
+    asked = _asked(spark, sf_dir)
+    stored = Stage(spark, "chunks").write(retrieval.chunks(_docs(spark, sf_dir), "doc_id", "text").withColumn("embedding", _letters(F.col("chunk"))))
+    vector = retrieval.cosine_scores(asked.select("query_id", _letters(F.col("query")).alias("v")), stored, "chunk_id")
+    lexical = retrieval.bm25_scores(asked, retrieval.index(stored, "chunk_id", "chunk"))
+    both = retrieval.fused(stored, vector, lexical, "chunk_id").withColumn("score", F.round("score", 5))
+    best = retrieval.best_chunk(both.join(stored.select("chunk_id", "doc_id", "chunk_index"), "chunk_id"), "doc_id", "chunk_index")
+    return retrieval.top(best, "doc_id", TOP).select("query_id", "doc_id", "chunk_id", F.round("vector_score", 4).alias("vector_score"), F.round("bm25_score", 4).alias("bm25_score"), "score", "rank")
+
+
 def best_chunk_per_entry(spark, sf_dir):
     """Of each source the document that scores best for a query; ties to the smaller id."""
     sources = load(spark, sf_dir, "documents").select("doc_id", "source")
@@ -308,7 +328,7 @@ def _matched() -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        token_counts, bm25_index_stats, bm25_topk, bm25_pruned, cosine_topk, hybrid_topk, chunks, best_chunk_per_entry, clause_hits, query_overlap, distinct_sources, vector_normalise, index_rebuild, clause_checks, clause_metrics, clause_tallies,
+        token_counts, bm25_index_stats, bm25_topk, bm25_pruned, cosine_topk, hybrid_topk, hybrid_chunks, chunks, best_chunk_per_entry, clause_hits, query_overlap, distinct_sources, vector_normalise, index_rebuild, clause_checks, clause_metrics, clause_tallies,
         alignment_rerank, candidate_gaps, confidence_levels, session_list, session_retention, history_window, topic_router, question_match, session_counts, url_extract, allowed_urls, event_payload_json, text_folding,
     )
 }
@@ -333,6 +353,9 @@ _METRICS = f"""WITH x AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS x FROM par
     CASE WHEN metric IN ('dominant_near_shaft', 'dominant_ambiguous', 'tied_family') THEN CASE WHEN value IN ('true', '1', 'yes') THEN 1.0 WHEN value IN ('false', '0', 'no') THEN 0.0 END ELSE TRY_CAST(value AS DOUBLE) END AS expected FROM f, c),
   s AS (SELECT *, CASE op WHEN '>=' THEN actual >= expected WHEN '<=' THEN actual <= expected WHEN '>' THEN actual > expected WHEN '<' THEN actual < expected WHEN '==' THEN actual = expected WHEN '!=' THEN actual <> expected END AS holds FROM j)
   SELECT p_partkey, clause_id, round(CAST(actual AS DOUBLE), 6) AS actual, CAST(expected AS DOUBLE) AS expected, CASE WHEN holds IS NULL THEN 'unknown' WHEN holds THEN 'hit' ELSE 'miss' END AS state FROM s"""
+_CHUNKS = f"WITH RECURSIVE d AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents), r AS (SELECT doc_id, 0 AS p0, {_END.format(at=0)} AS e FROM d UNION ALL SELECT doc_id, nat AS p0, {_END.format(at='nat')} AS e FROM (SELECT r.doc_id, d.t, greatest(r.e - {config.CHUNK_OVERLAP}, r.p0 + 1) AS nat FROM r JOIN d USING (doc_id) WHERE r.e < length(d.t))), p AS (SELECT doc_id, p0, {_STRIP.format('substr(t, CAST(p0 AS BIGINT) + 1, CAST(e - p0 AS BIGINT))')} AS c, length(t) AS l FROM r JOIN d USING (doc_id)), k AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1 AS i FROM p WHERE c <> '' OR l = 0)"
+_COUNTS = "CAST([length({0}) - length(replace({0}, x, '')) FOR x IN string_split('" + _LETTERS + "', '')] AS DOUBLE[])"
+_NORM = "list_sum([x * x FOR x IN {0}])"
 ORACLE = {
     "clause_metrics": _METRICS,
     "token_counts": f"WITH {_POST.format('p', 'doc_id', 'text', 'documents')} SELECT token, CAST(sum(tf) AS BIGINT) AS n, count(*) AS docs FROM p GROUP BY 1",
@@ -344,7 +367,15 @@ ORACLE = {
       k AS (SELECT *, round(greatest(0, least(1, {config.VECTOR_WEIGHT} * vector_score + {config.BM25_WEIGHT} * bm25_score)), 5) AS score FROM h WHERE doc_id IN (SELECT doc_id FROM documents)) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM k) WHERE rank <= {TOP}""",
     "best_chunk_per_entry": f"WITH {_BM25}, j AS (SELECT bm.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS k FROM bm JOIN documents USING (doc_id)) SELECT query_id, source, doc_id, score FROM j WHERE k = 1",
     "clause_hits": f"WITH {_BM25}, j AS (SELECT bm.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, doc_id) AS k FROM bm JOIN documents USING (doc_id) WHERE score > 0) SELECT query_id, source, k, doc_id, score FROM j WHERE k <= 2",
-    "chunks": f"WITH RECURSIVE d AS (SELECT doc_id, {_STRIP.format("coalesce(text, '')")} AS t FROM documents), r AS (SELECT doc_id, 0 AS p0, {_END.format(at=0)} AS e FROM d UNION ALL SELECT doc_id, nat AS p0, {_END.format(at='nat')} AS e FROM (SELECT r.doc_id, d.t, greatest(r.e - {config.CHUNK_OVERLAP}, r.p0 + 1) AS nat FROM r JOIN d USING (doc_id) WHERE r.e < length(d.t))), p AS (SELECT doc_id, p0, {_STRIP.format('substr(t, CAST(p0 AS BIGINT) + 1, CAST(e - p0 AS BIGINT))')} AS c, length(t) AS l FROM r JOIN d USING (doc_id)), k AS (SELECT doc_id, c, row_number() OVER (PARTITION BY doc_id ORDER BY p0) - 1 AS i FROM p WHERE c <> '' OR l = 0) SELECT doc_id, i AS chunk_index, doc_id || '#chunk-' || printf('%03d', i) AS chunk_id, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS md5 FROM k",
+    "chunks": f"{_CHUNKS} SELECT doc_id, i AS chunk_index, doc_id || '#chunk-' || printf('%03d', i) AS chunk_id, CAST(length(c) AS INTEGER) AS n_chars, md5(c) AS md5 FROM k",
+    "hybrid_chunks": f"""WITH ck AS ({_CHUNKS} SELECT doc_id || '#chunk-' || printf('%03d', i) AS doc_id, doc_id AS entry, i, c AS text FROM k), {_BM25.replace('documents', 'ck')},
+      cv AS (SELECT doc_id, {_COUNTS.format('text')} AS v FROM ck), qv AS (SELECT item_id AS query_id, {_COUNTS.format('text')} AS v FROM benchmark),
+      cs AS (SELECT query_id, doc_id, CASE WHEN {_NORM.format('cv.v')} > 0 AND {_NORM.format('qv.v')} > 0 THEN greatest(0, least(1, list_cosine_similarity(qv.v, cv.v))) ELSE 0 END AS score FROM qv, cv),
+      bx AS (SELECT query_id, id AS doc_id, greatest(0, least(1, {config.BM25_SCALE} * dot / (qnorm * norm))) AS score FROM dots JOIN qn USING (query_id) JOIN norm USING (id)),
+      h AS (SELECT query_id, doc_id, cs.score AS vector_score, coalesce(bx.score, 0) AS bm25_score FROM cs LEFT JOIN bx USING (query_id, doc_id)),
+      e AS (SELECT h.*, entry, i, round(greatest(0, least(1, {config.VECTOR_WEIGHT} * vector_score + {config.BM25_WEIGHT} * bm25_score)), 5) AS score FROM h JOIN ck USING (doc_id)),
+      b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, entry ORDER BY score DESC, i) AS n FROM e) WHERE n = 1)
+      SELECT query_id, entry AS doc_id, doc_id AS chunk_id, round(vector_score, 4) AS vector_score, round(bm25_score, 4) AS bm25_score, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry) AS rank FROM b) WHERE rank <= {TOP}""",
     "query_overlap": f"SELECT item_id, round(CAST(len({_SHARED}) AS DOUBLE) / greatest(1, len(list_distinct(list_transform(regexp_extract_all(text, {_RE}), lambda x: lower(x))))), 6) AS share FROM benchmark",
     "distinct_sources": "SELECT source AS name, lang, min(doc_id) AS first_doc FROM documents GROUP BY 1, 2",
     "vector_normalise": "SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / n)), 4) AS total, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: (x / n) * (x / n))), 4) AS norm2 FROM (SELECT *, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))) AS n FROM embeddings)",
