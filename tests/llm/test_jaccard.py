@@ -7,6 +7,7 @@ import pytest
 
 from tremolo.llm import jaccard
 from tremolo.llm.queries import op8_jaccard
+from tremolo.session import Stage
 
 
 def shingles(text):
@@ -78,3 +79,36 @@ def test_edges(spark):
     assert kept.columns == df.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 1, 2, 3, 4, 6, 7, 8, 10]
     assert jaccard.similar(df.limit(0)).count() == 0
+
+
+def test_chance_sequences_do_not_fill_lists(spark):
+    """Elements that a few unlike documents share, too rare to be told by a share of all documents, come late in the order."""
+    rng = random.Random(7)
+    rows = [(k, " ".join([f"u{rng.randrange(10**9)}" for _ in range(40)] + [f"p{k % 600}x{j}" for j in range(12)])) for k in range(3000)]
+    made, _ = jaccard._described(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), jaccard.Params(), Stage(spark, "t"))
+    lists = made.selectExpr("explode(sigs) sig", "doc_id").groupBy("sig").count().where("count > 1")
+    assert made.count() == 3000 and lists.count() <= 3  # five in a list each before, 5 to 1 of them in thousands of lists
+
+
+def test_few_pairs_are_left_to_the_last_round(spark, monkeypatch):
+    """Copies too far from all others of a group share no more with them than their lists show: they meet none of them in the last round."""
+    rng = random.Random(3)
+    rows = []
+    for k in range(160):
+        words = [f"w{j}" for j in range(150)]
+        for at in rng.sample(range(5, 145, 7), 4 if k % 2 else 1):
+            words[at] = f"e{rng.randrange(10**9)}"
+        rows.append((k, " ".join(words)))
+    left = []
+    plain = jaccard._hopeful
+    monkeypatch.setattr(jaccard, "_hopeful", lambda lists, p: left.append((pairs_left(lists), pairs_left(plain(lists, p)))) or plain(lists, p))
+    got = jaccard.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    assert left[0][0] > 1000 and left[0][1] == 0
+
+
+def pairs_left(lists):
+    n = {}
+    for r in lists.groupBy("sig", "comp").count().collect():
+        n.setdefault(r.sig, []).append(r["count"])
+    return sum(sum(c) ** 2 - sum(x * x for x in c) for c in n.values()) // 2

@@ -6,12 +6,13 @@ first few of each: in the first m - o + c there are c shared ones, where m is th
 least overlap. Light sets (up to a boundary) enumerate the c-subsets of these few, for
 c = 2, and meet in equal subsets. Heavy sets are found by scanning inverted lists of
 single elements (c = 1); light sets near the boundary are listed there too. The boundary is where
-the cost of subsets reaches that of lists. The order puts frequent elements last, so
-that passages that many documents share do not fill the lists.
+the cost of subsets reaches that of lists. The order goes by how often elements occur in all
+documents, as a table of counters by hash tells, rare ones first, so that neither passages that many
+documents share nor word sequences that come up by chance fill the lists.
 
 Lists of near copies are dense. Pairs are therefore tried in rounds: at first each set with
-one hub of its lists, then, of what is still apart, with another, and at last all pairs
-of a list that lie in different components. Every pair that could join two components is
+one hub of its lists, then, of what is still apart, with others as long as that helps and more pairs than list
+entries are left, and at last all pairs of a list that lie in different components. Every pair that could join two components is
 compared on the whole sets, so that no link between components is lost and no group is expanded.
 """
 
@@ -35,17 +36,21 @@ _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 
 @dataclass(frozen=True)
 class Params:
-    """words: of a shingle. percent: of the union that the intersection must reach. frequent: an
-    element in one of so many documents is put last, of such at most ``heavy`` (this bounds
-    what is broadcast; it changes no result). broadcast_rows: ids that are broadcast at most."""
+    """words: of a shingle. percent: of the union that the intersection must reach. counters: elements
+    are counted in at most so many (a byte each is broadcast; it changes no result). rounds: with hubs, at most.
+    broadcast_rows: ids that are broadcast at most."""
 
     words: int = 5
     percent: int = 80
-    frequent: int = 500
-    heavy: int = 300_000
+    counters: int = 1 << 24
+    rounds: int = 8
     broadcast_rows: int = 500_000
 
 
+#: Counters to a row when tasks' tables are added up; bytes of the table (by Spark's estimate) to a counter.
+PART, BYTES = 1 << 11, 128
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -87,35 +92,51 @@ def least_overlap(m: int, percent: int) -> int:
     return -(-percent * m // 100)
 
 
-def _frequent(docs: DataFrame, p: Params, stage: Stage) -> tuple[np.ndarray, np.ndarray, float]:
-    """(hashes, counts) of frequent elements, by hash, and the mean number of other documents in an element's list.
+def _counters(docs: DataFrame, p: Params) -> int:
+    """A power of two that grows with the table, up to ``p.counters``."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 1 << min(max(size // BYTES, 1 << 18), p.counters).bit_length() - 1
+
 
-    All documents are read. Of each slice the elements in at least one of ``frequent`` of its
-    documents are counted on; one that is as frequent as twice that overall can't be missed.
+def _counted(docs: DataFrame, p: Params, stage: Stage) -> tuple[np.ndarray, float]:
+    """The level (the logarithm of a count, in eighths) of each counter, and the mean number of other documents in an element's list.
+
+    All documents are read. An element is counted where the first bits of its hash say, so a
+    counter is never less than the number of documents that hold any of its elements. Of each slice
+    those in more documents than one of 500 take no part in the mean.
     """
+    size = _counters(docs, p)
+    shift, part = np.uint64(64 - (size.bit_length() - 1)), min(PART, size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = shingler(p.words)
+        of, table = shingler(p.words), np.zeros(size, np.uint32)
+        rest = pairs = slots = 0
         for whole in batches:
             for b in slices(whole, "text", 4 << 20):
-                sets = [of(t) for t in b.column(0).to_pylist()]
-                x, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(2, b.num_rows // p.frequent)
-                rest = n[~often].astype(np.int64)
-                kind = [0] * int(often.sum()) + [1, 2, 3]
-                key = x[often].view(np.int64).tolist() + [0, 0, 0]
-                num = n[often].tolist() + [int(rest.sum()), int((rest * (rest - 1)).sum()), b.num_rows]
-                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(num, pa.int64())], ["kind", "e", "n"])
-
-    found = whole_texts(docs.select("text")).mapInArrow(lean(run), "kind int, e long, n long")
-    counts = stage.write(found.groupBy("kind", "e").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("slices")))
-    stat = {r.kind: r for r in counts.where("kind > 0").collect()}
-    if not stat:
-        return np.zeros(0, np.uint64), np.zeros(0), 0.0
-    often = counts.where((F.col("kind") == 0) & (F.col("n") >= max(2, stat[3].n // p.frequent))).orderBy(F.desc("n"), "e").limit(p.heavy).select("e", "n").toArrow()
-    e, n = often.column("e").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    order = np.argsort(e)
-    return e[order], n[order], stat[2].n / max(1, stat[1].n) * stat[1].slices
+                x, n = np.unique(np.concatenate([of(t) for t in b.column(0).to_pylist()]), return_counts=True)
+                np.add.at(table, x >> shift, n.astype(np.uint32))
+                seldom = n[n < max(2, b.num_rows // 500)].astype(np.int64)
+                rest, pairs, slots = rest + int(seldom.sum()), pairs + int((seldom * (seldom - 1)).sum()), slots + 1
+        rows = table.reshape(-1, part)
+        used = np.flatnonzero(rows.any(1))
+        for k in used:
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows[k].tobytes()], pa.binary())], ["part", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([np.array([rest, pairs, slots], np.int64).tobytes()], pa.binary())], ["part", "counts"])
+
+    def add(key: tuple, rows: pa.Table) -> pa.Table:
+        kind = np.int64 if key[0].as_py() < 0 else np.uint32
+        total = sum(np.frombuffer(r.as_buffer(), kind).astype(np.int64) for r in rows.column("counts"))
+        level = total if kind is np.int64 else np.minimum(np.round(8 * np.log2(1.0 + total)), 255).astype(np.uint8)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "counts": pa.array([level.tobytes()], pa.binary())})
+
+    made = whole_texts(docs.select("text")).mapInArrow(lean(run), "part long, counts binary").groupBy("part").applyInArrow(add, "part long, counts binary")
+    levels, stat = np.zeros((size // part, part), np.uint8), np.zeros(3, np.int64)
+    for r in stage.write(made).toLocalIterator():  # a byte a counter in all
+        if r.part < 0:
+            stat = np.frombuffer(r.counts, np.int64)
+        else:
+            levels[r.part] = np.frombuffer(r.counts, np.uint8)
+    return levels.ravel(), float(stat[1] / max(1, stat[0]) * stat[2])
 
 
 def boundary(partners: float, percent: int) -> int:
@@ -128,14 +149,13 @@ def boundary(partners: float, percent: int) -> int:
     return best
 
 
-def signatures(s: np.ndarray, e: np.ndarray, n: np.ndarray, light: int, percent: int) -> np.ndarray:
-    """A set's signatures: subsets have the lowest bit set, single elements have not."""
+def signatures(s: np.ndarray, levels: np.ndarray, light: int, percent: int) -> np.ndarray:
+    """The signatures of a set (its sorted hashes): subsets have the lowest bit set, single elements have not."""
     m = len(s)
     if m < 2:
         return np.zeros(0, np.uint64)
-    if len(e):
-        at = np.minimum(np.searchsorted(e, s), len(e) - 1)
-        s = s[np.argsort(np.where(e[at] == s, n[at], 0), kind="stable")]
+    if len(levels) > 1:
+        s = s[np.argsort(levels[s >> np.uint64(65 - len(levels).bit_length())], kind="stable")]
     few = m - least_overlap(m, percent)
     sig = []
     if m <= light:
@@ -149,17 +169,17 @@ def signatures(s: np.ndarray, e: np.ndarray, n: np.ndarray, light: int, percent:
 
 def _described(docs: DataFrame, p: Params, stage: Stage) -> tuple[DataFrame, int]:
     """(doc_id, m, digest, sigs), written: of every row its set's size, digest and signatures; and the boundary."""
-    e, n, partners = _frequent(docs, p, stage)
+    levels, partners = _counted(docs, p, stage)
     light = boundary(partners, p.percent)
-    shared = docs.sparkSession.sparkContext.broadcast((e, n, light))
+    shared = docs.sparkSession.sparkContext.broadcast((levels, light))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shingler(p.words)
-        e, n, light = shared.value
+        levels, light = shared.value
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [of(t) for t in b.column(1).to_pylist()]
-                made = [signatures(s, e, n, light, p.percent) for s in sets]
+                made = [signatures(s, levels, light, p.percent) for s in sets]
                 starts = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32))
                 sigs = pa.ListArray.from_arrays(starts, pa.array(np.concatenate(made).view(np.int64)))
                 digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -216,8 +236,8 @@ def _fits(m: Column, n: Column, percent: int) -> Column:
     return 100 * F.least(m, n) >= percent * F.greatest(m, n)
 
 
-def _enough(n: Column, kind: Column, ma: Column, mb: Column, percent: int) -> Column:
-    """Whether two sets that share so many signatures can be similar.
+def _needed(kind: Column, ma: Column, mb: Column, percent: int) -> Column:
+    """The signatures that two sets share at least if they are similar.
 
     Take the set whose first few end earlier in the order: all shared elements up to there are
     among the first few of both, so they are counted, and the rest of the set is all
@@ -226,7 +246,7 @@ def _enough(n: Column, kind: Column, ma: Column, mb: Column, percent: int) -> Co
     ceil = lambda x: F.ceil(x - 1e-9)
     most = F.greatest(ceil(percent * ma / 100), ceil(percent * mb / 100))
     k = ceil(percent * (ma + mb) / (100 + percent)) - most + 1 + kind
-    return n >= F.when(kind == 1, F.greatest(k, F.lit(2)) * (F.greatest(k, F.lit(2)) - 1) / 2).otherwise(k)
+    return F.when(kind == 1, F.greatest(k, F.lit(2)) * (F.greatest(k, F.lit(2)) - 1) / 2).otherwise(k)
 
 
 def _kind(light: int, ma: Column, mb: Column) -> Column:
@@ -237,30 +257,55 @@ def _kind(light: int, ma: Column, mb: Column) -> Column:
 def _hub_pairs(lists: DataFrame, k: int, light: int, p: Params) -> DataFrame:
     """For each set at most one pair (a, b): with the hub that stands in most of its lists, if that is in another component.
 
-    A list's hub is its set of the smallest component; lists are parted by size first, in round k at
-    other borders. Pairs that share too few signatures are left to the last round.
+    A list's hub is a set of its smallest component, of these the smallest id, after two rounds the one that the round's
+    hash puts first; lists are parted by size first, in round k at other borders. Pairs that share too few
+    signatures are left to the last round.
     """
     level = F.floor(F.log(F.col("m").cast("double")) / F.log(F.lit(100.0 / p.percent)) + k / 2).cast("int")
     rows = lists.withColumn("level", level)
-    hubs = rows.groupBy("sig", "level").agg(F.min(F.struct("comp", "doc_id", "m")).alias("hub"), F.max("comp").alias("most")).where(F.col("hub.comp") < F.col("most"))
+    first = F.col("doc_id") if k < 2 else F.xxhash64("doc_id", F.lit(k))
+    hubs = rows.groupBy("sig", "level").agg(F.min(F.struct("comp", first.alias("_first"), "doc_id", "m")).alias("hub"), F.max("comp").alias("most")).where(F.col("hub.comp") < F.col("most"))
     met = rows.join(hubs.select("sig", "level", "hub"), ["sig", "level"]).where((F.col("hub.comp") != F.col("comp")) & _fits(F.col("m"), F.col("hub.m"), p.percent))
     kind = _kind(light, F.col("m"), F.col("hub.m"))
     votes = met.where(F.col("sig").bitwiseAND(1) == kind).groupBy("doc_id", "m", F.col("hub.doc_id").alias("hub"), F.col("hub.m").alias("n")).agg(F.count(F.lit(1)).alias("shared"))
-    votes = votes.where(_enough(F.col("shared"), _kind(light, F.col("m"), F.col("n")), F.col("m"), F.col("n"), p.percent))
+    votes = votes.where(F.col("shared") >= _needed(_kind(light, F.col("m"), F.col("n")), F.col("m"), F.col("n"), p.percent))
     best = votes.groupBy("doc_id").agg(F.max(F.struct("shared", (-F.col("hub")).alias("hub"))).alias("best"))
     return best.select(F.col("doc_id").alias("a"), (-F.col("best.hub")).alias("b"))
 
 
+def _left(lists: DataFrame) -> tuple[int, int]:
+    """Pairs of a list in different components, over all lists, and the lists' entries."""
+    own = lists.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = own.groupBy("sig").agg(F.sum("n").alias("n"), F.sum(F.col("n") ** 2).alias("same"))
+    left, n = each.agg(F.sum((F.col("n") ** 2 - F.col("same")) / 2), F.sum("n")).first()
+    return int(left or 0), int(n or 0)
+
+
+def _hopeful(rows: DataFrame, p: Params) -> DataFrame:
+    """The entries (sig, doc_id, m, comp) of lists whose set can be similar to one of the list's others, with own, the
+    entries of its kind that such a set has left: a pair shares no more than the smaller own of the two.
+
+    What a pair needs to share falls as their sizes part, so a list's smallest and largest sets tell the least of it (less
+    one, as sizes are rounded); subsets, which only light sets have, all stay. A set whose first elements are its own has few entries, and is of no use to a group it was copied from.
+    """
+    kind, m = F.col("sig").bitwiseAND(1), F.col("m")
+    by_set, by_list = Window.partitionBy("doc_id", kind), Window.partitionBy("sig")
+    n = F.count(F.lit(1))
+    rows = rows.withColumn("own", n.over(by_set)).withColumn("_lo", F.min("m").over(by_list)).withColumn("_hi", F.max("m").over(by_list))
+    low, high = F.greatest("_lo", F.floor(p.percent * m / 100)), F.least("_hi", F.ceil(100 * m / p.percent))
+    least = F.least(_needed(F.lit(0), m, low, p.percent), _needed(F.lit(0), m, high, p.percent)) - 1
+    return rows.where((kind == 1) | (F.col("own") >= least)).select("sig", "doc_id", "m", "comp", n.over(by_set).alias("own"))
+
+
 def _apart_pairs(lists: DataFrame, light: int, p: Params) -> DataFrame:
     """All pairs of sets in different components that may be similar, each once."""
     mixed = lists.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rows = lists.join(mixed, "sig", "left_semi").select("sig", "doc_id", "m", "comp").distinct()
-    x = rows.select("sig", F.col("doc_id").alias("a"), F.col("m").alias("ma"), F.col("comp").alias("ca"))
-    y = rows.select("sig", F.col("doc_id").alias("b"), F.col("m").alias("mb"), F.col("comp").alias("cb"))
+    rows = _hopeful(lists.join(mixed, "sig", "left_semi").select("sig", "doc_id", "m", "comp").distinct(), p)
+    x, y = (rows.select("sig", F.col("doc_id").alias(k), F.col("m").alias(f"m{k}"), F.col("comp").alias(f"c{k}"), F.col("own").alias(f"n{k}")) for k in "ab")
     kind = _kind(light, F.col("ma"), F.col("mb"))
-    met = x.join(y, "sig").where((F.col("ca") < F.col("cb")) & _fits(F.col("ma"), F.col("mb"), p.percent) & (F.col("sig").bitwiseAND(1) == kind))
+    met = x.join(y, "sig").where((F.col("ca") < F.col("cb")) & _fits(F.col("ma"), F.col("mb"), p.percent) & (F.col("sig").bitwiseAND(1) == kind) & (F.least("na", "nb") >= _needed(kind, F.col("ma"), F.col("mb"), p.percent)))
     shared = met.groupBy("a", "b", "ma", "mb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.where(_enough(F.col("shared"), kind, F.col("ma"), F.col("mb"), p.percent)).select("a", "b")
+    return shared.where(F.col("shared") >= _needed(kind, F.col("ma"), F.col("mb"), p.percent)).select("a", "b")
 
 
 def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -284,21 +329,30 @@ def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
     copies = stage.write(copies)
     reps = made.where("doc_id IS NOT NULL AND size(sigs) > 0").join(_sized(copies, copies.count(), p), ["doc_id", "digest"], "left_anti")
     rows = reps.select(F.explode("sigs").alias("sig"), "doc_id", F.col("m").cast("int").alias("m"))
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    lists = stage.write(rows.join(shared, "sig").withColumn("comp", F.col("doc_id")))
+    several = F.count(F.lit(1)).over(Window.partitionBy("sig"))  # one shuffle of all signatures
+    lists = stage.write(rows.withColumn("_n", several).where("_n > 1").drop("_n").withColumn("comp", F.col("doc_id")))
     stage.drop(made)
-    links = None
-    known = None
-    for k in range(3):
+    links = known = None
+    left = float("inf")
+    for k in range(p.rounds + 1):
         own = lists
         if known is not None:
             own = lists.drop("comp").join(known, lists.doc_id == known.node, "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
-        pairs = stage.write(_hub_pairs(own, k, light, p) if k < 2 else _apart_pairs(own, light, p))
+        last = k == p.rounds
+        if 2 <= k < p.rounds:
+            own = stage.write(own)
+            (left, entries), were = _left(own), left
+            last = left <= entries or left > 0.8 * were
+        pairs = stage.write(_apart_pairs(own, light, p) if last else _hub_pairs(own, k, light, p))
         if pairs.isEmpty():
+            if last:
+                break
             continue
         found = _verified(docs, pairs, p, stage)
         links = found if links is None else links.unionByName(found)
         known = components(links, stage)
+        if last:
+            break
     named = classes.select("digest", "rep")
     if known is not None:
         known = _sized(known, known.count(), p)
