@@ -387,3 +387,11 @@ def test_long_csv_by_split(spark, tmp_path):
             spark.conf.set(k, v)
     assert got[0] == want[0] and len(got[0]) > 2000
     assert got[1] == want[1]
+
+
+def test_lines_do_not_carry_their_file(spark):
+    """Above the rows made of a file's lines nothing reads the file's text or its array of lines."""
+    df = spark.createDataFrame([("a", bytearray(b"amplitude\n1\n"), 12)], "sample_id string, content binary, size long")
+    plan = str(files.parse_lines(df)._jdf.queryExecution().optimizedPlan().toString())
+    above = plan[: plan.index("Generate posexplode")]
+    assert "lines#" not in above and "text#" not in above and "content#" not in above

@@ -49,7 +49,8 @@ def parse_lines(files: DataFrame) -> DataFrame:
         .when(F.size("lines") == 0, "empty_data")
         .otherwise(F.coalesce(F.when(F.size("lines") == 1, F.when(header_mode(F.col("lines")[0]).isin("pair", "single"), "empty_data")), header_mode(F.get("lines", F.lit(0)))))
     )
-    rows = rows.select("sample_id", mode.alias("mode"), F.posexplode_outer("lines").alias("pos", "line"))
+    rows = rows.select("sample_id", mode.alias("mode"), "lines")  # told once a file: beside a line no text or lines of its file go on
+    rows = rows.select("sample_id", "mode", F.posexplode_outer("lines").alias("pos", "line"))
     cells = F.transform(F.split("line", ",", -1), lambda c: F.trim(c))
     return rows.select("sample_id", "mode", (F.col("pos") + 1).cast("long").alias("line_no"), cells.alias("cells"))
 
