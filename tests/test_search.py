@@ -1,6 +1,7 @@
 """Search of entries by chunks, clauses and words against plain Python; the stored index; the fallback."""
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -200,3 +201,19 @@ def test_postings_equal_tokens(spark):
         got[r.id][r.token] = r.tf
         assert r.doc_len == sum(want[r.id].values())
     assert {k: v for k, v in want.items() if v} == got
+
+
+def test_best_texts_without_all_pairs(spark):
+    """The best of each query, and of each query and group, are those of the full search; few other pairs go on."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(k, " ".join(f"w{min(int(rng.expovariate(0.02)), 400)}" for _ in range(20)), rng.choice(["a", "b", None])) for k in range(3000)] + [(3000, "", "a"), (3001, None, "b")], "doc_id long, text string, source string")
+    queries = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(300)}" for _ in range(6))) for q in range(30)] + [(30, "none"), (31, None)], "query_id long, query string")
+    ind = retrieval.index(docs, "doc_id", "text")
+    full = retrieval.bm25_scores(queries, ind).withColumn("score", F.round("score", 6)).cache()
+    made = retrieval.bm25_best(queries, ind, 5, 6).withColumn("score", F.round("score", 6)).cache()
+    key = lambda df: sorted(map(tuple, retrieval.top(df, "doc_id", 5).select("query_id", "doc_id", "score", "rank").collect()))
+    assert key(made) == key(full) and made.count() < full.count() / 5
+    sources = docs.select("doc_id", "source")
+    grouped = retrieval.bm25_best(queries, ind, 1, 6, sources).withColumn("score", F.round("score", 6))
+    one = lambda df: {tuple(r) for r in retrieval.best_chunk(df.join(sources, "doc_id"), "source", "doc_id").select("query_id", "source", "doc_id", "score").collect()}
+    assert one(grouped) == one(full)
