@@ -282,8 +282,8 @@ def _left(lists: DataFrame) -> tuple[int, int]:
 
 
 def _hopeful(rows: DataFrame, p: Params) -> DataFrame:
-    """The entries (sig, doc_id, m, comp) of lists whose set can be similar to one of the list's others, with own, the
-    entries of its kind that such a set has left: a pair shares no more than the smaller own of the two.
+    """The entries (sig, doc_id, m, comp) of lists whose set can be similar to one of the list's others, with rest, the
+    entries of its kind that such a set has left from this one on, shortest lists first.
 
     What a pair needs to share falls as their sizes part, so a list's smallest and largest sets tell the least of it (less
     one, as sizes are rounded); subsets, which only light sets have, all stay. A set whose first elements are its own has few entries, and is of no use to a group it was copied from.
@@ -291,21 +291,30 @@ def _hopeful(rows: DataFrame, p: Params) -> DataFrame:
     kind, m = F.col("sig").bitwiseAND(1), F.col("m")
     by_set, by_list = Window.partitionBy("doc_id", kind), Window.partitionBy("sig")
     n = F.count(F.lit(1))
-    rows = rows.withColumn("own", n.over(by_set)).withColumn("_lo", F.min("m").over(by_list)).withColumn("_hi", F.max("m").over(by_list))
+    rows = rows.withColumn("own", n.over(by_set)).withColumns({"_lo": F.min("m").over(by_list), "_hi": F.max("m").over(by_list), "_n": n.over(by_list)})
     low, high = F.greatest("_lo", F.floor(p.percent * m / 100)), F.least("_hi", F.ceil(100 * m / p.percent))
     least = F.least(_needed(F.lit(0), m, low, p.percent), _needed(F.lit(0), m, high, p.percent)) - 1
-    return rows.where((kind == 1) | (F.col("own") >= least)).select("sig", "doc_id", "m", "comp", n.over(by_set).alias("own"))
+    rest = F.row_number().over(by_set.orderBy(F.desc("_n"), F.desc("sig")))
+    return rows.where((kind == 1) | (F.col("own") >= least)).select("sig", "doc_id", "m", "comp", rest.alias("rest"))
+
+
+def _met(rows: DataFrame, light: int, p: Params) -> DataFrame:
+    """(a, b), maybe repeated: the pairs of ``_hopeful`` entries in different components that may be similar.
+
+    Two sets meet in an entry only if both have as many entries left from there on as they need to share. The first entry that they
+    share is one of these if they share enough, as all sets have their entries in one order; the entries of long lists come last and have little left.
+    """
+    x, y = (rows.select("sig", F.col("doc_id").alias(k), F.col("m").alias(f"m{k}"), F.col("comp").alias(f"c{k}"), F.col("rest").alias(f"r{k}")) for k in "ab")
+    kind = _kind(light, F.col("ma"), F.col("mb"))
+    met = x.join(y, "sig").where((F.col("ca") < F.col("cb")) & _fits(F.col("ma"), F.col("mb"), p.percent) & (F.col("sig").bitwiseAND(1) == kind) & (F.least("ra", "rb") >= _needed(kind, F.col("ma"), F.col("mb"), p.percent)))
+    return met.select("a", "b")
 
 
 def _apart_pairs(lists: DataFrame, light: int, p: Params) -> DataFrame:
     """All pairs of sets in different components that may be similar, each once."""
     mixed = lists.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    rows = _hopeful(lists.join(mixed, "sig", "left_semi").select("sig", "doc_id", "m", "comp").distinct(), p)
-    x, y = (rows.select("sig", F.col("doc_id").alias(k), F.col("m").alias(f"m{k}"), F.col("comp").alias(f"c{k}"), F.col("own").alias(f"n{k}")) for k in "ab")
-    kind = _kind(light, F.col("ma"), F.col("mb"))
-    met = x.join(y, "sig").where((F.col("ca") < F.col("cb")) & _fits(F.col("ma"), F.col("mb"), p.percent) & (F.col("sig").bitwiseAND(1) == kind) & (F.least("na", "nb") >= _needed(kind, F.col("ma"), F.col("mb"), p.percent)))
-    shared = met.groupBy("a", "b", "ma", "mb").agg(F.count(F.lit(1)).alias("shared"))
-    return shared.where(F.col("shared") >= _needed(kind, F.col("ma"), F.col("mb"), p.percent)).select("a", "b")
+    rows = lists.join(mixed, "sig", "left_semi").select("sig", "doc_id", "m", "comp").distinct()
+    return _met(_hopeful(rows, p), light, p).distinct()
 
 
 def similar(docs: DataFrame, params: Params = Params()) -> DataFrame:
