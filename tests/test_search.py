@@ -217,3 +217,24 @@ def test_best_texts_without_all_pairs(spark):
     grouped = retrieval.bm25_best(queries, ind, 1, 6, sources).withColumn("score", F.round("score", 6))
     one = lambda df: {tuple(r) for r in retrieval.best_chunk(df.join(sources, "doc_id"), "source", "doc_id").select("query_id", "source", "doc_id", "score").collect()}
     assert one(grouped) == one(full)
+
+
+def test_best_hybrid_texts_without_all_pairs(spark, monkeypatch):
+    """The best groups of each query by words and vectors are those of the fused pairs, with queries, texts and ties of all kinds; few other pairs go on."""
+    monkeypatch.setattr(retrieval, "PACK", 300)
+    rng = random.Random(6)
+    some = lambda n: [float(rng.randrange(4)) for _ in range(n)]
+    docs = spark.createDataFrame([(k, rng.randrange(400), k % 7, " ".join(f"w{min(int(rng.expovariate(0.05)), 150)}" for _ in range(12)) if k % 9 else "w3 w4" if k % 2 else None) for k in range(1500)], "doc_id long, entry long, place long, text string")
+    vectors = spark.createDataFrame([(k, some(4) if k % 11 else [0.0] * 4 if k % 2 else None) for k in range(700, 1600)] + [(3, [1.0])], "doc_id long, embedding array<double>")
+    asked = spark.createDataFrame([(q, some(4)) for q in range(10, 30)] + [(30, [1.0, 2.0]), (31, None)], "query_id long, v array<double>")
+    queries = spark.createDataFrame([(q, " ".join(f"w{rng.randrange(60)}" for _ in range(5))) for q in range(20)] + [(32, "none"), (33, None)], "query_id long, query string")
+    ind = retrieval.index(docs, "doc_id", "text")
+    entries = docs.select("doc_id", "entry", "place")
+    pairs = retrieval.fused(docs, retrieval.cosine_scores(asked, vectors, "doc_id"), retrieval.bm25_scores(queries, ind), "doc_id").join(entries, "doc_id").cache()
+    made = retrieval.hybrid_best(queries, asked, vectors, ind, entries, 3, 5).cache()
+
+    def best(df):
+        first = retrieval.best_chunk(df.withColumn("score", F.round("score", 5)), "entry", "place")
+        return sorted(tuple(r) for r in retrieval.top(first, "entry", 3).select("query_id", "rank", "entry", "place", "score").collect())
+
+    assert best(made) == best(pairs) and len(best(made)) > 60 and made.count() < pairs.count() / 10

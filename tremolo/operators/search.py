@@ -137,10 +137,9 @@ def search(queries: DataFrame, entries: DataFrame, embed: Callable[[Column], Col
         asked = stage.write(queries.select(query_key, embed(F.col("query")).alias("v")))
     except Exception as e:  # whatever an embedder or a store may raise
         return _lexical(queries, entries, f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}", top_k, query_key)
-    vector = retrieval.cosine_scores(asked, stored, "chunk_id", query_key)
-    lexical = retrieval.bm25_scores(queries, retrieval.index(stored, "chunk_id", "text"), query_key)
-    both = retrieval.fused(stored, vector, lexical, "chunk_id", query_key)
-    best = retrieval.best_chunk(both.join(stored.select("chunk_id", "entry_index", "chunk_index"), "chunk_id"), "entry_index", "chunk_index", query_key)
+    entries = stored.select("chunk_id", "entry_index", "chunk_index")
+    found = retrieval.hybrid_best(queries, asked, stored, retrieval.index(stored, "chunk_id", "text"), entries, top_k, query_key=query_key)
+    best = retrieval.best_chunk(found, "entry_index", "chunk_index", query_key)
     rows = retrieval.top(best, "entry_index", top_k, query_key)
     digits = {c: F.round(c, 4) for c in ("score", "vector_score", "bm25_score")}
     return Found(_labelled(rows.withColumns(digits), "hybrid", None, query_key), "hybrid", None)
