@@ -238,3 +238,14 @@ def test_best_hybrid_texts_without_all_pairs(spark, monkeypatch):
         return sorted(tuple(r) for r in retrieval.top(first, "entry", 3).select("query_id", "rank", "entry", "place", "score").collect())
 
     assert best(made) == best(pairs) and len(best(made)) > 60 and made.count() < pairs.count() / 10
+
+
+def test_blocks_of_stated_tokens(spark):
+    """Blocks of the queries' tokens hold these alone, and the search by them finds the same."""
+    docs = spark.createDataFrame([(k, f"a{'b' * (k % 9)} c{'d' * (k % 5)} e{'f' * k}") for k in range(60)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "abb cd"), (2, "cddd none"), (3, None)], "query_id long, query string")
+    ind = retrieval.index(docs, "doc_id", "text")
+    blocks = retrieval.blocked(ind, retrieval.postings(queries, "query_id", "query"))
+    assert {r[0] for r in blocks.rows.select("token").distinct().collect()} == {"abb", "cd", "cddd"}
+    rows = lambda b: sorted(map(tuple, retrieval.pruned_top(queries, ind, b, 3).rows.collect()))
+    assert rows(blocks) == rows(retrieval.blocked(ind)) != []
